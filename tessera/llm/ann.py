@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tessera.runtime import cut_lineage
 
 TABLES = 16
-PROBES = 4
+PROBES = 6
 BLOCK = 8192
 QUERY_BLOCK = 2048
 SEED = 20240117
