@@ -94,7 +94,8 @@ def blocked_links(links: DataFrame, segments: DataFrame, link_id: Sequence[str],
     s = _cells_of_box(seg, ("fx1", "fy1"), ("fx2", "fy2"), cell)
     test = link_blocked_by_segment if rule == "closed" else link_crosses_segment
     hit = test(((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))), ((F.col("fx1"), F.col("fy1")), (F.col("fx2"), F.col("fy2"))))
-    return l.join(s, ["__bx", "__by"]).where(hit).select(*link_id).distinct()
+    # One opaque predicate: split into its conjuncts it would multiply inferred constraints.
+    return l.join(s, ["__bx", "__by"]).where(F.coalesce(hit, F.lit(False))).select(*link_id).distinct()
 
 
 def visible_links(links: DataFrame, segments: DataFrame, link_id: Sequence[str], **options) -> DataFrame:

@@ -335,7 +335,7 @@ def z_grid(spark, sf_dir):
 
 @register(
     f"""WITH RECURSIVE {_HOT_SQL}, e AS (SELECT a.cell AS a, b.cell AS b FROM hot a JOIN hot b ON a.event_type = b.event_type AND a.sg = b.sg AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
-w AS (SELECT cell AS start, cell AS at FROM hot UNION SELECT w.start, e.b FROM w JOIN e ON w.at = e.a), lab AS (SELECT start AS cell, min(at) AS root FROM w GROUP BY 1)
+w AS (SELECT cell AS c0, cell AS c1 FROM hot UNION SELECT w.c0, e.b FROM w JOIN e ON w.c1 = e.a), lab AS (SELECT c0 AS cell, min(c1) AS root FROM w GROUP BY 1)
 SELECT event_type, sg AS sign, {rd('sum(abs(z) - 0.8)')} AS mass, count(*) AS n_cells, {rd('max(abs(z))')} AS peak, {rd('avg(col)')} AS east, {rd('avg(row)')} AS north
 FROM hot JOIN lab USING (cell) GROUP BY event_type, sg, root HAVING count(*) >= 4"""
 )
@@ -347,7 +347,7 @@ def signed_clusters(spark, sf_dir):
 
 @register(
     f"""WITH RECURSIVE {_HOT_SQL}, e AS (SELECT a.cell AS a, b.cell AS b FROM hot a JOIN hot b ON a.event_type = b.event_type AND a.sg = b.sg AND abs(a.row - b.row) <= 1 AND abs(a.col - b.col) <= 1),
-w AS (SELECT cell AS start, cell AS at FROM hot UNION SELECT w.start, e.b FROM w JOIN e ON w.at = e.a), lab AS (SELECT start AS cell, min(at) AS root FROM w GROUP BY 1),
+w AS (SELECT cell AS c0, cell AS c1 FROM hot UNION SELECT w.c0, e.b FROM w JOIN e ON w.c1 = e.a), lab AS (SELECT c0 AS cell, min(c1) AS root FROM w GROUP BY 1),
 k AS (SELECT event_type, sum(abs(z) - 0.8) AS mass FROM hot JOIN lab USING (cell) GROUP BY event_type, sg, root HAVING count(*) >= 4)
 SELECT event_type, {rd('coalesce(max(mass), 0)')} AS max_mass FROM (SELECT DISTINCT event_type FROM z) LEFT JOIN k USING (event_type) GROUP BY 1"""
 )
