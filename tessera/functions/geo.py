@@ -139,35 +139,63 @@ _E = math.sqrt(_E2)
 _K0, _FALSE_EAST = 0.9996, 500.0
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with ``value`` computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _pair(x: Column, y: Column) -> Column:
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def _forward(v: Column) -> Column:
+    x, y = v["y"], v["x"]
+    for j, a in enumerate(_ALPHA, 1):
+        y = y + a * F.sin(2 * j * v["x"]) * F.cosh(2 * j * v["y"])
+        x = x + a * F.cos(2 * j * v["x"]) * F.sinh(2 * j * v["y"])
+    return _pair(_FALSE_EAST + _K0 * _A * x, _K0 * _A * y)
+
+
 def to_utm_km(lon: Column, lat: Column, zone: int = 11) -> tuple[Column, Column]:
     """Northern-hemisphere UTM easting and northing in kilometres."""
-    phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
-    s = F.sin(phi)
-    t = F.sinh(F.atanh(s) - _E * F.atanh(_E * s))
-    xi, eta = F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))
-    x, y = eta, xi
-    for j, a in enumerate(_ALPHA, 1):
-        y = y + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    return _FALSE_EAST + _K0 * _A * x, _K0 * _A * y
+    lam = F.radians(lon - (zone * 6 - 183))
+    t = let(F.sin(F.radians(lat)), lambda s: F.sinh(F.atanh(s) - _E * F.atanh(_E * s)))
+    gauss = let(t, lambda t: _pair(F.atan2(t, F.cos(lam)), F.atanh(F.sin(lam) / F.sqrt(1 + t * t))))
+    out = let(gauss, _forward)
+    return out["x"], out["y"]
 
 
-def from_utm_km(east: Column, north: Column, zone: int = 11) -> tuple[Column, Column]:
-    """Longitude and latitude of northern-hemisphere UTM kilometres."""
-    xi, eta = north / (_K0 * _A), (east - _FALSE_EAST) / (_K0 * _A)
-    x, y = eta, xi
+def _backward(v: Column) -> Column:
+    x, y = v["y"], v["x"]
     for j, b in enumerate(_BETA, 1):
-        y = y - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
-        x = x - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    tau = F.sin(y) / F.sqrt(F.pow(F.sinh(x), 2) + F.pow(F.cos(y), 2))
-    lam = F.atan2(F.sinh(x), F.cos(y))
-    t = tau
-    for _ in range(3):  # Newton steps from conformal to geodetic latitude
+        y = y - b * F.sin(2 * j * v["x"]) * F.cosh(2 * j * v["y"])
+        x = x - b * F.cos(2 * j * v["x"]) * F.sinh(2 * j * v["y"])
+    return _pair(x, y)
+
+
+def _newton(tau: Column):
+    """One step from conformal to geodetic latitude (tangents)."""
+
+    def step(t: Column) -> Column:
         root = F.sqrt(1 + t * t)
-        sigma = F.sinh(_E * F.atanh(_E * t / root))
-        near = t * F.sqrt(1 + sigma * sigma) - sigma * root
-        t = t + (tau - near) / F.sqrt(1 + near * near) * (1 + (1 - _E2) * t * t) / ((1 - _E2) * root)
-    return F.degrees(lam) + (zone * 6 - 183), F.degrees(F.atan(t))
+        near = let(F.sinh(_E * F.atanh(_E * t / root)), lambda s: t * F.sqrt(1 + s * s) - s * root)
+        return let(near, lambda n: t + (tau - n) / F.sqrt(1 + n * n) * (1 + (1 - _E2) * t * t) / ((1 - _E2) * root))
+
+    return step
+
+
+def from_utm_km(east: Column, north: Column, zone: int = 11) -> tuple[Column, Column]:
+    """Longitude and latitude of northern-hemisphere UTM kilometres."""
+    gauss = let(_pair(north / (_K0 * _A), (east - _FALSE_EAST) / (_K0 * _A)), _backward)
+
+    def finish(g: Column) -> Column:
+        tau = F.sin(g["y"]) / F.sqrt(F.pow(F.sinh(g["x"]), 2) + F.pow(F.cos(g["y"]), 2))
+        lon = F.degrees(F.atan2(F.sinh(g["x"]), F.cos(g["y"]))) + (zone * 6 - 183)
+        settle = lambda tau: let(let(let(tau, _newton(tau)), _newton(tau)), _newton(tau))
+        return _pair(lon, F.degrees(F.atan(let(tau, settle))))
+
+    out = let(gauss, finish)
+    return out["x"], out["y"]
 
 
 # -- planar geometry ----------------------------------------------------------

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import geo, scalars
 from tessera.operators import detect, filters, ranking, spatial
 from tessera.plans.registry import rd, register, rounded, table
-from tessera.plans.series_queries import BASELINE, CELL_SQL, MODEL_SQL, cells
+from tessera.plans.series_queries import CELL_SQL, MODEL_SQL, baseline, cells
 
 #: Points in km from parts; positions in degrees from customers.
 POINT_SQL = "SELECT p_partkey AS id, p_size + (p_partkey % 17) / 17.0 AS x, (p_partkey * 37 % 1009) / 20.0 + (p_partkey % 13) / 13.0 AS y, p_retailprice / 100 AS v FROM part WHERE p_partkey <= 2000"
@@ -328,7 +328,7 @@ FROM c JOIN m USING (event_type, hr) WHERE supported), hot AS (SELECT *, CAST(si
 
 def z_grid(spark, sf_dir):
     c = cells(spark, sf_dir)
-    model = detect.robust_baseline(c, ["event_type", "hr"], "x", "s", BASELINE, 15)
+    model = detect.robust_baseline(c, ["event_type", "hr"], "x", "s", baseline(), 15)
     z = detect.standardized(c, model, ["event_type", "hr"], "x", "s").where("z IS NOT NULL")
     return z.select("event_type", F.datediff("day", F.lit("2024-01-01")).alias("row"), F.col("hr").alias("col"), "z")
 

@@ -31,7 +31,10 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-BASELINE = F.col("day") < F.lit(SPLIT).cast("date")
+def baseline():
+    return F.col("day") < F.lit(SPLIT).cast("date")
+
+
 MODEL_SQL = f"""base AS (SELECT * FROM c WHERE day < DATE '{SPLIT}' AND x IS NOT NULL AND s > 0),
 m1 AS (SELECT event_type, hr, count(*) AS n, median(x) AS center, median(s) AS ms FROM base GROUP BY 1, 2),
 m2 AS (SELECT event_type, hr, 1.4826 * median(abs(x - center)) AS scale FROM base JOIN m1 USING (event_type, hr) GROUP BY 1, 2),
@@ -63,7 +66,7 @@ SELECT event_type, hr, n, supported, CASE WHEN supported THEN {rd('center')} END
 CASE WHEN supported THEN {rd('ms')} END AS median_sigma, CASE WHEN supported THEN {rd('excess')} END AS excess FROM m"""
 )
 def robust_baseline(spark, sf_dir):
-    m = detect.robust_baseline(cells(spark, sf_dir), ["event_type", "hr"], "x", "s", BASELINE, 15)
+    m = detect.robust_baseline(cells(spark, sf_dir), ["event_type", "hr"], "x", "s", baseline(), 15)
     return rounded(m, "center", "scale", "median_sigma", "excess")
 
 
@@ -73,7 +76,7 @@ SELECT event_type, hr, day, CASE WHEN supported THEN {rd('(x - center) / sqrt(s
 )
 def standardized_innovation(spark, sf_dir):
     c = cells(spark, sf_dir)
-    model = detect.robust_baseline(c, ["event_type", "hr"], "x", "s", BASELINE, 15)
+    model = detect.robust_baseline(c, ["event_type", "hr"], "x", "s", baseline(), 15)
     return rounded(detect.standardized(c, model, ["event_type", "hr"], "x", "s").select("event_type", "hr", "day", "z"), "z")
 
 
@@ -88,7 +91,7 @@ FROM b LEFT JOIN m ON b.event_type = m.event_type AND b.hr = m.hr AND b.day = m.
 )
 def leave_one_out_innovations(spark, sf_dir):
     c = cells(spark, sf_dir).where("hr < 4")
-    out = detect.leave_one_out_z(c, ["event_type", "hr"], "day", "x", "s", BASELINE, 10)
+    out = detect.leave_one_out_z(c, ["event_type", "hr"], "day", "x", "s", baseline(), 10)
     return rounded(out.select("event_type", "hr", "day", "z"), "z")
 
 
@@ -98,7 +101,7 @@ SELECT day, {rd('quantile_cont(abs((x - center) / sqrt(s * s + excess * excess))
 )
 def strain_energy(spark, sf_dir):
     c = cells(spark, sf_dir)
-    model = detect.robust_baseline(c, ["event_type", "hr"], "x", "s", BASELINE, 15)
+    model = detect.robust_baseline(c, ["event_type", "hr"], "x", "s", baseline(), 15)
     z = detect.standardized(c, model, ["event_type", "hr"], "x", "s").where("z IS NOT NULL")
     return rounded(detect.energy(z, ["day"], "z"), "energy")
 
@@ -252,7 +255,7 @@ SELECT o.event_type, o.day, {rd('(1 + (SELECT count(*) FROM nl WHERE nl.v >= o.v
 )
 def empirical_upper_tail(spark, sf_dir):
     y = rounded(centred(spark, sf_dir), "x")
-    out = series.empirical_p(y.where(BASELINE), y.where(~BASELINE), "x", "x")
+    out = series.empirical_p(y.where(baseline()), y.where(~baseline()), "x", "x")
     return rounded(out.select("event_type", "day", "p"), "p")
 
 
