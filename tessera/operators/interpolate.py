@@ -185,7 +185,7 @@ def cokriging_weight_relation(
                     (first[["t_fe", "t_fn"]].to_numpy(float), first[["t_se", "t_sn"]].to_numpy(float)), C,
                     (one["s_fvar"].to_numpy(float), one["s_svar"].to_numpy(float)), float(first["t_fvar"]), condition=condition, length=length, drift_scale=scale,
                 )
-            row = {"t_id": t, "n": n, "valid": found is not None}
+            row = {"t_id": t, "n": n, "valid": found is not None, "posterior": None, "weights": None, "s_ids": None}
             if found:
                 row |= {
                     "weights": found["weights"].ravel().tolist(), "posterior": found["posterior"].ravel().tolist(),

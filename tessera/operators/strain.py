@@ -43,7 +43,7 @@ def joint_mls(
                 p = one[["s_p11", "s_p12", "s_p12", "s_p22"]].to_numpy(float).reshape(n, 2, 2)
                 offset = one[["s_x", "s_y"]].to_numpy(float) - one[["t_x", "t_y"]].iloc[0].to_numpy(float)
                 found = dense.joint_mls_operator(offset, p, bandwidth, max_condition)
-            row = {"t_id": t, "n": n, "valid": found is not None}
+            row = {"t_id": t, "n": n, "valid": found is not None, "cov": None, "operator": None, "s_ids": None}
             if found:
                 row |= {
                     "operator": (found["operator"] / unit[:, None]).ravel().tolist(), "cov": (found["covariance"] / np.outer(unit, unit)).ravel().tolist(),

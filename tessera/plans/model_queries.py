@@ -158,7 +158,7 @@ def transient_posterior(spark, sf_dir):
 
 @register()
 def change_point_bootstrap(spark, sf_dir):
-    return rounded(regress.change_point_bootstrap(centred(spark, sf_dir), ["event_type"], "day", "x", replicates=19, min_before=12, min_after=6), "observed", "p")
+    return rounded(regress.change_point_bootstrap(centred(spark, sf_dir), ["event_type"], "day", "x", replicates=9, min_before=14, min_after=8), "observed", "p")
 
 
 @register()
