@@ -1,0 +1,195 @@
+"""Literal cases of the core operators, file readers, streaming and oracle agreement."""
+
+import math
+import subprocess
+import sys
+from pathlib import Path
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.functions import dense, geo
+from tessera.operators import detect, graph, regress, series, spatial, strain
+from tessera.plans import catalog
+from tessera.sources import files
+from tessera.streaming.online import online_cusum
+
+SF = "/root/testdata/sf0.001"
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def value(spark, **columns):
+    return spark.range(1).select(*[c.alias(k) for k, c in columns.items()]).first()
+
+
+def test_look_vectors(spark):
+    e, n, u = geo.look_vector(F.lit(-10.146887), F.lit(39.6181))
+    h, i = geo.heading_incidence(e, n, u)
+    r = value(spark, e=e, n=n, u=u, h=h, i=i)
+    assert np.allclose([r.e, r.n, r.u, r.h, r.i], [-0.62769383, -0.11233934, 0.77031184, -10.146887, 39.6181], atol=1e-7)
+
+
+def test_two_track_covariance_and_parallel_looks(spark):
+    x = [F.lit(v) for v in (1.0, 0.0, 0.0, 1.0)]
+    good = geo.solve_two_track(F.lit(10.0), F.lit(20.0), (x[0], x[1]), (x[2], x[3]), F.lit(2.0), F.lit(3.0), 4.0, 5.0, 0.5)
+    r = value(spark, **good)
+    assert r.valid and np.allclose([r.east, r.north, r.sigma_east, r.sigma_north, r.cov_en], [10, 20, math.sqrt(20), math.sqrt(34), 10])
+    same = value(spark, **geo.solve_two_track(F.lit(1.0), F.lit(2.0), (x[0], x[3]), (x[0], x[3]), F.lit(1.0), F.lit(1.0)))
+    assert not same.valid and same.east is None and same.condition is None
+
+
+def test_crossing_truth_table(spark):
+    p = lambda x, y: (F.lit(float(x)), F.lit(float(y)))
+    wall = (p(0, -1), p(0, 1))
+    links = [(p(-1, 0), p(1, 0)), (p(-1, 1), p(0, 1)), (p(-1, 2), p(1, 2)), (p(-2, 0), p(-1, 0))]
+    r = value(spark, **{f"c{i}": geo.link_blocked_by_segment(k, wall) for i, k in enumerate(links)})
+    assert list(r) == [True, True, False, False]
+    r = value(spark, **{f"c{i}": geo.link_crosses_segment(k, wall) for i, k in enumerate(links)})
+    assert list(r) == [True, False, False, False]  # an end on the wall is open
+
+
+def test_series_literals(spark):
+    s = spark.createDataFrame([(i, float(v)) for i, v in enumerate([0, 1, 1, -2])], "t int, x double").withColumn("k", F.lit(1))
+    assert [r.cusum for r in series.page_cusum(s, "x", "t", ["k"]).orderBy("t").collect()] == [0, 0.5, 1.0, 0]
+    assert [r.block_cusum for r in series.sliding_block_cusum(s, "x", "t", 2, ["k"]).orderBy("t").collect()] == [0.5, 1.0, 0.5]
+    m = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 3, 2, 4])], "t int, x double").withColumn("k", F.lit(1))
+    assert [r.block_max for r in series.sliding_block_maximum(m, "x", "t", 2, ["k"]).orderBy("t").collect()] == [3, 3, 4]
+    p = spark.createDataFrame([(0, 0.01), (1, 0.04), (2, 0.03)], "i int, p double").withColumn("k", F.lit(1))
+    assert np.allclose([r.p_holm for r in series.holm_adjust(p, "p", ["k"]).orderBy("i").collect()], [0.03, 0.06, 0.06])
+    null = spark.createDataFrame([(1.0,), (2.0,), (5.0,)], "v double")
+    seen = spark.createDataFrame([(4.0,), (9.0,), (0.0,)], "v double")
+    assert {r.v: r.p for r in series.empirical_p(null, seen, "v", "v").collect()} == {4.0: 0.5, 9.0: 0.25, 0.0: 1.0}
+
+
+def test_frozen_baseline_ignores_held_out_values(spark):
+    def z(last):
+        rows = [(i, v, 1.0) for i, v in enumerate([0.0, 0.2, -0.2, 0.1, last])]
+        d = spark.createDataFrame(rows, "t int, x double, s double").withColumn("k", F.lit(1))
+        model = detect.robust_baseline(d, ["k"], "x", "s", F.col("t") < 4, 4)
+        return model.first().center, detect.standardized(d, model, ["k"], "x", "s").where("t = 4").first().z
+
+    (c1, z1), (c2, z2) = z(10.0), z(1000.0)
+    assert c1 == c2 == pytest.approx(0.05) and z1 > 9 and z2 > z1
+
+
+def test_clusters_keep_signs_apart(spark):
+    d = spark.createDataFrame([("a", 0, 0, 3.0), ("a", 0, 1, 2.5), ("a", 1, 0, -3.0), ("a", 1, 1, -2.5)], "k string, row int, col int, z double")
+    d = d.withColumns({"e": F.col("col").cast("double"), "n": F.col("row").cast("double"), "id": F.col("row") * 2 + F.col("col")})
+    out = detect.signed_clusters(d, ["k"], "z", "e", "n", "id", min_cells=2).collect()
+    assert {(r.sign, r.n_cells, r.targets) for r in out} == {(1, 2, "0;1"), (-1, 2, "2;3")}
+
+
+def test_components_of_chains(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (7, 7)], "a long, b long")
+    roots = {r.node: r.root for r in graph.connected_components(edges).collect()}
+    assert all(roots[i] == 1 for i in range(1, 41)) and roots[101] == 100 and len(roots) == 42
+
+
+def test_barriers_hide_samples_from_the_fit(spark):
+    pts = [(i, -4.0 + (i % 9), -4.0 + i // 9) for i in range(81)]
+    s = spark.createDataFrame(pts, "id long, x double, y double").withColumns({"p11": F.lit(1.0), "p12": F.lit(0.0), "p22": F.lit(1.0)})
+    t = spark.createDataFrame([(0, -2.0, 0.1)], "id long, x double, y double")
+    wall = spark.createDataFrame([(0.5, -50.0, 0.5, 50.0)], "x1 double, y1 double, x2 double, y2 double")
+    op, diag = strain.joint_mls(s, t, radius=5.0, bandwidth=3.0, least=6, segments=wall)
+    used = {r.s_id for r in op.collect()}
+    assert diag.first().valid and used and all(dict((i, x) for i, x, _ in pts)[k] <= 0 for k in used)
+    obs = s.select("id", F.lit(1).alias("epoch"), F.when(F.col("id") == min(used), None).otherwise(F.col("x")).alias("east"), F.col("y").alias("north"))
+    assert strain.evaluate_joint_mls(op, obs).first().exx is None  # one neighbour is missing
+
+
+def test_dense_kernels():
+    rng = np.random.default_rng(42)
+    t = np.arange(100) / 30.0
+    y = 1 + 0.5 * t + 4 * (t >= t[60]) + 0.1 * rng.standard_normal(100)
+    y[10] += 50
+    beta, _ = dense.huber_fit(dense.seasonal_design(t, "step", t[60]), y)
+    assert abs(beta[-1] - 4) < 0.3
+    cuts, _ = dense.mean_shift_segments(np.r_[np.zeros(20), np.ones(20) * 5, np.zeros(20)], 1.0)
+    assert cuts == [20, 40]
+    xy = rng.uniform(-10, 10, (12, 2))
+    for family in dense.FAMILIES:
+        w, var = dense.kriging_weights(family, xy, np.ones(12), np.zeros(2), length=20, sill=9, nugget=1)
+        assert var >= 0 and abs(w.sum() - 1) < 1e-6
+    w, _ = dense.kriging_weights("uk_matern32", xy, np.full(12, 0.1), np.array([2.0, -3.0]), length=20, sill=9, nugget=0)
+    assert abs(w @ (4 + 0.2 * xy[:, 0] - 0.1 * xy[:, 1]) - 4.7) < 1e-6
+    square = np.array([[0, 0], [1, 0], [0, 1], [1, 1.001]])
+    assert len(dense.delaunay(square)) == 2
+
+
+def test_change_date_is_found(spark):
+    rng = np.random.default_rng(7)
+    rows = [("s", i, 0.02 * i + 6.0 * (i >= 55) + 0.3 * rng.standard_normal()) for i in range(90)]
+    d = spark.createDataFrame(rows, "k string, i int, x double").select("k", F.date_add(F.lit("2020-01-01").cast("date"), F.col("i") * 6).alias("day"), "x")
+    best = regress.scan_change_points(d, ["k"], "day", "x").orderBy(F.desc("delta_bic")).first()
+    post = regress.change_posterior(regress.change_evidence(d, ["k"], "day", "x"), ["k"]).orderBy(F.desc("probability")).first()
+    assert best.model == post.model == "step" and best.delta_bic > 10 and post.class_probability > 0.95
+    assert abs((best.change_date - post.change_date).days) <= 12
+
+
+def test_nearest_join_is_exact_far_from_the_cell_size(spark):
+    rng = np.random.default_rng(1)
+    pts = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(0, 100, (60, 2)))]
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    got = {r.t_id: (r.p_id, r.distance) for r in spatial.nearest_join(df.where("id < 10"), df.where("id >= 10"), target_id="id", point_id="id", cell=0.5).collect()}
+    for i, x, y in pts[:10]:
+        d, k = min((math.hypot(a - x, b - y), j) for j, a, b in pts[10:])
+        assert got[i][0] == k and got[i][1] == pytest.approx(d)
+
+
+def test_file_readers(spark, tmp_path):
+    (tmp_path / "20190101.txt").write_text("1.0 35.1 -117.1\n2.0 35.2 -117.2\n")
+    (tmp_path / "20190113.txt").write_text(" 5.0  35.2 -117.2\n nan 35.1 -117.1\n7 36 -118\n")
+    (tmp_path / "notes.txt").write_text("x")
+    stack = files.read_epoch_stack(spark, str(tmp_path))
+    assert stack.count() == 5
+    out = {(str(r.date), r.lat): r.displacement for r in files.align_epochs(stack).collect()}
+    assert out == {("2019-01-01", 35.1): 1.0, ("2019-01-01", 35.2): 2.0, ("2019-01-13", 35.2): 5.0, ("2019-01-13", 35.1): None}
+    head = "site YYMMMDD _latitude(deg) _longitude(deg) __east(m) __north(m) ____up(m) sig_e(m) sig_n(m) sig_u(m)\n"
+    (tmp_path / "p595.tenv3").write_text(head.replace("site ", "") + "19JUL04 35.7 -117.5 0.1 0.2 0.3 .001 .001 .003\nbad\n19XXX04 35.7 -117.5 0 0 0 1 1 1\n")
+    daily, rejects = files.read_tenv3(spark, str(tmp_path))
+    r = daily.first()
+    assert (r.station, str(r.date), r.up) == ("P595", "2019-07-04", 0.3) and [x.reason for x in rejects.collect()] == ["date"]
+    (tmp_path / "f.json").write_text(
+        '{"type":"FeatureCollection","features":[{"properties":{"Label":"A","IdentityConfidence":"certain"},"geometry":{"type":"LineString","coordinates":[[-117.5,35.7],[-117.4,35.8],[-117.3,35.8]]}},'
+        '{"properties":{"IdentityConfidence":"certain"},"geometry":{"type":"MultiLineString","coordinates":[[[-117.5,35.7],[-117.4,35.8]],[[-117,35]]]}},{"properties":{"IdentityConfidence":"inferred"},"geometry":{"type":"Point","coordinates":[0,0]}}]}'
+    )
+    segments = files.segments_of(files.read_polylines(spark, str(tmp_path / "f.json")))
+    assert segments.count() == 3 and {r.label for r in segments.collect()} == {"A", "Unlabelled rupture"}
+    assert files.file_manifest(spark, str(tmp_path), "*.tenv3").count() == 1
+
+
+def test_streaming_cusum_equals_batch(spark, tmp_path):
+    rows = [("a", i, float(v)) for i, v in enumerate([0, 1, 1, -2, 3, 0.2])] + [("b", 0, 2.0)]
+    df = spark.createDataFrame(rows, "k string, t long, x double")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    q = online_cusum(stream, key="k", order="t", value="x").writeStream.format("memory").queryName("cusum_out").outputMode("append").trigger(availableNow=True)
+    q.option("checkpointLocation", str(tmp_path / "ck")).start().awaitTermination(90)
+    got = {(r.k, r.t): r.cusum for r in spark.table("cusum_out").collect()}
+    want = {(r.k, r.t): r.cusum for r in series.page_cusum(df, "x", "t", ["k"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+ORACLES = ["spatial_mad_series", "robust_baseline", "empirical_upper_tail", "metric_rollup", "bracket_interpolation", "two_track_inversion", "barrier_anti_join", "utm_round_trip", "bilinear_resample", "interval_table", "universal_kriging"]
+
+
+@pytest.mark.parametrize("name", ORACLES)
+def test_query_equals_sql(spark, name):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for t in TABLES:
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    want = con.execute(catalog.ORACLES[name])
+    names = [d[0] for d in want.description]
+    df = catalog.QUERIES[name](spark, SF)
+    assert sorted(df.columns) == sorted(names)
+    rows = sorted(tuple(map(repr, r)) for r in df.select(*names).collect())
+    assert rows == sorted(tuple(map(repr, r)) for r in want.fetchall())
+
+
+def test_entry_imports_without_a_session_and_without_the_optional_part():
+    root = Path(__file__).resolve().parent.parent
+    code = "import sys; sys.modules['tessera.llm'] = None\nimport __spark_entry__ as e\nq = e.queries(); assert q and not any(k.startswith('op1') for k in q); assert set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], cwd=root, check=True, timeout=60)
