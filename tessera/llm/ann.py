@@ -16,8 +16,9 @@ original vectors.
 Defined results: vectors that are null, zero, of another length than most, or
 that hold null or non-finite components take no part, as query or candidate;
 rows with a null id take no part; ties go to the smaller id; an id that occurs
-in several rows takes part with each; fewer candidates than ``k`` give fewer
-rows; an empty table gives none.
+in several rows takes part with each; a query that meets no more than ``k`` rows
+by its probes is searched again over all of them; fewer candidates than ``k``
+give fewer rows; an empty table gives none.
 """
 
 from __future__ import annotations
@@ -112,48 +113,15 @@ def _hash_rows(classes: DataFrame, model: CrossPolytope, probes: int, own: list[
     return classes.select("vec", *[c for c in own if c != "vec"]).mapInArrow(work, schema).select(*out)
 
 
-def nearest(
-    vectors: DataFrame,
-    queries: Column,
-    *,
-    id_col: str = "vec_id",
-    vector_col: str = "embedding",
-    k: int = 10,
-    tables: int = TABLES,
-    probes: int = PROBES,
-) -> DataFrame:
-    """(query_id, rank, id, score): the ``k`` nearest rows found for each query row.
-
-    ``queries`` is a condition on ``vectors`` that says which rows are queries; a
-    query's own id is never its neighbour.
-    """
-    spark = vectors.sparkSession
-    out = f"query_id {dict(vectors.dtypes)[id_col]}, rank int, {id_col} {dict(vectors.dtypes)[id_col]}, score double"
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec"), F.coalesce(queries, F.lit(False)).alias("q"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
-    widths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not widths:
-        return spark.createDataFrame([], out)
-    dim = widths[0][0]
-    rows = rows.where(F.size("vec") == dim)
-    # Mean of all rows, one partial sum for each task.
-    centre = np.array(
-        rows.agg(F.array(*[F.avg(F.get("vec", F.lit(i)).cast("double")) for i in range(dim)])).first()[0], dtype=np.float64
-    )
-    model = CrossPolytope(dim, centre, tables)
-    # A class of exact copies with its smallest ids; the limit applies before the shuffle too.
-    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
-    classes = cut_lineage(
-        rows.select("vec", "id").withColumn("place", place).where(F.col("place") <= k + 1)
-        .groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("cls", F.xxhash64("vec"))
-    )
-    asking_classes = cut_lineage(rows.where("q").select("vec").distinct().withColumn("cls", F.xxhash64("vec")))
+def _search(classes: DataFrame, asks_of: DataFrame, model: CrossPolytope, probes: int, k: int) -> DataFrame:
+    """(qcls, best): the first k + 1 (score, id) found for each asking class."""
+    dim = model.dim
     base = _hash_rows(classes, model, 1, ["cls", "vec", "ids"], ["tbl", "axis", "cls", "vec", "ids"])
-    asks = _hash_rows(asking_classes, model, probes, ["cls", "vec"], ["tbl", "axis", "cls", "vec"])
+    asks = _hash_rows(asks_of, model, probes, ["cls", "vec"], ["tbl", "axis", "cls", "vec"])
 
     # Blocks per bucket, from its size on both sides.
     sizes = _hash_rows(classes, model, 1, ["cls"], ["tbl", "axis"]).groupBy("tbl", "axis").agg(F.count(F.lit(1)).alias("nb"))
-    asked = _hash_rows(asking_classes, model, probes, ["cls"], ["tbl", "axis"]).groupBy("tbl", "axis").agg(F.count(F.lit(1)).alias("nq"))
+    asked = _hash_rows(asks_of, model, probes, ["cls"], ["tbl", "axis"]).groupBy("tbl", "axis").agg(F.count(F.lit(1)).alias("nq"))
     grid = sizes.join(asked, ["tbl", "axis"]).select(
         "tbl", "axis", F.ceil(F.col("nb") / BLOCK).cast("int").alias("bs"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("qs")
     )
@@ -218,6 +186,52 @@ def nearest(
     few = once.withColumn("place", near).where(F.col("place") <= k + 1)
     members = F.transform("ids", lambda i: F.struct(F.col("score").alias("score"), i.alias("id")))
     best = few.groupBy("qcls").agg(F.slice(F.array_sort(F.flatten(F.collect_list(members))), 1, k + 1).alias("best"))
+    return best
+
+
+def nearest(
+    vectors: DataFrame,
+    queries: Column,
+    *,
+    id_col: str = "vec_id",
+    vector_col: str = "embedding",
+    k: int = 10,
+    tables: int = TABLES,
+    probes: int = PROBES,
+) -> DataFrame:
+    """(query_id, rank, id, score): the ``k`` nearest rows found for each query row.
+
+    ``queries`` is a condition on ``vectors`` that says which rows are queries; a
+    query's own id is never its neighbour.
+    """
+    spark = vectors.sparkSession
+    out = f"query_id {dict(vectors.dtypes)[id_col]}, rank int, {id_col} {dict(vectors.dtypes)[id_col]}, score double"
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vec"), F.coalesce(queries, F.lit(False)).alias("q"))
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("vec")))
+    widths = rows.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not widths:
+        return spark.createDataFrame([], out)
+    dim = widths[0][0]
+    rows = rows.where(F.size("vec") == dim)
+    # Mean of all rows, one partial sum for each task.
+    centre = np.array(
+        rows.agg(F.array(*[F.avg(F.get("vec", F.lit(i)).cast("double")) for i in range(dim)])).first()[0], dtype=np.float64
+    )
+    model = CrossPolytope(dim, centre, tables)
+    # A class of exact copies with its smallest ids; the limit applies before the shuffle too.
+    place = F.row_number().over(Window.partitionBy("vec").orderBy("id"))
+    classes = cut_lineage(
+        rows.select("vec", "id").withColumn("place", place).where(F.col("place") <= k + 1)
+        .groupBy("vec").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("cls", F.xxhash64("vec"))
+    )
+    asking_classes = cut_lineage(rows.where("q").select("vec").distinct().withColumn("cls", F.xxhash64("vec")))
+    best = cut_lineage(_search(classes, asking_classes, model, probes, k))
+    # Queries that met too few rows probe every axis of one table, which meets all rows.
+    full = best.where(F.size("best") > k).select(F.col("qcls").alias("cls"))
+    short = cut_lineage(asking_classes.join(full, "cls", "left_anti"))
+    if not short.isEmpty():
+        rest = _search(classes, short, CrossPolytope(dim, centre, 1), 2 * model.width, k)
+        best = best.join(short.select(F.col("cls").alias("qcls")), "qcls", "left_anti").unionByName(rest)
     asking = rows.where("q").select(F.col("id").alias("query_id"), F.xxhash64("vec").alias("qcls"))
     joined = asking.join(best, "qcls")
     own_gone = F.slice(F.filter("best", lambda x: x["id"] != F.col("query_id")), 1, k)
