@@ -3,8 +3,10 @@
 A text's features are the distinct hashed character 4- and 5-grams of its
 lower-cased form.  Each feature is scaled by its naive Bayes log-count ratio,
 and a logistic regression with L2 penalty is trained on the scaled features
-(limited-memory quasi-Newton steps).  Scoring sums one weight per distinct
-n-gram of the whole text.
+(limited-memory quasi-Newton steps).  Its margin is turned into a probability
+by a logistic curve fitted to margins of training texts that the model behind
+each margin had not seen.  Scoring sums one weight per distinct n-gram of the
+whole text.
 
 Training uses a bounded sample of labelled rows: for each class at most
 ``max_rows`` rows and about ``max_chars`` characters, chosen by a hash of the
@@ -31,9 +33,11 @@ from tessera.runtime import cut_lineage
 BINS = 1 << 18
 ORDERS = (4, 5)
 MAX_ROWS = 4_000
-MAX_CHARS = 12_000_000
-L2 = 1.0
-STEPS = 40
+MAX_CHARS = 5_000_000
+CHUNK = 1 << 20
+L2 = 0.1
+STEPS = 25
+FOLDS = 2
 
 
 class GramSet:
@@ -115,31 +119,82 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, shift: float = 0.0) ->
     """
     if not len(labels) or labels.min() == labels.max():
         return Scorer(np.zeros(BINS), -500.0 if not len(labels) or labels[0] == 0 else 500.0)
-    lengths = np.array([len(b) for b in bags])
-    flat = np.concatenate(bags)
-    positive = np.repeat(labels == 1, lengths)
-    p = 1.0 + np.bincount(flat[positive], minlength=BINS)
-    q = 1.0 + np.bincount(flat[~positive], minlength=BINS)
+    weights, intercept = _fit_weights(bags, labels)
+    margin, seen = np.zeros(len(labels)), np.zeros(len(labels), dtype=bool)
+    place = np.zeros(len(labels), dtype=np.int64)
+    for label in (0, 1):  # every fold gets its share of both classes
+        place[labels == label] = np.arange((labels == label).sum()) % FOLDS
+    for fold in range(FOLDS):
+        rest = np.flatnonzero(place != fold)
+        if labels[rest].min() == labels[rest].max():
+            continue
+        w, b = _fit_weights([bags[i] for i in rest], labels[rest])
+        for i in np.flatnonzero(place == fold):
+            margin[i], seen[i] = w[bags[i]].sum() + b, True
+    slope, offset = _logistic_curve(margin[seen], labels[seen]) if seen.any() else (1.0, 0.0)
+    return Scorer(weights * slope, intercept * slope + offset + shift)
+
+
+def _logistic_curve(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of P(1) over a margin, by damped Newton steps with smoothed targets."""
+    ones, zeros = int((y == 1).sum()), int((y == 0).sum())
+    target = np.where(y == 1, (ones + 1) / (ones + 2), 1 / (zeros + 2))
+    v = np.array([1.0, 0.0])
+    X = np.column_stack([z, np.ones(len(z))])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(X @ v, -500, 500)))
+        h = (X.T * (p * (1 - p))) @ X + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, X.T @ (target - p))
+        v = v + np.clip(step, -2, 2)
+        if np.abs(step).max() < 1e-8:
+            break
+    return (float(v[0]), float(v[1])) if v[0] > 0 else (1.0, 0.0)
+
+
+def _fit_weights(bags: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float]:
+    p = np.ones(BINS)
+    q = np.ones(BINS)
+    for bag, label in zip(bags, labels, strict=True):
+        (p if label == 1 else q)[bag] += 1  # a bag holds each n-gram once
     ratio = np.log((p / (labels == 1).sum()) / (q / (labels == 0).sum()))
-    ratio[p + q < 5] = 0  # fewer than three sampled texts hold it
-    full = lengths > 0
-    starts = np.concatenate(([0], np.cumsum(lengths[full])[:-1])).astype(np.int64)
-    doc = np.repeat(np.arange(len(labels), dtype=np.int32), lengths)
-    scale = float(np.sqrt(max(1.0, np.mean(np.add.reduceat(ratio[flat] ** 2, starts))))) if full.any() else 1.0
+    kept = p + q >= 5  # at least three sampled texts hold it
+    ratio[~kept] = 0
+    scale = float(np.sqrt(max(1e-12, np.mean([(ratio[bag] ** 2).sum() for bag in bags]))))
     ratio /= scale
+    chunks = _chunks([bag[kept[bag]] for bag in bags])
     sign = np.where(labels == 1, 1.0, -1.0)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.full(len(labels), v[-1])
-        z[full] += np.add.reduceat((v[:-1] * ratio).astype(np.float32)[flat], starts)
-        m = sign * z
-        g = -sign / (1 + np.exp(np.clip(m, -500, 500)))
-        grad = np.bincount(flat, weights=g.astype(np.float32)[doc], minlength=BINS) * ratio
-        value = float(np.logaddexp(0, -m).sum() + L2 / 2 * (v[:-1] @ v[:-1]))
-        return value, np.append(grad + L2 * v[:-1], g.sum())
+        scaled, grad = (v[:-1] * ratio).astype(np.float32), np.zeros(BINS)
+        value, slope = L2 / 2 * float(v[:-1] @ v[:-1]), 0.0
+        for first, lengths, starts, flat in chunks:
+            full = lengths > 0
+            z = np.full(len(lengths), v[-1])
+            if len(flat):
+                z[full] += np.add.reduceat(scaled[flat], starts[full])
+            m = sign[first : first + len(lengths)] * z
+            g = -sign[first : first + len(lengths)] / (1 + np.exp(np.clip(m, -500, 500)))
+            value += float(np.logaddexp(0, -m).sum())
+            slope += float(g.sum())
+            grad += np.bincount(flat, weights=np.repeat(g, lengths), minlength=BINS)
+        return value, np.append(grad * ratio + L2 * v[:-1], slope)
 
     v = _minimise(loss, np.zeros(BINS + 1), STEPS)
-    return Scorer(v[:-1] * ratio, v[-1] + shift)
+    return (v[:-1] * ratio), float(v[-1])
+
+
+def _chunks(bags: list[np.ndarray]) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of bags with about ``CHUNK`` n-grams: first bag, lengths, starts, n-grams."""
+    out, first = [], 0
+    while first < len(bags):
+        to, size = first, 0
+        while to < len(bags) and (to == first or size + len(bags[to]) <= CHUNK):
+            size += len(bags[to])
+            to += 1
+        lengths = np.array([len(b) for b in bags[first:to]])
+        out.append((first, lengths, np.cumsum(lengths) - lengths, np.concatenate(bags[first:to])))
+        first = to
+    return out
 
 
 def fit(
