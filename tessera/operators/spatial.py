@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import link_blocked_by_segment, link_crosses_segment, orientation, point_segment_distance
+from tessera.runtime import cut_lineage
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -48,8 +49,9 @@ def nearest_join(
     """The ``k`` nearest points of each target by (distance, id); exact.
 
     Searches 3x3 cells; a target is settled once its k-th distance is within the
-    cell size, the others go on with cells twice as large, until one cell covers
-    everything.
+    cell size, the others go on with cells four times as large, until none is left
+    or one cell covers everything.  A round's results (``k`` rows a target) and the
+    targets left are checkpointed, so no round repeats an earlier one.
     """
     x, y = xy
     p = points.select(F.col(point_id).alias("p_id"), F.col(x).alias("s_x"), F.col(y).alias("s_y"))
@@ -65,14 +67,16 @@ def nearest_join(
         t = left.withColumn("__bx", _around(F.col("t_x"), size)).withColumn("__by", _around(F.col("t_y"), size))
         s = p.withColumns({"__bx": _cell(F.col("s_x"), size), "__by": _cell(F.col("s_y"), size)})
         near = t.join(s, ["__bx", "__by"]).withColumn("distance", F.hypot(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y")))
-        ranked = near.select("t_id", "p_id", "distance", rank.alias("rank")).where(F.col("rank") <= k)
+        ranked = cut_lineage(near.select("t_id", "p_id", "distance", rank.alias("rank")).where(F.col("rank") <= k))
         done = ranked if last else ranked.join(
             ranked.where((F.col("rank") == k) & (F.col("distance") <= size)).select("t_id"), "t_id", "left_semi"
         )
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        left = left.join(done.select("t_id").distinct(), "t_id", "left_anti")
+        left = cut_lineage(left.join(done.select("t_id").distinct(), "t_id", "left_anti"))
+        if left.isEmpty():
+            return out
         size *= 4
 
 

@@ -10,8 +10,10 @@ from tessera.operators import detect, filters, ranking, spatial
 from tessera.plans.registry import rd, register, rounded, table
 from tessera.plans.series_queries import CELL_SQL, MODEL_SQL, baseline, cells
 
-#: Points in km from parts; positions in degrees from customers.
-POINT_SQL = "SELECT p_partkey AS id, p_size + (p_partkey % 17) / 17.0 AS x, (p_partkey * 37 % 1009) / 20.0 + (p_partkey % 13) / 13.0 AS y, p_retailprice / 100 AS v FROM part WHERE p_partkey <= 2000"
+#: Points in km from parts and stations from suppliers: one tile of the plane per 2,000 parts or 100
+#: suppliers, so the density is the same at every size (the factor keeps means away from ties); positions in degrees from customers.
+POINT_SQL = "SELECT p_partkey AS id, p_size + (p_partkey % 17) / 17.0 AS x, (p_partkey * 37 % 1009) / 20.0 + (p_partkey % 13) / 13.0 + (p_partkey // 2000) * 60.0 AS y, p_retailprice / 100 AS v FROM part"
+STATION_SQL = "SELECT s_suppkey AS id, 1 + (s_suppkey * 37 % 101) / 2.0 + (s_suppkey % 7) / 23.0 AS x, (s_suppkey * 73 % 103) / 2.0 + (s_suppkey % 11) / 29.0 + (s_suppkey // 100) * 60.0 AS y, s_acctbal * 0.007310585786 AS v FROM supplier"
 LONLAT_SQL = "SELECT c_custkey AS id, -117.55 + (c_custkey * 31 % 997 - 498) / 500.0 AS lon, 35.74 + (c_custkey * 57 % 991 - 495) / 700.0 AS lat FROM customer"
 #: Fixed wall used by the barrier queries: (x1, y1, x2, y2).
 WALLS = [(10.2, 5.1, 30.7, 40.3), (35.4, 2.2, 36.1, 48.9)]
@@ -20,12 +22,20 @@ WALL_SQL = "SELECT * FROM (VALUES " + ", ".join(map(str, WALLS)) + ") w(x1, y1,
 
 def points(spark, sf_dir):
     k = F.col("p_partkey")
-    return table(spark, sf_dir, "part").where("p_partkey <= 2000").select(
-        k.alias("id"), (F.col("p_size") + k % 17 / F.lit(17.0)).alias("x"), (k * 37 % 1009 / F.lit(20.0) + k % 13 / F.lit(13.0)).alias("y"),
+    return table(spark, sf_dir, "part").select(
+        k.alias("id"), (F.col("p_size") + k % 17 / F.lit(17.0)).alias("x"), (k * 37 % 1009 / F.lit(20.0) + k % 13 / F.lit(13.0) + F.floor(k / 2000) * 60.0).alias("y"),
         (F.col("p_retailprice") / 100).alias("v"),
     )
 
 
+def stations(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return table(spark, sf_dir, "supplier").select(
+        k.alias("id"), (1 + k * 37 % 101 / F.lit(2.0) + k % 7 / F.lit(23.0)).alias("x"), (k * 73 % 103 / F.lit(2.0) + k % 11 / F.lit(29.0) + F.floor(k / 100) * 60.0).alias("y"),
+        (F.col("s_acctbal") * 0.007310585786).alias("v"),
+    )
+
+
 def positions(spark, sf_dir):
     k = F.col("c_custkey")
     return table(spark, sf_dir, "customer").select(
@@ -225,44 +235,43 @@ def segment_predicates(spark, sf_dir):
 
 
 @register(
-    f"""WITH p AS ({POINT_SQL}), t AS (SELECT id, x, y FROM p WHERE id % 20 = 0)
+    f"""WITH p AS ({POINT_SQL})
 SELECT t.id AS target, count(*) AS n, {rd('sum(p.v)')} AS total, {rd('max(sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)))')} AS farthest
-FROM t JOIN p ON sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) <= 6 GROUP BY 1"""
+FROM p t JOIN p ON sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) <= 6 GROUP BY 1"""
 )
 def radius_join(spark, sf_dir):
     p = points(spark, sf_dir)
-    j = spatial.radius_join(p.where("id % 20 = 0").select("id", "x", "y"), p, 6.0)
+    j = spatial.radius_join(p.select("id", "x", "y"), p, 6.0)
     g = j.groupBy(F.col("t_id").alias("target")).agg(F.count("*").alias("n"), F.sum("s_v").alias("total"), F.max("distance").alias("farthest"))
     return rounded(g, "total", "farthest")
 
 
 @register(
-    f"""WITH p AS ({POINT_SQL}), t AS (SELECT id, x, y FROM p WHERE id % 20 = 0), d AS (SELECT t.id AS t_id, p.id AS p_id, sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) AS distance FROM t, p WHERE p.id % 20 <> 0)
+    f"""WITH p AS ({POINT_SQL}), t AS ({STATION_SQL}), d AS (SELECT t.id AS t_id, p.id AS p_id, sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) AS distance FROM t, p)
 SELECT t_id, p_id, {rd('distance')} AS distance, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY distance, p_id) AS k FROM d) WHERE k <= 3"""
 )
 def nearest_join(spark, sf_dir):
-    p = points(spark, sf_dir)
-    out = spatial.nearest_join(p.where("id % 20 = 0"), p.where("id % 20 <> 0"), target_id="id", point_id="id", k=3, cell=2.0)
+    out = spatial.nearest_join(stations(spark, sf_dir), points(spark, sf_dir), target_id="id", point_id="id", k=3, cell=2.0)
     return rounded(out, "distance")
 
 
 @register(
-    f"""WITH p AS ({POINT_SQL}), d AS (SELECT t.id AS t_id, p.id AS s_id, sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) AS distance FROM p t, p WHERE t.id % 25 = 0)
+    f"""WITH p AS ({POINT_SQL}), d AS (SELECT t.id AS t_id, p.id AS s_id, sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) AS distance FROM p t, p)
 SELECT t_id, s_id, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY round(distance, 9), s_id) AS k FROM d WHERE distance <= 12) WHERE k <= 48"""
 )
 def nearest_donors(spark, sf_dir):
     p = points(spark, sf_dir)
-    j = spatial.radius_join(p.where("id % 25 = 0"), p, 12.0)
+    j = spatial.radius_join(p, p, 12.0)
     return ranking.top_k(j, 48, [F.round("distance", 9), F.col("s_id")], ["t_id"]).select("t_id", "s_id", "rank")
 
 
 def barrier_links(spark, sf_dir):
     p = points(spark, sf_dir)
-    j = spatial.radius_join(p.where("id % 10 = 0").select("id", "x", "y"), p.select("id", "x", "y"), 5.0)
+    j = spatial.radius_join(p.select("id", "x", "y"), p.select("id", "x", "y"), 5.0)
     return j.select("t_id", "s_id", F.col("t_x").alias("x0"), F.col("t_y").alias("y0"), F.col("s_x").alias("x1"), F.col("s_y").alias("y1"))
 
 
-_LINK_SQL = f"""WITH p AS ({POINT_SQL}), w AS ({WALL_SQL}), l AS (SELECT t.id AS t_id, p.id AS s_id, t.x AS px, t.y AS py, p.x AS qx, p.y AS qy FROM p t JOIN p ON sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) <= 5 WHERE t.id % 10 = 0),
+_LINK_SQL = f"""WITH p AS ({POINT_SQL}), w AS ({WALL_SQL}), l AS (SELECT t.id AS t_id, p.id AS s_id, t.x AS px, t.y AS py, p.x AS qx, p.y AS qy FROM p t JOIN p ON sqrt(power(p.x - t.x, 2) + power(p.y - t.y, 2)) <= 5),
 o AS (SELECT t_id, s_id, (qx - px) * (y1 - py) - (qy - py) * (x1 - px) AS o1, (qx - px) * (y2 - py) - (qy - py) * (x2 - px) AS o2, (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1) AS o3,
 (x2 - x1) * (qy - y1) - (y2 - y1) * (qx - x1) AS o4 FROM l, w), b AS (SELECT DISTINCT t_id, s_id FROM o WHERE o1 * o2 < 0 AND o3 * o4 < 0)
 SELECT t_id, count(*) AS n_visible FROM l ANTI JOIN b USING (t_id, s_id) GROUP BY 1"""
@@ -309,7 +318,7 @@ def bilinear_resample(spark, sf_dir):
 
 
 @register(
-    f"""WITH p AS ({POINT_SQL}), s AS (SELECT * FROM p WHERE id % 40 = 1), t AS (SELECT * FROM p WHERE id % 50 = 0),
+    f"""WITH t AS ({POINT_SQL}), s AS ({STATION_SQL}),
 r AS (SELECT unnest([6.0, 12.0, 20.0]) AS radius), d AS (SELECT t.id AS t_id, radius, s.id AS s_id, s.x - t.x AS dx, s.y - t.y AS dy FROM t, s, r WHERE sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2)) <= radius),
 a AS (SELECT *, atan2(dy, dx) AS a FROM d), g AS (SELECT *, coalesce(lead(a) OVER (PARTITION BY t_id, radius ORDER BY a), min(a) OVER (PARTITION BY t_id, radius) + 2 * pi()) - a AS gap FROM a),
 c AS (SELECT t_id, radius, count(*) AS n, count(DISTINCT CAST(floor((CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END) / (pi() / 4)) AS INT)) AS sectors, max(gap) <= pi() + 1e-9 AS hull FROM g GROUP BY 1, 2),
@@ -317,8 +326,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY t_id ORDER BY radius) AS k FROM
 SELECT t_id, CAST(radius AS DOUBLE) AS radius, CAST(n AS INT) AS n, sectors FROM f WHERE k = 1"""
 )
 def adaptive_support(spark, sf_dir):
-    p = points(spark, sf_dir)
-    out = spatial.adaptive_support(p.where("id % 50 = 0"), p.where("id % 40 = 1"), [6.0, 12.0, 20.0])
+    out = spatial.adaptive_support(points(spark, sf_dir), stations(spark, sf_dir), [6.0, 12.0, 20.0])
     return out.select("t_id", "radius", "n", "sectors")
 
 

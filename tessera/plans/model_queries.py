@@ -10,19 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.operators import interpolate, regress, strain
 from tessera.operators.filters import persistent
-from tessera.plans.geometry_queries import POINT_SQL, points, walls
+from tessera.plans.geometry_queries import POINT_SQL, STATION_SQL, points, stations, walls
 from tessera.plans.registry import rd, register, rounded, table
 from tessera.plans.series_queries import centred
 
 
-def samples(spark, sf_dir):
-    return points(spark, sf_dir).where("id % 3 <> 0")
-
-
-def few_targets(spark, sf_dir):
-    return points(spark, sf_dir).where("id % 60 = 0").select("id", "x", "y")
-
-
 def affine_epochs(df):
     """Three epochs of east = f(2x + 3y), north = f(4y - x), f = 0, 0.5, 1."""
     e = df.select("id", "x", "y", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("epoch"))
@@ -30,7 +22,9 @@ def affine_epochs(df):
     return e.select("id", "epoch", (f * (2 * F.col("x") + 3 * F.col("y"))).alias("east"), (f * (4 * F.col("y") - F.col("x"))).alias("north"))
 
 
-_SUPPORT = f"p AS ({POINT_SQL}), t AS (SELECT id, x, y FROM p WHERE id % 60 = 0), s AS (SELECT * FROM p WHERE id % 3 <> 0)"
+#: Fields sampled at the points are estimated at the stations; those known at stations, at the points.
+_SUPPORT = f"t AS ({STATION_SQL}), s AS ({POINT_SQL})"
+_NETWORK = f"t AS ({POINT_SQL}), st AS ({STATION_SQL})"
 
 
 @register(
@@ -39,8 +33,8 @@ SELECT id AS t_id, CAST(e AS INT) AS epoch, {rd('e / 2.0 * (2 * x + 3 * y)')} AS
 {rd('e / 2.0 * -2')} AS rotation FROM ok, range(0, 3) r(e)"""
 )
 def joint_mls_strain(spark, sf_dir):
-    s = samples(spark, sf_dir).select("id", "x", "y", F.lit(1.0).alias("p11"), F.lit(0.2).alias("p12"), F.lit(0.5).alias("p22"))
-    operator, _ = strain.joint_mls(s, few_targets(spark, sf_dir), radius=9.0, bandwidth=4.0, least=16, max_condition=1e12)
+    s = points(spark, sf_dir).select("id", "x", "y", F.lit(1.0).alias("p11"), F.lit(0.2).alias("p12"), F.lit(0.5).alias("p22"))
+    operator, _ = strain.joint_mls(s, stations(spark, sf_dir).select("id", "x", "y"), radius=9.0, bandwidth=4.0, least=16, max_condition=1e12)
     out = strain.evaluate_joint_mls(operator, affine_epochs(s))
     names = ["east", "exx", "eyy", "gamma", "dilatation", "rotation"]
     return rounded(out.select("t_id", "epoch", *names), *names)
@@ -51,24 +45,24 @@ def joint_mls_strain(spark, sf_dir):
 SELECT id AS t_id, 2000.0 AS exx, 4000.0 AS eyy, 1000.0 AS exy, 6000.0 AS dilatation FROM ok"""
 )
 def robust_plane_strain(spark, sf_dir):
-    s = samples(spark, sf_dir)
+    s = points(spark, sf_dir)
     s = s.select("id", "x", "y", (2 * F.col("x") + 3 * F.col("y")).alias("east"), (4 * F.col("y") - F.col("x")).alias("north"), F.lit(1.0).alias("sigma_e"), F.lit(2.0).alias("sigma_n"))
-    out = strain.robust_plane_strain(s, few_targets(spark, sf_dir), radius=9.0, bandwidth=4.0, least=16, max_condition=1e9).where("valid")
+    out = strain.robust_plane_strain(s, stations(spark, sf_dir).select("id", "x", "y"), radius=9.0, bandwidth=4.0, least=16, max_condition=1e9).where("valid")
     return rounded(out.select("t_id", "exx", "eyy", "exy", "dilatation"), "exx", "eyy", "exy", "dilatation").withColumns(
         {c: F.col(c).cast("decimal(5,1)") for c in ("exx", "eyy", "exy", "dilatation")}
     )
 
 
 @register(
-    f"""WITH {_SUPPORT}, k AS (SELECT * FROM s WHERE id % 2 = 0), ok AS (SELECT t.id, t.x, t.y FROM t JOIN k ON sqrt(power(k.x - t.x, 2) + power(k.y - t.y, 2)) <= 9 GROUP BY 1, 2, 3 HAVING count(*) >= 12)
+    f"""WITH {_SUPPORT}, ok AS (SELECT t.id, t.x, t.y FROM t JOIN s ON sqrt(power(s.x - t.x, 2) + power(s.y - t.y, 2)) <= 9 GROUP BY 1, 2, 3 HAVING count(*) >= 12)
 SELECT id AS t_id, CAST(e AS INT) AS epoch, round(e / 2.0 * (2 * x + 3 * y), 4) + 0.0 AS east, round(e / 2.0 * (4 * y - x), 4) + 0.0 AS north FROM ok, range(0, 3) r(e)"""
 )
 def cokriging(spark, sf_dir):
     """An affine field is in the drift, so weights reproduce it at every target."""
     looks = {"fe": -0.62769383, "fn": -0.11233934, "se": 0.54711975, "sn": -0.09799853}
     look = [F.lit(v).alias(k) for k, v in looks.items()]
-    s = samples(spark, sf_dir).where("id % 2 = 0").select("id", "x", "y", *look, F.lit(4.0).alias("fvar"), F.lit(4.0).alias("svar"))
-    t = few_targets(spark, sf_dir).select("*", *look, F.lit(4.0).alias("fvar"))
+    s = points(spark, sf_dir).select("id", "x", "y", *look, F.lit(4.0).alias("fvar"), F.lit(4.0).alias("svar"))
+    t = stations(spark, sf_dir).select("id", "x", "y", *look, F.lit(4.0).alias("fvar"))
     w, _ = interpolate.cokriging_weight_relation(s, t, latent=[[100.0, 10.0], [10.0, 60.0]], radius=9.0, condition=False, least=12, most=48)
     obs = affine_epochs(s).select(
         "id", "epoch", (looks["fe"] * F.col("east") + looks["fn"] * F.col("north")).alias("first"), (looks["se"] * F.col("east") + looks["sn"] * F.col("north")).alias("second")
@@ -81,20 +75,20 @@ def cokriging(spark, sf_dir):
 def cokriging_barrier(spark, sf_dir):
     """The same with walls and target conditioning: diagnostics of every target."""
     look = [F.lit(v).alias(k) for k, v in {"fe": -0.62769383, "fn": -0.11233934, "se": 0.54711975, "sn": -0.09799853}.items()]
-    s = samples(spark, sf_dir).where("id % 2 = 0").select("id", "x", "y", *look, F.lit(4.0).alias("fvar"), F.lit(4.0).alias("svar"))
-    t = few_targets(spark, sf_dir).select("*", *look, F.lit(4.0).alias("fvar"))
+    s = points(spark, sf_dir).select("id", "x", "y", *look, F.lit(4.0).alias("fvar"), F.lit(4.0).alias("svar"))
+    t = stations(spark, sf_dir).select("id", "x", "y", *look, F.lit(4.0).alias("fvar"))
     _, d = interpolate.cokriging_weight_relation(s, t, latent=[[100.0, 10.0], [10.0, 60.0]], radius=9.0, segments=walls(spark), exclusion=1.0, least=12, most=48)
     return rounded(d.select("t_id", "n", "valid", "sigma_east", "sigma_north"), "sigma_east", "sigma_north")
 
 
 @register(
-    f"""WITH {_SUPPORT}, st AS (SELECT * FROM s WHERE id % 5 = 1), ok AS (SELECT t.id, t.x, t.y, count(*) AS n FROM t JOIN st ON sqrt(power(st.x - t.x, 2) + power(st.y - t.y, 2)) <= 16 GROUP BY 1, 2, 3 HAVING count(*) >= 8)
+    f"""WITH {_NETWORK}, ok AS (SELECT t.id, t.x, t.y, count(*) AS n FROM t JOIN st ON sqrt(power(st.x - t.x, 2) + power(st.y - t.y, 2)) <= 16 GROUP BY 1, 2, 3 HAVING count(*) >= 8)
 SELECT id AS t_id, CAST(e AS INT) AS epoch, CAST(n AS INT) AS n, round(e / 2.0 * (2 * x + 3 * y), 4) + 0.0 AS predicted FROM ok, range(0, 3) r(e)"""
 )
 def universal_kriging(spark, sf_dir):
     """Linear drift is reproduced exactly by universal kriging weights."""
-    st = samples(spark, sf_dir).where("id % 5 = 1").withColumn("sigma", F.lit(0.5))
-    pairs = interpolate.local_pairs(few_targets(spark, sf_dir), st, 16.0, least=8)
+    st = stations(spark, sf_dir).withColumn("sigma", F.lit(0.5))
+    pairs = interpolate.local_pairs(points(spark, sf_dir).select("id", "x", "y"), st, 16.0, least=8)
     w = interpolate.kriging_weight_relation(pairs, "uk_matern32", length=20.0, sill=25.0, nugget=0.0)
     obs = affine_epochs(st).withColumnRenamed("east", "value")
     out = interpolate.evaluate_weights(w, obs)
@@ -102,12 +96,12 @@ def universal_kriging(spark, sf_dir):
 
 
 @register(
-    f"""WITH {_SUPPORT}, st AS (SELECT * FROM s WHERE id % 5 = 1), j AS (SELECT t.id AS t_id, st.v, 1 / power(1 + st.id % 3, 2) AS w FROM t JOIN st ON sqrt(power(st.x - t.x, 2) + power(st.y - t.y, 2)) <= 16)
+    f"""WITH {_NETWORK}, j AS (SELECT t.id AS t_id, st.v, 1 / power(1 + st.id % 3, 2) AS w FROM t JOIN st ON sqrt(power(st.x - t.x, 2) + power(st.y - t.y, 2)) <= 16)
 SELECT t_id, CAST(count(*) AS INT) AS n, {rd('sum(w * v) / sum(w)')} AS predicted FROM j GROUP BY 1 HAVING count(*) >= 8"""
 )
 def local_constant(spark, sf_dir):
-    st = samples(spark, sf_dir).where("id % 5 = 1").withColumn("sigma", (1 + F.col("id") % 3).cast("double"))
-    pairs = interpolate.local_pairs(few_targets(spark, sf_dir), st, 16.0, least=8)
+    st = stations(spark, sf_dir).withColumn("sigma", (1 + F.col("id") % 3).cast("double"))
+    pairs = interpolate.local_pairs(points(spark, sf_dir).select("id", "x", "y"), st, 16.0, least=8)
     w = interpolate.kriging_weight_relation(pairs, "local_constant", length=20.0, sill=25.0, nugget=0.0)
     out = interpolate.evaluate_weights(w, st.select("id", F.lit(0).alias("epoch"), F.col("v").alias("value")))
     return rounded(out.select("t_id", "n", "predicted"), "predicted")
@@ -115,23 +109,27 @@ def local_constant(spark, sf_dir):
 
 @register()
 def vertical_model_selection(spark, sf_dir):
-    """Leave-one-out grid search over families, lengths and nuggets; accepted and selected flags."""
-    st = points(spark, sf_dir).where("id % 90 = 7 AND id <= 1800").select(F.lit("a").alias("interval"), "id", "x", "y", F.col("v").alias("value"), F.lit(1.0).alias("sigma"))
+    """Leave-one-out grid search over families, lengths and nuggets; accepted and selected flags.
+
+    An interval is a tile of 100 stations.
+    """
+    st = stations(spark, sf_dir).select(F.floor(F.col("id") / 100).cast("string").alias("interval"), "id", "x", "y", F.col("v").alias("value"), F.lit(1.0).alias("sigma"))
     p = interpolate.leave_one_out_predictions(st, keys=["interval"], families=["local_constant", "ok_exponential", "ok_matern32", "uk_matern32"], lengths=[20.0, 40.0], nuggets=[0.0, 2.0], least=2)
     return rounded(interpolate.score_candidates(p), "nlpd", "rmse", "coverage")
 
 
 @register()
 def bandwidth_selection(spark, sf_dir):
-    s = samples(spark, sf_dir).where("id % 10 = 1 AND id <= 1500")
+    s = stations(spark, sf_dir)
     s = s.select("id", "x", "y", (F.col("v") + 0.2 * F.col("x")).alias("east"), (F.col("v") - 0.1 * F.col("y")).alias("north"), F.lit(1.0).alias("sigma_e"), F.lit(1.0).alias("sigma_n"))
     return rounded(strain.leave_one_out_bandwidths(s, [6.0, 10.0, 16.0]), "rmse", "se")
 
 
 @register()
 def triangle_strain(spark, sf_dir):
-    """An affine field over a Delaunay network with a wall buffer."""
-    s = points(spark, sf_dir).where("id % 10 = 1 AND id <= 1200")
+    """An affine field over a Delaunay network of one station a nation, with a wall buffer."""
+    k = F.col("n_nationkey")
+    s = table(spark, sf_dir, "nation").select(k.alias("id"), (1 + k * 37 % 25 * 2.0 + k % 7 / F.lit(9.0)).alias("x"), (k * 11 % 25 * 2.0 + k % 5 / F.lit(7.0)).alias("y"))
     s = s.select("id", "x", "y", (2 * F.col("x") + 3 * F.col("y")).alias("east"), (4 * F.col("y") - F.col("x")).alias("north"), F.lit(1.0).alias("sigma_e"), F.lit(1.0).alias("sigma_n"))
     out = strain.triangle_strain(s, segments=walls(spark), buffer=0.5, spacing=1.0, min_angle=5.0, max_condition=50.0)
     return rounded(out.select("triangle", "a", "b", "c", "valid", "reason", "exx", "eyy", "exy", "rotation"), "exx", "eyy", "exy", "rotation")
@@ -184,7 +182,7 @@ def event_response(spark, sf_dir):
 
 @register()
 def spatial_matched_filter(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 7 < 5")
+    e = table(spark, sf_dir, "events")
     r = e.groupBy((F.col("user_id") % 7).alias("patch"), F.dayofmonth("ts").alias("t")).agg(F.avg("value").alias("r"))
     full = persistent(r, "patch", "t")
     return rounded(regress.best_templates(r.join(full, "patch"), replicates=19, min_before=8), "statistic", "p")

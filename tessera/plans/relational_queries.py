@@ -45,10 +45,10 @@ def sub_lattice(spark, sf_dir):
     return li.where(filters.sub_lattice("l_linenumber", "l_suppkey")).groupBy("l_linenumber").agg(F.count("*").alias("n"))
 
 
-@register(f"SELECT s_suppkey, {rd('s_acctbal / greatest(s_suppkey % 4 * 1000, 1e-12)')} AS z, abs(s_acctbal / greatest(s_suppkey % 4 * 1000, 1e-12)) >= 1.96 AS resolved FROM supplier WHERE s_suppkey % 4 > 0")
+@register(f"SELECT s_suppkey, {rd('s_acctbal / ((1 + s_suppkey % 4) * 1000.0)')} AS z, abs(s_acctbal / ((1 + s_suppkey % 4) * 1000.0)) >= 1.96 AS resolved FROM supplier")
 def resolved_flags(spark, sf_dir):
-    flags = filters.resolved_flags(F.col("s_acctbal"), F.col("s_suppkey") % 4 * 1000)
-    return rounded(table(spark, sf_dir, "supplier").where("s_suppkey % 4 > 0").select("s_suppkey", *[v.alias(k) for k, v in flags.items()]), "z")
+    flags = filters.resolved_flags(F.col("s_acctbal"), (1 + F.col("s_suppkey") % 4) * 1000.0)
+    return rounded(table(spark, sf_dir, "supplier").select("s_suppkey", *[v.alias(k) for k, v in flags.items()]), "z")
 
 
 @register(
@@ -130,12 +130,12 @@ def common_dates(spark, sf_dir):
 
 
 @register(
-    """WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderkey % 5 = 0)
+    """WITH a AS (SELECT c_custkey AS k FROM customer), b AS (SELECT o_custkey AS k FROM orders WHERE o_orderstatus = 'P')
 SELECT k, 'left' AS side FROM (SELECT k FROM a EXCEPT ALL SELECT k FROM (SELECT DISTINCT k FROM b)) UNION ALL SELECT k, 'right' FROM (SELECT DISTINCT k FROM b EXCEPT SELECT k FROM a)"""
 )
 def difference_both_ways(spark, sf_dir):
     a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    b = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("k")).distinct()
+    b = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("k")).distinct()
     return joins.difference_both_ways(a, b)
 
 

@@ -81,7 +81,7 @@ def standardized_innovation(spark, sf_dir):
 
 
 @register(
-    f"""WITH c AS ({CELL_SQL}), b AS (SELECT * FROM c WHERE day < DATE '{SPLIT}' AND hr < 4),
+    f"""WITH c AS ({CELL_SQL}), b AS (SELECT * FROM c WHERE day < DATE '{SPLIT}'),
 t AS (SELECT h.event_type, h.hr, h.day AS held, t.x, t.s FROM (SELECT DISTINCT event_type, hr, day FROM b) h JOIN b t ON h.event_type = t.event_type AND h.hr = t.hr AND h.day <> t.day),
 m1 AS (SELECT event_type, hr, held, count(*) AS n, median(x) AS center, median(s) AS ms FROM t GROUP BY 1, 2, 3),
 m2 AS (SELECT event_type, hr, held, 1.4826 * median(abs(x - center)) AS scale FROM t JOIN m1 USING (event_type, hr, held) GROUP BY 1, 2, 3),
@@ -90,7 +90,7 @@ SELECT b.event_type, b.hr, b.day, {rd('(b.x - center) / sqrt(b.s * b.s + greates
 FROM b LEFT JOIN m ON b.event_type = m.event_type AND b.hr = m.hr AND b.day = m.held"""
 )
 def leave_one_out_innovations(spark, sf_dir):
-    c = cells(spark, sf_dir).where("hr < 4")
+    c = cells(spark, sf_dir)
     out = detect.leave_one_out_z(c, ["event_type", "hr"], "day", "x", "s", baseline(), 10)
     return rounded(out.select("event_type", "hr", "day", "z"), "z")
 
@@ -260,12 +260,12 @@ def empirical_upper_tail(spark, sf_dir):
 
 
 @register(
-    f"""WITH p AS (SELECT c_nationkey, c_custkey, (1 + (c_custkey * 7919) % 9973) / 10000.0 AS p FROM customer WHERE c_nationkey < 10),
+    f"""WITH p AS (SELECT c_nationkey, c_custkey, (1 + (c_custkey * 7919) % 9973) / 10000.0 AS p FROM customer),
 q AS (SELECT *, (count(*) OVER (PARTITION BY c_nationkey) - row_number() OVER (PARTITION BY c_nationkey ORDER BY p, c_custkey) + 1) * p AS q FROM p)
 SELECT c_nationkey, c_custkey, {rd('least(1.0, max(q) OVER (PARTITION BY c_nationkey ORDER BY p, c_custkey ROWS UNBOUNDED PRECEDING))')} AS p_holm FROM q"""
 )
 def holm_adjust(spark, sf_dir):
-    p = table(spark, sf_dir, "customer").where("c_nationkey < 10").select("c_nationkey", "c_custkey", ((1 + F.col("c_custkey") * 7919 % 9973) / 10000.0).alias("p"))
+    p = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", ((1 + F.col("c_custkey") * 7919 % 9973) / 10000.0).alias("p"))
     return rounded(series.holm_adjust(p, "p", ["c_nationkey"], tie="c_custkey").select("c_nationkey", "c_custkey", "p_holm"), "p_holm")
 
 
@@ -307,12 +307,12 @@ def first_differences(spark, sf_dir):
 
 
 @register(
-    """WITH RECURSIVE d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderdate < TIMESTAMP '1997-01-01'), p AS (SELECT a.d FROM d a JOIN d b ON b.d = a.d + 12),
+    """WITH RECURSIVE d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders), p AS (SELECT a.d FROM d a JOIN d b ON b.d = a.d + 12),
 g AS (SELECT min(d) AS s FROM p UNION ALL SELECT (SELECT min(p.d) FROM p WHERE p.d >= g.s + 24) FROM g WHERE g.s IS NOT NULL)
 SELECT s AS start_date, s + 12 AS end_date FROM g WHERE s IS NOT NULL"""
 )
 def greedy_controls(spark, sf_dir):
-    d = table(spark, sf_dir, "orders").where("o_orderdate < TIMESTAMP '1997-01-01'").select(F.to_date("o_orderdate").alias("d"), F.lit(1).alias("one"))
+    d = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("d"), F.lit(1).alias("one"))
     return series.greedy_intervals(d, "d", ["one"]).select("start_date", "end_date")
 
 
