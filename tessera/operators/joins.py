@@ -36,19 +36,20 @@ def consecutive_pairs(df: DataFrame, date: str, value: str, keys: Sequence[str]
     return out if gap_days is None else out.where(F.datediff("end_date", "start_date") == gap_days)
 
 
-def bracket(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
+def bracket(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, value: str, sigma: str | None = None) -> DataFrame:
     """Both as-of neighbours of each left row among the right rows of its key.
 
     Adds before_at, before_value, after_at, after_value: the last right row at or
-    before, and the first at or after.  One shuffle and one sort serve both
-    directions.
+    before, and the first at or after; with ``sigma`` also before_sigma and
+    after_sigma.  One shuffle and one sort serve both directions.
     """
     keys = list(keys)
     names = left.columns
-    tagged = left.withColumns({"__kind": F.lit(1), "__v": F.lit(None).cast("double")}).unionByName(
-        right.select(*keys, F.col(at), F.col(value).cast("double").alias("__v")).withColumn("__kind", F.lit(0)), allowMissingColumns=True
+    error = F.col(sigma).cast("double") if sigma else F.lit(None).cast("double")
+    tagged = left.withColumns({"__kind": F.lit(1), "__v": F.lit(None).cast("double"), "__s": F.lit(None).cast("double")}).unionByName(
+        right.select(*keys, F.col(at), F.col(value).cast("double").alias("__v"), error.alias("__s")).withColumn("__kind", F.lit(0)), allowMissingColumns=True
     )
-    seen = F.when(F.col("__kind") == 0, F.struct(F.col(at).alias("at"), F.col("__v").alias("v")))
+    seen = F.when(F.col("__kind") == 0, F.struct(F.col(at).alias("at"), F.col("__v").alias("v"), F.col("__s").alias("s")))
     back = Window.partitionBy(*keys).orderBy(F.col(at), F.col("__kind")).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys).orderBy(F.col(at).desc(), F.col("__kind")).rowsBetween(Window.unboundedPreceding, 0)
     out = tagged.withColumns({"__b": F.last(seen, True).over(back), "__a": F.last(seen, True).over(ahead)}).where(F.col("__kind") == 1)
@@ -58,6 +59,7 @@ def bracket(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, val
         F.col("__b.v").alias("before_value"),
         F.col("__a.at").alias("after_at"),
         F.col("__a.v").alias("after_value"),
+        *([F.col("__b.s").alias("before_sigma"), F.col("__a.s").alias("after_sigma")] if sigma else []),
     )
 
 

@@ -17,14 +17,16 @@ from tessera.functions.scalars import compact_date, epoch_date_of_path, stem
 
 
 def read_epoch_stack(spark: SparkSession, folder: str) -> DataFrame:
-    """(date, key, displacement, lat, lon, line) of all ``YYYYMMDD.txt`` in a folder.
+    """(date, displacement, lat, lon, line, key) of all ``YYYYMMDD.txt`` in a folder.
 
-    Lines are whitespace separated: displacement, latitude, longitude.
+    Lines are whitespace separated: displacement, latitude, longitude; ``line``
+    orders them within a file.
     """
     raw = spark.read.text(folder, pathGlobFilter="*.txt").select("value", F.col("_metadata.file_path").alias("path"))
     part = F.split(F.trim("value"), r"\s+")
     number = lambda i: finite(F.get(part, F.lit(i)).try_cast("double"))
     rows = raw.where(F.trim("value") != "").select(epoch_date_of_path(F.col("path")).alias("date"), number(0).alias("displacement"), number(1).alias("lat"), number(2).alias("lon"))
+    rows = rows.withColumn("line", F.monotonically_increasing_id())
     return rows.where("date IS NOT NULL").withColumn("key", coordinate_key(F.col("lat"), F.col("lon")))
 
 
@@ -33,7 +35,7 @@ def align_epochs(stack: DataFrame) -> DataFrame:
     first = F.broadcast(stack.agg(F.min("date").alias("d0")))
     grid = stack.join(first, F.col("date") == F.col("d0")).select("key", "lat", "lon").dropDuplicates(["key"])
     dates = stack.select("date").distinct()
-    one = stack.groupBy("date", "key").agg(F.first("displacement", ignorenulls=True).alias("displacement"))
+    one = stack.groupBy("date", "key").agg(F.min_by("displacement", "line").alias("displacement"))
     return grid.crossJoin(F.broadcast(dates)).join(one, ["date", "key"], "left")
 
 

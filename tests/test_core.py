@@ -3,6 +3,7 @@
 import math
 import subprocess
 import sys
+from datetime import datetime
 from pathlib import Path
 
 import duckdb
@@ -11,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import dense, geo
-from tessera.operators import detect, graph, regress, series, spatial, strain
+from tessera.operators import detect, endpoints, graph, reference, regress, series, spatial, strain, traces
 from tessera.plans import catalog
 from tessera.sources import files
 from tessera.streaming.online import online_cusum
@@ -160,6 +161,41 @@ def test_file_readers(spark, tmp_path):
     assert files.file_manifest(spark, str(tmp_path), "*.tenv3").count() == 1
 
 
+def test_endpoint_regimes_on_a_line(spark):
+    days = [(1, datetime(2024, 1, d).date(), float(d if d < 20 else d + 100), 0.001) for d in range(1, 31) if d not in (11, 12)]
+    history = spark.createDataFrame([*days, (1, datetime(2024, 1, 11).date(), None, 0.001)], "k int, day date, x double, s double")
+    times = [datetime(2024, 1, 20, 3), datetime(2024, 1, 28, 12), datetime(2024, 1, 5), datetime(2024, 1, 10, 12), datetime(2023, 12, 1), datetime(2024, 1, 21, 12)]
+    targets = spark.createDataFrame([(1, i, t) for i, t in enumerate(times)], "k int, id int, at timestamp")
+    kind = dict(keys=["k"], target_id="id", at="at", day="day", value="x", sigma="s")
+    step = datetime(2024, 1, 20, 6)
+    got = {r.id: r for r in endpoints.sample_endpoints(targets, history, events=[step], **kind).collect()}
+    assert got[0].method == "trend_before_step" and got[0].value == pytest.approx(20.125) and got[0].sigma >= 0.002
+    assert got[1].method == "trend_after_step" and got[1].value == pytest.approx(128.5)
+    assert got[2].method == "same_time" and got[2].value == 5.0 and got[2].sigma == 0.002
+    assert got[3].value == pytest.approx(10.5) and got[3].sigma == pytest.approx(0.002)
+    assert got[4].value is None and got[4].reason == "not bracketed" and got[5].value is None and got[5].reason == "too few days"
+    plain = {r.id: r for r in endpoints.sample_endpoints(targets, history, **kind).collect()}
+    assert plain[0].method == "between_days" and plain[0].value == pytest.approx(120.125)
+    gap = spark.createDataFrame([(1, 0, datetime(2024, 1, 11, 6))], "k int, id int, at timestamp")
+    blocked = endpoints.sample_endpoints(gap, history, events=[datetime(2024, 1, 12, 6)], **kind).first()
+    assert blocked.reason == "step between neighbours" and blocked.value is None
+
+
+def test_reference_areas_and_traces(spark):
+    p = spark.createDataFrame([(1, 0.0, 5.0), (1, 0.5, 7.0), (1, 9.0, 1.0), (2, 0.0, None), (2, 9.0, 2.0)], "epoch int, x double, v double")
+    out = reference.referenced_series(p, "epoch", "v", area=F.col("x") < 1, reference=F.col("x") > 5, least_reference=1)
+    rows = {r.epoch: r for r in out.collect()}
+    assert rows[1].value == 5.0 and rows[1].sigma == pytest.approx(1.4826) and rows[2].value is None and rows[2].n_area == 0
+    few = spark.createDataFrame([(1, 0.0, 0.0, *[1.0] * 6)], "id int, x double, y double, east double, north double, up double, sigma_e double, sigma_n double, sigma_u double")
+    look = spark.createDataFrame([(0.1, 0.0, 3.0, 0.6, 0.0, 0.8)], "x double, y double, value double, look_e double, look_n double, look_u double")
+    assert reference.sign_audit(few, look, radius=1.0)[1].first().sign is None
+    line = spark.createDataFrame([("a", 0.0, 0.0, 0.0, 20.0), ("a", 0.0, 20.0, 0.0, 20.0)], "label string, x1 double, y1 double, x2 double, y2 double")
+    nodes = traces.trace_nodes(line, prefix=F.lit("PR")).orderBy("node_id").collect()
+    assert [n.node_id for n in nodes] == ["PR01", "PR02", "PR03"] and all(abs(n.tx) < 1e-9 and n.ty == pytest.approx(1) and n.bearing == pytest.approx(0) for n in nodes)
+    sides = traces.side_points(traces.trace_nodes(line)).where("side = 'plus'").collect()
+    assert all(s.x == pytest.approx(-2.0) for s in sides) and traces.trace_nodes(line.limit(0)).count() == 0
+
+
 def test_streaming_cusum_equals_batch(spark, tmp_path):
     rows = [("a", i, float(v)) for i, v in enumerate([0, 1, 1, -2, 3, 0.2])] + [("b", 0, 2.0)]
     df = spark.createDataFrame(rows, "k string, t long, x double")
@@ -172,7 +208,7 @@ def test_streaming_cusum_equals_batch(spark, tmp_path):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
 
 
-ORACLES = ["spatial_mad_series", "robust_baseline", "empirical_upper_tail", "metric_rollup", "bracket_interpolation", "two_track_inversion", "barrier_anti_join", "utm_round_trip", "bilinear_resample", "interval_table", "universal_kriging"]
+ORACLES = ["spatial_mad_series", "robust_baseline", "empirical_upper_tail", "metric_rollup", "bracket_interpolation", "two_track_inversion", "barrier_anti_join", "utm_round_trip", "bilinear_resample", "interval_table", "universal_kriging", "endpoint_regimes", "referenced_series", "point_series", "sign_audit_summary", "temporal_rms", "reference_score", "trace_nodes", "nearest_join"]
 
 
 @pytest.mark.parametrize("name", ORACLES)
