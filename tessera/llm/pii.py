@@ -41,7 +41,9 @@ PATTERN_BLOCK = 100_000
 _DIGIT = re.compile("[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+# A match can only begin where a run of digits begins: it would have taken the digits before, and a match ends with its
+# run. Saying so keeps long runs from being tried at every digit.
+_IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -70,6 +72,11 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def _is_octet(digits: str) -> bool:
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
 def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
@@ -94,7 +101,7 @@ def strict_spans(text: str) -> list[tuple[str, int, int]]:
     found = [("email", a, b) for a, b in emails(text)]
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(int(p) <= 255 for p in m[0].split(".")):
+            if all(map(_is_octet, m[0].split("."))):
                 found.append(("ip", *m.span()))
         for m in _CARD.finditer(text):
             digits = _digits(m[0])

@@ -168,6 +168,10 @@ def test_strict_personal_data_matches_the_patterns():
         t = "".join(rng.choice(parts, int(rng.integers(1, 14))))
         assert pii.strict_spans(t) == brute_pii(t), t
     assert pii.emails("a" * 200_000 + "@") == []
+    for t in ("1.2.3.4.5.6.7.8.9", "12.34.56.7890.1.2.3.4", "0001.255.256.1 000255.1.1.1", "1..2.3.4.5"):
+        assert [s for s in pii.strict_spans(t) if s[0] == "ip"] == [s for s in brute_pii(t) if s[0] == "ip"], t
+    assert pii.strict_spans("1" * 200_000) == [] and pii.strict_spans("9" * 5000 + ".1.1.1") == []
+    assert pii.strict_spans("0" * 5000 + "9.1.1.1") == [("ip", 0, 5007)]
 
 
 def test_bootstrapped_contexts_find_unseen_identifiers(spark):
