@@ -56,6 +56,13 @@ def project_enu(e: Column, n: Column, u: Column, look: tuple[Column, Column, Col
     return (e * look[0] + n * look[1] + u * look[2]) / F.nullif(norm, F.lit(0.0))
 
 
+def angle_between(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Angle of two vectors in degrees; NULL if one of them is zero."""
+    dot = lambda p, q: p[0] * q[0] + p[1] * q[1] + p[2] * q[2]
+    length = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.degrees(F.acos(clip(dot(a, b) / F.nullif(length, F.lit(0.0)), -1.0, 1.0)))
+
+
 def project_enu_sigma(
     se: Column,
     sn: Column,

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.geo import angle_between, normalize_look
 from tessera.functions.stats import MAD_TO_SIGMA, quantile
 from tessera.operators.spatial import radius_join
 
@@ -69,6 +70,13 @@ def sum_pairs(pairs: DataFrame, cell: Sequence[str], value: str, *, n_pairs: int
 LOOK = ("look_e", "look_n", "look_u")
 
 
+def local_medians(points: DataFrame, pixels: DataFrame, names: Sequence[str], radius: float) -> DataFrame:
+    """(id, medians of ``names``, n_pixels) within ``radius`` of each point, over pixels that have all of them."""
+    full = pixels.select("x", "y", *names).dropna(subset=list(names))
+    near = radius_join(points.select("id", "x", "y"), full, radius).groupBy(F.col("t_id").alias("id"))
+    return near.agg(*[F.median(f"s_{c}").alias(c) for c in names], F.count(F.lit(1)).alias("n_pixels"))
+
+
 def sign_audit(stations: DataFrame, pixels: DataFrame, *, radius: float, least: int = 5) -> tuple[DataFrame, DataFrame]:
     """Polarity of a track against stations: rows per station, and one summary row.
 
@@ -78,10 +86,7 @@ def sign_audit(stations: DataFrame, pixels: DataFrame, *, radius: float, least:
     summary has no sign.
     """
     names = ("value", *LOOK)
-    full = pixels.select("x", "y", *names).dropna(subset=list(names))
-    near = radius_join(stations.select("id", "x", "y"), full, radius).groupBy(F.col("t_id").alias("id"))
-    local = near.agg(*[F.median(f"s_{c}").alias(c) for c in names], F.count(F.lit(1)).alias("n_pixels"))
-    j = local.join(stations.drop("x", "y"), "id")
+    j = local_medians(stations, pixels, names, radius).join(stations.drop("x", "y"), "id")
     parts = list(zip(LOOK, ("east", "north", "up"), ("sigma_e", "sigma_n", "sigma_u"), strict=True))
     projected = sum((F.col(k) * F.col(c) for k, c, _ in parts), F.lit(0.0))
     sigma = F.sqrt(sum((F.pow(F.col(k) * F.col(s), 2) for k, _, s in parts), F.lit(0.0)))
@@ -146,3 +151,12 @@ def reference_score(cells: DataFrame, eligible: Column) -> DataFrame:
         unit = F.when(high > low, 1 - unit if c == "coherence" else unit).otherwise(0.0)
         score = score + w * unit
     return cells.join(F.broadcast(bounds), F.lit(True)).withColumn("score", F.when(ok, score)).drop(*[f"__{c}" for c in SCORE_WEIGHTS])
+
+
+def look_audit(points: DataFrame, pixels: DataFrame, *, radius: float, expected: tuple[float, float, float]) -> DataFrame:
+    """(id, local unit look, n_pixels, angle): angle in degrees between the local median look and the expected one."""
+    local = local_medians(points, pixels, LOOK, radius)
+    e, n, u = normalize_look(*[F.col(c) for c in LOOK])
+    unit = local.select("id", e.alias("look_e"), n.alias("look_n"), u.alias("look_u"), "n_pixels")
+    angle = angle_between(tuple(F.col(c) for c in LOOK), tuple(F.lit(v) for v in expected))
+    return unit.withColumn("angle", angle)

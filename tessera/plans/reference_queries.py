@@ -111,15 +111,18 @@ c AS (SELECT count(*) AS n, corr(o, pr) AS raw_r FROM q), a AS (SELECT *, CASE W
 z AS (SELECT *, sn * o AS al, sn * o - pr - f AS res FROM a, f)"""
 
 
-def audit(spark, sf_dir):
+def looks(spark, sf_dir):
     k = F.col("id")
-    p = points(spark, sf_dir).select(
+    return points(spark, sf_dir).select(
         "x", "y", F.col("v").alias("value"), (-0.6 - k % 7 / F.lit(100.0)).alias("look_e"), (-0.11 + k % 5 / F.lit(100.0)).alias("look_n"), (0.77 - k % 3 / F.lit(50.0)).alias("look_u")
     )
+
+
+def audit(spark, sf_dir):
     s = stations(spark, sf_dir).select(
         "id", "x", "y", (F.col("v") * -0.6).alias("east"), (F.col("x") - 20).alias("north"), (F.col("y") / 7).alias("up"), F.lit(2.0).alias("sigma_e"), F.lit(3.0).alias("sigma_n"), F.lit(5.0).alias("sigma_u")
     )
-    return reference.sign_audit(s, p, radius=4.0)
+    return reference.sign_audit(s, looks(spark, sf_dir), radius=4.0)
 
 
 @register(
@@ -136,6 +139,15 @@ def sign_audit_summary(spark, sf_dir):
     return rounded(audit(spark, sf_dir)[1], "raw_r", "offset", "rmse", "mae", "aligned_r")
 
 
+@register(
+    f"""WITH {_AUDIT_SQL}, k AS (SELECT id, le / sqrt(le * le + ln * ln + lu * lu) AS e, ln / sqrt(le * le + ln * ln + lu * lu) AS n, lu / sqrt(le * le + ln * ln + lu * lu) AS u, n_pixels FROM l)
+SELECT id, {rd('e')} AS look_e, {rd('n')} AS look_n, {rd('u')} AS look_u, n_pixels, round(degrees(acos(least(1, greatest(-1, (0.54711975 * e - 0.09799853 * n + 0.83129853 * u) / sqrt(power(0.54711975, 2) + power(0.09799853, 2) + power(0.83129853, 2)))))), 5) + 0.0 AS angle FROM k"""
+)
+def look_audit(spark, sf_dir):
+    out = reference.look_audit(stations(spark, sf_dir), looks(spark, sf_dir), radius=4.0, expected=(0.54711975, -0.09799853, 0.83129853))
+    return rounded(out, "look_e", "look_n", "look_u").withColumn("angle", F.round("angle", 5))
+
+
 @register(
     f"""WITH p AS ({EPOCH_SQL}), c AS (SELECT id, p.x, p.epoch, p.v - z.v AS c FROM p JOIN (SELECT id, v FROM p WHERE epoch = 0) z USING (id)), m AS (SELECT epoch, median(c) AS m FROM c WHERE x > 30 GROUP BY 1)
 SELECT id, {rd('sqrt(avg(power(c - m, 2)))')} AS rms, count(*) AS n FROM c JOIN m USING (epoch) GROUP BY 1 HAVING count(*) = 3"""
