@@ -247,17 +247,18 @@ def _even_parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
             yield slice(a, b)
 
 
-def link_block(ids: np.ndarray, weight: np.ndarray, half: np.ndarray, sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def link_block(
+    ids: np.ndarray, weight: np.ndarray, half: np.ndarray, sets: list[np.ndarray], threshold: float, cross: bool
+) -> tuple[np.ndarray, np.ndarray]:
     """Links and smallest connected id of each member of one block pair.
 
-    half: 0 or 1, the member's block.  If both occur only pairs across count,
-    else all pairs.
+    cross: the cell pairs two blocks, and only pairs across count, none if a
+    block is empty; else all pairs do.  half: 0 or 1, the member's block.
     """
     n = len(ids)
     links, parent = np.zeros(n, dtype=np.int64), np.arange(n)
     sizes = np.array([len(s) for s in sets], dtype=np.float32)
     order = np.argsort(sizes, kind="stable")
-    cross = half.min() != half.max()
     left = order[half[order] == 0] if cross else order
     right = order[half[order] == 1] if cross else order
 
@@ -375,7 +376,7 @@ def near_duplicates(
                 return None
             ids, weight, half, grams = zip(*held, strict=True)
             links, low = link_block(
-                np.array(ids), np.array(weight), np.array(half), [np.frombuffer(g, dtype=np.uint64) for g in grams], threshold
+                np.array(ids), np.array(weight), np.array(half), [np.frombuffer(g, dtype=np.uint64) for g in grams], threshold, key[1] != key[2]
             )
             return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links), pa.array(low)], names=_LINKS.names)
 

@@ -288,6 +288,21 @@ def test_near_duplicates_match_brute_force(spark, documents, monkeypatch):
     assert {r.doc_id: (r.class_id, r.n_links) for r in queries.op8_ngram_join(spark, SF).collect()} == brute_classes(own)
 
 
+def test_near_duplicates_in_groups_with_an_empty_block(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    texts = {}
+    for g in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 400, 80)]
+        texts |= {2 * g: " ".join(base), 2 * g + 1: " ".join([*base, "end"])}
+    # Two blocks for two members; by their hashes some groups leave one of them empty.
+    monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", 100)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    blocks = [r[0] for r in df.select(F.pmod(F.xxhash64("doc_id"), F.lit(2))).collect()]
+    assert any(blocks[2 * g] == blocks[2 * g + 1] for g in range(8))
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == brute_classes(texts) == {d: (d - d % 2, 1) for d in texts}
+
+
 def test_band_plan_reaches_its_recall():
     bands, rows = ngram_join.band_plan(0.8, 0.999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.999
