@@ -2,10 +2,12 @@
 
 Strict patterns give the *seed* entities (e-mail, IPv4, payment card, phone).
 Looser shapes of the same kinds give *candidates* that no strict pattern
-accepts (a phone without country code, an address written ``name at host``).
-Each occurrence stands in a context: the word before and the word after.
-Patterns (kind, word before, word after) and instances (kind, normalised
-identifier) form a bipartite graph.  Seeds have confidence 1 and everything
+accepts (a phone without country code, an address written ``name at host``, an
+IPv6 address).  Each occurrence stands in a context: the word before and the
+word after, where a number counts as one word and the edge of the text as
+another.  It gives up to three patterns (kind, before, after): both sides, and
+each side alone with the other one open.  Patterns and instances (kind,
+normalised identifier) form a bipartite graph.  Seeds have confidence 1 and everything
 else 0; in each round a pattern's confidence is the mean confidence of its
 distinct instances, and an unseen instance gets the noisy-or of the patterns it
 occurs in.  Patterns that end above ``min_confidence`` and have at least
@@ -22,6 +24,7 @@ strict span is not one; repeated rows are processed row by row.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 
 import pyarrow as pa
@@ -54,12 +57,19 @@ _LOOSE = {
         r"(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63})+"
     ),
     "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{3,6}){2,4}(?![0-9])"),
+    "ip": re.compile(
+        r"(?<![0-9.])[0-9]{1,3}(?:(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\x20?|\x20dot\x20|-)[0-9]{1,3}){3}(?![0-9])"
+    ),
     "phone": re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,6}(?![0-9])"),
 }
 _MAY_BE_EMAIL = re.compile(r"@|\(at\)|\[at\]|\x20dot\x20|\(dot\)|\[dot\]")
-_BEFORE = re.compile(r"([^\W\d_]+)[^\w]*\Z")
-_AFTER = re.compile(r"[^\w]*([^\W\d_]+)")
+_MAY_BE_IPV6 = re.compile(r":[0-9A-Fa-f]{0,4}:")
+_IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+_BEFORE = re.compile(r"([^\W\d_]+|[\d_]+)[^\w]*\Z")
+_AFTER = re.compile(r"[^\w]*([^\W\d_]+|[\d_]+)")
 _NEAR = 64
+#: Context words of their own: the edges of the text, a number, and a side left open.
+BEGIN, END, NUMBER, OPEN = "^", "$", "0", ""
 
 
 def luhn(digits: str) -> bool:
@@ -77,6 +87,13 @@ def _is_octet(digits: str) -> bool:
     return len(short) <= 3 and int(short or "0") <= 255
 
 
+def _is_ipv6(text: str) -> bool:
+    try:
+        return len(text) > 2 and bool(ipaddress.IPv6Address(text))
+    except ValueError:
+        return False
+
+
 def _digits(text: str) -> str:
     return "".join(_DIGIT.findall(text))
 
@@ -123,9 +140,14 @@ def loose_spans(text: str, strict: list[tuple[str, int, int]]) -> list[tuple[str
         for m in _LOOSE["card"].finditer(text):
             if 12 <= len(_digits(m[0])) <= 19:
                 found.append(("card", *m.span()))
+        for m in _LOOSE["ip"].finditer(text):
+            if all(map(_is_octet, re.findall("[0-9]+", m[0]))):
+                found.append(("ip", *m.span()))
         for m in _LOOSE["phone"].finditer(text):
             if 7 <= len(_digits(m[0])) <= 15:
                 found.append(("phone", *m.span()))
+    if _MAY_BE_IPV6.search(text):
+        found += [("ip", *m.span()) for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
     if not found:
         return []
     taken = sorted((a, b) for _, a, b in strict)
@@ -138,15 +160,30 @@ def loose_spans(text: str, strict: list[tuple[str, int, int]]) -> list[tuple[str
     return out
 
 
-def context(text: str, begin: int, end: int) -> tuple[str, str] | None:
-    """Lower-cased words right before and after, or None at an edge of the text."""
+def context(text: str, begin: int, end: int) -> tuple[str, str]:
+    """Lower-cased words right before and after; open if only other characters are near."""
+
+    def word(found: re.Match | None, edge: str, at_edge: bool) -> str:
+        if found is None:
+            return edge if at_edge else OPEN
+        return NUMBER if found[1][0] == "_" or found[1][0].isdigit() else found[1].lower()
+
     before = _BEFORE.search(text[max(0, begin - _NEAR) : begin])
     after = _AFTER.match(text[end : end + _NEAR])
-    return (before[1].lower(), after[1].lower()) if before and after else None
+    return word(before, BEGIN, begin <= _NEAR), word(after, END, end + _NEAR >= len(text))
+
+
+def context_patterns(before: str, after: str) -> list[tuple[str, str]]:
+    """The context and each of its sides alone."""
+    return [p for p in dict.fromkeys(((before, after), (before, OPEN), (OPEN, after))) if p != (OPEN, OPEN)]
 
 
 def normal_form(kind: str, text: str) -> str:
-    return text.lower() if kind in ("email", "ip") else _digits(text)
+    if kind == "ip" and ":" in text:
+        return ipaddress.IPv6Address(text).compressed
+    if kind == "ip":
+        return ".".join(re.findall("[0-9]+", text))
+    return text.lower() if kind == "email" else _digits(text)
 
 
 def render(spans: list[tuple[str, int, int]]) -> str:
@@ -166,7 +203,7 @@ _EDGE = T.StructType(
 
 
 def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row for each strict or loose span that has words on both sides."""
+    """A row for each strict or loose span and each pattern of its context."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
@@ -176,10 +213,8 @@ def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
             strict = strict_spans(text)
             for seed, spans in ((True, strict), (False, loose_spans(text, strict))):
                 for kind, a, b in spans:
-                    around = context(text, a, b)
-                    if around:
-                        instance = hashlib.sha256(normal_form(kind, text[a:b]).encode()).hexdigest()[:32]
-                        rows.append((kind, *around, instance, seed))
+                    instance = hashlib.sha256(normal_form(kind, text[a:b]).encode()).hexdigest()[:32]
+                    rows += [(kind, *around, instance, seed) for around in context_patterns(*context(text, a, b))]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         types = [pa.string()] * 4 + [pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_EDGE.names)
@@ -248,8 +283,8 @@ def all_spans(text: str, blocks: list) -> tuple[list, list]:
     more = []
     if blocks:
         for kind, a, b in loose_spans(text, strict):
-            around = context(text, a, b)
-            if around and any((kind, *around) in block.value for block in blocks):
+            around = context_patterns(*context(text, a, b))
+            if any((kind, *p) in block.value for block in blocks for p in around):
                 more.append((kind, a, b))
     return strict, more
 

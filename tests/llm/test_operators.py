@@ -184,6 +184,19 @@ def test_bootstrapped_contexts_find_unseen_identifiers(spark):
     assert clean[100] == "please call me [PHONE] today friend" and clean[101] == rows[-1][1] and clean[0] == clean[100]
 
 
+def test_one_sided_and_edge_contexts_find_unseen_identifiers(spark):
+    after = [f"word{chr(97 + i)}" for i in range(20)]
+    rows = [(i, f"phone: +1 (555) 555-0{100 + i}, {w}") for i, w in enumerate(after)]
+    rows += [(20 + i, f"server {w} 10.0.0.{i + 1}") for i, w in enumerate(after)]
+    rows += [(40 + i, f"maybe +1 (555) 555-0{200 + i} {w}") for i, w in enumerate(after)]
+    rows += [(60 + i, f"maybe (555) 555-0{300 + i} {w}s") for i, w in enumerate(after)]
+    more = ["phone: (555) 555-0999, Bob", "7 phone: (555) 555-0998", "other 10[.]0[.]0[.]77", "router fe80::1", "at 12:30:45", "other 10[.]0[.]0[.]77 x"]
+    rows += list(enumerate(more, 100))
+    out = {r.doc_id: r.spans for r in pii.span_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[100 + i] for i in range(6)] == ["phone:7:21", "phone:9:23", "ip:6:21", "ip:7:14", "", ""]
+    assert not any(out[60 + i] for i in range(20))  # as many unseen as strict ones: the cue is not trusted
+
+
 def test_tokens_equal_the_reference_tokeniser_and_round_trip(spark, documents):
     ranks = bpe.load_ranks(RANKS)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
