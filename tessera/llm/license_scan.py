@@ -1,14 +1,16 @@
 """License scanning with DataFrame functions only: an exact set-similarity join.
 
-Phrases are located word by word.  The method joins text blocks (lines) with
-license notice templates on token sets: block and template match if the block
-holds at least ``threshold`` of the template's distinct tokens.  Tokens are
-ordered from rare to frequent by their document frequency in the whole corpus.
-With k = ceil(threshold * tokens) needed, a matching block must hold one of the
-template's first ``tokens - k + 1`` tokens (prefix filter), must have at least k
-distinct tokens (length filter), and the first shared token must leave room
-for k shared ones behind it on both sides (positional filter).  Blocks that
-pass are verified on the full sets, so the result is exact.
+Phrases are located word by word.  The method joins text blocks with license
+notice templates on token sets.  The blocks of a template are all windows of
+``SPAN`` times its words over the whole normalised text, whatever its line
+breaks; block and template match if the block holds at least ``threshold`` of
+the template's distinct tokens.  Tokens are ordered from rare to frequent by
+their document frequency in the whole corpus.  With k = ceil(threshold *
+tokens) needed, a matching block must hold one of the template's first
+``tokens - k + 1`` tokens (prefix filter), so only the surroundings of these are
+looked at.  They must hold k of the template's tokens (length filter) from the
+shared one on (positional filter: it is the first one shared by some window).
+What passes is verified window by window, so the result is exact.
 
 The only broadcast is the template table, a constant of this module.
 
@@ -58,6 +60,8 @@ TEMPLATES = {
     "mpl": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
 }
 THRESHOLD = 0.9
+#: Words of a block for each word of the template; the rest is room for inserted words.
+SPAN = 1.5
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -99,7 +103,10 @@ def phrase_places(words: Column, phrase: str) -> Column:
 
 
 def match_blocks(docs: DataFrame, *, key_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, block, template, label, containment) of every matching line."""
+    """(key, block, template, label, containment) of matching windows; block is the window's first word.
+
+    Around each shared prefix token the best window is returned.
+    """
     spark = docs.sparkSession
     words = normalised(F.coalesce(F.col(text_col), F.lit("")))
     tokens = vocabulary()
@@ -109,41 +116,45 @@ def match_blocks(docs: DataFrame, *, key_col: str, text_col: str, threshold: flo
     for i, label, text in template_rows():
         own = sorted(set(text.split()), key=order.get)
         need = math.ceil(threshold * len(own) - 1e-9)
-        prefix += [(t, at, i, label, own, len(own), need) for at, t in enumerate(own[: len(own) - need + 1])]
+        span = math.ceil(SPAN * len(text.split()))
+        prefix += [(t, own[at:], i, label, own, need, span) for at, t in enumerate(own[: len(own) - need + 1])]
     table = F.broadcast(
-        spark.createDataFrame(prefix, "token string, t_at int, template int, label string, own array<string>, size int, need int")
+        spark.createDataFrame(prefix, "token string, rest array<string>, template int, label string, own array<string>, need int, span int")
     )
     rare = sorted({p[0] for p in prefix}, key=order.get)
-    least = min(p[6] for p in prefix)
+    reach = max(p[6] for p in prefix)
     any_rare = " (" + "|".join(rare) + ") "
-    rank = F.create_map(*[F.lit(x) for t, i in order.items() for x in (t, i)])
-    lines = (
-        docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text"))
-        .where(normalised(F.col("text")).rlike(any_rare))
-        .select("key", F.posexplode(F.split("text", "\n", -1)).alias("block", "line"))
-        .select("key", "block", normalised(F.col("line")).alias("w"))
+    split = (
+        docs.select(F.col(key_col).alias("key"), normalised(F.col(text_col)).alias("w"))
         .where(F.col("w").rlike(any_rare))
-        .select("key", "block", F.array_distinct(F.split(F.trim("w"), " ")).alias("own_words"))
-        .where(F.size("own_words") >= least)
+        .select("key", F.split(F.trim("w"), " ").alias("w"))
+    )
+    places = F.filter(F.transform("w", lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda x: x["token"].isin(rare))
+
+    def around(x: Column) -> Column:
+        low = F.greatest(x["at"] - (reach - 1), F.lit(0))
+        return F.struct(x["at"].alias("at"), x["token"].alias("token"), low.alias("low"), F.slice("w", low + 1, x["at"] - low + reach).alias("near"))
+
+    # Only the words around a prefix token leave the text.
+    probes = split.select("key", F.explode(F.transform(places, around)).alias("p")).select("key", "p.*")
+    low = F.greatest(F.col("at") - (F.col("span") - 1), F.lit(0))
+    passed = (
+        probes.join(table, "token")
+        .withColumn("start", low)
+        .withColumn("near", F.slice("near", F.col("start") - F.col("low") + 1, F.col("at") - F.col("start") + F.col("span")))
+        .where(F.size(F.array_intersect("near", "rest")) >= F.col("need"))
     )
-    known = F.filter("own_words", lambda t: F.array_contains(F.lit(tokens), t))
-    shared = lines.select(
-        "key",
-        "block",
-        F.size("own_words").alias("b_size"),
-        F.transform(F.array_sort(F.transform(known, lambda t: F.struct(F.element_at(rank, t).alias("r"), t.alias("t")))), lambda x: x["t"]).alias("b_own"),
-    ).where(F.size("b_own") >= least)
-    # Tokens outside all templates never match; behind a known token only known ones count.
-    probes = shared.select("*", F.posexplode("b_own").alias("b_at", "token")).where(F.col("token").isin(rare))
-    passed = probes.join(table, "token").where(
-        (F.col("b_size") >= F.col("need"))
-        & (F.least(F.col("size") - F.col("t_at"), F.size("b_own") - F.col("b_at")) >= F.col("need"))
+    windows = F.transform(
+        F.sequence(F.lit(0), F.col("at") - F.col("start")),
+        lambda k: F.struct(F.size(F.array_intersect(F.slice("near", k + 1, F.col("span")), F.col("own"))).alias("n"), (-k).alias("k")),
     )
-    overlap = F.size(F.array_intersect("b_own", "own"))
-    # The first shared token alone decides, so a pair is verified once.
-    first = F.element_at(F.array_intersect("own", "b_own"), 1) == F.col("token")
-    return passed.where(first & (overlap >= F.col("need"))).select(
-        "key", "block", "template", "label", (overlap / F.col("size")).alias("containment")
+    return (
+        passed.withColumn("best", F.array_max(windows))
+        .where(F.col("best.n") >= F.col("need"))
+        .select(
+            "key", (F.col("start") - F.col("best.k")).alias("block"), "template", "label", (F.col("best.n") / F.size("own")).alias("containment")
+        )
+        .distinct()
     )
 
 

@@ -366,6 +366,34 @@ def test_license_places_and_templates(spark):
     assert got == want
 
 
+def test_license_blocks_do_not_depend_on_line_breaks(spark):
+    lgpl = license_scan.TEMPLATES["lgpl"][0].split()
+    rng = np.random.default_rng(8)
+    texts = {
+        1: "/* x\n" + "\n".join(" * " + " ".join(lgpl[i : i + 6]) for i in range(0, len(lgpl), 6)) + "\n */ y",
+        2: " filler".join(f" {w}" + " z" * 20 for w in "licensed under cc by 4 0".split()),
+        3: "z " * 300 + " ".join(lgpl) + " z" * 300,
+    }
+    for i in range(60):  # pieces of notices, with words dropped and put in
+        tpl = [str(rng.choice(license_scan.template_rows(), axis=0)[2]).split() for _ in range(3)]
+        texts[10 + i] = " ".join(w for t in tpl for w in t for w in ([] if rng.random() < 0.04 else [w, "z"] if rng.random() < 0.3 else [w]))
+    want = {}
+    for d, t in texts.items():
+        own = words(t)
+        for n, label, tpl in license_scan.template_rows():
+            tokens, span = set(tpl.split()), math.ceil(license_scan.SPAN * len(tpl.split()))
+            most = max(len(tokens & set(own[k : k + span])) for k in range(len(own)))
+            if most >= math.ceil(license_scan.THRESHOLD * len(tokens) - 1e-9):
+                want[d, n] = most / len(tokens)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {}
+    for r in license_scan.match_blocks(df, key_col="doc_id", text_col="text").collect():
+        got[r.key, r.template] = max(r.containment, got.get((r.key, r.template), 0))
+    assert got == want and len(want) > 60
+    labels = {r.doc_id: r.labels for r in license_scan.license_report(df.where("doc_id < 10")).collect()}
+    assert labels == {1: "lgpl", 2: "", 3: "lgpl"}
+
+
 def test_pipeline_stages_take_effect(spark, documents):
     import corpus_pipeline
 
