@@ -7,8 +7,8 @@ entropy: for each character class (hexadecimal, alphanumeric, base64) a window
 slides over the candidate and its Shannon entropy is kept by incremental
 counts: a character that enters or leaves changes one term of sum(c*log2(c)).
 The largest window entropy is compared with the threshold of the class.  An
-allow-list suppresses placeholders, UUIDs and strings without both letters and
-digits.
+allow-list suppresses placeholders, UUIDs, strings without both letters and
+digits, and paths and options made of words and numbers.
 
 Defined results: null and empty texts hold nothing; spans are half-open code
 point ranges; candidates that overlap a strict span are not reported again;
@@ -41,7 +41,9 @@ _CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 THRESHOLDS = {"hex": 3.0, "alnum": 3.6, "base64": 3.8}
 ALLOW = (
     r"(?i)example|sample|placeholder|changeme|your[_-]|xxxx|0123456789|abcdefgh|^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
-    r"|^[^0-9]*$|^[^A-Za-z]*$|^[/_=+-]|/.*/.*/"
+    r"|^[^0-9]*$|^[^A-Za-z]*$"
+    # Paths and options: no letter after a digit and no lone small letter before a capital, which random strings hold.
+    r"|^(?=[/_=+-]|.*/.*/.*/)(?-i:(?!.*(?:[0-9][A-Za-z]|(?<![a-z])[a-z][A-Z])))"
 )
 KINDS = ("assign", "access", "hex", "entropy")
 

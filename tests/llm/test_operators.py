@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, and their edge cases."""
 
+import base64
 import hashlib
 import math
 import re
@@ -254,6 +255,16 @@ def test_secrets_and_window_entropy(spark):
     assert secret_scan.mask_secrets(df.where("doc_id = 403")).first().text == "😀 [SECRET]"
 
 
+def test_long_base64_keys_are_secrets_and_paths_are_not(spark):
+    rng = np.random.default_rng(9)
+    keys = [base64.b64encode(rng.bytes(n)).decode() for n in (30, 66, 129, 258) for _ in range(50)]
+    paths = ["/usr/local/share/doc/python3/readme2024", "src/main/java/toolKit/part01/Widget2", "--max-retry-count-of-worker=25", "a/" * 20_000 + "b1"]
+    df = spark.createDataFrame(list(enumerate(f"see {t} end" for t in [*keys, *paths])), "doc_id long, text string")
+    out = {r.doc_id: r.spans for r in secret_scan.secret_report(df).collect()}
+    missed = [k for i, k in enumerate(keys) if out[i] != f"entropy:4:{4 + len(k)}"]
+    assert not missed and not any(out[len(keys) + i] for i in range(len(paths)))
+
+
 def brute_classes(texts, n=5, threshold=0.8):
     sets = {}
     for d, t in texts.items():
