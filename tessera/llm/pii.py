@@ -1,24 +1,38 @@
 """Personal data by bootstrapped contextual extraction.
 
 Strict patterns give the *seed* entities (e-mail, IPv4, payment card, phone).
-Looser shapes of the same kinds give *candidates* that no strict pattern
-accepts (a phone without country code, an address written ``name at host``, an
-IPv6 address).  Each occurrence stands in a context: the word before and the
-word after, where a number counts as one word and the edge of the text as
-another.  It gives up to three patterns (kind, before, after): both sides, and
-each side alone with the other one open.  Patterns and instances (kind,
-normalised identifier) form a bipartite graph.  Seeds have confidence 1 and everything
-else 0; in each round a pattern's confidence is the mean confidence of its
-distinct instances, and an unseen instance gets the noisy-or of the patterns it
-occurs in.  Patterns that end above ``min_confidence`` and have at least
-``min_support`` distinct seeds mark all candidates in their context.
-
-Texts are read once for the graph; its edges are counted before they are
-shuffled, so a pattern that a third of all texts share is one row per task.
-
-Defined results: null and empty texts hold nothing; spans are half-open code
-point ranges; overlapping kinds are all reported; a candidate that overlaps a
-strict span is not one; repeated rows are processed row by row.
+Looser shapes of the same kinds give *candidates* that no strict span overlaps
+(a phone without country code or with another number right behind it, an
+address written ``name at host dot org``, an IPv6 address, a card beside other
+digits; a card must still pass its checksum).  Each occurrence induces lexical
+patterns (kind, before, after, shape) of several widths: the word before and
+the word after together, each alone, the two words before, and the shape of the
+identifier alone (digits and letters as classes).  A number counts as one word
+and the edge of the text as another; a side left open is empty.
+
+Patterns and instances (kind, normalised identifier) form a bipartite graph,
+which Spark scores in rounds.  Seeds have confidence 1, candidates 0 at first.
+A pattern's confidence is the mean confidence of its distinct instances, its
+support the number of those that are seeds or believed (confidence at least
+``min_confidence``).  A pattern with ``min_confidence`` and ``min_support`` is
+accepted and lends its confidence to its candidates, by noisy-or over all
+accepted patterns they occur in.  Candidates believed in one round support new
+patterns in the next, also such that no seed occurs in.  Confidences only rise;
+rounds end when they rest, or after ``rounds``.  Accepted patterns mark every
+candidate that occurs in them.
+
+Texts are read twice: for the graph, and to mark.  Edges are counted before
+they are shuffled, so a pattern that a third of all texts share is one row per
+task and instance; joins along edges are salted, so no pattern or instance is
+one task's alone.
+
+Defined results: null and empty texts hold nothing, an empty table gives no
+rows; spans are half-open code point ranges; overlapping kinds are all reported,
+ordered by start, kind and end; a candidate that overlaps a strict span is not
+one; repeated rows (null ids too) are processed row by row, and count once in
+the graph; texts are processed whole in time linear in their length; other
+columns pass through ``redact`` under any name, ``span_report`` returns its own
+columns only.
 """
 
 from __future__ import annotations
@@ -26,6 +40,7 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -36,12 +51,13 @@ from tessera.llm.textbatch import map_slices, replace_column
 from tessera.runtime import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+ROUNDS = 20
 MIN_CONFIDENCE = 0.9
 MIN_SUPPORT = 5
 PATTERN_BLOCK = 100_000
+SALTS = 32
 
-_DIGIT = re.compile("[0-9]")
+_DIGIT, _RUN, _LETTERS = re.compile("[0-9]"), re.compile("[0-9]+"), re.compile("[A-Za-z]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 # A match can only begin where a run of digits begins: it would have taken the digits before, and a match ends with its
@@ -50,24 +66,20 @@ _IP = re.compile(r"[0-9](?<![0-9][0-9])[0-9]*(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-# Loose shapes of the same kinds.
+# Loose shapes of the same kinds; an address is looked for outwards from its "at".
+_LOOSE_AT = re.compile(r"\x20?(?:\(at\)|\[at\]|@)\x20?|\x20at\x20")
+_LOOSE_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:(?:\x20?(?:\(dot\)|\[dot\])\x20?|\x20dot\x20|\.)[A-Za-z0-9-]+)+")
 _LOOSE = {
-    "email": re.compile(
-        r"[A-Za-z0-9._%+-]{1,64}\x20?(?:\(at\)|\[at\]|\x20at\x20|@)\x20?[A-Za-z0-9-]{1,63}"
-        r"(?:\x20?(?:\(dot\)|\[dot\]|\x20dot\x20|\.)\x20?[A-Za-z0-9-]{1,63})+"
-    ),
-    "card": re.compile(r"(?<![0-9])[0-9]{4}(?:[\x20.-]?[0-9]{3,6}){2,4}(?![0-9])"),
+    "card": re.compile(r"(?<![0-9])(?:[0-9]{12,19}|[0-9]{4}([\x20.-])[0-9]{4}\1[0-9]{4}\1[0-9]{3,4}|[0-9]{4}([\x20.-])[0-9]{6}\2[0-9]{5})(?![0-9])"),
     "ip": re.compile(
         r"(?<![0-9.])[0-9]{1,3}(?:(?:\x20?(?:\[\.\]|\(\.\)|\[dot\]|\(dot\)|\.)\x20?|\x20dot\x20|-)[0-9]{1,3}){3}(?![0-9])"
     ),
-    "phone": re.compile(r"(?<![0-9+])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,6}(?![0-9])"),
+    "phone": re.compile(r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-])?\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,6}(?![0-9])"),
 }
 _MAY_BE_EMAIL = re.compile(r"@|\(at\)|\[at\]|\x20dot\x20|\(dot\)|\[dot\]")
 _MAY_BE_IPV6 = re.compile(r":[0-9A-Fa-f]{0,4}:")
 _IPV6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
-_BEFORE = re.compile(r"([^\W\d_]+|[\d_]+)[^\w]*\Z")
-_AFTER = re.compile(r"[^\w]*([^\W\d_]+|[\d_]+)")
-_NEAR = 64
+_NEXT = re.compile(r"\W*([^\W\d_]+|[\d_]+)")
 #: Context words of their own: the edges of the text, a number, and a side left open.
 BEGIN, END, NUMBER, OPEN = "^", "$", "0", ""
 
@@ -131,17 +143,30 @@ def strict_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def _loose_emails(text: str) -> list[tuple[int, int]]:
+    out, done = [], 0
+    for at in _LOOSE_AT.finditer(text):
+        begin = at.start()
+        while begin > done and text[begin - 1] in _LOCAL:
+            begin -= 1
+        tail = _LOOSE_DOMAIN.match(text, at.end()) if begin < at.start() else None
+        done = tail.end() if tail else at.end()
+        if tail:
+            out.append((begin, done))
+    return out
+
+
 def loose_spans(text: str, strict: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Candidates of the loose shapes that no strict span overlaps."""
     found = []
     if _MAY_BE_EMAIL.search(text):
-        found += [("email", *m.span()) for m in _LOOSE["email"].finditer(text)]
+        found += [("email", a, b) for a, b in _loose_emails(text)]
     if _DIGIT.search(text):
         for m in _LOOSE["card"].finditer(text):
-            if 12 <= len(_digits(m[0])) <= 19:
+            if luhn(_digits(m[0])):
                 found.append(("card", *m.span()))
         for m in _LOOSE["ip"].finditer(text):
-            if all(map(_is_octet, re.findall("[0-9]+", m[0]))):
+            if all(map(_is_octet, _RUN.findall(m[0]))):
                 found.append(("ip", *m.span()))
         for m in _LOOSE["phone"].finditer(text):
             if 7 <= len(_digits(m[0])) <= 15:
@@ -160,29 +185,54 @@ def loose_spans(text: str, strict: list[tuple[str, int, int]]) -> list[tuple[str
     return out
 
 
-def context(text: str, begin: int, end: int) -> tuple[str, str]:
-    """Lower-cased words right before and after; open if only other characters are near."""
-
-    def word(found: re.Match | None, edge: str, at_edge: bool) -> str:
-        if found is None:
-            return edge if at_edge else OPEN
-        return NUMBER if found[1][0] == "_" or found[1][0].isdigit() else found[1].lower()
+def _words_on(near: Callable[[int], tuple[str, bool]], edge: str, count: int) -> list[str]:
+    """The first ``count`` words of what ``near`` gives in growing pieces, then the edge.
 
-    before = _BEFORE.search(text[max(0, begin - _NEAR) : begin])
-    after = _AFTER.match(text[end : end + _NEAR])
-    return word(before, BEGIN, begin <= _NEAR), word(after, END, end + _NEAR >= len(text))
-
-
-def context_patterns(before: str, after: str) -> list[tuple[str, str]]:
-    """The context and each of its sides alone."""
-    return [p for p in dict.fromkeys(((before, after), (before, OPEN), (OPEN, after))) if p != (OPEN, OPEN)]
+    ``near(n)`` is the next n characters and whether nothing follows them.
+    """
+    size = 64
+    while True:
+        piece, whole = near(size)
+        out, at = [], 0
+        while len(out) < count and (m := _NEXT.match(piece, at)) and (whole or m.end() < len(piece)):
+            out.append(NUMBER if m[1][0] == "_" or m[1][0].isdigit() else m[1].lower())
+            at = m.end()
+        if len(out) == count:
+            return out
+        if whole:
+            return [*out, edge]
+        size *= 4
+
+
+def context(text: str, begin: int, end: int) -> tuple[list[str], str]:
+    """Lower-cased words before (nearest first, two at most) and the word after."""
+    before = _words_on(lambda n: (text[max(0, begin - n) : begin][::-1], n >= begin), BEGIN, 2)
+    after = _words_on(lambda n: (text[end : end + n], end + n >= len(text)), END, 1)
+    return [w[::-1] for w in before], after[0]
+
+
+def shape(kind: str, text: str) -> str:
+    """Digits as 9 and letters as a; in addresses a run of a class is one character."""
+    if kind in ("card", "phone"):
+        return _DIGIT.sub("9", text)
+    return _RUN.sub("9", _LETTERS.sub("a", text))
+
+
+def induced(text: str, kind: str, begin: int, end: int) -> list[tuple[str, str, str]]:
+    """Patterns (before, after, shape) of one occurrence, without repeats."""
+    before, after = context(text, begin, end)
+    near = before[0]
+    out = [(near, after, OPEN), (near, OPEN, OPEN), (OPEN, after, OPEN), (OPEN, OPEN, shape(kind, text[begin:end]))]
+    if len(before) == 2:
+        out.append((f"{before[1]} {near}", OPEN, OPEN))
+    return out
 
 
 def normal_form(kind: str, text: str) -> str:
     if kind == "ip" and ":" in text:
         return ipaddress.IPv6Address(text).compressed
     if kind == "ip":
-        return ".".join(re.findall("[0-9]+", text))
+        return ".".join(_RUN.findall(text))
     return text.lower() if kind == "email" else _digits(text)
 
 
@@ -191,22 +241,15 @@ def render(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], rank[s[0]], s[2])))
 
 
-_EDGE = T.StructType(
-    [
-        T.StructField("kind", T.StringType()),
-        T.StructField("before", T.StringType()),
-        T.StructField("after", T.StringType()),
-        T.StructField("instance", T.StringType()),
-        T.StructField("seed", T.BooleanType()),
-    ]
-)
+PATTERN = ["kind", "before", "after", "shape"]
+_EDGE = T.StructType([*[T.StructField(c, T.StringType()) for c in (*PATTERN, "instance")], T.StructField("seed", T.BooleanType())])
 
 
 def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
-    """A row for each strict or loose span and each pattern of its context."""
+    """A row for each strict or loose span and each pattern it induces, once for a batch."""
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = []
+        rows = set()
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
@@ -214,9 +257,9 @@ def occurrences(docs: DataFrame, text_col: str) -> DataFrame:
             for seed, spans in ((True, strict), (False, loose_spans(text, strict))):
                 for kind, a, b in spans:
                     instance = hashlib.sha256(normal_form(kind, text[a:b]).encode()).hexdigest()[:32]
-                    rows += [(kind, *around, instance, seed) for around in context_patterns(*context(text, a, b))]
-        columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        types = [pa.string()] * 4 + [pa.bool_()]
+                    rows.update((kind, *p, instance, seed) for p in induced(text, kind, a, b))
+        columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        types = [pa.string()] * 5 + [pa.bool_()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=_EDGE.names)
 
     return docs.select(text_col).mapInArrow(map_slices(text_col, work), _EDGE)
@@ -226,6 +269,12 @@ def noisy_or(confidence: Column) -> Column:
     return 1 - F.exp(F.sum(F.log1p(-F.least(confidence, F.lit(0.999)))))
 
 
+def _along(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges with the columns of their nodes; each node's edges are dealt over ``SALTS`` parts."""
+    salted = nodes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.join(salted, [*keys, "salt"])
+
+
 def score_patterns(
     edges: DataFrame,
     *,
@@ -233,41 +282,52 @@ def score_patterns(
     min_confidence: float = MIN_CONFIDENCE,
     min_support: int = MIN_SUPPORT,
 ) -> DataFrame:
-    """Patterns (kind, before, after) with confidence, support and ``accepted``.
+    """Patterns with confidence, support, number of candidates and ``accepted``.
 
-    A pattern can only be accepted if ``min_support`` distinct seeds occur in
-    it, and only accepted patterns lend confidence to unseen instances, so
-    patterns short of that support leave the graph before the rounds begin.
+    Patterns without any candidate that also lack the support are left out: they
+    can neither be accepted nor lend anything.
     """
-    pattern = ["kind", "before", "after"]
-    graph = edges.groupBy(*pattern, "instance").agg(F.max("seed").alias("seed"))
-    support = graph.groupBy(*pattern).agg(
-        F.count_if(F.col("seed")).alias("support"), F.count(F.lit(1)).alias("instances")
+    graph = cut_lineage(edges.groupBy(*PATTERN, "instance").agg(F.max("seed").alias("seed")))
+    known = graph.groupBy(*PATTERN).agg(F.count_if("seed").alias("seeds"), F.count(F.lit(1)).alias("instances"))
+    known = cut_lineage(
+        known.withColumn("candidates", F.col("instances") - F.col("seeds")).where((F.col("candidates") > 0) | (F.col("seeds") >= min_support))
     )
-    supported = support.where(F.col("support") >= min_support)
-    # The strict side of a supported pattern needs no rows of its own: its sum of confidences is its support.
-    unseen = graph.where(~F.col("seed")).join(supported, pattern).select(*pattern, "instance")
-    patterns = supported.withColumn("confidence", F.col("support") / F.col("instances"))
-    for _ in range(rounds - 1):
-        instances = (
-            unseen.join(patterns.where(F.col("confidence") >= min_confidence), pattern)
-            .groupBy("kind", "instance")
-            .agg(noisy_or(F.col("confidence")).alias("belief"))
+    # The salt of an edge comes from its other end as a whole, so edges of one node differ in it.
+    salt = F.pmod(F.xxhash64(*PATTERN, "instance"), F.lit(SALTS)).cast("int")
+    unseen = cut_lineage(graph.where(~F.col("seed")).select(*PATTERN, "instance", salt.alias("salt")))
+    accepted = (F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)
+    patterns = known.select(*PATTERN, "candidates", F.col("seeds").alias("support"), (F.col("seeds") / F.col("instances")).alias("confidence"))
+    stamp = None
+    for _ in range(rounds):
+        lending = patterns.where(accepted & (F.col("candidates") > 0)).select(*PATTERN, "confidence")
+        believed = _along(unseen, lending, PATTERN).groupBy("kind", "instance").agg(noisy_or(F.col("confidence")).alias("belief"))
+        gained = (
+            _along(unseen, believed, ["kind", "instance"])
+            .groupBy(*PATTERN)
+            .agg(F.sum("belief").alias("gained"), F.count_if(F.col("belief") >= min_confidence).alias("more"))
+        )
+        patterns = cut_lineage(
+            known.join(gained, PATTERN, "left").select(
+                *PATTERN,
+                "candidates",
+                (F.col("seeds") + F.coalesce("more", F.lit(0))).alias("support"),
+                ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("instances")).alias("confidence"),
+            )
         )
-        gained = unseen.join(instances, ["kind", "instance"]).groupBy(*pattern).agg(F.sum("belief").alias("gained"))
-        patterns = supported.join(gained, pattern, "left").withColumn(
-            "confidence", (F.col("support") + F.coalesce("gained", F.lit(0.0))) / F.col("instances")
-        ).drop("gained")
-    return patterns.withColumn("accepted", F.col("confidence") >= min_confidence)
+        now = patterns.agg(F.count_if(accepted), F.round(F.sum("confidence"), 4)).first()
+        if now == stamp:
+            break
+        stamp = now
+    return patterns.withColumn("accepted", accepted)
 
 
 def accepted_blocks(patterns: DataFrame, block: int = PATTERN_BLOCK) -> list[frozenset]:
-    """Accepted patterns in sets of about ``block``, the bound of one broadcast."""
-    kept = cut_lineage(patterns.where("accepted").select("kind", "before", "after"))
+    """Accepted patterns with candidates, in sets of about ``block``, the bound of one broadcast."""
+    kept = cut_lineage(patterns.where(F.col("accepted") & (F.col("candidates") > 0)).select(*PATTERN))
     total = kept.count()
     blocks = -(-total // block)
     return [
-        frozenset(tuple(r) for r in kept.where(F.pmod(F.xxhash64("kind", "before", "after"), F.lit(blocks)) == k).toLocalIterator())
+        frozenset(tuple(r) for r in kept.where(F.pmod(F.xxhash64(*PATTERN), F.lit(blocks)) == k).toLocalIterator())
         for k in range(blocks)
     ]
 
@@ -283,7 +343,7 @@ def all_spans(text: str, blocks: list) -> tuple[list, list]:
     more = []
     if blocks:
         for kind, a, b in loose_spans(text, strict):
-            around = context_patterns(*context(text, a, b))
+            around = induced(text, kind, a, b)
             if any((kind, *p) in block.value for block in blocks for p in around):
                 more.append((kind, a, b))
     return strict, more

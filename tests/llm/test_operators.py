@@ -198,6 +198,79 @@ def test_one_sided_and_edge_contexts_find_unseen_identifiers(spark):
     assert not any(out[60 + i] for i in range(20))  # as many unseen as strict ones: the cue is not trusted
 
 
+def brute_graph(texts, rounds, min_confidence=0.9, min_support=5):
+    """Accepted patterns by plain dictionaries."""
+    members, seeds = {}, set()
+    for t in texts:
+        strict = pii.strict_spans(t)
+        for seed, spans in ((True, strict), (False, pii.loose_spans(t, strict))):
+            for kind, a, b in spans:
+                instance = (kind, pii.normal_form(kind, t[a:b]))
+                for p in pii.induced(t, kind, a, b):
+                    members.setdefault((kind, *p), {}).setdefault(instance, False)
+                    members[(kind, *p)][instance] |= seed
+    belief, accepted = {}, {}
+    for _ in range(rounds + 1):
+        confidence, support = {}, {}
+        for p, own in members.items():
+            value = [1.0 if seed else belief.get(i, 0.0) for i, seed in own.items()]
+            confidence[p] = sum(value) / len(value)
+            support[p] = sum(seed or belief.get(i, 0) >= min_confidence for i, seed in own.items())
+        accepted = {p for p in members if confidence[p] >= min_confidence and support[p] >= min_support}
+        miss = {}
+        for p in accepted:
+            for i, seed in members[p].items():
+                if not seed:
+                    miss[i] = miss.get(i, 1.0) * (1 - min(confidence[p], 0.999))
+        belief = {i: 1 - m for i, m in miss.items()}
+    return {p for p in accepted if not all(members[p].values())}
+
+
+def test_later_rounds_accept_patterns_that_no_seed_supports(spark):
+    texts = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)} phone: +1 (555) 555-{1000 + i}, x{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(150)]
+    texts += [f"q{chr(97 + i)} phone: (555) 555-{3000 + i}, y{chr(97 + i)}" for i in range(12)]  # seen beside seeds
+    texts += [f"r{chr(97 + i)} dial (555) 555-{3000 + i}. z{chr(97 + i)}" for i in range(12)]  # the same elsewhere
+    texts += ["now dial (555) 555-4999. gone", *[f"sum is (555) 555-{4990 + i}. gone" for i in range(5)]]
+    texts += [None, "", texts[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    edges = pii.occurrences(df, "text").persist()
+    for rounds in (1, 2, 20):
+        found = pii.score_patterns(edges, rounds=rounds).where("accepted and candidates > 0").collect()
+        assert {tuple(r[c] for c in pii.PATTERN) for r in found} == brute_graph([t or "" for t in texts], rounds), rounds
+    late = ("phone", "dial", "", "")
+    assert late not in brute_graph([t or "" for t in texts], 0) and late in brute_graph([t or "" for t in texts], 20)
+    spans = {r.doc_id: r.spans for r in pii.span_report(df).collect()}
+    assert spans[174] == "phone:9:23" and spans[150].startswith("phone:") and not any(spans[175 + i] for i in range(5))
+
+
+def test_personal_data_query_equals_brute_force_on_the_table(spark, documents):
+    texts = {d: r.text or "" for d, r in documents.items()}
+    accepted = brute_graph(texts.values(), pii.ROUNDS)
+    n = 0
+    for r in queries.op5_pii(spark, SF).collect():
+        t = texts[r.doc_id]
+        base = brute_pii(t)
+        more = [s for s in pii.loose_spans(t, base) if any((s[0], *p) in accepted for p in pii.induced(t, *s))]
+        render = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], pii.KINDS.index(s[0]), s[2])))
+        assert r.base_sha256 == hashlib.sha256(render(base).encode()).hexdigest() and r.spans == render(base + more)
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in pii.KINDS]
+        n += 1
+    assert n == len(texts)
+
+
+def test_contexts_and_candidates_have_no_length_limit():
+    far = "alpha" + " " * 100_000
+    t = far + "4111111111111111" + "!" * 100_000 + "omega"
+    a = len(far)
+    assert pii.context(t, a, a + 16) == (["alpha", pii.BEGIN], "omega")
+    word = "b" * 100_000
+    assert pii.context(f"{word} 1.2.3.4", 100_001, 100_008) == ([word, pii.BEGIN], pii.END)
+    name = "x" * 500
+    t = f"write {name} at {name} dot org now"
+    assert pii.loose_spans(t, []) == [("email", 6, 6 + 500 + 4 + 500 + 8)]
+    assert pii.loose_spans("a" * 200_000 + " at " + "b" * 200_000, []) == [] and pii.loose_spans("met at home. And", []) == []
+
+
 def test_tokens_equal_the_reference_tokeniser_and_round_trip(spark, documents):
     ranks = bpe.load_ranks(RANKS)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
