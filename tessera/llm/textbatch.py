@@ -7,7 +7,7 @@ long texts, so the Python side only ever materialises a bounded slice of it
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,3 +59,11 @@ def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     starts = np.zeros(len(texts), dtype=np.int64)
     np.cumsum(sizes[:-1] + 1, out=starts[1:])
     return flat, starts
+
+
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name`` for a helper column, lengthened until no column of ``taken`` has it (in any case of letters)."""
+    used = {c.lower() for c in taken}
+    while name in used:
+        name += "_"
+    return name
