@@ -12,12 +12,19 @@ looked at.  They must hold k of the template's tokens (length filter) from the
 shared one on (positional filter: it is the first one shared by some window).
 What passes is verified window by window, so the result is exact.
 
-The only broadcast is the template table, a constant of this module.
-
-Defined results: null and empty texts have no words and no labels; words are
-runs of digits, a-z and characters beyond ASCII after lower-casing A-Z;
-repeated rows are processed row by row; a score is the best containment of any
-template (0 without a shared prefix token).
+The templates are a constant of this module and stand in the plan as a literal
+map from prefix tokens, so a row is joined with them where it is read: nothing
+is shuffled but the document frequencies of the templates' tokens.
+
+Defined results: null and empty texts have no words and no labels, an empty
+table gives no rows; words are runs of digits, a-z and characters beyond ASCII
+after lower-casing A-Z, and nothing else is folded; every row is judged by its
+own text, so rows with null or repeated ids are like others; equal containments
+of several windows keep the last window around a token; a score is the best
+containment of any template (0 without a shared prefix token); texts are
+processed whole, in time about linear in their length; other columns are not
+returned by ``license_report`` and are kept, whatever their names, by
+``match_blocks`` (an existing ``out_col`` is replaced).
 """
 
 from __future__ import annotations
@@ -27,6 +34,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.columns import before, let, nothing
+from tessera.llm.textbatch import fresh
+
 # Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -67,9 +77,10 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def normalised(text: Column) -> Column:
     """Words with one space before, between and after; a lone space if none."""
-    # lower() also folds letters beyond ASCII; these stay word characters, and
-    # none of them folds into a letter of a phrase or template.
-    return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), SEPARATORS, " ")), F.lit(" "))
+    # Of all characters beyond ASCII, lower() makes a letter a-z of the Kelvin sign alone; what it makes of others
+    # stays beyond ASCII (in whole or in part), so no phrase or template can tell. This is much faster than translate().
+    folded = F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(folded, SEPARATORS, " ")), F.lit(" "))
 
 
 def template_rows() -> list[tuple[int, str, str]]:
@@ -89,107 +100,108 @@ def document_frequency(words: Column, tokens: list[str], docs: DataFrame) -> dic
 
 def phrase_places(words: Column, phrase: str) -> Column:
     """Word positions at which ``phrase`` begins."""
-    gaps = F.split(words, f"(?<= ){phrase}(?= )", -1)
-    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
     size = len(phrase.split())
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    spaces = lambda s: F.length(s) - F.length(F.replace(s, F.lit(" "), F.lit("")))
 
-    def step(acc: Column, gap: Column) -> Column:
-        begin = acc["at"] + spaces(gap)
-        return F.struct((begin + size - 1).alias("at"), F.array_append(acc["out"], begin - 1).alias("out"))
+    def places(gaps: Column) -> Column:
+        inner = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), spaces)
+        put = lambda own: F.zip_with(own, before(F.transform(own, lambda n: n + size - 1), 0, lambda x, y: x + y), lambda n, at: at + n - 1)
+        return let(inner, put)
 
-    found = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step, lambda acc: acc["out"])
-    return F.when(F.contains(words, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
+    found = let(F.split(words, f"(?<= ){phrase}(?= )", -1), places)
+    return F.when(F.contains(words, F.lit(f" {phrase} ")), found).otherwise(nothing("array<int>"))
 
 
-def match_blocks(docs: DataFrame, *, key_col: str, text_col: str, threshold: float = THRESHOLD) -> DataFrame:
-    """(key, block, template, label, containment) of matching windows; block is the window's first word.
+MATCH = "array<struct<block:int,template:int,label:string,containment:double>>"
 
-    Around each shared prefix token the best window is returned.
+
+def match_blocks(docs: DataFrame, *, text_col: str = "text", out_col: str = "matches", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with an array of matching windows (block, template, label, containment).
+
+    ``block`` is the window's first word.  Around each shared prefix token the
+    best window is returned.
     """
-    spark = docs.sparkSession
-    words = normalised(F.coalesce(F.col(text_col), F.lit("")))
+    held = fresh([*docs.columns, out_col], "words")
+    source = docs.withColumn(held, normalised(F.coalesce(F.col(text_col), F.lit(""))))
+    return _with_matches(source, held, out_col, threshold).drop(held)
+
+
+def _with_matches(docs: DataFrame, held: str, out_col: str, threshold: float) -> DataFrame:
+    """``match_blocks`` over texts already normalised in the column ``held``."""
     tokens = vocabulary()
-    frequency = document_frequency(F.col("w"), tokens, docs.select(words.alias("w")))
+    frequency = document_frequency(F.col("w"), tokens, docs.select(F.col(held).alias("w")))
     order = {t: i for i, t in enumerate(sorted(tokens, key=lambda t: (frequency[t], t)))}
-    prefix = []
+    prefix: dict[str, list[Column]] = {}
+    reach = 0
     for i, label, text in template_rows():
         own = sorted(set(text.split()), key=order.get)
         need = math.ceil(threshold * len(own) - 1e-9)
         span = math.ceil(SPAN * len(text.split()))
-        prefix += [(t, own[at:], i, label, own, need, span) for at, t in enumerate(own[: len(own) - need + 1])]
-    table = F.broadcast(
-        spark.createDataFrame(prefix, "token string, rest array<string>, template int, label string, own array<string>, need int, span int")
-    )
-    rare = sorted({p[0] for p in prefix}, key=order.get)
-    reach = max(p[6] for p in prefix)
+        reach = max(reach, span)
+        for at, token in enumerate(own[: len(own) - need + 1]):
+            fields = {"rest": own[at:], "template": i, "label": label, "own": own, "need": need, "span": span}
+            prefix.setdefault(token, []).append(F.struct(*[F.lit(v).alias(k) for k, v in fields.items()]))
+    rare = sorted(prefix, key=order.get)
+    table = F.create_map(*[x for t in rare for x in (F.lit(t), F.array(*prefix[t]))])
+
+    def probe(w: Column) -> Column:
+        places = F.filter(F.transform(w, lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda x: x["token"].isin(rare))
+        return F.flatten(F.transform(places, lambda x: around(w, x["at"], F.element_at(table, x["token"]))))
+
+    def around(w: Column, at: Column, templates: Column) -> Column:
+        """Best window of each template whose prefix holds the word at ``at``."""
+
+        def pick(t: Column) -> Column:
+            low = F.greatest(at - (t["span"] - 1), F.lit(0))
+            high = F.least(at + t["span"], F.size(w)) - 1
+            near = F.transform(F.sequence(low, high), lambda k: F.get(w, k))
+            return let(near, lambda n: best(n, low, t))
+
+        def best(near: Column, low: Column, t: Column) -> Column:
+            windows = F.transform(
+                F.sequence(F.lit(0), at - low), lambda k: F.struct(F.size(F.array_intersect(F.slice(near, k + 1, t["span"]), t["own"])).alias("n"), k.alias("k"))
+            )
+            passed = F.size(F.array_intersect(near, t["rest"])) >= t["need"]
+            return F.when(passed, let(F.array_max(windows), lambda m: found(m, low, t))).otherwise(nothing(MATCH))
+
+        def found(m: Column, low: Column, t: Column) -> Column:
+            one = F.struct((low + m["k"]).alias("block"), t["template"].alias("template"), t["label"].alias("label"), (m["n"] / F.size(t["own"])).alias("containment"))
+            return F.when(m["n"] >= t["need"], F.array(one)).otherwise(nothing(MATCH))
+
+        return F.flatten(F.transform(templates, pick))
+
     any_rare = " (" + "|".join(rare) + ") "
-    split = (
-        docs.select(F.col(key_col).alias("key"), normalised(F.col(text_col)).alias("w"))
-        .where(F.col("w").rlike(any_rare))
-        .select("key", F.split(F.trim("w"), " ").alias("w"))
-    )
-    places = F.filter(F.transform("w", lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda x: x["token"].isin(rare))
-
-    def around(x: Column) -> Column:
-        low = F.greatest(x["at"] - (reach - 1), F.lit(0))
-        return F.struct(x["at"].alias("at"), x["token"].alias("token"), low.alias("low"), F.slice("w", low + 1, x["at"] - low + reach).alias("near"))
-
-    # Only the words around a prefix token leave the text.
-    probes = split.select("key", F.explode(F.transform(places, around)).alias("p")).select("key", "p.*")
-    low = F.greatest(F.col("at") - (F.col("span") - 1), F.lit(0))
-    passed = (
-        probes.join(table, "token")
-        .withColumn("start", low)
-        .withColumn("near", F.slice("near", F.col("start") - F.col("low") + 1, F.col("at") - F.col("start") + F.col("span")))
-        .where(F.size(F.array_intersect("near", "rest")) >= F.col("need"))
-    )
-    windows = F.transform(
-        F.sequence(F.lit(0), F.col("at") - F.col("start")),
-        lambda k: F.struct(F.size(F.array_intersect(F.slice("near", k + 1, F.col("span")), F.col("own"))).alias("n"), (-k).alias("k")),
-    )
-    return (
-        passed.withColumn("best", F.array_max(windows))
-        .where(F.col("best.n") >= F.col("need"))
-        .select(
-            "key", (F.col("start") - F.col("best.k")).alias("block"), "template", "label", (F.col("best.n") / F.size("own")).alias("containment")
-        )
-        .distinct()
-    )
+    matches = F.array_distinct(let(F.split(F.trim(held), " "), probe))
+    return docs.withColumn(out_col, F.when(F.col(held).rlike(any_rare), matches).otherwise(nothing(MATCH)))
 
 
 def license_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: words, phrase places, phrase labels, all labels and a score.
+    """Per row: words, phrase places, phrase labels, all labels and a score.
 
     The score is the best containment, or 1 where a phrase stands literally.
-    Repeated ids share the labels that any of their rows earned.
     """
-    source = docs.select(F.col(id_col), F.col(text_col))
-    words = normalised(F.coalesce(F.col(text_col), F.lit("")))
-    place = source.select(id_col, words.alias("w"))
-    spaces = F.length("w") - F.length(F.replace(F.col("w"), F.lit(" "), F.lit("")))
-    places = [phrase_places(F.col("w"), p) for p in PHRASES]
-    base = place.select(
+    taken = [id_col, text_col]
+    held, places, base, more = (fresh(taken, n) for n in ("words", "places", "phrases", "matches"))
+    found = docs.select(id_col, normalised(F.coalesce(F.col(text_col), F.lit(""))).alias(held))
+    found = _with_matches(found, held, more, threshold)
+    w = F.col(held)
+    spaces = F.length(w) - F.length(F.replace(w, F.lit(" "), F.lit("")))
+    found = found.select(
         id_col,
-        F.when(F.col("w") == "  ", 0).otherwise(spaces - 1).cast("long").alias("n_words"),
-        F.concat(*places).alias("__places"),
-        F.array_compact(F.array(*[F.when(F.size(p) > 0, label) for p, label in zip(places, PHRASES.values(), strict=True)])).alias("__base"),
-    )
-    matched = (
-        match_blocks(source.where(F.col(id_col).isNotNull()), key_col=id_col, text_col=text_col, threshold=threshold)
-        .groupBy("key")
-        .agg(F.collect_set("label").alias("__more"), F.max("containment").alias("__best"))
+        more,
+        F.when(w == "  ", 0).otherwise(spaces - 1).cast("long").alias("n_words"),
+        F.array(*[phrase_places(w, p) for p in PHRASES]).alias(places),
     )
-    joined = base.join(matched, F.col(id_col) == F.col("key"), "left").drop("key")
-    mine = F.sort_array(F.array_distinct("__base"))
-    every = F.sort_array(F.array_union("__base", F.coalesce("__more", F.array().cast("array<string>"))))
-    return joined.select(
+    labels = F.lit(list(PHRASES.values()))
+    held_labels = F.filter(F.zip_with(places, labels, lambda p, label: F.when(F.size(p) > 0, label)), lambda x: x.isNotNull())
+    found = found.select(id_col, "n_words", F.flatten(places).alias(places), held_labels.alias(base), more)
+    return found.select(
         id_col,
         "n_words",
-        F.size("__places").cast("long").alias("n_base"),
-        F.array_min("__places").cast("long").alias("first_word"),
-        F.array_max("__places").cast("long").alias("last_word"),
-        F.array_join(mine, ",").alias("base_labels"),
-        F.array_join(every, ",").alias("labels"),
-        F.when(F.size("__base") > 0, 1.0).otherwise(F.coalesce("__best", F.lit(0.0))).alias("score"),
+        F.size(places).cast("long").alias("n_base"),
+        F.array_min(places).cast("long").alias("first_word"),
+        F.array_max(places).cast("long").alias("last_word"),
+        F.array_join(F.sort_array(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, F.transform(more, lambda x: x["label"]))), ",").alias("labels"),
+        F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform(more, lambda x: x["containment"])), F.lit(0.0))).alias("score"),
     )

@@ -4,7 +4,9 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
+from collections import Counter
 from itertools import combinations
 
 import numpy as np
@@ -445,8 +447,9 @@ def test_license_places_and_templates(spark):
                 if len(own & tokens) >= math.ceil(license_scan.THRESHOLD * len(tokens) - 1e-9):
                     want.setdefault(d, set()).add(label)
     got = {}
-    for r in license_scan.match_blocks(df, key_col="doc_id", text_col="text").collect():
-        got.setdefault(r.key, set()).add(r.label)
+    for r in license_scan.match_blocks(df).collect():
+        for m in r.matches:
+            got.setdefault(r.doc_id, set()).add(m.label)
     assert got == want
 
 
@@ -471,13 +474,122 @@ def test_license_blocks_do_not_depend_on_line_breaks(spark):
                 want[d, n] = most / len(tokens)
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {}
-    for r in license_scan.match_blocks(df, key_col="doc_id", text_col="text").collect():
-        got[r.key, r.template] = max(r.containment, got.get((r.key, r.template), 0))
+    for r in license_scan.match_blocks(df).collect():
+        for m in r.matches:
+            got[r.doc_id, m.template] = max(m.containment, got.get((r.doc_id, m.template), 0))
     assert got == want and len(want) > 60
     labels = {r.doc_id: r.labels for r in license_scan.license_report(df.where("doc_id < 10")).collect()}
     assert labels == {1: "lgpl", 2: "", 3: "lgpl"}
 
 
+def brute_licenses(text):
+    """Row of the query by plain loops: words, places, labels and score."""
+    own, places, base, best = words(text), [], set(), {}
+    for phrase, label in license_scan.PHRASES.items():
+        p = phrase.split()
+        found = [i for i in range(len(own)) if own[i : i + len(p)] == p]
+        places += found
+        base |= {label} if found else set()
+    for _, label, tpl in license_scan.template_rows():
+        tokens, span = set(tpl.split()), math.ceil(license_scan.SPAN * len(tpl.split()))
+        most = max([len(tokens & set(own[k : k + span])) for k in range(len(own))], default=0)
+        if most >= math.ceil(license_scan.THRESHOLD * len(tokens) - 1e-9):
+            best[label] = max(best.get(label, 0), most / len(tokens))
+    score = 1.0 if base else max(best.values(), default=0.0)
+    edge = lambda f: f(places) if places else None
+    return len(own), len(places), edge(min), edge(max), ",".join(sorted(base)), ",".join(sorted(base | set(best))), pytest.approx(score)
+
+
+def test_license_query_equals_brute_force_on_the_table(spark, documents):
+    found = queries.op10_license_scan(spark, SF).collect()
+    assert len(found) == len(documents) and any(r.labels for r in found)
+    for r in found:
+        assert tuple(r)[1:] == brute_licenses(documents[r.doc_id].text)
+
+
+def test_license_labels_belong_to_rows_not_ids(spark):
+    kelvin = "this wor\u212a is licensed under the gnu general public license version 3"
+    lesser = license_scan.TEMPLATES["lgpl"][0]
+    texts = [lesser, "nothing here", lesser, None, kelvin, "MIT license. " * 30_000, "licensed " * 60_000]
+    df = spark.createDataFrame([(i, t, 1.0) for i, t in zip([None, None, 7, 7, 8, 9, 10], texts, strict=True)], "doc_id long, words string, matches double")
+    found = license_scan.license_report(df, text_col="words").collect()
+    assert sorted((r.doc_id or 0, r.labels) for r in found) == sorted(zip([0, 0, 7, 7, 8, 9, 10], ["lgpl", "", "lgpl", "", "gpl", "mit", ""], strict=True))
+    by = {r.doc_id: r for r in found}
+    assert (by[9].n_base, by[9].first_word, by[9].last_word) == (30_000, 0, 59_998)
+    # The Kelvin sign is no letter k.
+    w = spark.createDataFrame([(kelvin,)], "t string").select(license_scan.normalised(F.col("t"))).first()[0]
+    assert "work" not in w
+    # Of all other code points beyond ASCII none is folded to letters a-z alone.
+    points = spark.range(0x80, 0x110000).where("id < 55296 or id > 57343").select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("c"))
+    assert [r.id for r in points.where(F.lower("c").rlike("^[\\x00-\\x7F]+$")).collect()] == [0x212A]
+    kept = license_scan.match_blocks(df, text_col="words")
+    assert kept.columns == ["doc_id", "words", "matches"] and kept.count() == 7
+
+
+def test_long_texts_of_many_matches_end_soon(spark):
+    rng = np.random.default_rng(12)
+    letters = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    image = "".join(rng.choice(letters, 100_000))
+    rows = [(1, "ab12 " * 200_000), (2, "deadbeef00112233 " * 60_000), (3, f"see {image} end"), (4, "token=abcdef012345xyz " * 30_000), (5, "secret=ab " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in secret_scan.secret_report(df).collect()}
+    masked = {r.doc_id: r.text for r in secret_scan.mask_secrets(df).collect()}
+    assert time.monotonic() - began < 90
+    assert out[1].spans == "" and out[2].n_hex == 60_000 and out[3].spans == "entropy:4:100004" and out[4].n_assign == 30_000 and out[5].spans == ""
+    for i, t in rows:
+        if i != 3:
+            assert out[i].base_sha256 == hashlib.sha256(brute_secrets(t).encode()).hexdigest()
+    assert masked == {1: rows[0][1], 2: "[SECRET] " * 60_000, 3: "see [SECRET] end", 4: "[SECRET] " * 30_000, 5: rows[4][1]}
+
+
+def test_entropy_spans_equal_a_window_scan_by_force(spark):
+    rng = np.random.default_rng(13)
+    alphabets = ["0123456789abcdef", "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", "abAB12+/", "aB3"]
+    texts, want = [], []
+    for _ in range(300):
+        parts = ["".join(rng.choice(list(str(rng.choice(alphabets))), int(rng.integers(5, 70)))) for _ in range(int(rng.integers(1, 4)))]
+        texts.append(" , ".join(parts))
+        spans = []
+        for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", texts[-1]):
+            s = m[0]
+            if re.search(r"AKIA[A-Z0-9]{14,}|[0-9a-f]{16,}", s) or re.search(secret_scan.ALLOW.replace("(?i)", "", 1).replace("(?-i:", "(?-i:"), s, re.I):
+                continue
+            best = max(-sum(c / 20 * math.log2(c / 20) for c in Counter(s[i : i + 20]).values()) for i in range(len(s) - 19))
+            kind = "hex" if re.fullmatch("[0-9a-fA-F-]+", s) else "alnum" if re.fullmatch("[A-Za-z0-9]+", s) else "base64"
+            if best >= secret_scan.THRESHOLDS[kind] + 1e-9:
+                spans.append(f"entropy:{m.start()}:{m.end()}")
+            elif best >= secret_scan.THRESHOLDS[kind] - 1e-9:
+                spans = None  # a tie in floating point: not compared
+                break
+        want.append(spans)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    checked = 0
+    for r in secret_scan.secret_report(df).collect():
+        if want[r.doc_id] is not None:
+            assert [s for s in r.spans.split(",") if s.startswith("entropy")] == want[r.doc_id], texts[r.doc_id]
+            checked += len(want[r.doc_id])
+    assert checked > 50
+
+
+def test_overlapping_secrets_are_masked_together_and_columns_kept(spark):
+    t = "x 0123456789abcdefapi_key=0123456789abcdef0123 y password: 'hunter2hunter2' z"
+    df = spark.createDataFrame([(1, t, 5, 6), (1, t, 5, 6), (None, None, 7, 8)], "doc_id long, text string, assigns int, secrets int")
+    out = secret_scan.mask_secrets(df)
+    assert out.columns == df.columns
+    assert sorted((r.text or "", r.assigns) for r in out.collect()) == [("", 7), ("x [SECRET] y [SECRET]' z", 5), ("x [SECRET] y [SECRET]' z", 5)]
+    assert set(secret_scan.find_secrets(df).columns) == {"doc_id", "text", "assigns", "secrets"}
+
+
+def test_secret_query_equals_brute_force_on_the_table(spark, documents):
+    for r in queries.op7_secret_scan(spark, SF).collect():
+        want = brute_secrets(documents[r.doc_id].text or "")
+        kinds = [s.split(":")[0] for s in want.split(",")]
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [kinds.count(k) for k in ("assign", "access", "hex")]
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+
+
 def test_pipeline_stages_take_effect(spark, documents):
     import corpus_pipeline
 
