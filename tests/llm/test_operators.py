@@ -93,6 +93,54 @@ def test_ann_recall_ties_and_unusable_vectors(spark):
     assert ann.nearest(df.where("vec_id < 4"), F.col("vec_id") == 0).count() == 3
 
 
+def test_ann_repeated_rows_and_ids(spark, monkeypatch):
+    """Every query id has k different neighbours once, by the smallest distance of any of its rows."""
+    rng = np.random.default_rng(5)
+    E = rng.standard_normal((60, 8)).astype(np.float32)
+    rows = [(i % 40, E[i]) for i in range(60)] + [(i % 40, E[i]) for i in range(0, 60, 3)] + [(50, E[7])] * 3
+    df = spark.createDataFrame([(i, [float(v) for v in x], "x") for i, x in rows], "vec_id long, embedding array<float>, ids string")
+    D = lambda a, b: float(np.sqrt(((a.astype(float) - b.astype(float)) ** 2).sum()))
+    for depth, tables, probes in ((1, 1, 16), (2, 1, 256), (3, 2, 4096)):  # all keys: the search is exact
+        for block in (8192, 7):
+            monkeypatch.setattr(ann, "BLOCK", block)
+            got = {}
+            found = ann.nearest(df, F.col("vec_id").isin(0, 7, 50), depth=depth, tables=tables, probes=probes)
+            for r in found.collect():
+                got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+            for q in (0, 7, 50):
+                best = {}
+                for a in (x for i, x in rows if i == q):
+                    for i, b in rows:
+                        if i != q:
+                            best[i] = min(best.get(i, 9e9), D(a, b))
+                want = sorted((d, i) for i, d in best.items())[:10]
+                assert sorted(got[q]) == [(n + 1, i, pytest.approx(d, abs=1e-12)) for n, (d, i) in enumerate(want)]
+
+
+def test_ann_recall_on_the_tables(spark):
+    """Recall and the share of rows met; depth 2 is what tables of 10,000 rows and more get."""
+    for sf, depth in (("sf0.01", None), ("sf0.1", None), ("sf0.1", 2)):
+        d = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+        rows = d.where(ann.usable(F.col("embedding"))).select("vec_id", "embedding").collect()
+        ids, E = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+        plan = ann.search_plan(len(E), E.shape[1]) if depth is None else (depth, ann.TABLES[depth - 1], ann.PROBES[depth - 1])
+        model = ann.CrossPolytope(E.shape[1], E.mean(0), plan[1], plan[0])
+        at = np.flatnonzero(ids % 100 == 0)
+        keys, asked = model.keys(E), model.probes(E[at], plan[2])
+        met = np.mean([np.any([np.isin(keys[:, t], asked[q, t]) for t in range(plan[1])], axis=0).mean() for q in range(len(at))])
+        assert met < (0.55 if plan[0] == 1 else 0.25)
+        got = {}
+        for r in ann.nearest(d, F.col("vec_id") % 100 == 0, depth=plan[0], tables=plan[1], probes=plan[2]).collect():
+            got.setdefault(r.query_id, set()).add(r.vec_id)
+        recall = []
+        for i in at.tolist():
+            dist = np.sqrt(((E - E[i]) ** 2).sum(1))
+            dist[i] = np.inf
+            recall.append(len(set(ids[np.lexsort((ids, dist))[:10]].tolist()) & got[int(ids[i])]) / 10)
+        assert np.mean(recall) >= (0.9 if plan[0] == 1 else 0.85), (sf, plan, np.mean(recall))
+    assert [ann.search_plan(n, 64)[0] for n in (500, 8_192, 8_193, 10**6, 10**7, 10**9)] == [1, 1, 2, 2, 3, 4]
+
+
 def test_language_held_out_accuracy_and_mixtures(spark, documents):
     rows = [r for r in queries.op2_language_id(spark, SF).collect() if r.held_out]
     assert np.mean([r.lang_pred == documents[r.doc_id].lang for r in rows]) >= 0.95
