@@ -7,34 +7,56 @@ from pyspark.sql import functions as F
 
 from tessera.runtime import cut_lineage
 
+#: A node with more edges than this, or than one ``HOT_NODES``-th of all, is joined by broadcast.
+HOT_DEGREE, HOT_NODES = 256, 50_000
+
+
+def _least_neighbour(edges: DataFrame, total: int, *, or_self: bool) -> DataFrame:
+    """``edges`` (a, b) with m, the smallest b of each a (or a itself if that is smaller).
+
+    The minimum is found with partial aggregates.  Nodes whose edges are many would
+    come together in one task when they are joined; there are ``HOT_NODES`` such
+    nodes at most, so they are broadcast and only the others are shuffled.
+    """
+    m = F.least("n", F.min("b")) if or_self else F.min("b")
+    low = edges.withColumnRenamed("a", "n").groupBy("n").agg(m.alias("m"), F.count(F.lit(1)).alias("degree"))
+    hot = F.col("degree") > max(HOT_DEGREE, total // HOT_NODES)
+    few = cut_lineage(low.where(hot).select("n", "m"))
+    if few.isEmpty():
+        return edges.join(low.select("n", "m"), F.col("a") == F.col("n")).drop("n")
+    marked = edges.join(F.broadcast(few), F.col("a") == F.col("n"), "left").drop("n")
+    rest = marked.where(F.col("m").isNull()).drop("m").join(low.where(~hot).select("n", "m"), F.col("a") == F.col("n")).drop("n")
+    return marked.where(F.col("m").isNotNull()).unionByName(rest)
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) over undirected edges (a, b): root is the smallest node connected.
 
-    Alternates large-star and small-star steps until nothing changes.  The edges
-    are replaced in every round and never grow in number; lineage is cut after
-    each.  Nodes without an edge to another node are absent.
+    Nodes may be of any type with an order, also structs.  Alternates large-star
+    and small-star steps until nothing changes.  The edges are replaced in every
+    round and never grow in number; lineage is cut after each.  Nodes without an
+    edge to another node are absent; edges with a null end are ignored.
     """
     start = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     current, before = cut_lineage(start), None
-    while not current.isEmpty():
+    total = current.count()
+    while total:
         # Large star: every larger neighbour is linked to the smallest node around.
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
         large = (
-            both.where(F.col("b") > F.col("a"))
-            .join(low, F.col("a") == F.col("n"))
+            _least_neighbour(both, 2 * total, or_self=True)
+            .where(F.col("b") > F.col("a"))
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .distinct()
         )
         # Small star: smaller neighbours and the node itself are linked to the smallest one.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
+        joined = _least_neighbour(cut_lineage(large), total, or_self=False)
         moved = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        current = cut_lineage(moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct())
+        kept = joined.where(F.col("b") == F.col("m")).select("a", "b")
+        current = cut_lineage(moved.unionByName(kept).distinct())
         stamp = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stamp == before:
             break
-        before = stamp
+        before, total = stamp, stamp[0]
     roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -88,6 +88,29 @@ def test_components_of_chains(spark):
     assert all(roots[i] == 1 for i in range(1, 41)) and roots[101] == 100 and len(roots) == 42
 
 
+def test_components_of_hubs_and_of_struct_nodes(spark, monkeypatch):
+    """Nodes of many edges take the broadcast way; results equal a union-find."""
+    monkeypatch.setattr(graph, "HOT_DEGREE", 8)
+    rng = np.random.default_rng(3)
+    pairs = [(0, int(i)) for i in range(1, 200)] + [(500, int(i)) for i in range(300, 500)] + [(int(a), int(b)) for a, b in rng.integers(600, 900, (250, 2))] + [(199, 300)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    edges = spark.createDataFrame([*pairs, *pairs[:50]], "a long, b long")
+    want = {x: find(x) for p in pairs if p[0] != p[1] for x in p}
+    assert {r.node: r.root for r in graph.connected_components(edges).collect()} == want
+    named = edges.select(F.struct(F.col("a").alias("k"), F.lit("x").alias("t")).alias("a"), F.struct(F.col("b").alias("k"), F.lit("x").alias("t")).alias("b"))
+    assert {r.node.k: r.root.k for r in graph.connected_components(named).collect()} == want
+    assert graph.connected_components(edges.limit(0)).count() == 0
+
+
 def test_barriers_hide_samples_from_the_fit(spark):
     pts = [(i, -4.0 + (i % 9), -4.0 + i // 9) for i in range(81)]
     s = spark.createDataFrame(pts, "id long, x double, y double").withColumns({"p11": F.lit(1.0), "p12": F.lit(0.0), "p22": F.lit(1.0)})
