@@ -14,15 +14,22 @@
    member its number of links and the smallest member it is connected to.
 5. Components over the verified links give the class ids.
 
+Sets of many copies, groups of many members and nodes of many edges are joined
+by broadcasts whose size is bounded by a share of all rows or checked first;
+only the others are shuffled on their key.
+
 Words are runs of digits, a-z and characters beyond ASCII after lower-casing
 A-Z.  A text with fewer words than ``n`` (but at least one) has one n-gram of
 all of them.
 
 Defined results: texts without words (null and empty ones too) link to nothing
 and are classes of their own; rows with a null id are ignored; rows with the
-same id and the same text are one document, with different texts they are
-documents that share an id and get the smaller class id; a class id is the
-smallest document id in it.
+same id and the same text are one document; different texts that share an id are
+classes of their own, and their id gets the smaller class id and the larger
+number of links; a class id is the smallest document id in it, ties between
+sets that share it go to the smaller set hash; a similarity equal to the
+threshold is a link; an empty table gives no rows; other columns take no part,
+whatever their names, and are kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -38,13 +45,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.decontam import words
-from tessera.llm.textbatch import map_slices
+from tessera.llm.textbatch import fresh, map_slices
+from tessera.operators.graph import connected_components
 from tessera.runtime import cut_lineage
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 128
 BLOCK_GRAMS, BLOCK_ROWS = 4_000_000, 16_384
 TILE = 2048
 SEED = 11
+#: A set with more copies than this, or than one ``HOT_SETS``-th of all rows, is joined by broadcast; so are the
+#: sizes of split groups, if they are no more than ``HOT_SETS``.
+HOT_COPIES, HOT_SETS = 256, 50_000
 
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -121,6 +132,7 @@ class Signature:
 _FEATURES = T.StructType(
     [
         T.StructField("id", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
         T.StructField("set_hash", T.BinaryType()),
         T.StructField("n_grams", T.IntegerType()),
         T.StructField("bands", T.ArrayType(T.LongType())),
@@ -129,7 +141,8 @@ _FEATURES = T.StructType(
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    text = F.col(text_col)
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def features(source: DataFrame, n: int, plan: tuple[int, int]) -> DataFrame:
@@ -146,7 +159,7 @@ def features(source: DataFrame, n: int, plan: tuple[int, int]) -> DataFrame:
                 digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
                 bands.append(sign(grams) if len(grams) else None)
             return pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
+                [batch.column("id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
                 names=_FEATURES.names,
             )
 
@@ -155,46 +168,8 @@ def features(source: DataFrame, n: int, plan: tuple[int, int]) -> DataFrame:
     return source.mapInArrow(lambda batches: map_slices("text", start())(batches), _FEATURES)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) over undirected edges (a, b): root is the smallest node connected.
-
-    Alternates large-star and small-star steps until nothing changes.  Every step
-    is two aggregations; its result replaces the edges, so their number never
-    grows, and lineage is cut after each round.
-    """
-    current = cut_lineage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = (0, None)
-    while True:
-        if current.isEmpty():
-            break
-        # Large star: every larger neighbour is linked to the smallest one around (or the node itself).
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), F.least("a", "m").alias("m"))
-        large = both.join(low, both["a"] == low["n"]).where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # Small star: smaller neighbours and the node itself are linked to the smallest one.
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
-        small = (
-            joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .unionByName(least.select("a", F.col("m").alias("b")))
-            .distinct()
-        )
-        current = cut_lineage(small)
-        stamp = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if stamp == before:
-            break
-        before = stamp
-    roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
-_LINKS = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("links", T.LongType()),
-        T.StructField("low", T.LongType()),
-    ]
-)
+_NODE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("set_hash", T.BinaryType())])
+_LINKS = T.StructType([T.StructField("node", _NODE), T.StructField("links", T.LongType()), T.StructField("low", _NODE)])
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -248,14 +223,14 @@ def _even_parts(sizes: np.ndarray, most: int) -> Iterator[slice]:
 
 
 def link_block(
-    ids: np.ndarray, weight: np.ndarray, half: np.ndarray, sets: list[np.ndarray], threshold: float, cross: bool
+    weight: np.ndarray, half: np.ndarray, sets: list[np.ndarray], threshold: float, cross: bool
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Links and smallest connected id of each member of one block pair.
+    """Links and first connected member of each member of one block pair.
 
     cross: the cell pairs two blocks, and only pairs across count, none if a
     block is empty; else all pairs do.  half: 0 or 1, the member's block.
     """
-    n = len(ids)
+    n = len(sets)
     links, parent = np.zeros(n, dtype=np.int64), np.arange(n)
     sizes = np.array([len(s) for s in sets], dtype=np.float32)
     order = np.argsort(sizes, kind="stable")
@@ -285,8 +260,8 @@ def link_block(
                 links[b] += linked.T @ weight[a]
             _unite(linked, a, b, parent, root)
     top = np.array([root(i) for i in range(n)])
-    low = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(low, top, ids)
+    low = np.full(n, n)
+    np.minimum.at(low, top, np.arange(n))
     return links, low[top]
 
 
@@ -306,39 +281,32 @@ def _unite(linked: np.ndarray, a: np.ndarray, b: np.ndarray, parent: np.ndarray,
         seen[row] = k
 
 
-def near_duplicates(
-    docs: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    n: int = NGRAM,
-    threshold: float = THRESHOLD,
-    recall: float = RECALL,
-) -> DataFrame:
-    """(id, class_id, n_links) for every document with a non-null id.
+def _classified(source: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """(id, text_hash, set_hash, root, n_links) of every row of ``source``.
 
-    ``n_links`` counts the other documents whose n-gram sets have a Jaccard
-    similarity of at least ``threshold``; ``class_id`` is the smallest id among
-    those connected by links.
+    ``root`` is the first node (rep, set_hash) of the row's class; it is null
+    for texts without words.
     """
-    source = _source(docs, id_col, text_col)
     plan = band_plan(threshold, recall)
     rows = cut_lineage(features(source, n, plan))
     sets = cut_lineage(
         rows.where(F.col("n_grams") > 0)
         .groupBy("set_hash")
         .agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
+        .withColumn("node", F.struct("rep", "set_hash"))
     )
-    keyed = sets.select("rep", F.posexplode("bands").alias("band", "h"))
-    buckets = keyed.groupBy("band", "h").agg(F.min("rep").alias("m"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    stars = keyed.join(buckets, ["band", "h"]).where(F.col("rep") != F.col("m")).select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    coarse = cut_lineage(components(stars))
-    members = coarse.join(sets.select("rep", "set_hash", "copies", "n_grams"), F.col("node") == F.col("rep")).select("rep", "root", "copies", "n_grams", "set_hash")
+    keyed = sets.select("node", F.posexplode("bands").alias("band", "h"))
+    buckets = keyed.groupBy("band", "h").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    stars = keyed.join(buckets, ["band", "h"]).where(F.col("node") != F.col("m")).select(F.col("node").alias("a"), F.col("m").alias("b"))
+    coarse = cut_lineage(connected_components(stars))
+    members = coarse.join(sets.select("node", "copies", "n_grams"), "node")
     load = members.groupBy("root").agg(F.sum("n_grams").alias("grams"), F.count(F.lit(1)).alias("size"))
-    load = load.select(
-        "root", F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int").alias("parts")
-    )
-    placed = cut_lineage(members.join(load, "root").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")))
+    parts = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int")
+    # Only the large groups need their number of blocks; the others have one.
+    split = cut_lineage(load.select("root", parts.alias("parts")).where(F.col("parts") > 1))
+    split = F.broadcast(split) if split.count() <= HOT_SETS else split
+    placed = members.join(split, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    placed = cut_lineage(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_set = Grams(n)
@@ -352,20 +320,20 @@ def near_duplicates(
 
         yield from map_slices("text", work)(batches)
 
-    wanted = source.join(placed, F.col("id") == F.col("rep")).select("rep", "root", "copies", "parts", "own", "set_hash", "text")
+    wanted = source.join(placed, F.col("id") == F.col("node.rep")).select("node", "root", "copies", "parts", "own", "text")
     schema = T.StructType(
         [f for f in wanted.schema.fields if f.name != "text"] + [T.StructField("found_hash", T.BinaryType()), T.StructField("grams", T.BinaryType())]
     )
-    fetched = wanted.mapInArrow(fetch, schema).where(F.col("found_hash") == F.col("set_hash"))
+    fetched = wanted.mapInArrow(fetch, schema).where(F.col("found_hash") == F.col("node.set_hash"))
     cells = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), (o < F.col("own")).cast("int").alias("half")),
     )
     dealt = (
-        fetched.select("rep", "root", "copies", "grams", "set_hash", F.explode(cells).alias("c"))
-        .select("root", "c.i", "c.j", "rep", "copies", "c.half", "set_hash", "grams")
+        fetched.select("node", "root", "copies", "grams", F.explode(cells).alias("c"))
+        .select("root", "c.i", "c.j", "node", "copies", "c.half", "grams")
         .repartition("root", "i", "j")
-        .sortWithinPartitions("root", "i", "j", "rep")
+        .sortWithinPartitions("root", "i", "j", "node")
     )
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -374,51 +342,111 @@ def near_duplicates(
         def close() -> pa.RecordBatch | None:
             if len(held) < 2:
                 return None
-            ids, weight, half, grams = zip(*held, strict=True)
-            links, low = link_block(
-                np.array(ids), np.array(weight), np.array(half), [np.frombuffer(g, dtype=np.uint64) for g in grams], threshold, key[1] != key[2]
-            )
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(links), pa.array(low)], names=_LINKS.names)
+            nodes, weight, half, grams = zip(*held, strict=True)
+            links, low = link_block(np.array(weight), np.array(half), [np.frombuffer(g, dtype=np.uint64) for g in grams], threshold, key[1] != key[2])
+            kind = pa.struct([("rep", pa.int64()), ("set_hash", pa.binary())])
+            own = pa.array(nodes, kind)
+            return pa.RecordBatch.from_arrays([own, pa.array(links), own.take(pa.array(low))], names=_LINKS.names)
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "rep", "copies", "half", "grams")]
-            for *cell, rep, copies, half, grams in zip(*columns, strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "copies", "half", "grams")]
+            for *cell, node, copies, half, grams in zip(*columns, strict=True):
                 if cell != key:
                     out = close()
                     if out is not None:
                         yield out
                     held, key = [], cell
-                if held and held[-1][0] == rep and held[-1][3] == grams:
+                if held and held[-1][0] == node:
                     continue  # a repeated row of the representative
-                held.append((rep, copies, half, grams))
+                held.append((node, copies, half, grams))
         out = close()
         if out is not None:
             yield out
 
     verified = cut_lineage(
-        dealt.mapInArrow(link, _LINKS).groupBy("id").agg(F.sum("links").alias("links"), F.array_distinct(F.collect_list("low")).alias("lows"))
+        dealt.mapInArrow(link, _LINKS).groupBy("node").agg(F.sum("links").alias("links"), F.array_distinct(F.collect_list("low")).alias("lows"))
     )
     # A group in one block pair already has its final class; only the others are connected again.
-    final = components(verified.select(F.col("id").alias("a"), F.explode("lows").alias("b")))
-    classes = sets.join(verified.select(F.col("id").alias("rep"), "links"), "rep", "left").join(
-        final.withColumnRenamed("node", "rep"), "rep", "left"
+    final = connected_components(verified.select(F.col("node").alias("a"), F.explode("lows").alias("b")))
+    classes = sets.join(verified.select("node", "links"), "node", "left").join(final, "node", "left")
+    classes = cut_lineage(
+        classes.select(
+            "set_hash", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+        )
     )
-    classes = classes.select(
-        "set_hash",
-        F.coalesce("root", "rep").alias("class_id"),
-        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"),
-    )
-    linked = rows.select("id", "set_hash").join(classes, "set_hash", "left")
-    return linked.groupBy("id").agg(
-        F.min(F.coalesce("class_id", "id")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")
+    own = rows.select("id", "text_hash", "set_hash")
+    hot = F.col("copies") > max(HOT_COPIES, rows.count() // HOT_SETS)
+    few = cut_lineage(classes.where(hot).select(F.col("set_hash").alias("hot_hash"), F.col("root").alias("hot_root"), F.col("n_links").alias("hot_links")))
+    if few.isEmpty():
+        return own.join(classes.drop("copies"), "set_hash", "left").select("id", "text_hash", "set_hash", "root", "n_links")
+    marked = own.join(F.broadcast(few), F.col("set_hash") == F.col("hot_hash"), "left")
+    known = marked.where(F.col("hot_hash").isNotNull()).select("id", "text_hash", "set_hash", F.col("hot_root").alias("root"), F.col("hot_links").alias("n_links"))
+    rest = marked.where(F.col("hot_hash").isNull()).select("id", "text_hash", "set_hash")
+    rest = rest.join(classes.where(~hot).drop("copies"), "set_hash", "left").select("id", "text_hash", "set_hash", "root", "n_links")
+    return known.unionByName(rest)
+
+
+def near_duplicates(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = NGRAM,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+) -> DataFrame:
+    """(id, class_id, n_links) for every document with a non-null id.
+
+    ``n_links`` counts the other documents whose n-gram sets have a Jaccard
+    similarity of at least ``threshold``; ``class_id`` is the smallest id among
+    those connected by links.
+    """
+    found = _classified(_source(docs, id_col, text_col), n, threshold, recall)
+    return found.groupBy("id").agg(
+        F.min(F.coalesce("root.rep", "id")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")
     ).withColumnRenamed("id", id_col)
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each class: the one whose id names it.
+def drop_near_duplicates(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    n: int = NGRAM,
+    threshold: float = THRESHOLD,
+    recall: float = RECALL,
+) -> DataFrame:
+    """``docs`` with one row of each class: one whose id names it.
 
-    Rows with a null id stay; of rows that share an id all stay or go together.
+    Rows with a null id stay.  Of rows with one id whose texts have the same
+    n-gram set, one stays (of repeated rows that differ in other columns, the one
+    whose columns hash lowest); texts without words stay, once for each id and text.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    gone = found.where(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    columns = docs.columns
+    found = cut_lineage(_classified(_source(docs, id_col, text_col), n, threshold, recall))
+    first = F.col("set_hash").isNull() | ((F.col("root.rep") == F.col("id")) & (F.col("root.set_hash") == F.col("set_hash")))
+    gone = found.where(~first).select("id", "text_hash")
+    counts = cut_lineage(
+        found.where(first).groupBy("id", "set_hash").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+    )
+    repeated = not counts.isEmpty()
+    if repeated:
+        # Other texts with the same words under the same id.
+        own = found.where(first & F.col("set_hash").isNotNull())
+        gone = gone.unionByName(own.join(counts, ["id", "set_hash"]).where(F.col("text_hash") != F.col("least")).select("id", "text_hash"))
+    id_, hash_ = fresh(columns, "gone_id"), fresh(columns, "gone_hash")
+    key = lambda df: df.distinct().select(F.col("id").alias(id_), F.col("text_hash").alias(hash_))
+    same = (F.col(id_col).cast("long") == F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_))
+    kept = docs.join(key(gone), same, "left_anti")
+    if not repeated:
+        return kept
+    many = key(found.where(first).groupBy("id", "text_hash").count().where(F.col("count") > 1).select("id", "text_hash"))
+    row, order = fresh(columns, "row"), fresh(columns, "order")
+    once = (
+        kept.join(many, same, "left_semi")
+        .select(F.col(id_col), F.xxhash64(F.col(text_col)).alias(order), F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row))
+        .groupBy(id_col, order)
+        .agg(F.min_by(row, F.xxhash64(row)).alias(row))
+        .select(f"{row}.*")
+    )
+    return kept.join(many, same, "left_anti").unionByName(once)

@@ -450,6 +450,22 @@ def test_near_duplicates_in_groups_with_an_empty_block(spark, monkeypatch):
     assert got == brute_classes(texts) == {d: (d - d % 2, 1) for d in texts}
 
 
+def test_repeated_rows_and_shared_ids_of_near_duplicates(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT_COPIES", 3)  # the group of copies takes the broadcast way
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(2, base, 1), (2, base, 2), (2, base, 1), (2, other, 3), (3, base + " end", 4), (5, base.upper(), 5), (6, other, 6), (None, base, 7), (None, base, 7)]
+    rows += [(7, "", 8), (7, "", 8), (7, None, 9), (8, "!", 10), (9, base, 11), (10, base, 12), (11, base, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone_id int")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == {2: (2, 5), 3: (2, 5), 5: (2, 5), 6: (2, 1), 7: (7, 0), 8: (8, 0), 9: (2, 5), 10: (2, 5), 11: (2, 5)}
+    kept = ngram_join.drop_near_duplicates(df)
+    assert kept.columns == df.columns
+    out = sorted((r.doc_id or 0, r.text or "", r.gone_id) for r in kept.collect())
+    assert [(i, t) for i, t, _ in out] == [(0, base), (0, base), (2, other), (2, base), (7, ""), (7, ""), (8, "!")]
+    assert sorted(g for i, t, g in out if i == 7) == [8, 9]
+    assert ngram_join.drop_near_duplicates(df.where("doc_id < 0")).count() == 0
+
+
 def test_band_plan_reaches_its_recall():
     bands, rows = ngram_join.band_plan(0.8, 0.999, 128)
     assert bands * rows <= 128 and 1 - (1 - 0.8**rows) ** bands >= 0.999
