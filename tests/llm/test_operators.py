@@ -487,6 +487,37 @@ def test_chat_round_trip_and_loss(spark):
     assert d[3].loss_chars == 2 and d[2].n_examples == 0 and d[None].n_turns == 1 and d[1].formatted_chars == len(whole[1])
 
 
+def test_chat_of_a_conversation_over_many_tasks(spark):
+    """A conversation that most tasks share is rendered as if by one, example texts too."""
+    rng = np.random.default_rng(14)
+    rows = [(7, i, str(rng.choice(["user", "assistant", "system"])), f"t{i} [x]" * int(rng.integers(0, 4))) for i in range(400)]
+    rows += [(int(rng.integers(0, 30)), i, str(rng.choice(["user", "assistant"])), "a<b") for i in range(100)] + [(None, 1, "assistant", "n")] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = {}
+    for conv, _, role, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1:])):
+        turn, a, b = chat.render_turn(role, text)
+        before, found = want.get(conv, (chat.BEGIN, []))
+        if role == "assistant":
+            found.append((len(found), before + turn, len(before) + a, len(before) + b))
+        want[conv] = (before + turn, found)
+    seg = chat.segments(df)
+    whole = {}
+    for r in sorted(seg.collect(), key=lambda r: r.seq):
+        whole[r.conv_id] = whole.get(r.conv_id, "") + r.segment
+        assert r.end == len(whole[r.conv_id])
+    assert whole == {c: w for c, (w, _) in want.items()}
+    got = {}
+    for r in sorted(chat.materialise(seg).collect(), key=lambda r: r.example):
+        got.setdefault(r.conv_id, []).append((r.text, r.loss_start, r.loss_end))
+    assert got == {c: [x[1:] for x in f] for c, (_, f) in want.items() if f}
+    out = {r.conv_id: r for r in chat.digest(seg).collect()}
+    for c, (w, found) in want.items():
+        reply = "".join(chat.unescape(t[a:b]) for _, t, a, b in found)
+        assert (out[c].n_examples, out[c].loss_chars, out[c].formatted_chars) == (len(found), len(reply), len(w))
+        assert out[c].loss_sha256 == hashlib.sha256(reply.encode()).hexdigest()
+    assert chat.conversation_report(df.limit(0)).count() == 0 and chat.materialise(chat.segments(df.limit(0))).count() == 0
+
+
 def test_license_places_and_templates(spark):
     texts = {
         1: "x\nLicensed under the Apache License, Version 2.0.\ny",
