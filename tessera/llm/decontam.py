@@ -8,19 +8,21 @@ single window of all its words.  Training texts are scanned with a rolling
 
 The window index is broadcast only while the benchmark block behind it is at
 most ``BLOCK_BYTES`` of text.  A larger benchmark is split by hash into blocks
-of that size, which are scanned one after another over the same rows, so the
-result is the same at any benchmark size and no broadcast outgrows its bound.
+of that size, which are built, scanned and released one after another over the
+same rows (what a scan found is checkpointed), so the result is the same at any
+benchmark size, and neither the driver nor an executor holds more than one index.
 
 Defined results for odd input: a null or empty text has no words and no hits;
-a null or empty item has no windows; repeated item rows count once per
-item_id; an item with null item_id contributes hits but no id (it counts as
-the id ``null``); repeated documents are treated row by row; extra columns pass
-through.
+a null or empty item has no windows, an empty benchmark hits nothing; repeated
+item rows count once per item_id; an item with null item_id contributes hits but
+no id (it counts as the id ``null``); repeated documents and null ids are
+treated row by row; an empty table of documents gives no rows; texts are scanned
+whole, in time linear in their length; extra columns pass through, whatever
+their names (``find_windows`` replaces a column named as its ``out_col``).
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.textbatch import map_slices, replace_column
+from tessera.llm.textbatch import fresh, map_slices, replace_column
+from tessera.runtime import cut_lineage
 
 WINDOW = 10
 BLOCK_BYTES = 4 << 20
@@ -137,11 +140,10 @@ _FOUND = T.StructType(
 _FOUND_ARROW = pa.struct(
     [("n_words", pa.int64()), ("hit_spans", pa.list_(pa.list_(pa.int32()))), ("hit_items", pa.list_(pa.string()))]
 )
-_COLUMN = "__window_hits"
 
 
-def index_blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int) -> list[WindowIndex]:
-    """One index for each block of at most about ``block_bytes`` of benchmark text.
+def index_blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int) -> tuple[int, Iterator[WindowIndex]]:
+    """Number of blocks, and one index after another for at most about ``block_bytes`` of benchmark text.
 
     A single item longer than the bound is a block of its own.
     """
@@ -150,11 +152,13 @@ def index_blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, blo
     ).where(F.length("text") > 0)
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    out = []
-    for k in range(blocks):
-        part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else rows
-        out.append(WindowIndex([(r.item, r.text.encode()) for r in part.distinct().toLocalIterator()], n))
-    return out
+
+    def build() -> Iterator[WindowIndex]:
+        for k in range(blocks):
+            part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else rows
+            yield WindowIndex([(r.item, r.text.encode()) for r in part.distinct().toLocalIterator()], n)
+
+    return blocks, build()
 
 
 def find_windows(
@@ -166,16 +170,19 @@ def find_windows(
     item_text_col: str = "text",
     n: int = WINDOW,
     block_bytes: int = BLOCK_BYTES,
+    out_col: str = "window_hits",
 ) -> DataFrame:
-    """``docs`` with a struct column ``__window_hits`` (n_words, hit_spans, hit_items)."""
+    """``docs`` with a struct column ``out_col`` (n_words, hit_spans, hit_items)."""
     spark = docs.sparkSession
-    out = docs
-    for k, index in enumerate(index_blocks(benchmark, item_col, item_text_col, n, block_bytes)):
+    out = docs.drop(out_col)
+    first = T.StructType([*out.schema.fields, T.StructField(out_col, _FOUND)])
+    blocks, indexes = index_blocks(benchmark, item_col, item_text_col, n, block_bytes)
+    for k, index in enumerate(indexes):
         shared = spark.sparkContext.broadcast(index)
 
         def work(batch: pa.RecordBatch, shared=shared, later: bool = k > 0) -> pa.RecordBatch:
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            before = batch.column(_COLUMN).to_pylist() if later else [None] * len(texts)
+            before = batch.column(out_col).to_pylist() if later else [None] * len(texts)
             found = []
             for text, old in zip(texts, before, strict=True):
                 own = words(text or b"")
@@ -185,17 +192,20 @@ def find_windows(
                     items |= set(old["hit_items"])
                 found.append({"n_words": len(own), "hit_spans": spans, "hit_items": sorted(items)})
             values = pa.array(found, type=_FOUND_ARROW)
-            return replace_column(batch, _COLUMN, values) if later else batch.append_column(_COLUMN, values)
+            return replace_column(batch, out_col, values) if later else batch.append_column(out_col, values)
 
-        schema = out.schema if k else T.StructType([*docs.schema.fields, T.StructField(_COLUMN, _FOUND)])
-        out = out.mapInArrow(map_slices(text_col, work), schema)
+        out = out.mapInArrow(map_slices(text_col, work), first)
+        if blocks > 1:
+            out = cut_lineage(out)
+            shared.destroy()
     return out
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per document: word count, words hit, items found and whether any was."""
-    found = find_windows(docs.select(id_col, text_col), benchmark, text_col=text_col, **options)
-    hits = F.col(_COLUMN)
+    column = fresh([id_col, text_col], "window_hits")
+    found = find_windows(docs.select(id_col, text_col), benchmark, text_col=text_col, out_col=column, **options)
+    hits = F.col(column)
     covered = F.aggregate(hits["hit_spans"], F.lit(0).cast("long"), lambda a, s: a + (s[1] - s[0]).cast("long"))
     return found.select(
         F.col(id_col),
@@ -223,20 +233,17 @@ def decontaminate(
     docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", action: str = "drop", **options
 ) -> DataFrame:
     """``docs`` without contaminated rows (``action='drop'``) or spans (``'cut'``)."""
-    found = find_windows(docs, benchmark, text_col=text_col, **options)
-    if action == "drop":
-        return found.where(F.size(F.col(_COLUMN)["hit_spans"]) == 0).drop(_COLUMN)
-    if action != "cut":
+    if action not in ("drop", "cut"):
         raise ValueError("action must be 'drop' or 'cut'")
+    column = fresh(docs.columns, "window_hits")
+    found = find_windows(docs, benchmark, text_col=text_col, out_col=column, **options)
+    if action == "drop":
+        return found.where(F.size(F.col(column)["hit_spans"]) == 0).drop(column)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, hits = batch.column(text_col).to_pylist(), batch.column(_COLUMN).to_pylist()
+        texts, hits = batch.column(text_col).to_pylist(), batch.column(column).to_pylist()
         clean = [cut_spans(t, h["hit_spans"]) if h["hit_spans"] else t for t, h in zip(texts, hits, strict=True)]
         out = replace_column(batch, text_col, pa.array(clean, type=pa.string()))
-        return out.remove_column(out.schema.get_field_index(_COLUMN))
+        return out.remove_column(out.schema.get_field_index(column))
 
     return found.mapInArrow(map_slices(text_col, work), docs.schema)
-
-
-def items_digest(items: Iterator[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
