@@ -2,21 +2,26 @@
 
 A language is a smoothed distribution over hashed character trigrams, learnt
 from labelled documents.  A document is a bag of trigrams drawn from a mixture
-of languages; expectation-maximisation estimates the proportions.  The
-language set is chosen by penalised likelihood: sets grow in order of the
-proportions of the full mixture, and a further language stays only if it
-raises the log-likelihood by more than ``PENALTY * log(trigrams)``.  The
-prediction is the language with the largest proportion in the chosen set, the
-score that proportion.
+of languages; expectation-maximisation estimates the proportions until they
+move by less than ``TOLERANCE``.  The language set is chosen by penalised
+likelihood: sets grow in order of the proportions of the full mixture, as long
+as a further language raises the log-likelihood by more than
+``PENALTY * log(trigrams)``, up to all learnt languages.  The prediction is the
+language with the largest proportion in the chosen set, the score that
+proportion.
 
 Training counts come from a bounded sample: at most about ``max_train`` labelled
-documents, the same share of each language's rows chosen by a hash of the id (a
-language with fewer than its share keeps all).  Nothing but text and label of
-these rows enters the model.
+documents, the same share of each language's rows chosen by a hash of id and
+text, repeated rows once (a language with fewer than its share keeps all).
+Nothing but text and label of these rows enters the model.
 
 Defined results: a text that is null or has no letter gets ``und`` with score
-0; with no labelled row at all every text is ``und``; ties between languages go
-to the name that sorts first; repeated rows are processed row by row.
+0; with no labelled row at all every text is ``und``; an empty table gives no
+rows; ties between languages go to the name that sorts first; repeated rows and
+null ids are processed row by row; texts are processed whole, in memory that is
+bounded by the trigrams there can be; ``identify`` keeps all other columns (one
+named as its ``out_col`` is replaced), ``keep_identified`` all columns,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -27,13 +32,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.textbatch import map_slices
+from tessera.llm.textbatch import fresh, map_slices
 
 BINS = 1 << 16
 MAX_TRAIN = 20_000
 PENALTY = 3.0
 SMOOTHING = 0.05
-FULL_ROUNDS, SET_ROUNDS, MAX_SET = 6, 4, 4
+TOLERANCE = 1e-3
+#: Trigrams times languages of texts that are worked on at once.
+HELD = 1 << 24
 UNDETERMINED = "und"
 
 _letters: np.ndarray | None = None
@@ -77,66 +84,80 @@ class Mixture:
         self.p = (smooth / smooth.sum(0)).astype(np.float32)
         self.log_p = np.log(self.p)
 
-    def _climb(self, p: np.ndarray, c: np.ndarray, doc: np.ndarray, starts: np.ndarray, n: np.ndarray, pi: np.ndarray, rounds: int):
-        for _ in range(rounds):
-            w = p * pi[doc]
+    def _climb(self, p: np.ndarray, c: np.ndarray, lengths: np.ndarray, n: np.ndarray, pi: np.ndarray) -> np.ndarray:
+        """Proportions of each text from the start ``pi``, until none moves by ``TOLERANCE``."""
+        pi, live = pi.copy(), np.arange(len(pi))
+        doc, starts = np.repeat(live, lengths), np.cumsum(lengths) - lengths
+        while len(live):
+            w = p * pi[live][doc]
             w *= (c / w.sum(1))[:, None]
-            pi = np.add.reduceat(w, starts, axis=0) / n[:, None]
+            new = np.add.reduceat(w, starts, axis=0) / n[live][:, None]
+            moved = np.abs(new - pi[live]).max(1) >= TOLERANCE
+            pi[live] = new
+            if moved.all():
+                continue
+            # Texts that have come to rest leave.
+            keep = np.repeat(moved, lengths)
+            live, lengths, p, c = live[moved], lengths[moved], p[keep], c[keep]
+            doc, starts = np.repeat(np.arange(len(live)), lengths), np.cumsum(lengths) - lengths
         return pi
 
-    def _fit(self, p, c, doc, starts, n, pi):
-        pi = self._climb(p, c, doc, starts, n, pi, SET_ROUNDS)
-        return pi, np.add.reduceat(c * np.log((p * pi[doc]).sum(1)), starts)
+    def _best_sets(self, grams: np.ndarray, c: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Proportions in the chosen set of each text, and the size of the set."""
+        starts, k = np.cumsum(lengths) - lengths, len(self.languages)
+        n = np.add.reduceat(c, starts)
+        rows = np.arange(len(lengths))
+        p = self.p[grams]
+        alone = np.add.reduceat(c[:, None] * self.log_p[grams], starts, axis=0)
+        one = alone.argmax(1)
+        mix = np.zeros((len(rows), k), dtype=np.float32)
+        mix[rows, one] = 1
+        value, size = alone.max(1).astype(np.float64), np.ones(len(rows), dtype=np.int64)
+        if k == 1:
+            return mix, size
+        full = self._climb(p, c, lengths, n, np.full((len(rows), k), 1 / k, dtype=np.float32))
+        full[rows, one] += 1  # the best single language heads every set
+        order = np.argsort(-full, axis=1, kind="stable")
+        full[rows, one] -= 1
+        cost = PENALTY * np.log(n + 1)
+        live = rows
+        for m in range(2, k + 1):
+            pi = np.zeros((len(live), k), dtype=np.float32)
+            chosen = order[live, :m]
+            np.put_along_axis(pi, chosen, np.take_along_axis(full[live], chosen, 1) + 1e-3, 1)
+            pi /= pi.sum(1, keepdims=True)
+            pi = self._climb(p, c, lengths, n[live], pi)
+            doc, starts = np.repeat(np.arange(len(live)), lengths), np.cumsum(lengths) - lengths
+            gain = np.add.reduceat(c * np.log((p * pi[doc]).sum(1)), starts) - cost[live] * (m - 1)
+            better = gain > value[live]
+            won = live[better]
+            value[won], mix[won], size[won] = gain[better], pi[better], m
+            if not better.any():
+                break
+            keep = np.repeat(better, lengths)
+            live, lengths, p, c = won, lengths[better], p[keep], c[keep]
+        return mix, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
         """Language, its proportion and the size of the chosen set for each text."""
         names, scores, sizes = [UNDETERMINED] * len(texts), [0.0] * len(texts), [0] * len(texts)
         bags = [trigrams(t) for t in texts]
         rows = [i for i, b in enumerate(bags) if len(b[0])] if self.languages else []
-        if not rows:
-            return names, scores, sizes
-        lengths = np.array([len(bags[i][0]) for i in rows])
-        grams = np.concatenate([bags[i][0] for i in rows])
-        c = np.concatenate([bags[i][1] for i in rows]).astype(np.float32)
-        starts = np.concatenate(([0], np.cumsum(lengths)[:-1]))
-        doc = np.repeat(np.arange(len(rows)), lengths)
-        n = np.add.reduceat(c, starts)
-        p, k = self.p[grams], len(self.languages)
-        alone = np.add.reduceat(c[:, None] * self.log_p[grams], starts, axis=0)
-        best_one = alone.argmax(1)
-        mix = np.zeros((len(rows), k), dtype=np.float32)
-        mix[np.arange(len(rows)), best_one] = 1
-        value = alone.max(1).astype(np.float64)
-        size = np.ones(len(rows), dtype=np.int64)
-        if k > 1:
-            full = self._climb(p, c, doc, starts, n, np.full((len(rows), k), 1 / k, dtype=np.float32), FULL_ROUNDS)
-            full[np.arange(len(rows)), best_one] += 1  # the best single language heads every set
-            order = np.argsort(-full, axis=1, kind="stable")
-            full[np.arange(len(rows)), best_one] -= 1
-            cost = PENALTY * np.log(n + 1)
-            live = np.ones(len(rows), dtype=bool)
-            for m in range(2, min(k, MAX_SET) + 1):
-                at = np.flatnonzero(live)
-                if not len(at):
-                    break
-                part = np.isin(doc, at) if len(at) < len(rows) else slice(None)
-                sub = np.repeat(np.arange(len(at)), lengths[at])
-                sub_starts = np.concatenate(([0], np.cumsum(lengths[at])[:-1]))
-                pi = np.zeros((len(at), k), dtype=np.float32)
-                chosen = order[at, :m]
-                np.put_along_axis(pi, chosen, np.take_along_axis(full[at], chosen, 1) + 1e-3, 1)
-                pi /= pi.sum(1, keepdims=True)
-                pi, ll = self._fit(p[part], c[part], sub, sub_starts, n[at], pi)
-                gain = ll - cost[at] * (m - 1)
-                better = gain > value[at]
-                won = at[better]
-                value[won], mix[won], size[won] = gain[better], pi[better], m
-                live[at[~better]] = False
-        top = mix.argmax(1)
-        for j, i in enumerate(rows):
-            names[i] = self.languages[int(top[j])]
-            scores[i] = float(min(1.0, mix[j, top[j]]))
-            sizes[i] = int(size[j])
+        most, at = max(1, HELD // max(1, len(self.languages))), 0
+        while at < len(rows):
+            to, held = at, 0
+            while to < len(rows) and (to == at or held + len(bags[rows[to]][0]) <= most):
+                held += len(bags[rows[to]][0])
+                to += 1
+            part = [bags[i] for i in rows[at:to]]
+            lengths = np.array([len(b[0]) for b in part])
+            mix, size = self._best_sets(np.concatenate([b[0] for b in part]), np.concatenate([b[1] for b in part]).astype(np.float32), lengths)
+            top = mix.argmax(1)
+            for j, i in enumerate(rows[at:to]):
+                names[i] = self.languages[int(top[j])]
+                scores[i] = float(min(1.0, mix[j, top[j]]))
+                sizes[i] = int(size[j])
+            at = to
         return names, scores, sizes
 
 
@@ -152,7 +173,8 @@ def fit(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang",
     bound = F.lit(0)
     for lang in languages:
         bound = F.when(F.col(lang_col) == lang, int(min(1.0, share / have[lang]) * steps)).otherwise(bound)
-    sample = rows.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(steps)) < bound)
+    # Repeated rows have one hash: once is enough, and the bound holds.
+    sample = rows.select(id_col, text_col, lang_col).where(F.pmod(F.xxhash64(id_col, text_col), F.lit(steps)) < bound).distinct()
     place = {lang: i for i, lang in enumerate(languages)}
 
     def count(batches):
@@ -183,11 +205,11 @@ _PREDICTED = T.StructType(
         T.StructField("n_langs", T.IntegerType()),
     ]
 )
-PREDICTED = "__language"
 
 
-def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with the struct column ``__language`` (lang_pred, score, n_langs)."""
+def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text", out_col: str = "language") -> DataFrame:
+    """``docs`` with a struct column ``out_col`` (lang_pred, score, n_langs)."""
+    docs = docs.drop(out_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -195,9 +217,9 @@ def identify(docs: DataFrame, model: Mixture, *, text_col: str = "text") -> Data
         values = pa.StructArray.from_arrays(
             [pa.array(names), pa.array(scores, pa.float64()), pa.array(sizes, pa.int32())], names=_PREDICTED.names
         )
-        return batch.append_column(PREDICTED, values)
+        return batch.append_column(out_col, values)
 
-    return docs.mapInArrow(map_slices(text_col, work), T.StructType([*docs.schema.fields, T.StructField(PREDICTED, _PREDICTED)]))
+    return docs.mapInArrow(map_slices(text_col, work), T.StructType([*docs.schema.fields, T.StructField(out_col, _PREDICTED)]))
 
 
 def fold_of(id_col: str, folds: int) -> Column:
@@ -209,13 +231,15 @@ def language_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """Predictions for all rows by a model that never saw the held-out fold."""
     out = F.coalesce(fold_of(id_col, folds) == held_out, F.lit(False))
     model = fit(docs.where(~out), text_col=text_col, lang_col=lang_col, id_col=id_col, **options)
-    found = identify(docs.select(id_col, text_col), model, text_col=text_col)
-    return found.select(id_col, out.alias("held_out"), *[F.col(PREDICTED)[c].alias(c) for c in _PREDICTED.names])
+    column = fresh([id_col, text_col], "language")
+    found = identify(docs.select(id_col, text_col), model, text_col=text_col, out_col=column)
+    return found.select(id_col, out.alias("held_out"), *[F.col(column)[c].alias(c) for c in _PREDICTED.names])
 
 
 def keep_identified(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", min_score: float = 0.5, **options) -> DataFrame:
     """``docs`` without rows whose language is undetermined or below ``min_score``."""
     model = fit(docs, text_col=text_col, lang_col=lang_col, id_col=id_col, **options)
-    found = identify(docs, model, text_col=text_col)
-    got = F.col(PREDICTED)
-    return found.where((got["lang_pred"] != UNDETERMINED) & (got["score"] >= min_score)).drop(PREDICTED)
+    column = fresh(docs.columns, "language")
+    found = identify(docs, model, text_col=text_col, out_col=column)
+    got = F.col(column)
+    return found.where((got["lang_pred"] != UNDETERMINED) & (got["score"] >= min_score)).drop(column)
