@@ -9,13 +9,17 @@ each margin had not seen.  Scoring sums one weight per distinct n-gram of the
 whole text.
 
 Training uses a bounded sample of labelled rows: for each class at most
-``max_rows`` rows and about ``max_chars`` characters, chosen by a hash of the
-id.  The intercept is corrected for the classes' different sampling shares.
+``max_rows`` rows and about ``max_chars`` characters, chosen by hashes of id and
+text, repeated rows once.  The intercept is corrected for the classes' different
+sampling shares.
 
 Defined results: a null text is scored as an empty one, which has only the
 intercept; an id with several labels counts as toxic if any of them says so;
-null labels are ignored; if only one class is labelled, every score is that
-class; with no label at all every score is 0.
+null labels and null ids of labels are ignored; if only one class is labelled,
+every score is that class; with no label at all every score is 0; an empty table
+of documents gives no rows; repeated rows and null ids are scored row by row; a
+score of exactly 0.5 is predicted as toxic; texts are scored whole; other
+columns of either table take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -126,7 +130,7 @@ def train(bags: list[np.ndarray], labels: np.ndarray, *, shift: float = 0.0) ->
         place[labels == label] = np.arange((labels == label).sum()) % FOLDS
     for fold in range(FOLDS):
         rest = np.flatnonzero(place != fold)
-        if labels[rest].min() == labels[rest].max():
+        if len(np.unique(labels[rest])) < 2:
             continue
         w, b = _fit_weights([bags[i] for i in rest], labels[rest])
         for i in np.flatnonzero(place == fold):
@@ -210,29 +214,31 @@ def fit(
     """Classifier from the documents that ``labels`` marks 0 or 1."""
     marks = (
         labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
-        .groupBy(id_col)
-        .agg(F.max(label_col).cast("int").alias("__label"))
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.max(label_col).cast("int").alias("label"))
     )
-    texts = docs.select(id_col, text_col)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     steps = 1 << 20
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(steps))
-    have = {r[0]: r[1] for r in marks.groupBy("__label").count().collect()}
+    draw = lambda *key: F.pmod(F.xxhash64(*key), F.lit(steps))
+    have = {r[0]: r[1] for r in marks.groupBy("label").count().collect()}
     bound = {k: int(min(1.0, max_rows / n) * steps) for k, n in have.items()}
-    limit = lambda of: F.when(F.col("__label") == 1, of.get(1, 0)).otherwise(of.get(0, 0))
-    drawn = marks.where(draw < limit(bound))  # at most about 2 * max_rows ids
-    sample = cut_lineage(texts.join(F.broadcast(drawn), id_col))
-    size = {r[0]: (r[1], r[2]) for r in sample.groupBy("__label").agg(F.count(F.lit(1)), F.sum(F.length(text_col))).collect()}
-    fitting = {k: int(bound[k] * min(1.0, max_chars / max(1, chars or 0))) for k, (_, chars) in size.items()}
-    chosen = sample.where(draw < limit(fitting))
+    limit = lambda of: F.when(F.col("label") == 1, of.get(1, 0)).otherwise(of.get(0, 0))
+    drawn = marks.where(draw("id") < limit(bound))  # at most about 2 * max_rows ids
+    # An id may stand in many rows: each different text of it counts, and is drawn again by that.
+    sample = cut_lineage(texts.join(F.broadcast(drawn), "id").distinct())
+    size = {r[0]: (r[1], r[2]) for r in sample.groupBy("label").agg(F.count(F.lit(1)), F.sum(F.length("text"))).collect()}
+    share = {k: min(1.0, max_rows / n, max_chars / max(1, chars or 0)) for k, (n, chars) in size.items()}
+    chosen = sample.where(draw(F.lit(1), "id", "text") < limit({k: int(v * steps) for k, v in share.items()}))
+    fitting = {k: bound[k] * v for k, v in share.items()}
 
     def bag(batches):
         grams = GramSet()
         for batch in batches:
-            sets = [grams(t).tobytes() for t in batch.column(text_col).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("__label"), pa.array(sets, pa.binary())], names=["label", "grams"])
+            sets = [grams(t).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sets, pa.binary())], names=["label", "grams"])
 
     bags, marks_of = [], []
-    for r in chosen.select(text_col, "__label").mapInArrow(bag, "label int, grams binary").toLocalIterator():
+    for r in chosen.select("text", "label").mapInArrow(bag, "label int, grams binary").toLocalIterator():
         bags.append(np.frombuffer(r.grams, dtype=np.int32))
         marks_of.append(r.label)
     shift = float(np.log(fitting[0] / fitting[1])) if fitting.get(0) and fitting.get(1) else 0.0
