@@ -8,25 +8,29 @@ composition, and that closure is small, so a function is one byte and
 composing two is one table lookup: an inclusive scan over these bytes gives the
 state before every character, hence every boundary, at once.
 
-Slices between boundaries feed pair merging (the compiled merger of tiktoken,
-one slice at a time) through a bounded cache.  Byte
-offsets of all tokens follow from their lengths, and decoding joins the bytes
-of the ids, so the round trip is exact for any text.
-
-A null text is encoded as an empty one (no tokens).  Texts of any length are
-processed whole; repeated rows and extra columns pass through.
+Slices between boundaries feed pair merging through a bounded cache: the
+neighbours whose joined bytes have the lowest rank are merged first, the leftmost
+of equal ones.  Short slices look the lowest pair up in a list, long ones keep
+all pairs in a heap.  Byte offsets of all tokens follow from their lengths, and
+decoding joins the bytes of the ids, so the round trip is exact for any text.
+
+Defined results: a null text is encoded as an empty one (no tokens); an empty
+table gives no rows; texts of any length are processed whole; repeated rows and
+null ids are processed row by row; all other columns pass through ``encode``,
+columns named as its two outputs are replaced; ``token_digests`` returns its own
+columns only.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import unicodedata
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -34,6 +38,9 @@ from tessera.llm.textbatch import code_points, map_slices, replace_column
 
 CACHE_ENTRIES = 300_000
 CACHE_LONGEST = 64
+#: Slices of more bytes are merged with a heap.
+HEAP_FROM = 128
+NO_RANK = 1 << 62
 
 # The characters of Unicode property White_Space.
 WHITE_SPACE = (
@@ -195,8 +202,6 @@ class ByteBpe:
             self.bytes_of[i] = token
         self.digits_of = [str(i) for i in range(len(self.bytes_of))]
         self.cache: dict[str, tuple[int, ...]] = {}
-        whole = {"name": "ranks", "pat_str": r"[\s\S]+", "special_tokens": {}}
-        self.merge = tiktoken.Encoding(mergeable_ranks=ranks, **whole)._encode_single_piece if ranks else None
 
     def __getstate__(self) -> dict:
         return {"ranks": self.ranks}
@@ -204,6 +209,57 @@ class ByteBpe:
     def __setstate__(self, state: dict) -> None:
         self.__init__(state["ranks"])
 
+    def merge(self, piece: bytes) -> tuple[int, ...]:
+        """Ids of one slice."""
+        ranks = self.ranks
+        whole = ranks.get(piece)
+        if whole is not None:
+            return (whole,)
+        if len(piece) > HEAP_FROM:
+            return self._merge_long(piece)
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        # scores[i] is the rank of parts i and i + 1 joined.
+        scores = [ranks.get(a + b, NO_RANK) for a, b in zip(parts, parts[1:], strict=False)]
+        while scores and (low := min(scores)) != NO_RANK:
+            i = scores.index(low)
+            parts[i] += parts.pop(i + 1)
+            scores.pop(i)
+            if i:
+                scores[i - 1] = ranks.get(parts[i - 1] + parts[i], NO_RANK)
+            if i < len(scores):
+                scores[i] = ranks.get(parts[i] + parts[i + 1], NO_RANK)
+        return tuple(ranks[p] for p in parts)
+
+    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
+        """The same with a heap; a part is named by its first byte and known by its end."""
+        ranks, n = self.ranks, len(piece)
+        end = list(range(1, n + 1))  # of the part that begins at i
+        begin = [i - 1 for i in range(n + 1)]  # of the part that ends at i
+
+        def score(i: int) -> int:
+            return ranks.get(piece[i : end[end[i]]], NO_RANK) if end[i] < n else NO_RANK
+
+        best = [score(i) for i in range(n)]
+        heap = [(r, i) for i, r in enumerate(best) if r != NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if best[i] != r:
+                continue  # one of its parts has been merged since
+            middle = end[i]
+            end[i] = end[middle]
+            best[middle] = NO_RANK
+            begin[end[i]] = i
+            for j in (begin[i], i) if i else (i,):
+                best[j] = score(j)
+                if best[j] != NO_RANK:
+                    heapq.heappush(heap, (best[j], j))
+        out, i = [], 0
+        while i < n:
+            out.append(ranks[piece[i : end[i]]])
+            i = end[i]
+        return tuple(out)
+
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         flat, starts = code_points(texts)
         begins, ends = boundaries(flat, starts)
@@ -216,7 +272,7 @@ class ByteBpe:
                 if ids[k] is None:
                     got = cache.get(piece)
                     if got is None:
-                        got = tuple(self.merge(piece.encode()))
+                        got = self.merge(piece.encode())
                         if len(piece) <= CACHE_LONGEST:
                             if len(cache) >= CACHE_ENTRIES:
                                 cache.clear()
@@ -239,26 +295,25 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
-_TOKENS = [T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("token_offsets", T.ArrayType(T.LongType()))]
-
-
-def encode(docs: DataFrame, ranks_path: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` and the byte offsets of the tokens.
+def encode(
+    docs: DataFrame, ranks_path: str, *, text_col: str = "text", ids_col: str = "token_ids", offsets_col: str = "token_offsets"
+) -> DataFrame:
+    """``docs`` with token ids and the byte offsets of the tokens.
 
-    Existing columns of these names are replaced.
+    Existing columns of these two names are replaced; name others to keep them.
     """
-    keep = [c for c in docs.columns if c not in ("token_ids", "token_offsets")]
-    docs = docs.select(*keep)
+    docs = docs.drop(ids_col, offsets_col)
     shared = docs.sparkSession.sparkContext.broadcast(ByteBpe(load_ranks(ranks_path)))
+    outputs = [T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(offsets_col, T.ArrayType(T.LongType()))]
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         coder = shared.value
         ids = coder.encode_batch([t or "" for t in batch.column(text_col).to_pylist()])
-        batch = batch.append_column("token_ids", pa.array(ids, type=pa.list_(pa.int32())))
+        batch = batch.append_column(ids_col, pa.array(ids, type=pa.list_(pa.int32())))
         places = [coder.offsets(x)[:-1] for x in ids]
-        return batch.append_column("token_offsets", pa.array(places, type=pa.list_(pa.int64())))
+        return batch.append_column(offsets_col, pa.array(places, type=pa.list_(pa.int64())))
 
-    return docs.mapInArrow(map_slices(text_col, work), T.StructType([*docs.schema.fields, *_TOKENS]))
+    return docs.mapInArrow(map_slices(text_col, work), T.StructType([*docs.schema.fields, *outputs]))
 
 
 def decode(tokens: DataFrame, ranks_path: str, *, ids_col: str = "token_ids", text_col: str = "text") -> DataFrame:
