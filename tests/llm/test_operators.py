@@ -27,12 +27,18 @@ def words(t):
     return WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
+#: Names of helper columns that operators have or had.
+CLASH = "window_hits language gone_id gone_hash row order assigns rest run spans words places phrases matches secrets token_count".split()
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows and columns whose names clash."""
     long = "alpha beta gamma delta " * 5000
-    rows = [(1, None), (2, ""), (3, "one"), (3, "one"), (4, long), (5, " \n\t "), (None, "no id"), (6, "mail a@b.co or +1 (555) 555-0100 or 4111 1111 1111 1111 or 10.0.0.1")]
-    return spark.createDataFrame([(i, t, "en", None, 0, "x", 0.5) for i, t in rows], DOC)
+    dense = "Ab1/" * 50_000 + " " + "f0" * 50_000 + " " + "9" * 50_000 + " " + "é" * 50_000
+    texts = [(1, None), (2, ""), (3, "one"), (3, "one"), (4, long), (5, " \n\t "), (None, "no id"), (6, "mail a@b.co or +1 (555) 555-0100 or 4111 1111 1111 1111 or 10.0.0.1")]
+    rows = [(i, t, "en", None, 0, "x", 0.5, *["keep"] * (len(CLASH) - 1)) for i, t in [*texts, (7, dense)]]
+    return spark.createDataFrame(rows, f"{DOC}, " + ", ".join(f"{c} string" for c in CLASH if c != "spans"))
 
 
 @pytest.fixture(scope="module")
@@ -47,15 +53,45 @@ def empty(spark):
 def test_every_operator_takes_odd_and_empty_tables(spark, odd):
     bench = spark.createDataFrame([(1, "alpha beta gamma delta alpha beta gamma delta alpha beta"), (2, None), (None, "one"), (1, "")], "item_id long, text string")
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, 0), (None, 1), (6, None)], "doc_id long, toxic int")
-    for docs, n in ((odd, 8), (empty(spark), 0)):
+    none = odd.limit(0)
+    for docs, n in ((odd, 9), (none, 0)):
         assert langid.language_report(docs).count() == n
         assert decontam.contamination_report(docs, bench).count() == n
+        assert decontam.contamination_report(docs, bench.limit(0)).where("n_hit = 0").count() == n
         assert toxicity.toxicity_report(docs, labels).count() == n
+        assert toxicity.toxicity_report(docs, labels.limit(0)).where("score < 1e-9").count() == n
         assert pii.span_report(docs).count() == n
         assert bpe.token_digests(docs, RANKS).count() == n
         assert secret_scan.secret_report(docs).count() == n
         assert license_scan.license_report(docs).count() == n
-        assert ngram_join.near_duplicates(docs).count() == (6 if n else 0)
+        assert ngram_join.near_duplicates(docs).count() == (7 if n else 0)
+    hit = {(r.doc_id, r.text and r.text[:4]): r.window_hits for r in decontam.find_windows(odd.withColumn("window_hits", F.lit(1)), bench).collect()}
+    assert [tuple(s) for s in hit[4, "alph"].hit_spans] == [(0, 19_998)] and hit[3, "one"].hit_items == ["null"] and hit[1, None].n_words == 0
+
+
+def test_operators_that_pass_rows_on_keep_every_column(spark, odd):
+    """Also the pipeline's stages, on an odd table and an empty one."""
+    import corpus_pipeline
+
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta alpha beta gamma delta alpha beta")], "item_id long, text string")
+    passing = [
+        lambda d: langid.keep_identified(d, min_score=0.0), lambda d: decontam.decontaminate(d, bench), lambda d: decontam.decontaminate(d, bench, action="cut"),
+        pii.redact, secret_scan.mask_secrets, ngram_join.drop_near_duplicates,
+    ]
+    for keep in passing:
+        out = keep(odd)
+        assert out.columns == odd.columns and {v for r in out.select("row", "words", "language").distinct().collect() for v in r} == {"keep"}
+        assert keep(odd.limit(0)).count() == 0
+    kept = lambda k: sorted((r.doc_id or 0) for r in passing[k](odd).collect())
+    assert kept(0) == [0, 3, 3, 4, 6, 7] and kept(1) == [0, 1, 2, 3, 3, 5, 6, 7] and kept(5) == [0, 1, 2, 3, 4, 5, 6, 7]
+    out = bpe.encode(odd, RANKS, ids_col="i", offsets_col="o")
+    assert out.columns == [*odd.columns, "i", "o"] and out.where("doc_id = 7").first().row == "keep"
+    plain = odd.select(*corpus_pipeline.DOCUMENT)
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (plain, plain.limit(0)):
+            out = stage(spark, docs, SF)
+            assert out.columns[: len(plain.columns)] == plain.columns, name
+            assert out.count() <= docs.count()
 
 
 def test_defined_results(spark, odd):
@@ -150,6 +186,78 @@ def test_language_held_out_accuracy_and_mixtures(spark, documents):
     assert sizes[0] == 2 and 0.3 < scores[0] < 0.75 and (names[1], sizes[1]) == ("en", 1)
 
 
+def test_language_sets_equal_mixture_inference_by_force():
+    """EM by plain loops to full rest, sets in order of the full mixture, penalised likelihood."""
+    rng = np.random.default_rng(21)
+    names = [f"l{i}" for i in range(6)]
+    letters = [list("abcdefgh"), list("ghijklmn"), list("mnopqrst"), list("stuvwxyz"), list("äöüßéèêà"), list("абвгдежз")]
+    write = lambda k, n: "".join(str(x) for x in rng.choice(letters[k], n))
+    counts = np.zeros((langid.BINS, 6))
+    for k in range(6):
+        grams, n = langid.trigrams(write(k, 20_000))
+        counts[grams, k] += n
+    model = langid.Mixture(names, counts)
+
+    def force(text):
+        grams, c = langid.trigrams(text)
+        p, n = model.p[grams].astype(float), c.sum()
+
+        def em(pi):
+            for _ in range(3000):
+                w = p * pi
+                pi = (c[:, None] * w / w.sum(1, keepdims=True)).sum(0) / n
+            return pi
+
+        one = int((c @ np.log(p)).argmax())
+        best, chosen = float((c @ np.log(p)).max()), np.eye(6)[one]
+        order = [one, *[k for k in np.argsort(-em(np.full(6, 1 / 6))) if k != one]]
+        for m in range(2, 7):
+            start = np.zeros(6)
+            start[order[:m]] = 1 / m
+            pi = em(start)
+            value = float(c @ np.log(p @ pi)) - langid.PENALTY * np.log(n + 1) * (m - 1)
+            if value <= best:
+                break
+            best, chosen = value, pi
+        return chosen
+
+    texts = []
+    for size in (1, 2, 3, 5, 6):
+        for _ in range(6):
+            own = rng.choice(6, size, replace=False)
+            texts.append(" ".join(write(int(k), int(rng.integers(150, 400))) for k in own))
+    got = model.predict([*texts, "", "12"])
+    for t, name, score, size in zip(texts, *got, strict=False):
+        want = force(t)
+        assert size == (want > 0).sum() and name == names[int(want.argmax())] and abs(score - want.max()) < 0.02
+    assert max(got[2]) == 6 and got[0][-2:] == ["und", "und"]  # no limit on the set
+    # Small parts give the same answers as one.
+    held, langid.HELD = langid.HELD, 600
+    try:
+        again = model.predict(texts)
+    finally:
+        langid.HELD = held
+    assert again[0] == got[0][: len(texts)] and again[2] == got[2][: len(texts)] and np.allclose(again[1], got[1][: len(texts)], atol=1e-4)
+
+
+def test_language_sample_takes_repeated_rows_once(spark):
+    rows = [(1, "aaa bbb", "x")] * 300 + [(None, "aaa bbb", "x")] * 300 + [(i, "zzz yyy", "y") for i in range(2, 12)]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_train=10_000)
+    grams, n = langid.trigrams("aaa bbb")
+    p = model.p[grams, model.languages.index("x")]
+    assert np.allclose(p, (2 * n + langid.SMOOTHING) / (2 * n.sum() + langid.SMOOTHING * langid.BINS), rtol=1e-5)
+
+
+def test_mixed_documents_are_rejected_by_the_language_stage(spark, documents):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    by = {lang: next(d.text for d in documents.values() if d.lang == lang and d.n_chars > 1500)[:900] for lang in sorted({d.lang for d in documents.values() if d.lang})}
+    more = spark.createDataFrame([(-1, " ".join(by.values()), None, "x", 0), (-2, "12 34", None, "x", 0), (-3, None, None, "x", 0)], docs.schema)
+    kept = {r.doc_id for r in corpus_pipeline.keep_known_language(spark, docs.unionByName(more), SF).collect()}
+    assert kept == set(documents)
+
+
 def brute_windows(text, items, n=10):
     w, hit, found = words(text), set(), set()
     for item, t in items:
@@ -195,6 +303,47 @@ def test_toxicity_separates_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in out.values())
 
 
+def test_toxicity_weights_equal_a_dense_regression(monkeypatch):
+    """Naive Bayes ratios and the penalised fit, against dense matrices and many plain steps."""
+    rng = np.random.default_rng(22)
+    vocab = ["lorem", "ipsum", "dolor", "amet", "tempor", "magna"]
+    texts, y = [], []
+    for i in range(60):
+        t = list(rng.choice(vocab, 12))
+        if i % 3 == 0:
+            t.insert(int(rng.integers(12)), "vile")
+        texts.append(" ".join(t))
+        y.append(int(i % 3 == 0))
+    y = np.array(y)
+    bags = [toxicity.GramSet()(t) for t in texts]
+    names = np.unique(np.concatenate(bags))
+    X = np.array([np.isin(names, b) for b in bags], dtype=float)
+    p, q = 1 + X[y == 1].sum(0), 1 + X[y == 0].sum(0)
+    ratio = np.log((p / (y == 1).sum()) / (q / (y == 0).sum()))
+    ratio[p + q < 5] = 0
+    ratio /= np.sqrt((X * ratio**2).sum(1).mean())
+    A, sign = X * ratio, np.where(y == 1, 1.0, -1.0)
+    v, b = np.zeros(len(names)), 0.0
+    for _ in range(400):  # Newton's method on the dense problem
+        m = A @ v + b
+        s1 = 1 / (1 + np.exp(sign * m))
+        Z = np.column_stack([A, np.ones(len(y))])
+        grad = -(Z.T @ (sign * s1)) + toxicity.L2 * np.append(v, 0)
+        H = (Z.T * (s1 * (1 - s1))) @ Z + np.diag([*[toxicity.L2] * len(v), 1e-9])
+        step = np.linalg.solve(H, grad)
+        v, b = v - step[:-1], b - step[-1]
+        if np.abs(step).max() < 1e-10:
+            break
+    monkeypatch.setattr(toxicity, "STEPS", 500)
+    monkeypatch.setattr(toxicity, "CHUNK", 300)
+    weights, intercept = toxicity._fit_weights(bags, y)
+    got = np.array([weights[bag].sum() + intercept for bag in bags])
+    assert np.corrcoef(got, A @ v + b)[0, 1] > 0.9999 and np.abs(got - (A @ v + b)).max() < 0.05
+    model = toxicity.train(bags, y)
+    want = np.array([model.score(t) for t in texts])
+    assert np.all((want >= 0.5) == (y == 1))
+
+
 def brute_pii(t):
     digits = lambda m: re.sub("[^0-9]", "", m[0])
 
@@ -338,6 +487,40 @@ def test_tokens_equal_the_reference_tokeniser_and_round_trip(spark, documents):
     assert {r.doc_id: r.back for r in bpe.decode(enc, RANKS, text_col="back").collect()} == {1: "it's a test", 2: "", 3: ""}
 
 
+def test_token_query_equals_the_reference_tokeniser_on_the_table(spark, documents):
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(RANKS), special_tokens={})
+    n = 0
+    for r in queries.op6_bpe(spark, SF).collect():
+        t = documents[r.doc_id].text or ""
+        ids = known.encode_ordinary(t)
+        assert (r.n_tokens, r.ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+        n += 1
+    assert n == len(documents)
+
+
+def test_tokens_around_every_code_point():
+    ranks = bpe.load_ranks(RANKS)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.ByteBpe(ranks)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 4096):
+        t = "".join(f"a{c} {c}1" for c in points[at : at + 4096])
+        assert coder.encode_batch([t])[0] == known.encode_ordinary(t), at
+
+
+def test_long_and_short_slices_are_merged_alike():
+    ranks = bpe.load_ranks(RANKS)
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    coder = bpe.ByteBpe(ranks)
+    rng = np.random.default_rng(15)
+    for n in (2, 9, 60, 127, 128, 129, 400, 3000):
+        for letters in ("ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "x"):
+            t = "".join(rng.choice(list(letters), n))
+            want = known.encode_ordinary(t)
+            assert list(coder.merge(t.encode())) == want and (t.encode() in ranks or list(coder._merge_long(t.encode())) == want)
+
+
 def test_scan_of_transition_functions_equals_stepping():
     machine = bpe.Transducer()
     symbols = np.random.default_rng(2).integers(0, 9, 5000).astype(np.uint8)
