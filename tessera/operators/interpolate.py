@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions import dense
 from tessera.functions.stats import gaussian_nlpd
 from tessera.operators.spatial import radius_join, visible_links
+from tessera.runtime import bucket, cut_lineage
 
 
 def local_pairs(targets: DataFrame, stations: DataFrame, radius: float, *, least: int = 1) -> DataFrame:
@@ -35,11 +36,11 @@ def support_pairs(targets: DataFrame, stations: DataFrame, support: DataFrame) -
     return s.join(t, "t_id").join(st, "s_id")
 
 
-def kriging_weight_relation(pairs: DataFrame, family: str, *, length: float, sill: float, nugget: float, tasks_of: int = 64) -> DataFrame:
+def kriging_weight_relation(pairs: DataFrame, family: str, *, length: float, sill: float, nugget: float, tasks_of: int | None = None) -> DataFrame:
     """(t_id, s_id, w, variance, n) for every target whose model is determined.
 
-    Targets are solved in groups of a hash bucket, so a group amortises its Arrow
-    transfer without growing with the number of targets per bucket's share.
+    Targets are solved in groups of a hash bucket whose number follows from the
+    number of targets, so a group amortises its Arrow transfer and stays small.
     """
     kinds = dict(pairs.dtypes)
 
@@ -55,9 +56,8 @@ def kriging_weight_relation(pairs: DataFrame, family: str, *, length: float, sil
                 out.append(pd.DataFrame({"t_id": t, "s_id": one["s_id"].to_numpy(), "w": w, "variance": v, "n": len(one)}))
         return pd.concat(out) if out else pd.DataFrame({"t_id": [], "s_id": [], "w": [], "variance": [], "n": []})
 
-    bucket = F.floor(F.pmod(F.xxhash64("t_id"), F.lit(1 << 30)) / ((1 << 30) / tasks_of))
     schema = f"t_id {kinds['t_id']}, s_id {kinds['s_id']}, w double, variance double, n int"
-    return pairs.groupBy(bucket.alias("__g")).applyInPandas(solve, schema)
+    return pairs.groupBy(bucket(pairs, "t_id", tasks_of=tasks_of).alias("__g")).applyInPandas(solve, schema)
 
 
 def evaluate_weights(weights: DataFrame, observations: DataFrame, *, epoch: str = "epoch", value: str = "value") -> DataFrame:
@@ -100,12 +100,14 @@ def leave_one_out_predictions(
     return crossed.groupBy(*keys, "family", "length", "nugget", "radius").applyInPandas(run, schema)
 
 
-def score_candidates(predictions: DataFrame, *, by: Sequence[str] = ("family", "length", "nugget", "radius"), baseline: str = "local_constant", relative_tolerance: float = 0.02, coverage: tuple[float, float] = (0.65, 1.0)) -> DataFrame:
+def score_candidates(predictions: DataFrame, *, by: Sequence[str] = ("family", "length", "nugget", "radius"), baseline: str = "local_constant", relative_tolerance: float = 0.02, coverage: tuple[float, float] = (0.65, 1.0), gains: DataFrame | None = None) -> DataFrame:
     """NLPD, RMSE, coverage and acceptance of every candidate, best one flagged.
 
     A candidate is accepted if its RMSE is within tolerance of the best baseline,
-    its NLPD is lower and its 90 % coverage lies in the given range.  Ties are
-    broken by every candidate parameter, so the choice is deterministic.
+    its NLPD is lower and its 90 % coverage lies in the given range; with ``gains``
+    (of ``predictive_gains``) also only if the lower bootstrap bound of its mean
+    gain is positive.  Ties are broken by every candidate parameter, so the choice
+    is deterministic.
     """
     ok = F.col("predicted").isNotNull() & ~F.isnan("predicted")
     e = F.col("predicted") - F.col("observed")
@@ -116,6 +118,9 @@ def score_candidates(predictions: DataFrame, *, by: Sequence[str] = ("family", "
     base = scores.where(F.col("family") == baseline).agg(F.min("rmse").alias("__r"), F.min("nlpd").alias("__l"))
     j = scores.join(F.broadcast(base), F.lit(True))
     accepted = F.col("__r").isNull() | ((F.col("rmse") <= (1 + relative_tolerance) * F.col("__r")) & (F.col("nlpd") < F.col("__l")) & F.col("coverage").between(*coverage))
+    if gains is not None:
+        j = j.join(bootstrap_lower_bound(gains, list(by), "gain").withColumnRenamed("lower", "gain_lower95"), list(by), "left")
+        accepted &= F.coalesce(F.col("gain_lower95") > 0, F.lit(False))
     out = j.withColumn("accepted", (F.col("family") != baseline) & accepted).drop("__r", "__l")
     order = [F.desc("accepted"), F.round("nlpd", 9), F.round("rmse", 9), *[F.col(c) for c in by]]
     return out.withColumn("selected", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) == 1)
@@ -133,6 +138,82 @@ def bootstrap_lower_bound(gains: DataFrame, keys: Sequence[str], gain: str, *, r
     return gains.groupBy(*keys).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "lower double"]))
 
 
+def predictive_gains(predictions: DataFrame, *, model: Sequence[str] = ("family", "length", "nugget", "radius"), interval: str = "interval", baseline: str = "local_constant") -> DataFrame:
+    """(model, interval, gain): mean drop of NLPD against the baseline at the same holdouts.
+
+    The baseline is the candidate of family ``baseline`` with the same radius and
+    the smallest length and nugget.
+    """
+    s = F.greatest(F.col("sigma"), F.lit(1e-6))
+    scored = predictions.where(F.col("predicted").isNotNull() & ~F.isnan("predicted")).withColumn("nlpd", gaussian_nlpd(F.col("predicted") - F.col("observed"), s))
+    place = F.row_number().over(Window.partitionBy(interval, "id", "radius").orderBy("length", "nugget"))
+    base = scored.where(F.col("family") == baseline).withColumn("__k", place).where("__k = 1").select(interval, "id", "radius", F.col("nlpd").alias("__base"))
+    pairs = scored.where(F.col("family") != baseline).join(base, [interval, "id", "radius"])
+    return pairs.groupBy(*model, interval).agg(F.avg(F.col("__base") - F.col("nlpd")).alias("gain"))
+
+
+def evaluate_fixed_model(
+    predictions: DataFrame,
+    *,
+    expected: int | None = None,
+    interval: str = "interval",
+    baseline: str = "local_constant",
+    relative_tolerance: float = 0.02,
+    coverage: tuple[float, float] = (0.75, 0.99),
+    scale: float = 1.0,
+    seed: int = 640013,
+) -> DataFrame:
+    """One row: how a fixed model does on independent intervals, and whether it passes all gates.
+
+    ``predictions`` holds the model and the baseline at each (interval, id), as
+    ``leave_one_out_predictions`` gives them.  The model's errors are multiplied
+    by ``scale``.  It passes if its RMSE is within tolerance of the baseline's, its
+    NLPD lower, the lower 95 % bootstrap bound of its mean gain over intervals
+    positive, its 90 % coverage in range, and no expected prediction is missing.
+    """
+    from tessera.functions.stats import Z90
+
+    known = predictions.where(F.col("predicted").isNotNull() & ~F.isnan("predicted")).select(interval, "id", "family", "observed", "predicted", "sigma")
+    base = known.where(F.col("family") == baseline).select(interval, "id", F.col("predicted").alias("base"), F.col("sigma").alias("base_sigma"))
+    j = known.where(F.col("family") != baseline).join(base, [interval, "id"])
+    e, b, s = F.col("observed") - F.col("predicted"), F.col("observed") - F.col("base"), scale * F.col("sigma")
+    j = j.select(interval, e.alias("e"), b.alias("b"), s.alias("s"), gaussian_nlpd(e, s).alias("nlpd"), gaussian_nlpd(b, F.col("base_sigma")).alias("base_nlpd"))
+    gains = j.groupBy(interval).agg(F.avg(F.col("base_nlpd") - F.col("nlpd")).alias("gain"))
+    lower = bootstrap_lower_bound(gains.withColumn("__all", F.lit(0)), ["__all"], "gain", seed=seed).select(F.col("lower").alias("gain_lower95"))
+    total = j.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct(interval).alias("n_intervals"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.sqrt(F.avg(F.col("b") * F.col("b"))).alias("baseline_rmse"),
+        F.avg("nlpd").alias("nlpd"), F.avg("base_nlpd").alias("baseline_nlpd"), F.avg((F.abs(F.col("e")) <= Z90 * F.col("s")).cast("double")).alias("coverage"),
+    )
+    out = total.join(F.broadcast(lower), F.lit(True), "left")
+    complete = F.lit(True) if expected is None else F.col("n") == expected
+    passed = (F.col("rmse") <= (1 + relative_tolerance) * F.col("baseline_rmse")) & (F.col("nlpd") < F.col("baseline_nlpd")) & (F.col("gain_lower95") > 0) & F.col("coverage").between(*coverage)
+    return out.withColumn("complete", complete).withColumn("accepted", F.coalesce(F.col("complete") & passed, F.lit(False)))
+
+
+def station_sets(present: DataFrame, *, interval: str = "interval", station: str = "id") -> tuple[DataFrame, DataFrame]:
+    """Intervals by the set of stations they have: (interval, set_id) and (set_id, station).
+
+    Supports and weights depend on the set alone; build them for the second table
+    and join them to intervals by the first.
+    """
+    sets = present.groupBy(interval).agg(F.sort_array(F.collect_set(station)).alias("__s")).withColumn("set_id", F.sha2(F.to_json("__s"), 256))
+    sets = cut_lineage(sets)
+    return sets.select(interval, "set_id"), sets.dropDuplicates(["set_id"]).select("set_id", F.explode("__s").alias(station))
+
+
+def weights_of_station_sets(targets: DataFrame, stations: DataFrame, present: DataFrame, family: str, *, radius: float, least: int = 1, interval: str = "interval", **model) -> DataFrame:
+    """(interval, t_id, s_id, w, variance, n): kriging weights solved once for each distinct station set."""
+    of, members = station_sets(present, interval=interval)
+    pairs = local_pairs(targets, stations, radius)
+    own = members.select("set_id", F.col("id").alias("s_id")).join(pairs, "s_id")
+    n = F.count(F.lit(1)).over(Window.partitionBy("set_id", "t_id"))
+    own = own.withColumn("__n", n).where(F.col("__n") >= least).drop("__n")
+    own = own.withColumn("of", F.col("t_id")).withColumn("t_id", F.concat_ws("|", "set_id", F.col("t_id").cast("string")))
+    names = own.select("t_id", "set_id", "of").distinct()
+    w = kriging_weight_relation(own.drop("set_id", "of"), family, **model).join(names, "t_id")
+    return of.join(w.select("set_id", F.col("of").alias("t_id"), "s_id", "w", "variance", "n"), "set_id").drop("set_id")
+
+
 OBSERVED = ("first", "second", "target_first")
 
 
@@ -149,7 +230,7 @@ def cokriging_weight_relation(
     exclusion: float = 0.0,
     least: int = 8,
     most: int = 64,
-    tasks_of: int = 64,
+    tasks_of: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Weights and diagnostics of two-look cokriging with barriers.
 
@@ -196,10 +277,8 @@ def cokriging_weight_relation(
         return pd.DataFrame(out).reindex(columns=names).astype({c: float for c in names[3:7]})
 
     schema = f"t_id {kinds['t_id']}, n int, valid boolean, unbiasedness double, condition double, drift_condition double, jitter double, posterior array<double>, weights array<double>, s_ids array<{kinds['s_id']}>"
-    bucket = F.floor(F.pmod(F.xxhash64("t_id"), F.lit(1 << 30)) / ((1 << 30) / tasks_of))
-    from tessera.runtime import cut_lineage
 
-    solved = cut_lineage(j.groupBy(bucket.alias("__g")).applyInPandas(solve, schema))
+    solved = cut_lineage(j.groupBy(bucket(j, "t_id", tasks_of=tasks_of).alias("__g")).applyInPandas(solve, schema))
     post = F.col("posterior")
     diagnostics = solved.select(
         "t_id", "n", "valid", "unbiasedness", "condition", "drift_condition", "jitter", F.sqrt(post[0]).alias("sigma_east"), F.sqrt(post[4]).alias("sigma_north"), post[1].alias("cov_en")

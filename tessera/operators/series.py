@@ -173,15 +173,27 @@ def block_resample(df: DataFrame, value: str, order: str, replicates: int, block
 def local_mean(grid: DataFrame, value: str, size: int, keys: Sequence[str] = ()) -> DataFrame:
     """Box means of an odd ``size`` over finite cells, and the covered fraction.
 
-    Separable: range windows along rows, then along columns; absent cells count
-    as missing.
+    Adds local_mean and coverage to every row; absent cells and missing values
+    count as missing.  Each cell adds its value to the cells of its box, in two
+    steps (along rows, then along columns), so a task needs no neighbours and
+    cells that are absent from the table still pass values on.
     """
     h = size // 2
-    x = F.col(value)
-    along = lambda part, order: Window.partitionBy(*keys, part).orderBy(order).rangeBetween(-h, h)
-    a = grid.withColumns({"__s": F.sum(x).over(along("row", "col")), "__n": F.count(x).over(along("row", "col"))})
-    a = a.withColumns({"__ss": F.sum("__s").over(along("col", "row")), "__nn": F.sum("__n").over(along("col", "row"))})
-    return a.withColumns({"local_mean": F.try_divide("__ss", F.col("__nn")), "coverage": F.col("__nn") / (size * size)}).drop("__s", "__n", "__ss", "__nn")
+    shift = F.explode(F.sequence(F.lit(-h), F.lit(h)))
+    own = [F.col(k) for k in keys]
+    cells = grid.where(F.col(value).isNotNull()).select(*own, F.col("row").alias("__row"), F.col("col").alias("__col"), F.col(value).alias("__x"))
+    along = cells.groupBy(*keys, "__row", "__col").agg(F.sum("__x").alias("__s"), F.count("__x").alias("__n"))
+    for axis in ("__col", "__row"):
+        spread = along.withColumn("__d", shift).withColumn(axis, F.col(axis) + F.col("__d"))
+        along = spread.groupBy(*keys, "__row", "__col").agg(F.sum("__s").alias("__s"), F.sum("__n").alias("__n"))
+    box = along.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__row", "__col", "__s", "__n")
+    on = (F.col("row") == F.col("__row")) & (F.col("col") == F.col("__col"))
+    for k in keys:
+        on &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    out = grid.join(box, on, "left").withColumns(
+        {"local_mean": F.try_divide("__s", F.col("__n")), "coverage": F.coalesce("__n", F.lit(0)) / (size * size)}
+    )
+    return out.select(*grid.columns, "local_mean", "coverage")
 
 
 def prewhiten(df: DataFrame, value: str, order: str, rho: float | Column, keys: Sequence[str] = (), out: str = "whitened") -> DataFrame:

@@ -12,15 +12,11 @@ from pyspark.sql import functions as F
 from tessera.functions import dense
 from tessera.functions.geo import strain_invariants, triangle_metrics
 from tessera.operators.spatial import point_to_segments_distance, radius_join, triangle_sample_points, visible_links
-from tessera.runtime import cut_lineage
-
-
-def _bucket(tasks_of: int):
-    return F.floor(F.pmod(F.xxhash64("t_id"), F.lit(1 << 30)) / ((1 << 30) / tasks_of))
+from tessera.runtime import bucket, cut_lineage
 
 
 def joint_mls(
-    samples: DataFrame, targets: DataFrame, *, radius: float = 8.0, bandwidth: float = 4.0, least: int = 16, max_condition: float = 1e8, segments: DataFrame | None = None, tasks_of: int = 64
+    samples: DataFrame, targets: DataFrame, *, radius: float = 8.0, bandwidth: float = 4.0, least: int = 16, max_condition: float = 1e8, segments: DataFrame | None = None, tasks_of: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Operator relation (t_id, s_id, row, we, wn, n) and diagnostics of joint affine fits.
 
@@ -54,7 +50,7 @@ def joint_mls(
         return pd.DataFrame(out).reindex(columns=names).astype({"n_eff": float, "condition": float})
 
     schema = f"t_id {kinds['t_id']}, n int, valid boolean, n_eff double, condition double, cov array<double>, operator array<double>, s_ids array<{kinds['s_id']}>"
-    solved = cut_lineage(j.groupBy(_bucket(tasks_of).alias("__g")).applyInPandas(solve, schema))
+    solved = cut_lineage(j.groupBy(bucket(j, "t_id", tasks_of=tasks_of).alias("__g")).applyInPandas(solve, schema))
     flat = solved.where("valid").select("t_id", "n", "operator", F.posexplode("s_ids").alias("k", "s_id"), F.lit(1).alias("__one"))
     flat = flat.withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(5))))
     at = (F.col("row") * 2 * F.col("n") + 2 * F.col("k")).cast("int")
@@ -101,7 +97,7 @@ def robust_plane_strain(
     use_median_sigma: bool = True,
     scale: float = 1000.0,
     wrap: bool = True,
-    tasks_of: int = 64,
+    tasks_of: int | None = None,
 ) -> DataFrame:
     """Strain (in 1/1000 of value units per km times ``scale``) from separate robust fits.
 
@@ -132,7 +128,7 @@ def robust_plane_strain(
         return pd.DataFrame(out).reindex(columns=[*by, *names]).astype({c: float for c in names[1:]})
 
     schema = ", ".join([*[f"`t_{k}` {kinds[f't_{k}']}" for k in keys], f"t_id {kinds['t_id']}", "n int", *[f"{c} double" for c in names[1:]]])
-    fits = j.groupBy(_bucket(tasks_of).alias("__g")).applyInPandas(solve, schema)
+    fits = j.groupBy(bucket(j, "t_id", tasks_of=tasks_of).alias("__g")).applyInPandas(solve, schema)
     fine = lambda c: F.when(~F.isnan(c), F.col(c))
     fits = fits.withColumns({c: fine(c) for c in names[1:]})
     ok = F.coalesce(F.col("condition") <= max_condition, F.lit(False))
@@ -149,27 +145,32 @@ def leave_one_out_bandwidths(stations: DataFrame, bandwidths: Sequence[float], *
     """(bandwidth, n, rmse, se) of vector predictions at held-out stations.
 
     A station is predicted from all others whose kernel weight is at least
-    exp(-4.5), i.e. within three bandwidths.
+    exp(-4.5), i.e. within three bandwidths; stations are dealt out in buckets.
     """
-    spark = stations.sparkSession
-    grid = spark.createDataFrame([(float(b),) for b in bandwidths], "bandwidth double")
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        h = float(g["bandwidth"].iloc[0])
-        xy = g[["x", "y"]].to_numpy(float)
-        rows = []
-        for i in range(len(g)):
-            keep = (np.arange(len(g)) != i) & (np.linalg.norm(xy - xy[i], axis=1) <= 3 * h)
-            if keep.sum() < least:
-                continue
-            miss = [
-                g[v].iloc[i] - dense.robust_affine(xy[keep] - xy[i], g[v].to_numpy(float)[keep], g[s].to_numpy(float)[keep], h, steps=8, sigma_floor=0.25, scale_floor=0.25, use_median_sigma=False)["beta"][0]
-                for v, s in (("east", "sigma_e"), ("north", "sigma_n"))
-            ]
-            rows.append((h, float(np.hypot(*miss))))
-        return pd.DataFrame(rows, columns=["bandwidth", "miss"])
-
-    each = stations.crossJoin(F.broadcast(grid)).groupBy("bandwidth").applyInPandas(run, "bandwidth double, miss double")
+    fields = ["east", "north", "sigma_e", "sigma_n"]
+
+    def misses(h: float):
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            for _, one in g.groupby("t_id"):
+                if len(one) < least:
+                    continue
+                one = one.sort_values("s_id")
+                offset = one[["s_x", "s_y"]].to_numpy(float) - one[["t_x", "t_y"]].to_numpy(float)
+                miss = [
+                    one[f"t_{v}"].iloc[0] - dense.robust_affine(offset, one[f"s_{v}"].to_numpy(float), one[f"s_{s}"].to_numpy(float), h, steps=8, sigma_floor=0.25, scale_floor=0.25, use_median_sigma=False)["beta"][0]
+                    for v, s in (("east", "sigma_e"), ("north", "sigma_n"))
+                ]
+                rows.append((h, float(np.hypot(*miss))))
+            return pd.DataFrame(rows, columns=["bandwidth", "miss"])
+
+        return run
+
+    each = None
+    for h in map(float, bandwidths):
+        pairs = radius_join(stations.select("id", "x", "y", "east", "north"), stations.select("id", "x", "y", *fields), 3.0 * h).where(F.col("t_id") != F.col("s_id"))
+        some = pairs.groupBy(bucket(pairs, "t_id").alias("__g")).applyInPandas(misses(h), "bandwidth double, miss double")
+        each = some if each is None else each.unionByName(some)
     m2 = F.col("miss") * F.col("miss")
     return each.groupBy("bandwidth").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(m2)).alias("rmse"), (F.stddev_samp(m2) / F.sqrt(F.count(F.lit(1))) / (2 * F.sqrt(F.avg(m2)))).alias("se")
@@ -186,23 +187,30 @@ def triangle_strain(
     min_angle: float = 15.0,
     max_condition: float = 10.0,
     scale: float = 1000.0,
-    most_stations: int = 5000,
+    keys: Sequence[str] = (),
 ) -> DataFrame:
-    """Linear strain of Delaunay triangles of a station network; invalid ones stay, with the reason.
+    """Linear strain of Delaunay triangles of station networks; invalid ones stay, with the reason.
 
-    The triangulation is built on the driver from at most ``most_stations``
-    positions; everything after it is expressions.
+    Each network (``keys``; all stations are one without any) is triangulated in
+    one task from its positions; everything after it is expressions.  ``triangle``
+    counts within a network.
     """
-    rows = stations.select("id", "x", "y", "east", "north", "sigma_e", "sigma_n").orderBy("id").limit(most_stations + 1).collect()
-    if len(rows) > most_stations:
-        raise ValueError("more stations than a driver-side triangulation is meant for")
-    found = dense.delaunay(np.array([(r.x, r.y) for r in rows], dtype=float)) if len(rows) >= 3 else []
-    spark = stations.sparkSession
-    table = spark.createDataFrame([(i, *[rows[v].id for v in t]) for i, t in enumerate(found)], "triangle int, a long, b long, c long")
-    out = table
+    keys, kinds = list(keys), dict(stations.dtypes)
+
+    def mesh(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("id")
+        found = dense.delaunay(g[["x", "y"]].to_numpy(float)) if len(g) >= 3 else []
+        ids = g["id"].to_numpy()
+        out = pd.DataFrame([(i, *[int(ids[v]) for v in t]) for i, t in enumerate(found)], columns=["triangle", "a", "b", "c"])
+        for i, k in enumerate(keys):
+            out.insert(i, k, g[k].iloc[0])
+        return out
+
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "triangle int, a long, b long, c long"])
+    out = cut_lineage(stations.select(*keys, "id", "x", "y").groupBy(*keys).applyInPandas(mesh, schema))
     for i, corner in enumerate("abc", 1):
-        s = stations.select(F.col("id").cast("long").alias(corner), *[F.col(c).alias(f"{c}{i}") for c in ("x", "y", "east", "north", "sigma_e", "sigma_n")])
-        out = out.join(s, corner)
+        s = stations.select(*keys, F.col("id").cast("long").alias(corner), *[F.col(c).alias(f"{c}{i}") for c in ("x", "y", "east", "north", "sigma_e", "sigma_n")])
+        out = out.join(s, [*keys, corner])
     pts = tuple((F.col(f"x{i}"), F.col(f"y{i}")) for i in (1, 2, 3))
     out = out.withColumns(triangle_metrics(pts))
     (ax, ay), (bx, by), (cx, cy) = pts
@@ -213,10 +221,11 @@ def triangle_strain(
     var = lambda g, name: sum((F.pow(g[i] * F.col(f"{name}{i + 1}"), 2) for i in range(3)), F.lit(0.0))
     parts = strain_invariants(dot(gx, "east"), dot(gy, "east"), dot(gx, "north"), dot(gy, "north"), scale=scale, wrap=False)
     if segments is not None:
-        probe = triangle_sample_points(out.select("triangle", *[f"{c}{i}" for i in (1, 2, 3) for c in "xy"]), spacing)
+        out = out.withColumn("__t", F.struct(*keys, "triangle"))
+        probe = triangle_sample_points(out.select(F.col("__t").alias("triangle"), *[f"{c}{i}" for i in (1, 2, 3) for c in "xy"]), spacing)
         probe = probe.select("triangle", F.col("px").alias("x"), F.col("py").alias("y")).withColumn("id", F.struct("triangle", "x", "y"))
-        near = point_to_segments_distance(probe, segments, buffer).select(F.col("p_id.triangle").alias("triangle")).distinct().withColumn("__near", F.lit(True))
-        out = out.join(near, "triangle", "left")
+        near = point_to_segments_distance(probe, segments, buffer).select(F.col("p_id.triangle").alias("__t")).distinct().withColumn("__near", F.lit(True))
+        out = out.join(near, "__t", "left")
     else:
         out = out.withColumn("__near", F.lit(None).cast("boolean"))
     reason = (
@@ -227,6 +236,6 @@ def triangle_strain(
     out = out.withColumn("reason", reason)
     ok = F.col("reason").isNull()
     return out.select(
-        "triangle", "a", "b", "c", "area", "longest_edge", "min_angle", "condition", ok.alias("valid"), "reason",
+        *keys, "triangle", "a", "b", "c", "area", "longest_edge", "min_angle", "condition", ok.alias("valid"), "reason",
         *[F.when(ok, v).alias(k) for k, v in parts.items()], *[F.when(ok, scale * F.sqrt(v)).alias(k) for k, v in errors.items()],
     )

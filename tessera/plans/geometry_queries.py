@@ -374,12 +374,7 @@ def local_mean(spark, sf_dir):
     from tessera.operators.series import local_mean as box
 
     g = cells(spark, sf_dir).select("event_type", F.datediff("day", F.lit("2024-01-01")).alias("row"), F.col("hr").alias("col"), "x")
-    # Cells that are absent still carry sums along a row: fill the frame so the second pass sees them.
-    frame = g.select("event_type").distinct().crossJoin(spark.range(0, 31).select(F.col("id").cast("int").alias("row"))).crossJoin(
-        spark.range(0, 24).select(F.col("id").cast("int").alias("col"))
-    )
-    full = frame.join(g, ["event_type", "row", "col"], "left")
-    out = box(full, "x", 3, ["event_type"]).where("x IS NOT NULL")
+    out = box(g, "x", 3, ["event_type"])
     return rounded(out.select("event_type", "row", "col", "local_mean", "coverage"), "local_mean", "coverage")
 
 

@@ -8,11 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions import dense
 from tessera.operators import interpolate, regress, strain
 from tessera.operators.filters import persistent
 from tessera.plans.geometry_queries import POINT_SQL, STATION_SQL, points, stations, walls
 from tessera.plans.registry import rd, register, rounded, table
 from tessera.plans.series_queries import centred
+from tessera.runtime import cut_lineage
 
 
 def affine_epochs(df):
@@ -109,13 +111,39 @@ def local_constant(spark, sf_dir):
 
 @register()
 def vertical_model_selection(spark, sf_dir):
-    """Leave-one-out grid search over families, lengths and nuggets; accepted and selected flags.
+    """Leave-one-out grid search over all families, lengths and nuggets; accepted and selected flags.
 
     An interval is a tile of 100 stations.
     """
     st = stations(spark, sf_dir).select(F.floor(F.col("id") / 100).cast("string").alias("interval"), "id", "x", "y", F.col("v").alias("value"), F.lit(1.0).alias("sigma"))
-    p = interpolate.leave_one_out_predictions(st, keys=["interval"], families=["local_constant", "ok_exponential", "ok_matern32", "uk_matern32"], lengths=[20.0, 40.0], nuggets=[0.0, 2.0], least=2)
-    return rounded(interpolate.score_candidates(p), "nlpd", "rmse", "coverage")
+    p = interpolate.leave_one_out_predictions(st, keys=["interval"], families=list(dense.FAMILIES), lengths=[20.0, 40.0], nuggets=[0.0, 2.0], least=2)
+    p = cut_lineage(p)
+    return rounded(interpolate.score_candidates(p, gains=interpolate.predictive_gains(p)), "nlpd", "rmse", "coverage", "gain_lower95")
+
+
+@register()
+def fixed_model_evaluation(spark, sf_dir):
+    """One fixed model on the tiles of 100 stations as intervals, with all gates."""
+    st = stations(spark, sf_dir).select(F.floor(F.col("id") / 100).cast("string").alias("interval"), "id", "x", "y", F.col("v").alias("value"), F.lit(1.0).alias("sigma"))
+    p = cut_lineage(interpolate.leave_one_out_predictions(st, keys=["interval"], families=["local_constant", "ok_matern32"], lengths=[20.0], nuggets=[2.0], least=2))
+    out = interpolate.evaluate_fixed_model(p)
+    return rounded(out, "rmse", "baseline_rmse", "nlpd", "baseline_nlpd", "coverage", "gain_lower95")
+
+
+@register()
+def change_point_summary(spark, sf_dir):
+    e = regress.change_evidence(centred(spark, sf_dir), ["event_type"], "day", "x", min_before=10, min_after=3)
+    out = regress.change_summary(cut_lineage(regress.change_posterior(e, ["event_type"])), ["event_type"])
+    p = F.col("class_probability")
+    return rounded(out.select("event_type", p["step"].alias("p_step"), p["hinge"].alias("p_hinge"), "log_bayes_factor", "best_model", "best_date", "date_low", "date_high"), "p_step", "p_hinge", "log_bayes_factor")
+
+
+@register()
+def transient_curves(spark, sf_dir):
+    x = centred(spark, sf_dir)
+    e = regress.change_evidence(x, ["event_type"], "day", "x", models=("hinge", "hinge2"), min_before=10, min_after=4, prior_scale=3.0, autocorrelated=True, window=("2024-01-12", "2024-01-24"))
+    out = regress.posterior_curves(x, regress.change_posterior(e, ["event_type"]), ["event_type"], "day", "x")
+    return rounded(out, "low", "mid", "high", "p_positive")
 
 
 @register()
@@ -127,12 +155,11 @@ def bandwidth_selection(spark, sf_dir):
 
 @register()
 def triangle_strain(spark, sf_dir):
-    """An affine field over a Delaunay network of one station a nation, with a wall buffer."""
-    k = F.col("n_nationkey")
-    s = table(spark, sf_dir, "nation").select(k.alias("id"), (1 + k * 37 % 25 * 2.0 + k % 7 / F.lit(9.0)).alias("x"), (k * 11 % 25 * 2.0 + k % 5 / F.lit(7.0)).alias("y"))
-    s = s.select("id", "x", "y", (2 * F.col("x") + 3 * F.col("y")).alias("east"), (4 * F.col("y") - F.col("x")).alias("north"), F.lit(1.0).alias("sigma_e"), F.lit(1.0).alias("sigma_n"))
-    out = strain.triangle_strain(s, segments=walls(spark), buffer=0.5, spacing=1.0, min_angle=5.0, max_condition=50.0)
-    return rounded(out.select("triangle", "a", "b", "c", "valid", "reason", "exx", "eyy", "exy", "rotation"), "exx", "eyy", "exy", "rotation")
+    """An affine field over the Delaunay networks of all stations, one for each tile, with a wall buffer."""
+    s = stations(spark, sf_dir).select(F.floor(F.col("id") / 100).alias("network"), "id", "x", "y")
+    s = s.select("*", (2 * F.col("x") + 3 * F.col("y")).alias("east"), (4 * F.col("y") - F.col("x")).alias("north"), F.lit(1.0).alias("sigma_e"), F.lit(1.0).alias("sigma_n"))
+    out = strain.triangle_strain(s, keys=["network"], segments=walls(spark), buffer=0.5, spacing=1.0, min_angle=5.0, max_condition=50.0)
+    return rounded(out.select("network", "triangle", "a", "b", "c", "valid", "reason", "exx", "eyy", "exy", "rotation"), "exx", "eyy", "exy", "rotation")
 
 
 @register()
@@ -156,12 +183,12 @@ def transient_posterior(spark, sf_dir):
 
 @register()
 def change_point_bootstrap(spark, sf_dir):
-    return rounded(regress.change_point_bootstrap(centred(spark, sf_dir), ["event_type"], "day", "x", replicates=9, min_before=14, min_after=8), "observed", "p")
+    return rounded(regress.change_point_bootstrap(centred(spark, sf_dir), ["event_type"], "day", "x", min_before=14, min_after=8), "observed", "p")
 
 
 @register()
 def breakpoint_bootstrap(spark, sf_dir):
-    return rounded(regress.mean_shift_bootstrap(centred(spark, sf_dir), ["event_type"], "day", "x", replicates=99, min_before=10), "observed", "p")
+    return rounded(regress.mean_shift_bootstrap(centred(spark, sf_dir), ["event_type"], "day", "x", min_before=10), "observed", "p")
 
 
 @register()
@@ -185,7 +212,7 @@ def spatial_matched_filter(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     r = e.groupBy((F.col("user_id") % 7).alias("patch"), F.dayofmonth("ts").alias("t")).agg(F.avg("value").alias("r"))
     full = persistent(r, "patch", "t")
-    return rounded(regress.best_templates(r.join(full, "patch"), replicates=19, min_before=8), "statistic", "p")
+    return rounded(regress.best_templates(r.join(full, "patch"), min_before=8), "statistic", "coefficient", "endpoint", "p")
 
 
 @register("SELECT 1 AS k, 2.0 AS plane_offset, 0.5 AS plane_x, -0.25 AS plane_y")

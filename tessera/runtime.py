@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -26,3 +27,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and start a new lineage."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def bucket(df: DataFrame, key: str, *, tasks_of: int | None = None, per: int = 512) -> Column:
+    """A number that deals the values of ``key`` out over buckets of about ``per`` values.
+
+    The number of buckets follows from the number of values, so that a bucket's
+    group keeps its size as the table grows; ``tasks_of`` sets it instead.
+    """
+    if tasks_of is None:
+        values = df.agg(F.approx_count_distinct(key)).first()[0] or 0
+        tasks_of = max(64, -(-values // per))
+    return F.floor(F.pmod(F.xxhash64(key), F.lit(1 << 30)) / ((1 << 30) / tasks_of))
