@@ -7,15 +7,37 @@ path outside Spark's own readers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import io
+import re
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.geo import coordinate_key, finite, to_utm_km
 from tessera.functions.scalars import compact_date, epoch_date_of_path, stem
 
 
+def discover_epochs(spark: SparkSession, folder: str) -> DataFrame:
+    """(date, path, length) of the ``YYYYMMDD.txt`` files of a folder, in order of date.
+
+    A folder without any, an empty file and two files of one date are errors.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder).select("path", "length")
+    # Spark plans no read of an empty file: such a file is listed, and no row.
+    listed = sum(bool(re.search(r"/[0-9]{8}\.txt$", name)) for name in files.inputFiles())
+    found = files.withColumn("date", epoch_date_of_path(F.col("path"))).where("date IS NOT NULL AND length > 0").select("date", "path", "length")
+    state = found.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("date").alias("dates")).first()
+    if not listed:
+        raise ValueError(f"no epoch files in {folder}")
+    if state.n < listed or state.dates < state.n:
+        raise ValueError("an epoch file is empty" if state.n < listed else "two epoch files have one date")
+    return found.orderBy("date")
+
+
 def read_epoch_stack(spark: SparkSession, folder: str) -> DataFrame:
     """(date, displacement, lat, lon, line, key) of all ``YYYYMMDD.txt`` in a folder.
 
@@ -30,8 +52,16 @@ def read_epoch_stack(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where("date IS NOT NULL").withColumn("key", coordinate_key(F.col("lat"), F.col("lon")))
 
 
-def align_epochs(stack: DataFrame) -> DataFrame:
-    """Every epoch on the first epoch's grid: unmatched positions are NULL, repeats keep their first value."""
+def align_epochs(stack: DataFrame, *, repeats: str = "first") -> DataFrame:
+    """Every epoch on the first epoch's grid: unmatched positions are NULL.
+
+    Repeated positions of an epoch keep their first value, or are an error with
+    ``repeats='error'``.
+    """
+    if repeats not in ("first", "error"):
+        raise ValueError("repeats must be 'first' or 'error'")
+    if repeats == "error" and not stack.groupBy("date", "key").count().where("count > 1").isEmpty():
+        raise ValueError("an epoch holds a position twice")
     first = F.broadcast(stack.agg(F.min("date").alias("d0")))
     grid = stack.join(first, F.col("date") == F.col("d0")).select("key", "lat", "lon").dropDuplicates(["key"])
     dates = stack.select("date").distinct()
@@ -77,8 +107,11 @@ _LINE = "struct<type:string,coordinates:array<array<double>>>"
 _MULTI = "struct<type:string,coordinates:array<array<array<double>>>>"
 
 
-def read_polylines(spark: SparkSession, path: str, *, certain_only: bool = True) -> DataFrame:
-    """(line_id, label, confidence, vertex, lon, lat) of GeoJSON lines with at least two vertices."""
+def read_polylines(spark: SparkSession, path: str, *, certain_only: bool = True, strict: bool = False) -> DataFrame:
+    """(line_id, label, confidence, vertex, lon, lat) of GeoJSON lines with at least two vertices.
+
+    Other geometries are left out, or are an error with ``strict``.
+    """
     text = spark.read.text(path, wholetext=True)
     shape = "features array<struct<properties:struct<Label:string,IdentityConfidence:string>,geometry:string>>"
     f = text.select(F.explode(F.from_json("value", shape)["features"]).alias("f")).select(
@@ -88,6 +121,8 @@ def read_polylines(spark: SparkSession, path: str, *, certain_only: bool = True)
     lines = F.when(kind == "LineString", F.array(F.from_json("g", _LINE)["coordinates"])).when(kind == "MultiLineString", F.from_json("g", _MULTI)["coordinates"])
     if certain_only:
         f = f.where(F.col("confidence") == "certain")
+    if strict and not f.where(lines.isNull()).isEmpty():
+        raise ValueError("a feature is no line")
     each = f.select("label", "confidence", F.posexplode(lines).alias("part", "line"), F.xxhash64("g").alias("gid")).where(F.size("line") >= 2)
     each = each.withColumn("line_id", F.concat_ws(":", "gid", "part"))
     return each.select("line_id", "label", "confidence", F.posexplode("line").alias("vertex", "p")).select(
@@ -133,6 +168,59 @@ def same_product(a: DataFrame, b: DataFrame, keys: Sequence[str], values: Sequen
     return j.where(differs).drop("__a", "__b")
 
 
+_CELL = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("name", T.StringType()),
+        T.StructField("index", T.ArrayType(T.IntegerType())),
+        T.StructField("value", T.DoubleType()),
+        T.StructField("text", T.StringType()),
+    ]
+)
+
+
+def read_arrays(spark: SparkSession, path: str, names: Sequence[str] | None = None, *, rows: int = 65_536) -> DataFrame:
+    """(path, name, index, value, text) of every element of the arrays in ``.npz`` files.
+
+    Numbers, truth values and dates (as days since 1970) are in ``value``, with NaN
+    as NULL; strings are in ``text``.  Only the arrays asked for are decompressed,
+    and one array at a time is held.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at, content in zip(frame["path"], frame["content"], strict=True):
+                with np.load(io.BytesIO(content), allow_pickle=False) as held:
+                    for name in held.files if names is None else [n for n in names if n in held.files]:
+                        values = held[name]
+                        flat = values.reshape(-1)
+                        if np.issubdtype(flat.dtype, np.datetime64):
+                            flat = flat.astype("datetime64[D]").astype(np.int64)
+                        strings = flat.dtype.kind in "US"
+                        for k in range(0, len(flat), rows):
+                            part = flat[k : k + rows]
+                            where = np.stack(np.unravel_index(np.arange(k, k + len(part)), values.shape or (1,)), axis=1)[:, : values.ndim].astype(np.int32)
+                            text = [x.decode() if isinstance(x, bytes) else str(x) for x in part] if strings else [None] * len(part)
+                            number = [None] * len(part) if strings else [None if np.isnan(x) else float(x) for x in part.astype(np.float64)]
+                            yield pd.DataFrame({"path": at, "name": name, "index": list(where), "value": pd.Series(number, dtype=object), "text": text})
+
+    return files.mapInPandas(work, _CELL)
+
+
+def read_dated_csv(spark: SparkSession, path: str, schema: str, *, date_format: str = "yyyy-MM-dd") -> DataFrame:
+    """CSV with a header under an explicit schema; cells that don't parse, and NaN, are NULL."""
+    out = spark.read.schema(schema).option("header", "true").option("dateFormat", date_format).option("mode", "PERMISSIVE").csv(path)
+    return out.withColumns({c: finite(F.col(c)) for c, kind in out.dtypes if kind in ("double", "float")})
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """Parameters of a JSON manifest (one small object)."""
+    import json
+
+    return json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+
+
 def write_cube(df: DataFrame, path: str, by: Sequence[str] = ("date",)) -> None:
     """One partition folder per value of ``by``, so epochs prune at the scan."""
     df.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
