@@ -1,7 +1,20 @@
 """Corpus preparation: five stages, each written as Parquet and read again.
 
 ``run`` keeps what a stage wrote in the shared checkpoint folder, so a lost
-executor costs a task of one stage and nothing before it.
+executor costs a task of one stage and nothing before it; a stage's folder is
+removed once the next one is written.  This module needs the subpackage
+``tessera.llm`` and can't be imported without it.
+
+Defined results for odd tables, of every stage: an empty table gives an empty
+one; columns beyond those of documents are kept by all stages, whatever their
+names (``token_ids`` and ``token_offsets`` are replaced by the last).  Null,
+empty and letterless texts have no language and go in the first stage; the
+others keep them: they have no words to repeat, no window, no personal data and
+no tokens.  Repeated rows: the first, third, fourth and fifth stage treat row by
+row, the second keeps one of them.  Rows with a null id stay in all stages and
+are not compared by the second.  Ties: of equal language shares the name that
+sorts first counts, of near duplicates the smallest id stays.  Texts of any
+length are processed whole.
 """
 
 from __future__ import annotations
@@ -59,9 +72,16 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/corpus-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before is not None:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
