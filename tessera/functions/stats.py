@@ -32,12 +32,21 @@ def quantile_band(x: Column) -> dict[str, Column]:
     return {"low": quantile(x, 0.025), "mid": quantile(x, 0.5), "high": quantile(x, 0.975)}
 
 
-def median_and_mad(df: DataFrame, keys: list[str], value: str, *, only: Column | None = None) -> DataFrame:
+def median_and_mad(df: DataFrame, keys: list[str], value: str, *, only: Column | None = None, most: int | None = None) -> DataFrame:
     """(keys, n, center, mad): two aggregations that share one partitioning.
 
-    ``only`` restricts the rows that count, e.g. to a frozen baseline.
+    ``only`` restricts the rows that count, e.g. to a frozen baseline.  With
+    ``most``, groups of more values are narrowed down instead of buffered (see
+    ``operators.quantiles``).
     """
     rows = df.where(only) if only is not None else df
+    if most is not None:
+        from tessera.operators.quantiles import grouped_quantile
+
+        rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
+        center = grouped_quantile(rows, keys, value, most=most, out="center")
+        apart = rows.join(center, keys).withColumn("__d", F.abs(F.col(value) - F.col("center")))
+        return center.join(grouped_quantile(apart, keys, "__d", most=most, out="mad").drop("n"), keys)
     rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
     center = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("center"))
     apart = rows.join(center, keys).groupBy(*keys).agg(

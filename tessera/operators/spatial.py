@@ -44,10 +44,14 @@ def radius_join(targets: DataFrame, samples: DataFrame, radius: float, *, xy: tu
 
 
 def nearest_join(
-    targets: DataFrame, points: DataFrame, *, target_id: str, point_id: str, k: int = 1, cell: float = 1.0, xy: tuple[str, str] = ("x", "y")
-) -> DataFrame:
+    targets: DataFrame, points: DataFrame, *, target_id: str, point_id: str, k: int = 1, cell: float = 1.0, xy: tuple[str, str] = ("x", "y"),
+    within: float | None = None, digits: int | None = None,
+) -> DataFrame:
     """The ``k`` nearest points of each target by (distance, id); exact.
 
+    ``within`` leaves out points farther away (and ends the search there), with
+    ``digits`` distances that agree to so many decimals are ties.
+
     Searches 3x3 cells; a target is settled once its k-th distance is within the
     cell size, the others go on with cells four times as large, until none is left
     or one cell covers everything.  A round's results (``k`` rows a target) and the
@@ -61,15 +65,18 @@ def nearest_join(
     extent = max(v for v in (*box, cell) if v is not None)
     left = targets.select(F.col(target_id).alias("t_id"), F.col(x).alias("t_x"), F.col(y).alias("t_y"))
     out, size = None, cell
-    rank = F.row_number().over(Window.partitionBy("t_id").orderBy("distance", "p_id"))
+    near_first = F.col("distance") if digits is None else F.round("distance", digits)
+    rank = F.row_number().over(Window.partitionBy("t_id").orderBy(near_first, "p_id"))
+    reach = F.lit(True) if within is None else F.col("distance") <= within
+    margin = 0.0 if digits is None else 10.0**-digits
     while True:
-        last = size >= extent
+        last = size >= extent or (within is not None and size >= within)
         t = left.withColumn("__bx", _around(F.col("t_x"), size)).withColumn("__by", _around(F.col("t_y"), size))
         s = p.withColumns({"__bx": _cell(F.col("s_x"), size), "__by": _cell(F.col("s_y"), size)})
-        near = t.join(s, ["__bx", "__by"]).withColumn("distance", F.hypot(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y")))
+        near = t.join(s, ["__bx", "__by"]).withColumn("distance", F.hypot(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y"))).where(reach)
         ranked = cut_lineage(near.select("t_id", "p_id", "distance", rank.alias("rank")).where(F.col("rank") <= k))
         done = ranked if last else ranked.join(
-            ranked.where((F.col("rank") == k) & (F.col("distance") <= size)).select("t_id"), "t_id", "left_semi"
+            ranked.where((F.col("rank") == k) & (F.col("distance") <= size - margin)).select("t_id"), "t_id", "left_semi"
         )
         out = done if out is None else out.unionByName(done)
         if last:
@@ -77,7 +84,7 @@ def nearest_join(
         left = cut_lineage(left.join(done.select("t_id").distinct(), "t_id", "left_anti"))
         if left.isEmpty():
             return out
-        size *= 4
+        size = size * 4 if within is None else min(size * 4, within)
 
 
 def _cells_of_box(df: DataFrame, a: tuple[str, str], b: tuple[str, str], size: float) -> DataFrame:

@@ -261,8 +261,8 @@ SELECT t_id, s_id, CAST(k AS INT) AS rank FROM (SELECT *, row_number() OVER (PAR
 )
 def nearest_donors(spark, sf_dir):
     p = points(spark, sf_dir)
-    j = spatial.radius_join(p, p, 12.0)
-    return ranking.top_k(j, 48, [F.round("distance", 9), F.col("s_id")], ["t_id"]).select("t_id", "s_id", "rank")
+    out = spatial.nearest_join(p, p, target_id="id", point_id="id", k=48, cell=4.0, within=12.0, digits=9)
+    return out.select("t_id", F.col("p_id").alias("s_id"), "rank")
 
 
 def barrier_links(spark, sf_dir):

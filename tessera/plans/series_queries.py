@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import stats
 from tessera.functions.geo import duration_normalize
-from tessera.operators import detect, filters, joins, ranking, series
+from tessera.operators import detect, filters, joins, quantiles, ranking, series
 from tessera.plans.registry import r6, rd, register, rounded, table
 
 #: Daily medians per event type: the series most queries here run on.
@@ -43,10 +43,9 @@ m AS (SELECT event_type, hr, n, n >= 15 AS supported, center, scale, ms, sqrt(gr
 
 @register(f"SELECT l_returnflag, CAST(date_trunc('month', l_shipdate) AS DATE) AS month, {rd('median(l_extendedprice)')} AS med, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def spatial_median_series(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    return li.groupBy("l_returnflag", F.to_date(F.trunc("l_shipdate", "month")).alias("month")).agg(
-        r6(F.median("l_extendedprice")).alias("med"), F.count("*").alias("n")
-    )
+    li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.to_date(F.trunc("l_shipdate", "month")).alias("month"), "l_extendedprice")
+    m = quantiles.grouped_quantile(li, ["l_returnflag", "month"], "l_extendedprice", out="med")
+    return m.select("l_returnflag", "month", r6("med").alias("med"), "n")
 
 
 @register(
@@ -56,7 +55,7 @@ SELECT l_returnflag, month, count(*) AS n, {rd('1.4826 * median(abs(v - center))
 )
 def spatial_mad_series(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_returnflag", F.to_date(F.trunc("l_shipdate", "month")).alias("month"), F.col("l_extendedprice").alias("v"))
-    m = stats.median_and_mad(li, ["l_returnflag", "month"], "v")
+    m = stats.median_and_mad(li, ["l_returnflag", "month"], "v", most=quantiles.MOST)
     return m.select("l_returnflag", "month", "n", r6(stats.MAD_TO_SIGMA * F.col("mad")).alias("mad_sigma"))
 
 

@@ -11,8 +11,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import dense, geo
-from tessera.operators import detect, endpoints, graph, interpolate, reference, regress, series, spatial, strain, summaries, traces
+from tessera.functions import dense, geo, stats
+from tessera.operators import detect, endpoints, graph, interpolate, quantiles, reference, regress, series, spatial, strain, summaries, traces
 from tessera.plans import catalog
 from tessera.sources import files
 from tessera.streaming.online import online_cusum
@@ -285,6 +285,33 @@ def test_small_checks_of_summaries(spark):
     assert noise["a"] == 0.1 and noise["b"] == pytest.approx(1.4826 * np.median(np.abs(step - np.median(step))) / math.sqrt(2))
 
 
+def test_quantiles_of_large_groups_are_exact(spark):
+    rng = np.random.default_rng(6)
+    data = {"a": rng.standard_normal(500), "b": np.repeat([1.0, 2.0], [300, 301]), "c": rng.standard_normal(7), "d": np.exp(20 * rng.standard_normal(400)), None: rng.uniform(0, 1, 90)}
+    df = spark.createDataFrame([(k, float(v)) for k, x in data.items() for v in x] + [("a", None)], "k string, v double")
+    for q in (0.5, 0.25, 1.0):
+        got = {r.k: (r.n, r.quantile) for r in quantiles.grouped_quantile(df, ["k"], "v", q, most=10).collect()}
+        assert got.keys() == data.keys()
+        for k, x in data.items():
+            assert got[k][0] == len(x) and got[k][1] == pytest.approx(np.quantile(x, q), rel=1e-12), (k, q)
+    whole = quantiles.grouped_quantile(df, [], "v", 0.5, most=10).first()
+    assert whole["quantile"] == pytest.approx(np.median(np.concatenate(list(data.values()))))
+    known = df.where("k IS NOT NULL")
+    mads = {r.k: r.mad for r in stats.median_and_mad(known, ["k"], "v", most=10).collect()}
+    assert all(mads[k] == pytest.approx(np.median(np.abs(x - np.median(x))), rel=1e-9) for k, x in data.items() if k)
+
+
+def test_nearest_join_within_a_radius_and_with_ties(spark):
+    pts = [(i, float(i % 9), float(i // 9)) for i in range(81)] + [(100, 40.0, 40.0)]
+    df = spark.createDataFrame(pts, "id long, x double, y double")
+    got = {}
+    for r in spatial.nearest_join(df, df, target_id="id", point_id="id", k=6, cell=0.7, within=2.5, digits=9).collect():
+        got.setdefault(r.t_id, []).append((r.rank, r.p_id))
+    for i, x, y in pts:
+        near = sorted((round(math.hypot(a - x, b - y), 9), j) for j, a, b in pts if math.hypot(a - x, b - y) <= 2.5)[:6]
+        assert sorted(got[i]) == [(n + 1, j) for n, (_, j) in enumerate(near)]
+
+
 def test_jitter_starts_from_the_largest_variance():
     K = np.array([[4.0, 4.0], [4.0, 4.0]]) - 1e-13
     _, A, jitter = dense.jittered_cholesky(K - 1e-12 * np.eye(2))
