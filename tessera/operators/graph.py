@@ -20,6 +20,8 @@ def _least_neighbour(edges: DataFrame, total: int, *, or_self: bool) -> DataFram
     """
     m = F.least("n", F.min("b")) if or_self else F.min("b")
     low = edges.withColumnRenamed("a", "n").groupBy("n").agg(m.alias("m"), F.count(F.lit(1)).alias("degree"))
+    if total <= HOT_DEGREE:  # no node can have more
+        return edges.join(low.select("n", "m"), F.col("a") == F.col("n")).drop("n")
     hot = F.col("degree") > max(HOT_DEGREE, total // HOT_NODES)
     few = cut_lineage(low.where(hot).select("n", "m"))
     if few.isEmpty():
