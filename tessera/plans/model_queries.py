@@ -1,7 +1,10 @@
 """Queries of the dense operators.
 
 Where a field is affine the estimators must return it exactly, so SQL can state
-the expected rows; the others are compared with NumPy in the tests.
+the expected rows.  What has no SQL rests on tests of its operators: kriging,
+cokriging and strain weights and errors against NumPy on noisy fields, robust
+fits and segmentation against plain loops, change points, transients and the
+matched filter on planted series, gates on planted predictions.
 """
 
 from __future__ import annotations

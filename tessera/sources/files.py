@@ -56,7 +56,8 @@ def align_epochs(stack: DataFrame, *, repeats: str = "first") -> DataFrame:
     """Every epoch on the first epoch's grid: unmatched positions are NULL.
 
     Repeated positions of an epoch keep their first value, or are an error with
-    ``repeats='error'``.
+    ``repeats='error'``.  The result is dense, each cell at each date; the dates
+    that are broadcast for it are days, some 36,500 in a century.
     """
     if repeats not in ("first", "error"):
         raise ValueError("repeats must be 'first' or 'error'")
@@ -78,7 +79,7 @@ def read_tenv3(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     raw = spark.read.text(folder, pathGlobFilter="*.tenv3").select(F.trim("value").alias("value"), stem(F.col("_metadata.file_path")).alias("station"))
     cells = raw.withColumn("c", F.split("value", r"\s+"))
     header = cells.where(F.get("c", F.lit(0)).rlike("^[A-Za-z_]")).groupBy("station").agg(F.first("c").alias("h"))
-    lines = cells.where(F.get("c", F.lit(0)).rlike("^[0-9]")).join(F.broadcast(header), "station")
+    lines = cells.where(F.get("c", F.lit(0)).rlike("^[0-9]")).join(header, "station")
     pick = lambda name: F.get("c", (F.array_position("h", name) - 1).cast("int"))
     names = {
         "lat": "_latitude(deg)", "lon": "_longitude(deg)", "east": "__east(m)", "north": "__north(m)", "up": "____up(m)",

@@ -312,6 +312,83 @@ def test_nearest_join_within_a_radius_and_with_ties(spark):
         assert sorted(got[i]) == [(n + 1, j) for n, (_, j) in enumerate(near)]
 
 
+def test_kriging_weights_and_errors_on_noisy_fields():
+    """Weights and variances against generalised least squares with the values put in."""
+    rng = np.random.default_rng(31)
+    xy, sigma, target = rng.uniform(-20, 20, (14, 2)), rng.uniform(0.3, 2.0, 14), np.array([1.5, -2.5])
+    y = 3 + 0.2 * xy[:, 0] + rng.normal(0, 2, 14)
+    length, sill, nugget = 18.0, 9.0, 0.7
+    shapes = {"exponential": lambda u: np.exp(-u), "matern32": lambda u: (1 + np.sqrt(3) * u) * np.exp(-np.sqrt(3) * u), "rbf": lambda u: np.exp(-(u**2) / 2)}
+    for family, (kind, shape) in dense.FAMILIES.items():
+        if kind not in ("ordinary", "universal", "plugin"):
+            continue
+        rho = lambda a, b: shapes[shape](np.linalg.norm(a[:, None] - b[None], axis=2) / length)  # noqa: B023, E731
+        K = sill * rho(xy, xy) + np.diag(sigma**2 + nugget**2)
+        k0 = sill * rho(xy, target[None])[:, 0]
+        Fm = np.ones((14, 1)) if kind != "universal" else np.column_stack([np.ones(14), xy])
+        f0 = np.ones(1) if kind != "universal" else np.array([1.0, *target])
+        Ki = np.linalg.inv(K)
+        beta = np.linalg.solve(Fm.T @ Ki @ Fm, Fm.T @ Ki @ y)
+        want = f0 @ beta + k0 @ Ki @ (y - Fm @ beta)
+        u = f0 - Fm.T @ Ki @ k0
+        variance = sill - k0 @ Ki @ k0 + (0 if kind == "plugin" else u @ np.linalg.solve(Fm.T @ Ki @ Fm, u))
+        w, v = dense.kriging_weights(family, xy, sigma, target, length=length, sill=sill, nugget=nugget)
+        assert w @ y == pytest.approx(want, abs=1e-8) and v == pytest.approx(variance, abs=1e-8), family
+    w, v = dense.kriging_weights("local_constant", xy, sigma, target, length=length, sill=sill, nugget=nugget)
+    assert w @ y == pytest.approx(np.average(y, weights=sigma**-2)) and v == pytest.approx(1 / (sigma**-2.0).sum())
+
+
+def test_cokriging_weights_and_errors_on_noisy_looks():
+    """Against the bordered system of universal cokriging, with and without the look at the target."""
+    rng = np.random.default_rng(32)
+    n = 11
+    xy, target = rng.uniform(-10, 10, (n, 2)), np.array([0.5, 1.0])
+    first, second = (rng.normal(0, 0.1, (n, 2)) + v for v in ([-0.6, -0.1], [0.5, -0.1]))
+    at_first, at_second = np.array([-0.62, -0.11]), np.array([0.54, -0.1])
+    latent, noise = np.array([[100.0, 10.0], [10.0, 60.0]]), (rng.uniform(1, 4, n), rng.uniform(1, 4, n))
+    for condition in (False, True):
+        got = dense.cokriging_weights(xy, target, (first, second), (at_first, at_second), latent, noise, 5.0, condition=condition, length=9.0, drift_scale=8.0)
+        where = np.vstack([xy, xy, *([target[None]] if condition else [])])
+        look = np.vstack([first, second, *([at_first[None]] if condition else [])])
+        var = np.concatenate([*noise, *([[5.0]] if condition else [])])
+        rho = lambda a, b: (1 + np.sqrt(3) * np.linalg.norm(a[:, None] - b[None], axis=2) / 9.0) * np.exp(-np.sqrt(3) * np.linalg.norm(a[:, None] - b[None], axis=2) / 9.0)
+        K = rho(where, where) * (look @ latent @ look.T) + np.diag(var)
+        plane = np.column_stack([np.ones(len(where)), where])
+        D = np.column_stack([look[:, :1] * plane, look[:, 1:] * plane])
+        outputs = np.array([[1.0, 0.0], [0.0, 1.0], at_second])
+        k = rho(where, target[None]) * (look @ latent @ outputs.T)
+        d0 = np.column_stack([outputs[:, :1] * np.array([1.0, *target]), outputs[:, 1:] * np.array([1.0, *target])])
+        size = len(where)
+        solved = np.linalg.solve(np.block([[K, D], [D.T, np.zeros((6, 6))]]), np.vstack([k, d0.T]))
+        w, mu = solved[:size], solved[size:]
+        assert np.allclose(got["weights"], w.T, atol=1e-7) and got["unbiasedness"] < 1e-9
+        post = outputs @ latent @ outputs.T - w.T @ k - mu.T @ d0.T
+        assert np.allclose(got["posterior"], (post + post.T) / 2, atol=1e-6) and np.linalg.eigvalsh(got["posterior"]).min() > -1e-9
+
+
+def test_joint_strain_operator_on_noisy_fields():
+    """Coefficients and covariance against stacked weighted least squares."""
+    rng = np.random.default_rng(33)
+    n, h = 20, 4.0
+    offset = rng.uniform(-6, 6, (n, 2))
+    root = rng.normal(0, 0.4, (n, 2, 2)) + np.eye(2)
+    precision = root @ root.transpose(0, 2, 1)
+    data = rng.normal(0, 3, (n, 2))
+    fit = dense.joint_mls_operator(offset, precision, h)
+    u = offset / h
+    rows, values = [], []
+    for k in range(n):
+        basis = np.array([1.0, *u[k]])
+        B = np.zeros((2, 6))
+        B[0, :3], B[1, 3:] = basis, basis
+        half = np.linalg.cholesky(precision[k] * np.exp(-0.5 * u[k] @ u[k])).T
+        rows.append(half @ B)
+        values.append(half @ data[k])
+    A, b = np.vstack(rows), np.concatenate(values)
+    want = np.linalg.lstsq(A, b, rcond=None)[0]
+    assert np.allclose(fit["operator"] @ data.reshape(-1), want) and np.allclose(fit["covariance"], np.linalg.inv(A.T @ A))
+
+
 def test_jitter_starts_from_the_largest_variance():
     K = np.array([[4.0, 4.0], [4.0, 4.0]]) - 1e-13
     _, A, jitter = dense.jittered_cholesky(K - 1e-12 * np.eye(2))
