@@ -23,10 +23,8 @@ def _least_neighbour(edges: DataFrame, total: int, *, or_self: bool) -> DataFram
     if total <= HOT_DEGREE:  # no node can have more
         return edges.join(low.select("n", "m"), F.col("a") == F.col("n")).drop("n")
     hot = F.col("degree") > max(HOT_DEGREE, total // HOT_NODES)
-    few = cut_lineage(low.where(hot).select("n", "m"))
-    if few.isEmpty():
-        return edges.join(low.select("n", "m"), F.col("a") == F.col("n")).drop("n")
-    marked = edges.join(F.broadcast(few), F.col("a") == F.col("n"), "left").drop("n")
+    few = F.broadcast(low.where(hot).select("n", "m"))
+    marked = edges.join(few, F.col("a") == F.col("n"), "left").drop("n")
     rest = marked.where(F.col("m").isNull()).drop("m").join(low.where(~hot).select("n", "m"), F.col("a") == F.col("n")).drop("n")
     return marked.where(F.col("m").isNotNull()).unionByName(rest)
 
@@ -52,7 +50,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         # Small star: smaller neighbours and the node itself are linked to the smallest one.
-        joined = _least_neighbour(cut_lineage(large), total, or_self=False)
+        joined = _least_neighbour(large, total, or_self=False)
         moved = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         kept = joined.where(F.col("b") == F.col("m")).select("a", "b")
         current = cut_lineage(moved.unionByName(kept).distinct())
