@@ -293,13 +293,16 @@ def _classified(source: DataFrame, n: int, threshold: float, recall: float) -> D
         rows.where(F.col("n_grams") > 0)
         .groupBy("set_hash")
         .agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
-        .withColumn("node", F.struct("rep", "set_hash"))
     )
-    keyed = sets.select("node", F.posexplode("bands").alias("band", "h"))
-    buckets = keyed.groupBy("band", "h").agg(F.min("node").alias("m"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    stars = keyed.join(buckets, ["band", "h"]).where(F.col("node") != F.col("m")).select(F.col("node").alias("a"), F.col("m").alias("b"))
-    coarse = cut_lineage(connected_components(stars))
-    members = coarse.join(sets.select("node", "copies", "n_grams"), "node")
+    # Coarse groups go by the id alone: sets that share one are in one group, whether or not a band says so.
+    keyed = sets.select("rep", F.posexplode("bands").alias("band", "h"))
+    buckets = keyed.groupBy("band", "h").agg(F.min("rep").alias("m"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    stars = keyed.join(buckets, ["band", "h"]).where(F.col("rep") != F.col("m")).select(F.col("rep").alias("a"), F.col("m").alias("b"))
+    found = connected_components(stars)
+    shared = sets.groupBy("rep").count().where(F.col("count") > 1).select(F.col("rep").alias("node"))
+    coarse = found.unionByName(shared.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
+    node = F.struct("rep", "set_hash").alias("node")
+    members = sets.select("rep", node, "copies", "n_grams").join(coarse.select(F.col("node").alias("rep"), "root"), "rep").drop("rep")
     load = members.groupBy("root").agg(F.sum("n_grams").alias("grams"), F.count(F.lit(1)).alias("size"))
     parts = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int")
     # Only the large groups need their number of blocks; the others have one.
@@ -368,7 +371,7 @@ def _classified(source: DataFrame, n: int, threshold: float, recall: float) -> D
     )
     # A group in one block pair already has its final class; only the others are connected again.
     final = connected_components(verified.select(F.col("node").alias("a"), F.explode("lows").alias("b")))
-    classes = sets.join(verified.select("node", "links"), "node", "left").join(final, "node", "left")
+    classes = sets.select("set_hash", "copies", node).join(verified.select("node", "links"), "node", "left").join(final, "node", "left")
     classes = cut_lineage(
         classes.select(
             "set_hash", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
