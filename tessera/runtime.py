@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(taken: Iterable[str], name: str) -> str:
+    """``name`` for a helper column, lengthened until no column of ``taken`` has it (in any case of letters)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def bucket(df: DataFrame, key: str, *, tasks_of: int | None = None, per: int = 512) -> Column:
     """A number that deals the values of ``key`` out over buckets of about ``per`` values.
 
