@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, decontam, langid, license_scan, ngram_join, pii, secret_scan, toxicity
+from tessera.llm import ann, bpe, chat, decontam, filter_audit, langid, license_scan, mixing, ngram_join, pii, resample, secret_scan, toxicity
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -61,6 +61,18 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture_report(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.interaction_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampling_report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ann, op2_language_id, op3_decontamination, op4_toxicity, op5_pii, op6_bpe, op7_secret_scan, op8_ngram_join,
-        op9_chat_format, op10_license_scan, pipeline,
+        op9_chat_format, op10_license_scan, op11_mixing, op12_filter_audit, op13_resampling, pipeline,
     )
 }
 
@@ -118,5 +130,65 @@ SELECT conv_id, count(*) AS n_turns,
        CAST(sum(size) + 3 AS BIGINT) AS formatted_chars,
        count(*) FILTER (role = 'assistant') AS n_examples
 FROM f GROUP BY conv_id
+""",
+    "op11_mixing": r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents
+), sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+named AS (
+  SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, 2.0 * source_size AS cap FROM sized
+), held AS (  -- sources by the level at which they reach their limit; the first k of them held
+  SELECT *, row_number() OVER o - 1 AS k, coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS taken,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest, cap / w AS lim
+  FROM named WINDOW o AS (ORDER BY cap / w, source NULLS LAST)
+), level AS (
+  SELECT (1.5 * (SELECT sum(source_size) FROM sized) - taken) / rest AS lam, k, lim FROM held
+), final AS (SELECT arg_min(lam, k) AS lam FROM level WHERE lam <= lim),
+targets AS (
+  SELECT source, source_size, least(w * coalesce((SELECT lam FROM final), 0.0), cap) AS target,
+    CAST(('0x' || substr(sha256('42:' || coalesce('=' || source, '')), 1, 8)) AS BIGINT) / 4294967296.0 AS u FROM named
+), placed AS (
+  SELECT d.*, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS FIRST) - 1 AS k FROM d
+), rated AS (
+  SELECT doc_id, size, source_size, target, u, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS r
+  FROM placed JOIN targets ON placed.source IS NOT DISTINCT FROM targets.source
+), copied AS (
+  SELECT *, CASE WHEN size > 0 THEN CAST(least(floor((k + 1) * r + u) - floor(k * r + u), ceil(r)) AS BIGINT) ELSE 0 END AS copies FROM rated
+)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied
+""",
+    "op12_filter_audit": r"""
+WITH t AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+), firsts AS (SELECT text, min(doc_id) AS first FROM t GROUP BY text),
+w AS (SELECT doc_id, part, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM t),
+marks AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN w.doc_id > first THEN 16 ELSE 0 END AS m
+  FROM w JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)
+), patterns AS (
+  SELECT part, m, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM failed GROUP BY part, m
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a JOIN letters b ON b.x <> a.x JOIN letters c ON c.x NOT IN (a.x, b.x)
+  JOIN letters d ON d.x NOT IN (a.x, b.x, c.x) JOIN letters e ON e.x NOT IN (a.x, b.x, c.x, d.x)
+), steps AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS f,
+    list_sum([0] || [1 << (ascii(x) - 65) FOR x IN string_split(filter_order[1:step - 1], '') IF x <> '']) AS s
+  FROM orders, range(1, 6) r(step)
+), counted AS (
+  SELECT part, filter_order, step, f, coalesce(sum(n) FILTER (m & s = 0 AND m & f = 0), 0) AS kept, coalesce(sum(n) FILTER (m & s = 0 AND m & f <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (m & s <> 0 AND m & f <> 0), 0) AS redundant, coalesce(sum(n) FILTER (m = f), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (m & s = 0 AND m & f <> 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (m & s = 0 AND m & f <> 0), 0) AS toxic_lost
+  FROM patterns, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM counted
 """,
 }
