@@ -1,62 +1,113 @@
-"""Connected components by alternating star contractions."""
+"""Connected components: edges are contracted task by task, then pointers jump to their roots."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.runtime import cut_lineage
+from tessera.operators.scans import positions
+from tessera.runtime import cut_lineage, release
 
-#: A node with more edges than this, or than one ``HOT_NODES``-th of all, is joined by broadcast.
-HOT_DEGREE, HOT_NODES = 256, 50_000
+#: Edges that a task holds at a time.
+CHUNK = 1_000_000
+_FOREST = "a long, b long, foreign boolean"
 
 
-def _least_neighbour(edges: DataFrame, total: int, *, or_self: bool) -> DataFrame:
-    """``edges`` (a, b) with m, the smallest b of each a (or a itself if that is smaller).
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every node of the edges (a, b) but the smallest of its component, and that smallest one."""
+    nodes, code = np.unique(np.concatenate((a, b)), return_inverse=True)
+    u, v = code[: len(a)], code[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        ru, rv = low[u], low[v]
+        if np.array_equal(ru, rv):
+            break
+        np.minimum.at(low, np.maximum(ru, rv), np.minimum(ru, rv))  # the larger root hangs on the smaller
+        while not np.array_equal(up := low[low], low):
+            low = up
+    moved = low != np.arange(len(nodes))
+    return nodes[moved], nodes[low[moved]]
 
-    The minimum is found with partial aggregates.  Nodes whose edges are many would
-    come together in one task when they are joined; there are ``HOT_NODES`` such
-    nodes at most, so they are broadcast and only the others are shuffled.
-    """
-    m = F.least("n", F.min("b")) if or_self else F.min("b")
-    low = edges.withColumnRenamed("a", "n").groupBy("n").agg(m.alias("m"), F.count(F.lit(1)).alias("degree"))
-    if total <= HOT_DEGREE:  # no node can have more
-        return edges.join(low.select("n", "m"), F.col("a") == F.col("n")).drop("n")
-    hot = F.col("degree") > max(HOT_DEGREE, total // HOT_NODES)
-    few = F.broadcast(low.where(hot).select("n", "m"))
-    marked = edges.join(few, F.col("a") == F.col("n"), "left").drop("n")
-    rest = marked.where(F.col("m").isNull()).drop("m").join(low.where(~hot).select("n", "m"), F.col("a") == F.col("n")).drop("n")
-    return marked.where(F.col("m").isNotNull()).unionByName(rest)
+
+def _columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    return batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    child, root = spanning(a, b)
+    foreign = ~np.isin(child, a)
+    return pa.RecordBatch.from_arrays([pa.array(child), pa.array(root), pa.array(foreign)], ["a", "b", "foreign"])
+
+
+def _contract(batches: Iterator[pa.RecordBatch], *, by_child: bool) -> Iterator[pa.RecordBatch]:
+    """Chunks of edges as forests; with ``by_child`` rows come ordered by a, and a chunk ends where a changes."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for batch in batches:
+        held.append(_columns(batch))
+        size += batch.num_rows
+        if size < CHUNK:
+            continue
+        a, b = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.searchsorted(a, a[-1])) if by_child else len(a)
+        if cut:
+            yield _forest(a[:cut], b[:cut])
+        held, size = [(a[cut:], b[cut:])], len(a) - cut
+    if size:
+        yield _forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+
+def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges between numbers in the order of the nodes, and (node, number)."""
+    known = edges.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
+    nodes = cut_lineage(positions(known.select(F.col("a").alias("node")).union(known.select("b")).distinct(), ["node"], out="number"))
+    end = lambda c: nodes.select(F.col("node").alias(c), F.col("number").alias(f"n_{c}"))
+    return known.join(end("a"), "a").join(end("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b")), nodes
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) over undirected edges (a, b): root is the smallest node connected.
 
-    Nodes may be of any type with an order, also structs.  Alternates large-star
-    and small-star steps until nothing changes.  The edges are replaced in every
-    round and never grow in number; lineage is cut after each.  Nodes without an
-    edge to another node are absent; edges with a null end are ignored.
+    Every task first replaces its own edges by a forest, a row a node at most, so
+    that no node has more rows than there are tasks, however many edges it has.
+    Rounds then shuffle by the larger end and contract again, until every node has
+    one parent; pointers jump to their parents' parents until all point to roots.
+    Rows only ever become fewer.  Lineage is cut after each step, and the step
+    before is removed.  Nodes may be of any type with an order (other than integers
+    are numbered first).  Nodes without an edge to another node are absent; edges
+    with a null end are ignored.
     """
-    start = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    current, before = cut_lineage(start), None
-    total = current.count()
-    while total:
-        # Large star: every larger neighbour is linked to the smallest node around.
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = (
-            _least_neighbour(both, 2 * total, or_self=True)
-            .where(F.col("b") > F.col("a"))
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .distinct()
-        )
-        # Small star: smaller neighbours and the node itself are linked to the smallest one.
-        joined = _least_neighbour(large, total, or_self=False)
-        moved = joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        kept = joined.where(F.col("b") == F.col("m")).select("a", "b")
-        current = cut_lineage(moved.unionByName(kept).distinct())
-        stamp = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if stamp == before:
+    if not isinstance(edges.schema["a"].dataType, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
+        plain, names = _numbered(edges)
+        found = connected_components(plain)
+        node, root = names.select("node", F.col("number").alias("n")), names.select(F.col("node").alias("root"), F.col("number").alias("r"))
+        numbers = found.select(F.col("node").alias("n"), F.col("root").alias("r"))
+        return numbers.join(node, "n").join(root, "r").select("node", "root")
+    ends = edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    forest = ends.mapInArrow(lambda batches: _contract(batches, by_child=False), _FOREST)
+    before = None
+    while True:
+        dealt = forest.select("a", "b").repartition("a").sortWithinPartitions("a")
+        forest = cut_lineage(dealt.mapInArrow(lambda batches: _contract(batches, by_child=True), _FOREST))
+        if before is not None:
+            release(before)
+        before = forest
+        if forest.where("foreign").isEmpty():
+            break  # every node has been seen by one chunk: it has one parent
+    tree = forest.select("a", "b")
+    while not tree.isEmpty():
+        parent = tree.select(F.col("a").alias("c"), F.col("b").alias("d"))
+        # Many nodes may share a parent; adaptive execution splits such a partition of the left side.
+        jumped = tree.join(parent, F.col("b") == F.col("c"), "left").select("a", F.coalesce("d", "b").alias("b"), F.col("d").isNotNull().alias("moved"))
+        jumped = cut_lineage(jumped)
+        release(before)
+        before, tree = jumped, jumped.select("a", "b")
+        if jumped.where("moved").isEmpty():
             break
-        before, total = stamp, stamp[0]
-    roots = current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = tree.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

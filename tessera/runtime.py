@@ -30,6 +30,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Remove the files of a frame that ``cut_lineage`` made and that nothing reads any more.
+
+    Spark removes them itself only when the driver collects its garbage, and only if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    kept = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if kept.isDefined():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(kept.get())
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(taken: Iterable[str], name: str) -> str:
     """``name`` for a helper column, lengthened until no column of ``taken`` has it (in any case of letters)."""
     used = {c.lower() for c in taken}

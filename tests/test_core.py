@@ -89,8 +89,8 @@ def test_components_of_chains(spark):
 
 
 def test_components_of_hubs_and_of_struct_nodes(spark, monkeypatch):
-    """Nodes of many edges take the broadcast way; results equal a union-find."""
-    monkeypatch.setattr(graph, "HOT_DEGREE", 8)
+    """Any size of a task's chunks gives what a union-find gives."""
+    monkeypatch.setattr(graph, "CHUNK", 16)
     rng = np.random.default_rng(3)
     pairs = [(0, int(i)) for i in range(1, 200)] + [(500, int(i)) for i in range(300, 500)] + [(int(a), int(b)) for a, b in rng.integers(600, 900, (250, 2))] + [(199, 300)]
     root = {}
