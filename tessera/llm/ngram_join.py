@@ -1,22 +1,26 @@
 """N-gram Jaccard join by MinHash banding, verified on full n-gram sets.
 
 1. A scan hashes every text's word n-grams (64 bits).  Texts with equal sets
-   are one class; one representative goes on.
+   are one class; one representative goes on, as a numbered set.
 2. MinHash signatures are cut into bands.  Rows per band and band count follow
    from the threshold and the target recall (``band_plan``).
-3. Representatives are shuffled on band hashes.  Each bucket contributes a star
-   (every member with the bucket's smallest one), never its pairs; connected
-   components of the stars are coarse groups that hold every candidate pair.
-4. The full n-gram sets of grouped representatives are fetched by a second
-   scan.  A group is split into blocks of bounded size and dealt out as block
-   pairs; within one, intersections are counted for all pairs at once by
-   matrix products.  Pairs never become rows: a block pair returns for each
-   member its number of links and the smallest member it is connected to.
-5. Components over the verified links give the class ids.
-
-Sets of many copies, groups of many members and nodes of many edges are joined
-by broadcasts whose size is bounded by a share of all rows or checked first;
-only the others are shuffled on their key.
+3. Sets are shuffled on band hashes.  Each bucket contributes a star (every
+   member with its first one), never its pairs: a batch sends one row a bucket and
+   a spanning forest of what it united itself, so a bucket of any size is a row a
+   batch.  Connected components of the stars are coarse groups that hold every
+   candidate pair.
+4. The full n-gram sets of grouped representatives are fetched by a second scan,
+   in which a bounded filter of keys (``membership``) drops most other texts
+   before the join shuffles them.  A group is split into blocks of bounded size
+   and dealt out as block pairs; within one, intersections are counted for all
+   pairs at once by matrix products.  Pairs never become rows: a block pair
+   returns for each member its number of links and the smallest member it is
+   connected to.
+5. The smallest member of a group in one block names its class; components over
+   the verified links do for groups that were split.
+
+Joins on a key that many rows share (a set of many copies, a class of many sets)
+are plain equi-joins: adaptive execution splits such a partition at run time.
 
 Words are runs of digits, a-z and characters beyond ASCII after lower-casing
 A-Z.  A text with fewer words than ``n`` (but at least one) has one n-gram of
@@ -28,8 +32,9 @@ same id and the same text are one document; different texts that share an id are
 classes of their own, and their id gets the smaller class id and the larger
 number of links; a class id is the smallest document id in it, ties between
 sets that share it go to the smaller set hash; a similarity equal to the
-threshold is a link; an empty table gives no rows; other columns take no part,
-whatever their names, and are kept by ``drop_near_duplicates``.
+threshold is a link; an empty table gives no rows; ids may be of any type with an
+order and keep it; other columns take no part, whatever their names, and are kept
+by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -45,18 +50,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.decontam import words
+from tessera.llm.membership import key_filter
 from tessera.llm.textbatch import fresh, map_slices
-from tessera.operators.graph import connected_components
-from tessera.runtime import cut_lineage
+from tessera.operators.graph import connected_components, spanning
+from tessera.runtime import cut_lineage, release
 
 NGRAM, THRESHOLD, RECALL, MAX_HASHES = 5, 0.8, 0.999, 128
 BLOCK_GRAMS, BLOCK_ROWS = 4_000_000, 16_384
 TILE = 2048
 SEED = 11
-#: A set with more copies than this, or than one ``HOT_SETS``-th of all rows, is joined by broadcast; so are the
-#: sizes of split groups, if they are no more than ``HOT_SETS``.
-HOT_COPIES, HOT_SETS = 256, 50_000
-
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -129,24 +131,17 @@ class Signature:
         return out.view(np.int64)
 
 
-_FEATURES = T.StructType(
-    [
-        T.StructField("id", T.LongType()),
-        T.StructField("text_hash", T.LongType()),
-        T.StructField("set_hash", T.BinaryType()),
-        T.StructField("n_grams", T.IntegerType()),
-        T.StructField("bands", T.ArrayType(T.LongType())),
-    ]
-)
-
-
 def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
 
 
 def features(source: DataFrame, n: int, plan: tuple[int, int]) -> DataFrame:
+    """(id, text_hash, set_hash, n_grams, bands) of every row; no set and no bands without words."""
     sign = Signature(*plan)
+    kept = [source.schema["id"], source.schema["text_hash"]]
+    made = [T.StructField("set_hash", T.BinaryType()), T.StructField("n_grams", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    schema = T.StructType([*kept, *made])
 
     def start():
         gram_set = Grams(n)
@@ -160,16 +155,49 @@ def features(source: DataFrame, n: int, plan: tuple[int, int]) -> DataFrame:
                 bands.append(sign(grams) if len(grams) else None)
             return pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("text_hash"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(bands, pa.list_(pa.int64()))],
-                names=_FEATURES.names,
+                names=schema.names,
             )
 
         return work
 
-    return source.mapInArrow(lambda batches: map_slices("text", start())(batches), _FEATURES)
+    return source.mapInArrow(lambda batches: map_slices("text", start())(batches), schema)
+
 
+_LINKS = "node long, links long, low long, whole boolean"
 
-_NODE = T.StructType([T.StructField("rep", T.LongType()), T.StructField("set_hash", T.BinaryType())])
-_LINKS = T.StructType([T.StructField("node", _NODE), T.StructField("links", T.LongType()), T.StructField("low", _NODE)])
+
+def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, node) for the first node of each band hash of a batch.
+
+    Other nodes of the hash are united with the first at once; the forest of these
+    unions goes on as buckets of two, under hashes of their own.
+    """
+    for batch in batches:
+        bands, node = batch.column("bands"), batch.column("node").to_numpy(zero_copy_only=False)
+        width = np.diff(bands.offsets.to_numpy())
+        h = bands.flatten().to_numpy(zero_copy_only=False)
+        of = np.repeat(node, width)
+        _, first, place = np.unique(h, return_index=True, return_inverse=True)
+        child, root = spanning(of, of[first][place])
+        pair = _mix(child.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ _mix(root.astype(np.uint64))).view(np.int64)
+        columns = np.concatenate((h[first], pair, pair)), np.concatenate((of[first], child, root))
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "node"])
+
+
+def _bucket_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of each node with the first of its hash; rows come ordered by hash."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h", "node"))
+        begins = np.concatenate(([True], h[1:] != h[:-1]))
+        first = node[np.flatnonzero(begins)]
+        if last is not None and last[0] == h[0]:
+            first[0] = last[1]
+        last = int(h[-1]), int(first[-1])
+        child, root = spanning(node, first[np.cumsum(begins) - 1])
+        yield pa.RecordBatch.from_arrays([pa.array(child), pa.array(root)], ["a", "b"])
 
 
 def _shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -281,60 +309,64 @@ def _unite(linked: np.ndarray, a: np.ndarray, b: np.ndarray, parent: np.ndarray,
         seen[row] = k
 
 
-def _classified(source: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
-    """(id, text_hash, set_hash, root, n_links) of every row of ``source``.
-
-    ``root`` is the first node (rep, set_hash) of the row's class; it is null
-    for texts without words.
-    """
-    plan = band_plan(threshold, recall)
-    rows = cut_lineage(features(source, n, plan))
-    sets = cut_lineage(
-        rows.where(F.col("n_grams") > 0)
-        .groupBy("set_hash")
-        .agg(F.min("id").alias("rep"), F.count_distinct("id").alias("copies"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams"))
+def _numbered_sets(rows: DataFrame) -> DataFrame:
+    """(node, set_hash, rep (id, text_hash), copies, n_grams, bands): a numbered row for each distinct set."""
+    worded = rows.where(F.col("n_grams") > 0)
+    first = worded.groupBy("set_hash").agg(
+        F.min(F.struct("id", "text_hash")).alias("rep"), F.first("bands").alias("bands"), F.first("n_grams").alias("n_grams")
     )
-    # Coarse groups go by the id alone: sets that share one are in one group, whether or not a band says so.
-    keyed = sets.select("rep", F.posexplode("bands").alias("band", "h"))
-    buckets = keyed.groupBy("band", "h").agg(F.min("rep").alias("m"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    stars = keyed.join(buckets, ["band", "h"]).where(F.col("rep") != F.col("m")).select(F.col("rep").alias("a"), F.col("m").alias("b"))
-    found = connected_components(stars)
-    shared = sets.groupBy("rep").count().where(F.col("count") > 1).select(F.col("rep").alias("node"))
-    coarse = found.unionByName(shared.join(found, "node", "left_anti").select("node", F.col("node").alias("root")))
-    node = F.struct("rep", "set_hash").alias("node")
-    members = sets.select("rep", node, "copies", "n_grams").join(coarse.select(F.col("node").alias("rep"), "root"), "rep").drop("rep")
+    ids = worded.select("set_hash", "id").distinct().groupBy("set_hash").agg(F.count(F.lit(1)).alias("copies"))
+    return cut_lineage(first.join(ids, "set_hash").withColumn("node", F.monotonically_increasing_id()))
+
+
+def _placed_members(sets: DataFrame) -> DataFrame:
+    """Sets of coarse groups with their group (root), its number of blocks (parts) and their own block."""
+    buckets = sets.select("node", "bands").mapInArrow(_bucket_rows, "h long, node long").repartition("h").sortWithinPartitions("h")
+    coarse = connected_components(buckets.mapInArrow(_bucket_stars, "a long, b long"))
+    members = sets.select("node", "set_hash", "rep", "copies", "n_grams").join(coarse, "node")
     load = members.groupBy("root").agg(F.sum("n_grams").alias("grams"), F.count(F.lit(1)).alias("size"))
     parts = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int")
     # Only the large groups need their number of blocks; the others have one.
-    split = cut_lineage(load.select("root", parts.alias("parts")).where(F.col("parts") > 1))
-    split = F.broadcast(split) if split.count() <= HOT_SETS else split
+    split = load.select("root", parts.alias("parts")).where(F.col("parts") > 1)
     placed = members.join(split, "root", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    placed = cut_lineage(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+    return cut_lineage(placed.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")))
+
+
+def _fetched(source: DataFrame, placed: DataFrame, n: int) -> DataFrame:
+    """(node, root, copies, parts, own, grams): the full n-gram sets of the members."""
+    key = F.xxhash64("id", "text_hash")
+    wanted = placed.select("node", "root", "copies", "parts", "own", "set_hash", F.col("rep.id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    near = key_filter(placed.select(F.xxhash64("rep.id", "rep.text_hash").alias("key")), "key")
+    texts = source.where(near.may_hold(key))
+    wanted = texts.join(wanted, (F.col("id") == F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
+    wanted = wanted.select("node", "root", "copies", "parts", "own", "set_hash", "text")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram_set = Grams(n)
 
         def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = [gram_set(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            digests = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in found]
-            batch = batch.remove_column(batch.schema.get_field_index("text"))
-            batch = batch.append_column("found_hash", pa.array(digests, pa.binary()))
-            return batch.append_column("grams", pa.array([g.tobytes() for g in found], pa.binary()))
+            same = pa.array([hashlib.blake2b(g.tobytes(), digest_size=16).digest() for g in found], pa.binary()).equals(batch.column("set_hash").cast(pa.binary()))
+            if not same:  # a text of the same id and hash that is another one
+                keep = [hashlib.blake2b(g.tobytes(), digest_size=16).digest() == h for g, h in zip(found, batch.column("set_hash").to_pylist(), strict=True)]
+                batch, found = batch.filter(pa.array(keep)), [g for g, k in zip(found, keep, strict=True) if k]
+            grams = pa.array([g.tobytes() for g in found], pa.binary())
+            return batch.select(["node", "root", "copies", "parts", "own"]).append_column("grams", grams)
 
         yield from map_slices("text", work)(batches)
 
-    wanted = source.join(placed, F.col("id") == F.col("node.rep")).select("node", "root", "copies", "parts", "own", "text")
-    schema = T.StructType(
-        [f for f in wanted.schema.fields if f.name != "text"] + [T.StructField("found_hash", T.BinaryType()), T.StructField("grams", T.BinaryType())]
-    )
-    fetched = wanted.mapInArrow(fetch, schema).where(F.col("found_hash") == F.col("node.set_hash"))
+    return wanted.mapInArrow(fetch, "node long, root long, copies long, parts int, own int, grams binary")
+
+
+def _verified(fetched: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, low, whole) of every member in every block pair; whole: the group is one block."""
     cells = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j"), (o < F.col("own")).cast("int").alias("half")),
     )
     dealt = (
-        fetched.select("node", "root", "copies", "grams", F.explode(cells).alias("c"))
-        .select("root", "c.i", "c.j", "node", "copies", "c.half", "grams")
+        fetched.select("node", "root", "copies", "parts", "grams", F.explode(cells).alias("c"))
+        .select("root", "c.i", "c.j", "node", "copies", "c.half", "parts", "grams")
         .repartition("root", "i", "j")
         .sortWithinPartitions("root", "i", "j", "node")
     )
@@ -347,12 +379,11 @@ def _classified(source: DataFrame, n: int, threshold: float, recall: float) -> D
                 return None
             nodes, weight, half, grams = zip(*held, strict=True)
             links, low = link_block(np.array(weight), np.array(half), [np.frombuffer(g, dtype=np.uint64) for g in grams], threshold, key[1] != key[2])
-            kind = pa.struct([("rep", pa.int64()), ("set_hash", pa.binary())])
-            own = pa.array(nodes, kind)
-            return pa.RecordBatch.from_arrays([own, pa.array(links), own.take(pa.array(low))], names=_LINKS.names)
+            own = np.array(nodes)
+            return pa.RecordBatch.from_arrays([pa.array(own), pa.array(links), pa.array(own[low]), pa.array([key[3] == 1] * len(own))], ["node", "links", "low", "whole"])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "node", "copies", "half", "grams")]
+            columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "parts", "node", "copies", "half", "grams")]
             for *cell, node, copies, half, grams in zip(*columns, strict=True):
                 if cell != key:
                     out = close()
@@ -366,27 +397,35 @@ def _classified(source: DataFrame, n: int, threshold: float, recall: float) -> D
         if out is not None:
             yield out
 
-    verified = cut_lineage(
-        dealt.mapInArrow(link, _LINKS).groupBy("node").agg(F.sum("links").alias("links"), F.array_distinct(F.collect_list("low")).alias("lows"))
-    )
-    # A group in one block pair already has its final class; only the others are connected again.
-    final = connected_components(verified.select(F.col("node").alias("a"), F.explode("lows").alias("b")))
-    classes = sets.select("set_hash", "copies", node).join(verified.select("node", "links"), "node", "left").join(final, "node", "left")
-    classes = cut_lineage(
-        classes.select(
-            "set_hash", "copies", F.coalesce("root", "node").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
-        )
+    return cut_lineage(dealt.mapInArrow(link, _LINKS))
+
+
+def _classified(source: DataFrame, n: int, threshold: float, recall: float) -> DataFrame:
+    """(id, text_hash, set_hash, lead, n_links) of every row of ``source``.
+
+    ``lead`` (id, set_hash) is the first set of the row's class, by id; it is null
+    for texts without words.
+    """
+    rows = cut_lineage(features(source, n, band_plan(threshold, recall)))
+    sets = _numbered_sets(rows)
+    placed = _placed_members(sets)
+    links = _verified(_fetched(source, placed, n), threshold)
+    classes = links.where("whole").select("node", F.col("links"), F.col("low").alias("root"))
+    if not links.where(~F.col("whole")).isEmpty():
+        many = links.where(~F.col("whole"))
+        joined = connected_components(many.select(F.col("node").alias("a"), F.col("low").alias("b")))
+        counted = many.groupBy("node").agg(F.sum("links").alias("links")).join(joined, "node", "left")
+        classes = classes.unionByName(counted.select("node", "links", F.coalesce("root", "node").alias("root")))
+    linked = sets.select("node", F.struct(F.col("rep.id").alias("id"), F.col("set_hash")).alias("own"), "copies").join(classes.where("links > 0"), "node", "left")
+    grouped = linked.where(F.col("root").isNotNull())
+    leads = grouped.groupBy("root").agg(F.min("own").alias("lead"))
+    classes = linked.join(leads, "root", "left").select(
+        F.col("own.set_hash").alias("set_hash"), F.coalesce("lead", "own").alias("lead"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
     )
-    own = rows.select("id", "text_hash", "set_hash")
-    hot = F.col("copies") > max(HOT_COPIES, rows.count() // HOT_SETS)
-    few = cut_lineage(classes.where(hot).select(F.col("set_hash").alias("hot_hash"), F.col("root").alias("hot_root"), F.col("n_links").alias("hot_links")))
-    if few.isEmpty():
-        return own.join(classes.drop("copies"), "set_hash", "left").select("id", "text_hash", "set_hash", "root", "n_links")
-    marked = own.join(F.broadcast(few), F.col("set_hash") == F.col("hot_hash"), "left")
-    known = marked.where(F.col("hot_hash").isNotNull()).select("id", "text_hash", "set_hash", F.col("hot_root").alias("root"), F.col("hot_links").alias("n_links"))
-    rest = marked.where(F.col("hot_hash").isNull()).select("id", "text_hash", "set_hash")
-    rest = rest.join(classes.where(~hot).drop("copies"), "set_hash", "left").select("id", "text_hash", "set_hash", "root", "n_links")
-    return known.unionByName(rest)
+    out = cut_lineage(rows.select("id", "text_hash", "set_hash").join(classes, "set_hash", "left").select("id", "text_hash", "set_hash", "lead", "n_links"))
+    for done in (rows, sets, placed, links):
+        release(done)
+    return out
 
 
 def near_duplicates(
@@ -406,7 +445,7 @@ def near_duplicates(
     """
     found = _classified(_source(docs, id_col, text_col), n, threshold, recall)
     return found.groupBy("id").agg(
-        F.min(F.coalesce("root.rep", "id")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")
+        F.min(F.coalesce("lead.id", "id")).alias("class_id"), F.max(F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")
     ).withColumnRenamed("id", id_col)
 
 
@@ -426,28 +465,30 @@ def drop_near_duplicates(
     whose columns hash lowest); texts without words stay, once for each id and text.
     """
     columns = docs.columns
-    found = cut_lineage(_classified(_source(docs, id_col, text_col), n, threshold, recall))
-    first = F.col("set_hash").isNull() | ((F.col("root.rep") == F.col("id")) & (F.col("root.set_hash") == F.col("set_hash")))
+    found = _classified(_source(docs, id_col, text_col), n, threshold, recall)
+    first = F.col("set_hash").isNull() | ((F.col("lead.id") == F.col("id")) & (F.col("lead.set_hash") == F.col("set_hash")))
+    # Of the rows that name a class, those with other texts of the same words and repeated rows.
+    counts = found.where(first).groupBy("id", "set_hash").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("rows"))
+    counts = cut_lineage(counts.where(F.col("rows") > 1))
     gone = found.where(~first).select("id", "text_hash")
-    counts = cut_lineage(
-        found.where(first).groupBy("id", "set_hash").agg(F.min("text_hash").alias("least"), F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-    )
     repeated = not counts.isEmpty()
     if repeated:
-        # Other texts with the same words under the same id.
         own = found.where(first & F.col("set_hash").isNotNull())
         gone = gone.unionByName(own.join(counts, ["id", "set_hash"]).where(F.col("text_hash") != F.col("least")).select("id", "text_hash"))
     id_, hash_ = fresh(columns, "gone_id"), fresh(columns, "gone_hash")
-    key = lambda df: df.distinct().select(F.col("id").alias(id_), F.col("text_hash").alias(hash_))
-    same = (F.col(id_col).cast("long") == F.col(id_)) & (F.xxhash64(F.col(text_col)) == F.col(hash_))
-    kept = docs.join(key(gone), same, "left_anti")
+    gone = cut_lineage(gone.distinct().select(F.col("id").alias(id_), F.col("text_hash").alias(hash_)))
+    own_hash = F.xxhash64(F.col(text_col))
+    same = (F.col(id_col) == F.col(id_)) & (own_hash == F.col(hash_))
+    # Rows that the filter knows not to be gone stay where they are; only the others are shuffled and looked up.
+    maybe = key_filter(gone.select(F.xxhash64(id_, hash_).alias("key")), "key").may_hold(F.xxhash64(F.col(id_col), own_hash))
+    kept = docs.where(~maybe).unionByName(docs.where(maybe).join(gone, same, "left_anti"))
     if not repeated:
         return kept
-    many = key(found.where(first).groupBy("id", "text_hash").count().where(F.col("count") > 1).select("id", "text_hash"))
+    many = found.where(first).groupBy("id", "text_hash").count().where(F.col("count") > 1).select(F.col("id").alias(id_), F.col("text_hash").alias(hash_))
     row, order = fresh(columns, "row"), fresh(columns, "order")
     once = (
         kept.join(many, same, "left_semi")
-        .select(F.col(id_col), F.xxhash64(F.col(text_col)).alias(order), F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row))
+        .select(F.col(id_col), own_hash.alias(order), F.struct(*[F.col(f"`{c}`") for c in columns]).alias(row))
         .groupBy(id_col, order)
         .agg(F.min_by(row, F.xxhash64(row)).alias(row))
         .select(f"{row}.*")

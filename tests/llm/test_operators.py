@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, decontam, langid, license_scan, ngram_join, pii, queries, secret_scan, toxicity
+from tessera.llm import ann, bpe, chat, decontam, langid, license_scan, membership, ngram_join, pii, queries, secret_scan, toxicity
 
 SF = "/root/testdata/sf0.001"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -633,8 +633,27 @@ def test_near_duplicates_in_groups_with_an_empty_block(spark, monkeypatch):
     assert got == brute_classes(texts) == {d: (d - d % 2, 1) for d in texts}
 
 
-def test_repeated_rows_and_shared_ids_of_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT_COPIES", 3)  # the group of copies takes the broadcast way
+def test_near_duplicates_of_ids_that_are_strings(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [("b", base), ("a", base + " end"), ("c", "other words"), (None, base), ("", base)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in ngram_join.near_duplicates(df).collect()}
+    assert got == {"": ("", 2), "a": ("", 2), "b": ("", 2), "c": ("c", 0)}
+    assert sorted((r.doc_id is None, r.doc_id) for r in ngram_join.drop_near_duplicates(df).collect()) == [(False, ""), (False, "c"), (True, None)]
+
+
+def test_key_filter_passes_every_key_and_few_others(spark, monkeypatch):
+    keys = spark.range(3000).select(F.xxhash64("id").alias("key"))
+    more = spark.range(10_000).select("id", F.xxhash64("id").alias("key"))
+    passed = {r.id for r in more.where(membership.key_filter(keys, "key").may_hold(F.col("key"))).collect()}
+    assert set(range(3000)) <= passed and len(passed) < 3200
+    monkeypatch.setattr(membership, "LEAST", 64)
+    monkeypatch.setattr(membership, "MOST", 64)  # far too small: all may pass, none is lost
+    assert more.where(membership.key_filter(keys, "key").may_hold(F.col("key"))).count() == 10_000
+    assert more.where(membership.key_filter(keys.limit(0), "key").may_hold(F.col("key"))).count() == 0
+
+
+def test_repeated_rows_and_shared_ids_of_near_duplicates(spark):
     base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
     rows = [(2, base, 1), (2, base, 2), (2, base, 1), (2, other, 3), (3, base + " end", 4), (5, base.upper(), 5), (6, other, 6), (None, base, 7), (None, base, 7)]
     rows += [(7, "", 8), (7, "", 8), (7, None, 9), (8, "!", 10), (9, base, 11), (10, base, 12), (11, base, 13)]
