@@ -70,9 +70,11 @@ def _numbered(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return known.join(end("a"), "a").join(end("b"), "b").select(F.col("n_a").alias("a"), F.col("n_b").alias("b")), nodes
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, *, contracted: bool = False) -> DataFrame:
     """(node, root) over undirected edges (a, b): root is the smallest node connected.
 
+    ``contracted``: ``edges`` are forests of their tasks already, as ``spanning`` gives them.
+
     Every task first replaces its own edges by a forest, a row a node at most, so
     that no node has more rows than there are tasks, however many edges it has.
     Rounds then shuffle by the larger end and contract again, until every node has
@@ -89,7 +91,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         numbers = found.select(F.col("node").alias("n"), F.col("root").alias("r"))
         return numbers.join(node, "n").join(root, "r").select("node", "root")
     ends = edges.where(F.col("a") != F.col("b")).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    forest = ends.mapInArrow(lambda batches: _contract(batches, by_child=False), _FOREST)
+    forest = ends if contracted else ends.mapInArrow(lambda batches: _contract(batches, by_child=False), _FOREST)
     before = None
     while True:
         dealt = forest.select("a", "b").repartition("a").sortWithinPartitions("a")
