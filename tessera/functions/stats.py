@@ -41,12 +41,13 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str, *, only: Column |
     """
     rows = df.where(only) if only is not None else df
     if most is not None:
-        from tessera.operators.quantiles import grouped_quantile
+        from tessera.operators.quantiles import grouped_quantile, match_groups
+        from tessera.runtime import cut_lineage
 
         rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
-        center = grouped_quantile(rows, keys, value, most=most, out="center")
-        apart = rows.join(center, keys).withColumn("__d", F.abs(F.col(value) - F.col("center")))
-        return center.join(grouped_quantile(apart, keys, "__d", most=most, out="mad").drop("n"), keys)
+        center = cut_lineage(grouped_quantile(rows, keys, value, most=most, out="center"))
+        apart = match_groups(rows, center.select(*keys, "center"), keys).withColumn("__d", F.abs(F.col(value) - F.col("center")))
+        return match_groups(center, grouped_quantile(apart, keys, "__d", most=most, out="mad").drop("n"), keys)
     rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
     center = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("center"))
     apart = rows.join(center, keys).groupBy(*keys).agg(
