@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +46,14 @@ class KeyFilter:
         """True for every key of the filter, and for few others."""
         shared, bits = self.shared, self.bits
 
-        @F.pandas_udf("boolean")
-        def test(keys: pd.Series) -> pd.Series:
-            value = keys.to_numpy()
+        @F.arrow_udf("boolean")
+        def test(keys: pa.Array) -> pa.Array:
+            value = keys.to_numpy(zero_copy_only=False)
             step = (value.view(np.uint64) >> np.uint64(40)).astype(np.int64) | 1
             found = np.ones(len(value), dtype=bool)
             for k in range(PROBES):
                 at = ((value & _LOW) + k * step) & (bits - 1)
                 found &= (shared.value[at >> 6] >> (at & 63)) & 1 == 1
-            return pd.Series(found)
+            return pa.array(found)
 
         return test(key)

@@ -322,7 +322,7 @@ def _numbered_sets(rows: DataFrame) -> DataFrame:
 def _placed_members(sets: DataFrame) -> DataFrame:
     """Sets of coarse groups with their group (root), its number of blocks (parts) and their own block."""
     buckets = sets.select("node", "bands").mapInArrow(_bucket_rows, "h long, node long").repartition("h").sortWithinPartitions("h")
-    coarse = connected_components(buckets.mapInArrow(_bucket_stars, "a long, b long"))
+    coarse = connected_components(buckets.mapInArrow(_bucket_stars, "a long, b long"), contracted=True)
     members = sets.select("node", "set_hash", "rep", "copies", "n_grams").join(coarse, "node")
     load = members.groupBy("root").agg(F.sum("n_grams").alias("grams"), F.count(F.lit(1)).alias("size"))
     parts = F.greatest(F.ceil(F.col("grams") / BLOCK_GRAMS), F.ceil(F.col("size") / BLOCK_ROWS)).cast("int")
