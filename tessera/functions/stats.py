@@ -46,8 +46,9 @@ def median_and_mad(df: DataFrame, keys: list[str], value: str, *, only: Column |
 
         rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
         center = cut_lineage(grouped_quantile(rows, keys, value, most=most, out="center"))
-        apart = match_groups(rows, center.select(*keys, "center"), keys).withColumn("__d", F.abs(F.col(value) - F.col("center")))
-        return match_groups(center, grouped_quantile(apart, keys, "__d", most=most, out="mad").drop("n"), keys)
+        groups = center.count()
+        apart = match_groups(rows, center.select(*keys, "center"), keys, groups=groups).withColumn("__d", F.abs(F.col(value) - F.col("center")))
+        return match_groups(center, grouped_quantile(apart, keys, "__d", most=most, out="mad").drop("n"), keys, groups=groups)
     rows = rows.where(F.col(value).isNotNull()).select(*keys, value)
     center = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.median(value).alias("center"))
     apart = rows.join(center, keys).groupBy(*keys).agg(

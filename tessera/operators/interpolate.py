@@ -70,9 +70,14 @@ def evaluate_weights(weights: DataFrame, observations: DataFrame, *, epoch: str
 
 
 def leave_one_out_predictions(
-    stations: DataFrame, *, keys: Sequence[str], families: Sequence[str], lengths: Sequence[float], nuggets: Sequence[float], radii: Sequence[float] = (float("inf"),), least: int = 3
-) -> DataFrame:
-    """(keys, family, length, nugget, radius, id, observed, predicted, sigma) of every candidate and holdout.
+    stations: DataFrame, *, keys: Sequence[str], families: Sequence[str], lengths: Sequence[float], nuggets: Sequence[float], radii: Sequence[float] = (float("inf"),), least: int = 3,
+    sill: str = "interval", missing: bool = False,
+) -> DataFrame:
+    """(keys, family, length, nugget, radius, id, observed, predicted, sigma, n) of every candidate and holdout.
+
+    ``sill`` is that of the stations kept with their noise taken off (``interval``),
+    the variance of those kept (``kept``) or of all (``all``), at least 1.  With
+    ``missing`` holdouts that a candidate can't predict are rows without a prediction.
 
     Candidates are a cross join of short lists; each (key, candidate) is one Arrow
     group over that key's stations.
@@ -89,13 +94,16 @@ def leave_one_out_predictions(
         for i in range(len(g)):
             keep = np.arange(len(g)) != i
             keep &= np.linalg.norm(xy - xy[i], axis=1) <= r
-            if keep.sum() < least:
+            p, e = np.nan, np.nan
+            if keep.sum() >= least:
+                power = dense.interval_sill(v[keep], s[keep]) if sill == "interval" else max(float(np.var(v[keep] if sill == "kept" else v, ddof=1)), 1.0)
+                p, e = dense.kriging_predict(f, xy[keep], v[keep], s[keep], xy[i], length=le, sill=power, nugget=nu)
+            elif not missing:
                 continue
-            p, e = dense.kriging_predict(f, xy[keep], v[keep], s[keep], xy[i], length=le, sill=dense.interval_sill(v[keep], s[keep]), nugget=nu)
-            rows.append((*[g[k].iloc[0] for k in keys], f, le, nu, r, g["id"].iloc[i], v[i], p, float(np.hypot(e, s[i]))))
-        return pd.DataFrame(rows, columns=[*keys, "family", "length", "nugget", "radius", "id", "observed", "predicted", "sigma"])
+            rows.append((*[g[k].iloc[0] for k in keys], f, le, nu, r, g["id"].iloc[i], v[i], p, float(np.hypot(e, s[i])), int(keep.sum())))
+        return pd.DataFrame(rows, columns=[*keys, "family", "length", "nugget", "radius", "id", "observed", "predicted", "sigma", "n"])
 
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "family string, length double, nugget double, radius double", f"id {kinds['id']}, observed double, predicted double, sigma double"])
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "family string, length double, nugget double, radius double", f"id {kinds['id']}, observed double, predicted double, sigma double, n int"])
     crossed = stations.select(*keys, "id", "x", "y", "value", "sigma").crossJoin(F.broadcast(candidates))
     return crossed.groupBy(*keys, "family", "length", "nugget", "radius").applyInPandas(run, schema)
 
@@ -126,6 +134,55 @@ def score_candidates(predictions: DataFrame, *, by: Sequence[str] = ("family", "
     return out.withColumn("selected", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) == 1)
 
 
+CANDIDATE = ("family", "length", "nugget", "radius")
+
+
+def _candidate_scores(predictions: DataFrame, by: Sequence[str]) -> DataFrame:
+    known = F.col("predicted").isNotNull() & ~F.isnan("predicted")
+    e, s = F.when(known, F.col("predicted") - F.col("observed")), F.greatest(F.col("sigma"), F.lit(1e-6))
+    return predictions.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_held"), F.count(e).alias("n"), F.avg(gaussian_nlpd(e, s)).alias("nlpd"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
+        F.sqrt(F.avg((e / s) * (e / s))).alias("standardized_rms"), F.median(F.when(known, F.col("n"))).alias("stations"),
+    )
+
+
+def select_of_full_coverage(predictions: DataFrame, *, keys: Sequence[str] = (), by: Sequence[str] = CANDIDATE) -> DataFrame:
+    """Scores of all candidates; selected is the best that predicts every held-out station.
+
+    ``predictions`` has a row for each holdout, without a prediction where there is
+    none, so that a candidate gains nothing by leaving out difficult stations.  Best
+    is the lowest NLPD, then RMSE, then the candidate's parameters.
+    """
+    scores = _candidate_scores(predictions, [*keys, *by]).withColumn("coverage", F.col("n") / F.col("n_held")).withColumn("eligible", F.col("n") == F.col("n_held"))
+    order = [F.desc("eligible"), F.col("nlpd"), F.col("rmse"), *[F.col(c) for c in reversed(by)]]
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1
+    return scores.withColumn("selected", first & F.col("eligible"))
+
+
+def select_by_one_standard_error(predictions: DataFrame, *, keys: Sequence[str] = (), by: Sequence[str] = CANDIDATE, baseline: str = "local_constant", unit: str = "id") -> DataFrame:
+    """Scores of all candidates; a spatial one counts only if its gain exceeds its standard error and it lowers the RMSE.
+
+    The gain is the mean drop of the NLPD against the baseline at the same holdouts.
+    Adds gain, gain_se, rmse_gain, supported and selected (lowest NLPD, then RMSE,
+    then the candidate's parameters; the baseline is always supported).
+    """
+    s = F.greatest(F.col("sigma"), F.lit(1e-6))
+    known = predictions.where(F.col("predicted").isNotNull() & ~F.isnan("predicted")).withColumn("__l", gaussian_nlpd(F.col("predicted") - F.col("observed"), s))
+    place = F.row_number().over(Window.partitionBy(*keys, unit).orderBy(*[F.col(c) for c in by if c != "family"]))
+    base = known.where(F.col("family") == baseline).withColumn("__k", place).where("__k = 1")
+    own = base.select(*keys, unit, F.col("__l").alias("__base"), (F.col("predicted") - F.col("observed")).alias("__e"))
+    level = base.groupBy(*keys).agg(F.sqrt(F.avg(F.pow(F.col("predicted") - F.col("observed"), 2))).alias("__rmse"))
+    drop = F.col("__base") - F.col("__l")
+    gains = known.join(own, [*keys, unit]).groupBy(*keys, *by).agg(F.avg(drop).alias("gain"), (F.stddev_samp(drop) / F.sqrt(F.count(drop))).alias("gain_se"))
+    scores = _candidate_scores(predictions, [*keys, *by]).join(gains, [*keys, *by], "left")
+    scores = scores.join(level, list(keys)) if keys else scores.join(F.broadcast(level), F.lit(True))
+    plain = F.col("family") == baseline
+    better = F.coalesce((F.col("gain") > F.col("gain_se")) & (F.col("__rmse") > F.col("rmse")), F.lit(False))
+    out = scores.withColumns({"rmse_gain": F.col("__rmse") - F.col("rmse"), "supported": plain | better}).drop("__rmse")
+    order = [F.desc("supported"), F.col("nlpd"), F.col("rmse"), *[F.col(c) for c in by]]
+    return out.withColumn("selected", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+
+
 def bootstrap_lower_bound(gains: DataFrame, keys: Sequence[str], gain: str, *, replicates: int = 2000, seed: int = 640004, q: float = 0.05) -> DataFrame:
     """Lower quantile of bootstrap means of a short list of gains; -inf below two values."""
 

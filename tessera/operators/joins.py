@@ -73,16 +73,24 @@ def interpolate_bracket(df: DataFrame, at: str, out: str = "value") -> DataFrame
     return df.withColumn(out, value)
 
 
+#: Events that a literal holds; longer lists are met by a scan.
+LITERAL_EVENTS = 10_000
+
+
 def without_event_between(df: DataFrame, events: DataFrame, event_at: str, start: str = "before_at", end: str = "after_at") -> DataFrame:
     """Rows with no event strictly inside (start, end).
 
-    Events are ranked once; a row is kept if as many lie before its end as at or
-    before its start.  ``events`` must be a short list (it is broadcast as an
-    array literal of at most 10,000 entries).
+    A short list of events becomes an array literal.  With a longer one each row
+    meets the first event after its start in one scan over both in order of time
+    (``scans.next_after``), and stays unless that lies before its end.
     """
-    times = [r[0] for r in events.select(event_at).distinct().limit(10_001).collect()]
-    if len(times) > 10_000:
-        raise ValueError("more than 10,000 events; join them by key instead")
+    from tessera.operators.scans import next_after
+
+    known = events.where(F.col(event_at).isNotNull()).select(event_at).distinct()
+    times = [r[0] for r in known.limit(LITERAL_EVENTS + 1).collect()]
+    if len(times) > LITERAL_EVENTS:
+        met = next_after(df, known, start, event_at, out="__next")
+        return met.where(~F.coalesce(F.col("__next") < F.col(end), F.lit(False))).drop("__next")
     inside = F.lit(False)
     if times:
         inside = F.exists(F.array(*[F.lit(t) for t in times]), lambda t: (t > F.col(start)) & (t < F.col(end)))

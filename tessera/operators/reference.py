@@ -8,12 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.geo import angle_between, normalize_look
 from tessera.functions.stats import MAD_TO_SIGMA, quantile
+from tessera.operators.ranking import separated
+from tessera.operators.series import local_mean
 from tessera.operators.spatial import radius_join
+from tessera.runtime import cut_lineage
 
 
 def reference_level(pixels: DataFrame, epoch: str, value: str, reference: Column, least: int = 25) -> DataFrame:
@@ -153,6 +156,61 @@ def reference_score(cells: DataFrame, eligible: Column) -> DataFrame:
     return cells.join(F.broadcast(bounds), F.lit(True)).withColumn("score", F.when(ok, score)).drop(*[f"__{c}" for c in SCORE_WEIGHTS])
 
 
+def worst_layers(first: DataFrame, second: DataFrame, cell: Sequence[str] = ("row", "col")) -> DataFrame:
+    """Cells of two products with the worse of each layer: coherence the lower, residual, gaps, loops and rms the higher.
+
+    A layer that either lacks is missing.
+    """
+    names = list(SCORE_WEIGHTS)
+    b = second.select(*cell, *[F.col(c).alias(f"__{c}") for c in names])
+    both = lambda c: F.when(F.col(c).isNotNull() & F.col(f"__{c}").isNotNull(), (F.least if c == "coherence" else F.greatest)(F.col(c), F.col(f"__{c}")))
+    return first.join(b, list(cell)).withColumns({c: both(c) for c in names}).drop(*[f"__{c}" for c in names])
+
+
+#: Fixed limits of a reference box: coverage and coherence at least; residual, gaps and loops at most.
+BOX_LIMITS = {"coverage": 0.98, "coherence": 0.50, "residual": 2.0, "gaps": 0.10, "loops": 5.0}
+
+
+def choose_reference(
+    cells: DataFrame, far: Column, *, size: int, margin: int | None = None, count: int = 10, distance: float = 8.0, limits: dict[str, float] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The best boxes for a reference area, in order, and the box means of all cells.
+
+    cells: row, col, x, y (km) and the layers of ``SCORE_WEIGHTS``.  Cells in the far
+    field with all layers are scored; box means of score and layers over ``size``
+    cells decide: a box counts if it lies ``margin`` cells inside the lattice, its
+    centre in the far field, and it keeps all ``limits``.  The lowest mean score is
+    taken first, then the next at least ``distance`` km away.  Chosen: rank, row, col,
+    x, y, score, the means, and the box r1:r2, c1:c2 (upper ends excluded).
+    """
+    half = size // 2
+    margin = half + 30 if margin is None else margin
+    limit = BOX_LIMITS | (limits or {})
+    names = list(SCORE_WEIGHTS)
+    whole = far
+    for c in names:
+        whole = whole & F.col(c).isNotNull()
+    scored = cut_lineage(reference_score(cells.withColumn("__far", F.coalesce(far, F.lit(False))), whole))
+    boxes = None
+    for c in ("score", *names):
+        mean = local_mean(scored.select("row", "col", c), c, size).select("row", "col", F.col("local_mean").alias(f"box_{c}"), F.col("coverage").alias(f"__{c}"))
+        boxes = mean.withColumnRenamed("__score", "coverage") if boxes is None else boxes.join(mean.drop(f"__{c}"), ["row", "col"])
+    bounds = scored.agg(F.min("row").alias("__r0"), F.max("row").alias("__r1"), F.min("col").alias("__c0"), F.max("col").alias("__c1"))
+    boxes = cut_lineage(scored.select("row", "col", "x", "y", "__far").join(boxes, ["row", "col"]).join(F.broadcast(bounds), F.lit(True)))
+    inside = F.col("row").between(F.col("__r0") + margin, F.col("__r1") - margin) & F.col("col").between(F.col("__c0") + margin, F.col("__c1") - margin)
+    good = F.col("__far") & inside & (F.col("coverage") >= limit["coverage"]) & (F.col("box_coherence") >= limit["coherence"])
+    for c in ("residual", "gaps", "loops"):
+        good = good & (F.col(f"box_{c}") <= limit[c])
+    boxes = boxes.withColumn("eligible", F.coalesce(good, F.lit(False))).drop("__far", "__r0", "__r1", "__c0", "__c1")
+    tie = F.col("row").cast("long") * F.lit(1 << 31) + F.col("col")
+    ask = boxes.where("eligible").select(tie.alias("tie"), "x", "y", (-F.col("box_score")).alias("__best"))
+    taken = separated(ask, "__best", count=count, distance=distance, tie="tie").select("tie")
+    chosen = boxes.withColumn("tie", tie).join(F.broadcast(taken), "tie")
+    rank = F.row_number().over(Window.orderBy("box_score", "tie"))  # ``count`` rows
+    chosen = chosen.withColumns({"rank": rank, "r1": F.col("row") - half, "r2": F.col("row") + half + 1, "c1": F.col("col") - half, "c2": F.col("col") + half + 1})
+    return chosen.drop("tie", "eligible"), boxes
+
+
 def look_audit(points: DataFrame, pixels: DataFrame, *, radius: float, expected: tuple[float, float, float]) -> DataFrame:
     """(id, local unit look, n_pixels, angle): angle in degrees between the local median look and the expected one."""
     local = local_medians(points, pixels, LOOK, radius)

@@ -188,3 +188,14 @@ def bracket(left: DataFrame, right: DataFrame, at: str, value: str, keys: Sequen
         side("a", "at").alias("after_at"),
         side("a", "v").alias("after_value"),
     )
+
+
+def next_after(df: DataFrame, events: DataFrame, at: str, event_at: str, out: str = "next") -> DataFrame:
+    """``df`` with the first event strictly later than ``at``, of any number of events; null if there is none."""
+    tagged = df.withColumns({"__kind": F.lit(0), "__t": F.col(at)}).unionByName(
+        events.where(F.col(event_at).isNotNull()).select(F.col(event_at).alias("__t")).withColumn("__kind", F.lit(1)), allowMissingColumns=True
+    )
+    # Backwards in time a row comes before the events of its own time, so it meets only later ones.
+    seen = F.when(F.col("__kind") == 1, F.col("__t"))
+    met = _last_before(tagged, seen, [F.col("__t").desc_nulls_first(), F.col("__kind").asc()], [], out)
+    return met.where(F.col("__kind") == 0).select(*df.columns, out)

@@ -13,10 +13,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.geo import link_blocked_by_segment, link_crosses_segment, orientation, point_segment_distance
+from tessera.functions.geo import link_blocked_by_segment, link_crosses_segment, orientation, point_segment_distance, segment_triangle_distance
 from tessera.runtime import cut_lineage
 
 
+#: Cells along the radius of a nearest search.
+DISK = 4
+
+
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
@@ -52,31 +56,41 @@ def nearest_join(
     ``within`` leaves out points farther away (and ends the search there), with
     ``digits`` distances that agree to so many decimals are ties.
 
-    Searches 3x3 cells; a target is settled once its k-th distance is within the
-    cell size, the others go on with cells four times as large, until none is left
-    or one cell covers everything.  A round's results (``k`` rows a target) and the
-    targets left are checkpointed, so no round repeats an earlier one.
+    The points are counted in cells of size ``cell``; the first search radius is the
+    one that holds somewhat more than ``k`` points at their mean density.  A search
+    asks the cells, a quarter of the radius wide, that its disk can touch.  A target
+    with ``k`` points in the disk is settled, the others go on with twice the radius,
+    until none is left or the disk covers everything.  A round's results (``k`` rows
+    a target) and the targets left are checkpointed, so no round repeats an earlier
+    one.
     """
     x, y = xy
     p = points.select(F.col(point_id).alias("p_id"), F.col(x).alias("s_x"), F.col(y).alias("s_y"))
     box = p.select(F.col("s_x").alias("x"), F.col("s_y").alias("y")).unionByName(targets.select(F.col(x).alias("x"), F.col(y).alias("y"))).agg(
         F.max("x") - F.min("x"), F.max("y") - F.min("y")
     ).first()
-    extent = max(v for v in (*box, cell) if v is not None)
+    extent = math.hypot(*[v or 0.0 for v in box])
+    total, cells = p.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(_cell(F.col("s_x"), cell), _cell(F.col("s_y"), cell)))).first()
+    density = max(total, 1) / (max(cells, 1) * cell * cell)
+    radius = max(math.sqrt(1.4 * k / (math.pi * density)), 1e-9)
     left = targets.select(F.col(target_id).alias("t_id"), F.col(x).alias("t_x"), F.col(y).alias("t_y"))
-    out, size = None, cell
+    out = None
     near_first = F.col("distance") if digits is None else F.round("distance", digits)
     rank = F.row_number().over(Window.partitionBy("t_id").orderBy(near_first, "p_id"))
-    reach = F.lit(True) if within is None else F.col("distance") <= within
     margin = 0.0 if digits is None else 10.0**-digits
+    offsets = [(i, j) for i in range(-DISK - 1, DISK + 2) for j in range(-DISK - 1, DISK + 2) if math.hypot(max(abs(i) - 1, 0), max(abs(j) - 1, 0)) <= DISK]
+    disk = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
     while True:
-        last = size >= extent or (within is not None and size >= within)
-        t = left.withColumn("__bx", _around(F.col("t_x"), size)).withColumn("__by", _around(F.col("t_y"), size))
+        radius = radius if within is None else min(radius, within)
+        last = radius > extent or radius == within
+        size = (radius + margin) / DISK
+        t = left.withColumn("__d", disk).select("t_id", "t_x", "t_y", (_cell(F.col("t_x"), size) + F.col("__d.i")).alias("__bx"), (_cell(F.col("t_y"), size) + F.col("__d.j")).alias("__by"))
         s = p.withColumns({"__bx": _cell(F.col("s_x"), size), "__by": _cell(F.col("s_y"), size)})
-        near = t.join(s, ["__bx", "__by"]).withColumn("distance", F.hypot(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y"))).where(reach)
+        apart = F.hypot(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y"))
+        near = t.join(s, ["__bx", "__by"]).withColumn("distance", apart).where(F.col("distance") <= radius)
         ranked = cut_lineage(near.select("t_id", "p_id", "distance", rank.alias("rank")).where(F.col("rank") <= k))
         done = ranked if last else ranked.join(
-            ranked.where((F.col("rank") == k) & (F.col("distance") <= size - margin)).select("t_id"), "t_id", "left_semi"
+            ranked.where((F.col("rank") == k) & (F.col("distance") <= radius - margin)).select("t_id"), "t_id", "left_semi"
         )
         out = done if out is None else out.unionByName(done)
         if last:
@@ -84,14 +98,24 @@ def nearest_join(
         left = cut_lineage(left.join(done.select("t_id").distinct(), "t_id", "left_anti"))
         if left.isEmpty():
             return out
-        size = size * 4 if within is None else min(size * 4, within)
+        radius *= 2
 
 
-def _cells_of_box(df: DataFrame, a: tuple[str, str], b: tuple[str, str], size: float) -> DataFrame:
-    for name, k in (("__bx", 0), ("__by", 1)):
-        low, high = F.least(a[k], b[k]), F.greatest(a[k], b[k])
-        df = df.withColumn(name, F.explode(F.sequence(_cell(low - 1e-9, size), _cell(high + 1e-9, size))))
-    return df
+def _cells_of_segment(df: DataFrame, a: tuple[str, str], b: tuple[str, str], size: float, reach: int = 0) -> DataFrame:
+    """Every cell that the segment a-b touches, column by column: as many as its length, not as its box.
+
+    The bounds are widened a little, so that a cell that is touched in a corner or
+    along an edge is among them; ``reach`` adds that many cells on all sides.
+    """
+    (ax, ay), (bx, by) = ((F.col(p[0]), F.col(p[1])) for p in (a, b))
+    wide = 1e-6 * size
+    df = df.withColumn("__bx", F.explode(F.sequence(_cell(F.least(ax, bx) - 1e-9, size) - reach, _cell(F.greatest(ax, bx) + 1e-9, size) + reach)))
+    span = F.nullif(bx - ax, F.lit(0.0))
+    at = lambda x: F.coalesce(ay + F.least(F.greatest((x - ax) / span, F.lit(0.0)), F.lit(1.0)) * (by - ay), ay)
+    one, two = at((F.col("__bx") - reach) * size - wide), at((F.col("__bx") + 1 + reach) * size + wide)
+    low = F.when(span.isNull(), F.least(ay, by)).otherwise(F.least(one, two))
+    high = F.when(span.isNull(), F.greatest(ay, by)).otherwise(F.greatest(one, two))
+    return df.withColumn("__by", F.explode(F.sequence(_cell(low - 1e-9, size) - reach, _cell(high + 1e-9, size) + reach)))
 
 
 def blocked_links(links: DataFrame, segments: DataFrame, link_id: Sequence[str], *, rule: str = "closed", cell: float = 8.0) -> DataFrame:
@@ -101,8 +125,8 @@ def blocked_links(links: DataFrame, segments: DataFrame, link_id: Sequence[str],
     the link's ends, parallel lines never block).
     """
     seg = segments.select(*[F.col(c).alias(f"f{c}") for c in ("x1", "y1", "x2", "y2")])
-    l = _cells_of_box(links, ("x0", "y0"), ("x1", "y1"), cell)  # noqa: E741
-    s = _cells_of_box(seg, ("fx1", "fy1"), ("fx2", "fy2"), cell)
+    l = _cells_of_segment(links, ("x0", "y0"), ("x1", "y1"), cell)  # noqa: E741
+    s = _cells_of_segment(seg, ("fx1", "fy1"), ("fx2", "fy2"), cell)
     test = link_blocked_by_segment if rule == "closed" else link_crosses_segment
     hit = test(((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))), ((F.col("fx1"), F.col("fy1")), (F.col("fx2"), F.col("fy2"))))
     # One opaque predicate: split into its conjuncts it would multiply inferred constraints.
@@ -194,14 +218,18 @@ def adaptive_support(
     min_sectors: int = 3,
     sectors: int = 8,
     require_hull: bool = True,
+    without: str | None = None,
 ) -> DataFrame:
     """First radius with enough stations and sectors around a target inside their hull.
 
-    Returns (t_id, radius, station_ids, n, sectors); targets without support are
-    absent.
+    ``without`` is a target column that names a station it must not use.  Returns
+    (t_id, radius, station_ids, n, sectors); targets without support are absent.
     """
     radii = sorted(radii)
-    pairs = radius_join(targets.select(F.col(target_id).alias("id"), "x", "y"), stations.select(F.col(station_id).alias("id"), "x", "y"), radii[-1])
+    own = [] if without is None else [F.col(without).alias("without")]
+    pairs = radius_join(targets.select(F.col(target_id).alias("id"), "x", "y", *own), stations.select(F.col(station_id).alias("id"), "x", "y"), radii[-1])
+    if without is not None:
+        pairs = pairs.where(~F.col("s_id").eqNullSafe(F.col("t_without")))
     pairs = pairs.withColumns({"dx": F.col("s_x") - F.col("t_x"), "dy": F.col("s_y") - F.col("t_y")})
     tried = pairs.withColumn("radius", F.explode(F.array(*[F.lit(float(r)) for r in radii]))).where(F.col("distance") <= F.col("radius"))
     tried = tried.withColumn("key", F.struct(F.col("t_id"), F.col("radius")))
@@ -253,8 +281,24 @@ def point_to_segments_distance(points: DataFrame, segments: DataFrame, within: f
     """(id, distance) to the nearest segment no farther than ``within``."""
     p = points.select(F.col(point_id).alias("p_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     p = p.withColumns({"__bx": _cell(F.col("px"), within), "__by": _cell(F.col("py"), within)})
-    for name, a, b in (("__bx", "x1", "x2"), ("__by", "y1", "y2")):
-        span = F.sequence(_cell(F.least(a, b), within) - 1, _cell(F.greatest(a, b), within) + 1)
-        segments = segments.withColumn(name, F.explode(span))
+    segments = _cells_of_segment(segments, ("x1", "y1"), ("x2", "y2"), within, reach=1)
     d = point_segment_distance((F.col("px"), F.col("py")), (F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
     return p.join(segments, ["__bx", "__by"]).groupBy("p_id").agg(F.min(d).alias("distance")).where(F.col("distance") <= within)
+
+
+def triangle_to_segments_distance(triangles: DataFrame, segments: DataFrame, within: float, *, triangle_id: str = "id") -> DataFrame:
+    """(id, distance) from each triangle to the nearest segment, where it is no farther than ``within``; 0 if they meet.
+
+    Triangles and segments meet in the cells of side ``within`` that the triangle's
+    edges touch or their neighbours, and in the cells of its box (which is as large
+    as the triangle); the exact distance is taken of these pairs alone.
+    """
+    v = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in (1, 2, 3)]
+    t = triangles.select(F.col(triangle_id).alias("t_id"), *[F.col(f"{c}{i}") for i in (1, 2, 3) for c in "xy"])
+    for name, k in (("__bx", 0), ("__by", 1)):
+        low, high = F.least(*[p[k] for p in v]), F.greatest(*[p[k] for p in v])
+        t = t.withColumn(name, F.explode(F.sequence(_cell(low, within), _cell(high, within))))
+    s = segments.select(*[F.col(c).alias(f"f{c}") for c in ("x1", "y1", "x2", "y2")])
+    s = _cells_of_segment(s, ("fx1", "fy1"), ("fx2", "fy2"), within, reach=1)
+    d = segment_triangle_distance((F.col("fx1"), F.col("fy1")), (F.col("fx2"), F.col("fy2")), tuple(v))
+    return t.join(s, ["__bx", "__by"]).groupBy("t_id").agg(F.min(d).alias("distance")).where(F.col("distance") <= within)

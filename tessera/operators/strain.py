@@ -91,7 +91,6 @@ def robust_plane_strain(
     bandwidth: float = 4.0,
     least: int = 16,
     max_condition: float = 100.0,
-    steps: int = 6,
     sigma_floor: float = 1.0,
     scale_floor: float = 1.0,
     use_median_sigma: bool = True,
@@ -117,7 +116,7 @@ def robust_plane_strain(
                 offset = one[["s_x", "s_y"]].to_numpy(float) - one[["t_x", "t_y"]].iloc[0].to_numpy(float)
                 fit = [
                     dense.robust_affine(
-                        offset, one[f"s_{v}"].to_numpy(float), one[f"s_{s}"].to_numpy(float), bandwidth, steps=steps, sigma_floor=sigma_floor, scale_floor=scale_floor, use_median_sigma=use_median_sigma
+                        offset, one[f"s_{v}"].to_numpy(float), one[f"s_{s}"].to_numpy(float), bandwidth, sigma_floor=sigma_floor, scale_floor=scale_floor, use_median_sigma=use_median_sigma
                     )
                     for v, s in (("east", "sigma_e"), ("north", "sigma_n"))
                 ]
@@ -141,6 +140,68 @@ def robust_plane_strain(
     )
 
 
+def vector_affine(
+    stations: DataFrame, targets: DataFrame, *, bandwidth: float, keys: Sequence[str] = (), least: int = 6, sigma_floor: float = 0.25, scale_floor: float = 0.25, use_median_sigma: bool = True, tasks_of: int | None = None
+) -> DataFrame:
+    """Robust local planes of east and north at every target: predictions, gradients and the errors of both.
+
+    Stations within three bandwidths count.  Columns: keys, t_id, n, n_kernel (the
+    effective number by the kernel), condition (the worse of both planes), east,
+    north and their gradients, each with ``sigma_``.  Targets with fewer than
+    ``least`` stations are kept, with n and nothing else.
+    """
+    keys = list(keys)
+    j = radius_join(targets.select(*keys, "id", "x", "y"), stations.select(*keys, "id", "x", "y", "east", "north", "sigma_e", "sigma_n"), 3.0 * bandwidth, keys=keys)
+    kinds = dict(j.dtypes)
+    parts = ["east", "east_x", "east_y", "north", "north_x", "north_y"]
+    names = ["n_kernel", "condition", *parts, *[f"sigma_{p}" for p in parts]]
+    by = [f"t_{k}" for k in keys] + ["t_id"]
+
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for t, one in g.groupby(by, sort=True, dropna=False):
+            row = dict(zip(by, t, strict=True)) | {"n": len(one)}
+            if len(one) >= least:
+                one = one.sort_values("s_id")
+                offset = one[["s_x", "s_y"]].to_numpy(float) - one[["t_x", "t_y"]].iloc[0].to_numpy(float)
+                fits = [
+                    dense.robust_affine(offset, one[f"s_{v}"].to_numpy(float), one[f"s_{e}"].to_numpy(float), bandwidth, sigma_floor=sigma_floor, scale_floor=scale_floor, use_median_sigma=use_median_sigma)
+                    for v, e in (("east", "sigma_e"), ("north", "sigma_n"))
+                ]
+                per = np.array([1, bandwidth, bandwidth])
+                value = [x for f in fits for x in f["beta"] / per]
+                error = [x for f in fits for x in np.sqrt(np.maximum(np.diag(f["cov"]), 0)) / per]
+                row |= dict(zip(names, [min(f["n_kernel"] for f in fits), max(f["condition"] for f in fits), *value, *error], strict=True))
+            out.append(row)
+        return pd.DataFrame(out).reindex(columns=[*by, "n", *names]).astype({c: float for c in names})
+
+    schema = ", ".join([*[f"`t_{k}` {kinds[f't_{k}']}" for k in keys], f"t_id {kinds['t_id']}", "n int", *[f"{c} double" for c in names]])
+    fits = j.groupBy(bucket(j, "t_id", tasks_of=tasks_of).alias("__g")).applyInPandas(solve, schema)
+    fits = fits.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in names}).withColumnsRenamed({f"t_{k}": f"__k_{k}" for k in keys} | {"t_id": "__t"})
+    same = F.col("t_id").eqNullSafe(F.col("__t"))
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    every = targets.select(*keys, F.col("id").alias("t_id")).distinct().join(fits, same, "left")
+    return every.select(*keys, "t_id", F.coalesce("n", F.lit(0)).alias("n"), *names)
+
+
+def strain_grid(
+    stations: DataFrame, targets: DataFrame, *, bandwidth: float, least_effective: float = 5.0, max_condition: float = 100.0, scale: float = 1000.0, **options
+) -> DataFrame:
+    """``vector_affine`` with strain and its errors; ``valid`` asks for enough effective stations and a fair condition.
+
+    Strain is in 1/``scale`` of value units per km and kept where a fit exists, valid
+    or not.
+    """
+    fits = vector_affine(stations, targets, bandwidth=bandwidth, **options)
+    parts = strain_invariants(F.col("east_x"), F.col("east_y"), F.col("north_x"), F.col("north_y"), scale=scale, wrap=False)
+    half = 0.5 * scale * F.hypot("sigma_east_y", "sigma_north_x")
+    xx, yy = scale * F.col("sigma_east_x"), scale * F.col("sigma_north_y")
+    errors = {"sigma_exx": xx, "sigma_eyy": yy, "sigma_exy": half, "sigma_dilatation": F.hypot(xx, yy), "sigma_rotation": half}
+    ok = F.coalesce((F.col("n_kernel") >= least_effective) & (F.col("condition") <= max_condition), F.lit(False))
+    return fits.select("*", ok.alias("valid"), *[v.alias(k) for k, v in parts.items()], *[v.alias(k) for k, v in errors.items()])
+
+
 def leave_one_out_bandwidths(stations: DataFrame, bandwidths: Sequence[float], *, least: int = 6) -> DataFrame:
     """(bandwidth, n, rmse, se) of vector predictions at held-out stations.
 
@@ -158,7 +219,7 @@ def leave_one_out_bandwidths(stations: DataFrame, bandwidths: Sequence[float], *
                 one = one.sort_values("s_id")
                 offset = one[["s_x", "s_y"]].to_numpy(float) - one[["t_x", "t_y"]].to_numpy(float)
                 miss = [
-                    one[f"t_{v}"].iloc[0] - dense.robust_affine(offset, one[f"s_{v}"].to_numpy(float), one[f"s_{s}"].to_numpy(float), h, steps=8, sigma_floor=0.25, scale_floor=0.25, use_median_sigma=False)["beta"][0]
+                    one[f"t_{v}"].iloc[0] - dense.robust_affine(offset, one[f"s_{v}"].to_numpy(float), one[f"s_{s}"].to_numpy(float), h, sigma_floor=0.25, scale_floor=0.25, use_median_sigma=False)["beta"][0]
                     for v, s in (("east", "sigma_e"), ("north", "sigma_n"))
                 ]
                 rows.append((h, float(np.hypot(*miss))))
