@@ -48,6 +48,11 @@ PROBES = (6, 300, 5000)
 BUCKET = 64
 BLOCK = 8192
 QUERY_BLOCK = 2048
+#: Vectors of queries are broadcast up to so many bytes, and shipped to every place they ask in beyond.
+QUERY_BYTES = 64 << 20
+#: Recall to reach, and the queries that measure it against a full scan.
+RECALL, MEASURED = 0.9, 128
+SCAN_BLOCK = 1024
 #: Rows of the table of places that are broadcast at most; a larger one is joined by shuffle.
 GRID = 200_000
 SEED = 20240117
@@ -117,11 +122,12 @@ def width_of(dim: int) -> int:
     return 1 << max(1, (dim - 1).bit_length())
 
 
-def search_plan(rows: int, dim: int) -> tuple[int, int, int]:
-    """(depth, tables, probes) for so many vectors."""
-    axes, depth = 2 * width_of(dim), 1
-    while rows / axes**depth > BUCKET:
-        depth += 1
+def search_plan(rows: int, dim: int, depth: int | None = None) -> tuple[int, int, int]:
+    """(depth, tables, probes) for so many vectors, or for a given depth."""
+    axes, deep = 2 * width_of(dim), depth or 1
+    while depth is None and rows / axes**deep > BUCKET:
+        deep += 1
+    depth = deep
     at = min(depth, len(TABLES)) - 1
     return depth, TABLES[at], math.ceil(PROBES[at] * (PROBES[-1] / PROBES[-2]) ** (depth - 1 - at))
 
@@ -242,7 +248,10 @@ def _search(classes: DataFrame, asking: DataFrame, model: CrossPolytope, probes:
     base = keyed.select("cls", "vec", "ids", F.posexplode("keys").alias("tbl", "key")).select(
         "tbl", F.floor(F.col("key") / axes).alias("head"), (F.col("key") % axes).cast("int").alias("tail"), "cls", "vec", "ids"
     )
-    asks = probing.select("cls", "vec", F.explode("places").alias("p")).select("p.*", "cls", "vec")
+    few = asking.count() * dim * 8 <= QUERY_BYTES
+    shared = asking.sparkSession.sparkContext.broadcast(_collected(asking, dim)) if few else None
+    own = F.lit(None).cast(asking.schema["vec"].dataType).alias("vec") if few else F.col("vec")
+    asks = probing.select("cls", own, F.explode("places").alias("p")).select("p.*", "cls", "vec")
     place = ["tbl", "head"]
     # Blocks of each place that both sides have, from its size on both sides.
     sizes = base.groupBy(*place).agg(F.count(F.lit(1)).alias("nb"))
@@ -285,7 +294,12 @@ def _search(classes: DataFrame, asking: DataFrame, model: CrossPolytope, probes:
                     block = block or _Block(held, k)
                     for q in range(0, part.num_rows, 256):
                         some = part.slice(q, 256)
-                        who, score, near = block.nearest(_vectors(some.column("vec"), dim), some.column("tails"))
+                        if shared is None:
+                            vectors = _vectors(some.column("vec"), dim)
+                        else:
+                            at_, matrix = shared.value
+                            vectors = matrix[[at_[c] for c in some.column("cls").to_pylist()]]
+                        who, score, near = block.nearest(vectors, some.column("tails"))
                         if len(who):
                             yield pa.RecordBatch.from_arrays([some.column("cls").take(pa.array(who)), pa.array(score), near], names=schema.names)
                 at = to
@@ -293,6 +307,40 @@ def _search(classes: DataFrame, asking: DataFrame, model: CrossPolytope, probes:
     return dealt.mapInArrow(rerank, schema)
 
 
+def _collected(asking: DataFrame, dim: int) -> tuple[dict[str, int], np.ndarray]:
+    """Names and vectors of a bounded number of queries."""
+    table = asking.select("cls", "vec").toArrow()
+    return {c: i for i, c in enumerate(table.column("cls").to_pylist())}, _vectors(table.column("vec"), dim)
+
+
+def _scan(classes: DataFrame, asking: DataFrame, dim: int, k: int) -> DataFrame:
+    """(qcls, score, id): the first ``k + 1`` ids of each asking class among each batch of all classes; blocks of queries are broadcast."""
+    ids = classes.schema["ids"].dataType.elementType
+    schema = T.StructType([T.StructField("qcls", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("id", ids)])
+    blocks = -(-asking.count() // SCAN_BLOCK) or 1
+    out = None
+    for b in range(blocks):
+        part = asking.where(F.pmod(F.xxhash64(F.lit(SEED), "cls"), F.lit(blocks)) == b) if blocks > 1 else asking
+        shared = asking.sparkSession.sparkContext.broadcast(_collected(part, dim))
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, matrix = shared.value
+            who_is = pa.array(list(names))
+            tails = pa.array([[0]] * len(matrix), pa.list_(pa.int32()))
+            for whole in batches:
+                for at in range(0, whole.num_rows, BLOCK):
+                    batch = whole.slice(at, BLOCK)
+                    if not len(matrix):
+                        continue
+                    block = _Block([(np.zeros(batch.num_rows, dtype=np.int32), _vectors(batch.column("vec"), dim), batch.column("ids"))], k)
+                    who, score, near = block.nearest(matrix, tails)
+                    yield pa.RecordBatch.from_arrays([who_is.take(pa.array(who)), pa.array(score), near], names=schema.names)
+
+        one = classes.select("vec", "ids").mapInArrow(work, schema)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def _mean(rows: DataFrame, dim: int) -> np.ndarray:
     """Mean vector of all rows, from one partial sum of each task; rounded, so that their order has no say."""
 
@@ -318,12 +366,17 @@ def nearest(
     tables: int | None = None,
     probes: int | None = None,
     depth: int | None = None,
+    recall: float = RECALL,
+    exact: bool = False,
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest rows found for each query row.
 
     ``queries`` is a condition on ``vectors`` that says which rows are queries; a
     query's own id is never its neighbour.  Depth, tables and probes follow from
     the number of different vectors (``search_plan``) where they are not given.
+    Unless ``probes`` are given, they are doubled until ``MEASURED`` queries, picked
+    by hash and compared with a full scan, find ``recall`` of their neighbours.
+    ``exact`` scans all vectors for all queries instead.
     """
     spark = vectors.sparkSession
     out = f"query_id {dict(vectors.dtypes)[id_col]}, rank int, {id_col} {dict(vectors.dtypes)[id_col]}, score double"
@@ -343,14 +396,24 @@ def nearest(
     classes = cut_lineage(members.groupBy("cls").agg(F.first("vec").alias("vec"), F.array_sort(F.collect_list("id")).alias("ids")))
     asking = cut_lineage(rows.where("q").select("cls", F.col("id").alias("query_id"), "vec").dropDuplicates(["cls", "query_id"]))
     asking_classes = cut_lineage(asking.dropDuplicates(["cls"]).select("cls", "vec"))
-    planned = search_plan(classes.count(), dim)
+    planned = search_plan(classes.count(), dim, depth)
+    measured = probes is None and not exact
     depth, tables, probes = (own or by_rule for own, by_rule in zip((depth, tables, probes), planned, strict=True))
     # Each id found once for each class, then the first k + 1 of them.
     first = F.row_number().over(Window.partitionBy("qcls").orderBy("score", "id"))
     cut = lambda found: cut_lineage(
         found.groupBy("qcls", "id").agg(F.min("score").alias("score")).withColumn("place", first).where(F.col("place") <= k + 1).drop("place")
     )
-    best = cut(_search(classes, asking_classes, CrossPolytope(dim, centre, tables, depth), probes, k))
+    model = CrossPolytope(dim, centre, tables, depth)
+    if measured:
+        some = cut_lineage(asking_classes.orderBy(F.xxhash64(F.lit(SEED), "cls"), "cls").limit(MEASURED))
+        true = cut(_scan(classes, some, dim, k)).select("qcls", "id")
+        wanted = true.count()
+        while probes < (2 * width_of(dim)) ** depth:
+            if true.join(cut(_search(classes, some, model, probes, k)), ["qcls", "id"], "left_semi").count() >= recall * wanted:
+                break
+            probes = min(2 * probes, (2 * width_of(dim)) ** depth)
+    best = cut(_scan(classes, asking_classes, dim, k) if exact else _search(classes, asking_classes, model, probes, k))
     # Queries that met too few ids probe every axis of one table, which meets all rows.
     full = best.groupBy("qcls").count().where(F.col("count") > k).select(F.col("qcls").alias("cls"))
     short = cut_lineage(asking_classes.join(full, "cls", "left_anti"))
