@@ -6,11 +6,13 @@ consecutive words; an item with fewer words (but at least one) contributes a
 single window of all its words.  Training texts are scanned with a rolling
 64-bit hash; every hash hit is verified word by word before it counts.
 
-The window index is broadcast only while the benchmark block behind it is at
-most ``BLOCK_BYTES`` of text.  A larger benchmark is split by hash into blocks
-of that size, which are built, scanned and released one after another over the
-same rows (what a scan found is checkpointed), so the result is the same at any
-benchmark size, and neither the driver nor an executor holds more than one index.
+The window index is broadcast only while the benchmark is at most ``BLOCK_BYTES``
+of text.  The windows of a larger one are a table: one scan of the texts hashes
+their windows and passes those that a bounded filter (``membership``) does not rule
+out, once for each distinct text; these are joined with the table on hash, length
+and words, which verifies them.  What is found stays with the text's digest, so
+texts are never written or shuffled for it, whatever the benchmark's size; rows get
+it by their digest.
 
 Defined results for odd input: a null or empty text has no words and no hits;
 a null or empty item has no windows, an empty benchmark hits nothing; repeated
@@ -23,14 +25,16 @@ their names (``find_windows`` replaces a column named as its ``out_col``).
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.membership import key_filter, may_hold
 from tessera.llm.textbatch import fresh, map_slices, replace_column
 from tessera.runtime import cut_lineage
 
@@ -142,23 +146,112 @@ _FOUND_ARROW = pa.struct(
 )
 
 
-def index_blocks(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_bytes: int) -> tuple[int, Iterator[WindowIndex]]:
-    """Number of blocks, and one index after another for at most about ``block_bytes`` of benchmark text.
+def _items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(item, text) of the items with a text."""
+    item = F.coalesce(F.col(item_col).cast("string"), F.lit("null"))
+    return benchmark.select(item.alias("item"), F.col(text_col).alias("text")).where(F.length("text") > 0)
 
-    A single item longer than the bound is a block of its own.
-    """
-    rows = benchmark.select(
-        F.coalesce(F.col(item_col).cast("string"), F.lit("null")).alias("item"), F.col(text_col).alias("text")
-    ).where(F.length("text") > 0)
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
 
-    def build() -> Iterator[WindowIndex]:
-        for k in range(blocks):
-            part = rows.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k) if blocks > 1 else rows
-            yield WindowIndex([(r.item, r.text.encode()) for r in part.distinct().toLocalIterator()], n)
+class WindowHashes:
+    """Hashes of word windows that do not depend on the task; a bounded cache keeps word hashes."""
+
+    FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, entries: int = 200_000):
+        self.entries, self.cache = entries, {}
+
+    def codes(self, found: list[bytes]) -> np.ndarray:
+        out = np.empty(len(found), dtype=np.uint64)
+        for i, w in enumerate(found):
+            value = self.cache.get(w)
+            if value is None:
+                if len(self.cache) >= self.entries:
+                    self.cache.clear()
+                value = self.cache[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+            out[i] = value
+        return out
+
+    def windows(self, codes: np.ndarray, length: int) -> np.ndarray:
+        """One signed hash for each window of so many words."""
+        if len(codes) < length:
+            return np.zeros(0, dtype=np.int64)
+        size = len(codes) - length + 1
+        out = np.full(size, np.uint64(length))
+        for k in range(length):
+            out = out * self.FACTOR + codes[k : k + size]
+        out ^= out >> np.uint64(29)
+        return (out * self.FACTOR).view(np.int64)
+
+
+_WINDOW = "h long, len int, words string"
+
 
-    return blocks, build()
+def _benchmark_windows(items: DataFrame, n: int) -> DataFrame:
+    """(h, len, words, item) of every window of every item, once."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WindowHashes()
+        for batch in batches:
+            for item, text in zip(batch.column("item").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+                found = words(text)
+                length = min(n, len(found))
+                if length:
+                    h = hashes.windows(hashes.codes(found), length)
+                    spelt = [b" ".join(found[i : i + length]).decode() for i in range(len(h))]
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([length] * len(h), pa.int32()), pa.array(spelt), pa.array([item] * len(h))], ["h", "len", "words", "item"])
+
+    return items.mapInArrow(work, f"{_WINDOW}, item string").distinct()
+
+
+def _digest(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
+
+
+def _hits_by_join(docs: DataFrame, items: DataFrame, text_col: str, n: int) -> DataFrame:
+    """(digest, spans, items) of every distinct text with a hit."""
+    table = cut_lineage(_benchmark_windows(items, n))
+    lengths = sorted(r[0] for r in table.select("len").distinct().collect())  # n at most
+    near = key_filter(table.select("h").distinct(), "h")
+    shared, bits = near.shared, near.bits
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        hashes, rows, seen = WindowHashes(), [], set()
+        for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            if digest in seen or not text:
+                continue
+            seen.add(digest)
+            found = words(text)
+            codes = hashes.codes(found)
+            for length in lengths:
+                h = hashes.windows(codes, length)
+                for i in np.flatnonzero(may_hold(h, shared.value, bits)).tolist():
+                    rows.append((digest, i, int(h[i]), length, b" ".join(found[i : i + length]).decode()))
+        if not rows:
+            return None
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["digest", "at", "h", "len", "words"])
+
+    texts = docs.select(_digest(F.col(text_col)).alias("digest"), F.col(text_col).alias("text"))
+    asked = texts.mapInArrow(map_slices("text", work), "digest string, at long, h long, len long, words string").distinct()
+    hits = asked.withColumn("len", F.col("len").cast("int")).join(table, ["h", "len", "words"])
+    spans = hits.select("digest", "at", "len").distinct().groupBy("digest").agg(
+        F.array_sort(F.collect_list(F.struct(F.col("at").alias("a"), (F.col("at") + F.col("len")).alias("b")))).alias("spans")
+    )
+    owners = hits.select("digest", "item").distinct().groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    return cut_lineage(spans.join(owners, "digest"))
+
+
+def _merged(spans: Column) -> Column:
+    """Disjoint ranges [a, b] that cover the same places, from ranges in order of their begin."""
+    none = F.array().cast("array<array<int>>")
+
+    def put(acc: Column, x: Column) -> Column:
+        span = F.array(x["a"].cast("int"), x["b"].cast("int"))
+        last = F.element_at(acc, -1)
+        joined = F.array(last[0], F.greatest(last[1], span[1]))
+        apart = (F.size(acc) == 0) | (F.try_element_at(F.try_element_at(acc, F.lit(-1)), F.lit(2)) < span[0])
+        return F.when(apart, F.array_append(acc, span)).otherwise(F.array_append(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), joined))
+
+    return F.aggregate(spans, none, put)
 
 
 def find_windows(
@@ -175,30 +268,47 @@ def find_windows(
     """``docs`` with a struct column ``out_col`` (n_words, hit_spans, hit_items)."""
     spark = docs.sparkSession
     out = docs.drop(out_col)
-    first = T.StructType([*out.schema.fields, T.StructField(out_col, _FOUND)])
-    blocks, indexes = index_blocks(benchmark, item_col, item_text_col, n, block_bytes)
-    for k, index in enumerate(indexes):
-        shared = spark.sparkContext.broadcast(index)
-
-        def work(batch: pa.RecordBatch, shared=shared, later: bool = k > 0) -> pa.RecordBatch:
-            texts = batch.column(text_col).cast(pa.binary()).to_pylist()
-            before = batch.column(out_col).to_pylist() if later else [None] * len(texts)
-            found = []
-            for text, old in zip(texts, before, strict=True):
-                own = words(text or b"")
-                spans, items = shared.value.scan(own)
-                if old:
-                    spans = merge_spans([*spans, *map(tuple, old["hit_spans"])])
-                    items |= set(old["hit_items"])
-                found.append({"n_words": len(own), "hit_spans": spans, "hit_items": sorted(items)})
-            values = pa.array(found, type=_FOUND_ARROW)
-            return replace_column(batch, out_col, values) if later else batch.append_column(out_col, values)
-
-        out = out.mapInArrow(map_slices(text_col, work), first)
-        if blocks > 1:
-            out = cut_lineage(out)
-            shared.destroy()
-    return out
+    items = _items(benchmark, item_col, item_text_col)
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > block_bytes:
+        return _joined(out, items, text_col, n, out_col)
+    index = WindowIndex([(r.item, r.text.encode()) for r in items.distinct().toLocalIterator()], n)
+    shared = spark.sparkContext.broadcast(index)
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = []
+        for text in batch.column(text_col).cast(pa.binary()).to_pylist():
+            own = words(text or b"")
+            spans, owners = shared.value.scan(own)
+            found.append({"n_words": len(own), "hit_spans": spans, "hit_items": sorted(owners)})
+        return batch.append_column(out_col, pa.array(found, type=_FOUND_ARROW))
+
+    return out.mapInArrow(map_slices(text_col, work), T.StructType([*out.schema.fields, T.StructField(out_col, _FOUND)]))
+
+
+def _joined(docs: DataFrame, items: DataFrame, text_col: str, n: int, out_col: str) -> DataFrame:
+    """``find_windows`` for a benchmark of any size.
+
+    Rows whose text surely has no hit get their empty struct where they are; only
+    the others are shuffled by digest.
+    """
+    hits = _hits_by_join(docs, items, text_col, n)
+    taken = [*docs.columns, out_col]
+    digest, count = fresh(taken, "digest"), fresh(taken, "n_words")
+
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [len(words(t or b"")) for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+        return batch.append_column(count, pa.array(found, pa.int64()))
+
+    counted = docs.mapInArrow(map_slices(text_col, work), T.StructType([*docs.schema.fields, T.StructField(count, T.LongType())]))
+    keyed = counted.withColumn(digest, _digest(F.col(text_col)))
+    maybe = key_filter(hits.select(F.xxhash64("digest").alias("key")), "key").may_hold(F.xxhash64(F.col(digest)))
+    struct = lambda spans, owners: F.struct(F.col(count).alias("n_words"), spans.alias("hit_spans"), owners.alias("hit_items")).cast(_FOUND).alias(out_col)
+    none = struct(F.array().cast("array<array<int>>"), F.array().cast("array<string>"))
+    found = hits.select(F.col("digest").alias("__digest"), "spans", "items").withColumnsRenamed({"spans": "__spans", "items": "__items"})
+    met = keyed.where(maybe).join(found, F.col(digest) == F.col("__digest"), "left")
+    known = F.when(F.col("__digest").isNotNull(), struct(_merged(F.col("__spans")), F.col("__items"))).otherwise(none).alias(out_col)
+    return keyed.where(~maybe).select(*docs.columns, none).unionByName(met.select(*docs.columns, known))
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -37,6 +37,16 @@ def _step(key: Column) -> Column:
     return F.call_function("shiftrightunsigned", key, F.lit(40)).bitwiseOR(F.lit(1))
 
 
+def may_hold(keys: np.ndarray, mask: np.ndarray, bits: int) -> np.ndarray:
+    """Which of the hashes may be keys of the filter."""
+    step = (keys.view(np.uint64) >> np.uint64(40)).astype(np.int64) | 1
+    found = np.ones(len(keys), dtype=bool)
+    for k in range(PROBES):
+        at = ((keys & _LOW) + k * step) & (bits - 1)
+        found &= (mask[at >> 6] >> (at & 63)) & 1 == 1
+    return found
+
+
 class KeyFilter:
     def __init__(self, df: DataFrame, mask: np.ndarray):
         self.shared = df.sparkSession.sparkContext.broadcast(mask)
@@ -48,12 +58,6 @@ class KeyFilter:
 
         @F.arrow_udf("boolean")
         def test(keys: pa.Array) -> pa.Array:
-            value = keys.to_numpy(zero_copy_only=False)
-            step = (value.view(np.uint64) >> np.uint64(40)).astype(np.int64) | 1
-            found = np.ones(len(value), dtype=bool)
-            for k in range(PROBES):
-                at = ((value & _LOW) + k * step) & (bits - 1)
-                found &= (shared.value[at >> 6] >> (at & 63)) & 1 == 1
-            return pa.array(found)
+            return pa.array(may_hold(keys.to_numpy(zero_copy_only=False), shared.value, bits))
 
         return test(key)
