@@ -3,7 +3,8 @@
 A text's features are the distinct hashed character 4- and 5-grams of its
 lower-cased form.  Each feature is scaled by its naive Bayes log-count ratio,
 and a logistic regression with L2 penalty is trained on the scaled features
-(limited-memory quasi-Newton steps).  Its margin is turned into a probability
+(limited-memory quasi-Newton steps, until the loss falls by less than a
+millionth).  Its margin is turned into a probability
 by a logistic curve fitted to margins of training texts that the model behind
 each margin had not seen.  Scoring sums one weight per distinct n-gram of the
 whole text.
@@ -40,7 +41,8 @@ MAX_ROWS = 4_000
 MAX_CHARS = 5_000_000
 CHUNK = 1 << 20
 L2 = 0.1
-STEPS = 25
+#: Steps end where the loss falls by less than this share of itself.
+TOLERANCE = 1e-6
 FOLDS = 2
 
 
@@ -85,11 +87,11 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def _minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
-    """Limited-memory BFGS with backtracking."""
+def _minimise(f, x: np.ndarray, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with backtracking, until the loss (which only falls) rests."""
     value, grad = f(x)
     pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
-    for _ in range(steps):
+    while True:
         q, alphas = grad.copy(), []
         for s, y, rho in reversed(pairs):
             alphas.append(rho * (s @ q))
@@ -109,11 +111,12 @@ def _minimise(f, x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
         s, y = new - x, new_grad - grad
         if s @ y > 1e-12:
             pairs = [*pairs[-memory + 1 :], (s, y, 1 / (s @ y))]
-        done = abs(value - new_value) <= 1e-6 * max(1.0, abs(value))
+        if new_value > value:
+            return x  # no shorter step lowers it
+        done = value - new_value <= TOLERANCE * max(1.0, abs(value))
         x, value, grad = new, new_value, new_grad
         if done:
-            break
-    return x
+            return x
 
 
 def train(bags: list[np.ndarray], labels: np.ndarray, *, shift: float = 0.0) -> Scorer:
@@ -183,7 +186,7 @@ def _fit_weights(bags: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray
             grad += np.bincount(flat, weights=np.repeat(g, lengths), minlength=BINS)
         return value, np.append(grad * ratio + L2 * v[:-1], slope)
 
-    v = _minimise(loss, np.zeros(BINS + 1), STEPS)
+    v = _minimise(loss, np.zeros(BINS + 1))
     return (v[:-1] * ratio), float(v[-1])
 
 
