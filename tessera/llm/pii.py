@@ -6,9 +6,10 @@ Looser shapes of the same kinds give *candidates* that no strict span overlaps
 address written ``name at host dot org``, an IPv6 address, a card beside other
 digits; a card must still pass its checksum).  Each occurrence induces lexical
 patterns (kind, before, after, shape) of several widths: the word before and
-the word after together, each alone, the two words before, and the shape of the
-identifier alone (digits and letters as classes).  A number counts as one word
-and the edge of the text as another; a side left open is empty.
+the word after together, each alone, the two words before, and the word before or
+after with the shape of the identifier (digits and letters as classes).  A shape
+without any context is no pattern.  A number counts as one word and the edge of
+the text as another; a side left open is empty.
 
 Patterns and instances (kind, normalised identifier) form a bipartite graph,
 which Spark scores in rounds.  Seeds have confidence 1, candidates 0 at first.
@@ -18,8 +19,8 @@ support the number of those that are seeds or believed (confidence at least
 accepted and lends its confidence to its candidates, by noisy-or over all
 accepted patterns they occur in.  Candidates believed in one round support new
 patterns in the next, also such that no seed occurs in.  Confidences only rise;
-rounds end when they rest, or after ``rounds``.  Accepted patterns mark every
-candidate that occurs in them.
+rounds end when none rises by more than ``REST`` and no pattern gains support.
+Accepted patterns mark every candidate that occurs in them.
 
 Texts are read twice: for the graph, and to mark.  Edges are counted before
 they are shuffled, so a pattern that a third of all texts share is one row per
@@ -39,6 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import ipaddress
+import itertools
 import re
 from collections.abc import Callable
 
@@ -48,10 +50,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.textbatch import map_slices, replace_column
-from tessera.runtime import cut_lineage
+from tessera.runtime import cut_lineage, release
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 20
+REST = 1e-9
 MIN_CONFIDENCE = 0.9
 MIN_SUPPORT = 5
 PATTERN_BLOCK = 100_000
@@ -222,7 +224,8 @@ def induced(text: str, kind: str, begin: int, end: int) -> list[tuple[str, str,
     """Patterns (before, after, shape) of one occurrence, without repeats."""
     before, after = context(text, begin, end)
     near = before[0]
-    out = [(near, after, OPEN), (near, OPEN, OPEN), (OPEN, after, OPEN), (OPEN, OPEN, shape(kind, text[begin:end]))]
+    form = shape(kind, text[begin:end])
+    out = [(near, after, OPEN), (near, OPEN, OPEN), (OPEN, after, OPEN), (near, OPEN, form), (OPEN, after, form)]
     if len(before) == 2:
         out.append((f"{before[1]} {near}", OPEN, OPEN))
     return out
@@ -278,11 +281,11 @@ def _along(edges: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
 def score_patterns(
     edges: DataFrame,
     *,
-    rounds: int = ROUNDS,
+    rounds: int | None = None,
     min_confidence: float = MIN_CONFIDENCE,
     min_support: int = MIN_SUPPORT,
 ) -> DataFrame:
-    """Patterns with confidence, support, number of candidates and ``accepted``.
+    """Patterns with confidence, support, number of candidates and ``accepted``, when all rest (or after ``rounds``).
 
     Patterns without any candidate that also lack the support are left out: they
     can neither be accepted nor lend anything.
@@ -297,8 +300,8 @@ def score_patterns(
     unseen = cut_lineage(graph.where(~F.col("seed")).select(*PATTERN, "instance", salt.alias("salt")))
     accepted = (F.col("confidence") >= min_confidence) & (F.col("support") >= min_support)
     patterns = known.select(*PATTERN, "candidates", F.col("seeds").alias("support"), (F.col("seeds") / F.col("instances")).alias("confidence"))
-    stamp = None
-    for _ in range(rounds):
+    before = None
+    for _ in itertools.count() if rounds is None else range(rounds):
         lending = patterns.where(accepted & (F.col("candidates") > 0)).select(*PATTERN, "confidence")
         believed = _along(unseen, lending, PATTERN).groupBy("kind", "instance").agg(noisy_or(F.col("confidence")).alias("belief"))
         gained = (
@@ -314,10 +317,15 @@ def score_patterns(
                 ((F.col("seeds") + F.coalesce("gained", F.lit(0.0))) / F.col("instances")).alias("confidence"),
             )
         )
-        now = patterns.agg(F.count_if(accepted), F.round(F.sum("confidence"), 4)).first()
-        if now == stamp:
-            break
-        stamp = now
+        if before is not None:
+            # Only patterns with candidates can change; none is ever lost.
+            old = before.where("candidates > 0").select(*PATTERN, F.col("support").alias("old_support"), F.col("confidence").alias("old_confidence"))
+            rising = (F.col("support") > F.col("old_support")) | (F.col("confidence") > F.col("old_confidence") + REST)
+            rests = patterns.join(old, PATTERN).where(rising).isEmpty()
+            release(before)
+            if rests:
+                break
+        before = patterns
     return patterns.withColumn("accepted", accepted)
 
 

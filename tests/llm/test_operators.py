@@ -153,6 +153,34 @@ def test_ann_repeated_rows_and_ids(spark, monkeypatch):
                 assert sorted(got[q]) == [(n + 1, i, pytest.approx(d, abs=1e-12)) for n, (d, i) in enumerate(want)]
 
 
+def test_ann_probes_grow_until_the_measured_recall_and_exact_scans(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    E = rng.standard_normal((700, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(E)], "vec_id long, embedding array<double>")
+    want = {}
+    for q in range(0, 700, 50):
+        d = np.sqrt(((E - E[q]) ** 2).sum(1))
+        d[q] = np.inf
+        want[q] = [int(i) for i in np.lexsort((np.arange(700), d))[:10]]
+
+    def found(**how):
+        out = {}
+        for r in ann.nearest(df, F.col("vec_id") % 50 == 0, **how).collect():
+            out.setdefault(r.query_id, {})[r["rank"]] = r.vec_id
+        return out
+
+    monkeypatch.setattr(ann, "PROBES", (1, 24, 1))
+    monkeypatch.setattr(ann, "TABLES", (2, 2, 2))
+    share = lambda got: np.mean([len(set(got[q].values()) & set(want[q])) / 10 for q in want])
+    low, high = share(found(depth=2, probes=24)), share(found(depth=2))
+    assert low < 0.7 and high >= 0.88
+    for block, bytes_ in ((1024, 64 << 20), (3, 0)):
+        monkeypatch.setattr(ann, "SCAN_BLOCK", block)
+        monkeypatch.setattr(ann, "QUERY_BYTES", bytes_)  # the second: vectors are shipped
+        assert {q: [v for _, v in sorted(g.items())] for q, g in found(exact=True).items()} == want
+        assert share(found(depth=1, probes=32)) == 1.0
+
+
 def test_ann_recall_on_the_tables(spark):
     """Recall and the share of rows met; depth 2 is what tables of 10,000 rows and more get."""
     for sf, depth in (("sf0.01", None), ("sf0.1", None), ("sf0.1", 2)):
@@ -166,14 +194,14 @@ def test_ann_recall_on_the_tables(spark):
         met = np.mean([np.any([np.isin(keys[:, t], asked[q, t]) for t in range(plan[1])], axis=0).mean() for q in range(len(at))])
         assert met < (0.55 if plan[0] == 1 else 0.25)
         got = {}
-        for r in ann.nearest(d, F.col("vec_id") % 100 == 0, depth=plan[0], tables=plan[1], probes=plan[2]).collect():
+        for r in ann.nearest(d, F.col("vec_id") % 100 == 0, depth=depth).collect():  # probes as measured
             got.setdefault(r.query_id, set()).add(r.vec_id)
         recall = []
         for i in at.tolist():
             dist = np.sqrt(((E - E[i]) ** 2).sum(1))
             dist[i] = np.inf
             recall.append(len(set(ids[np.lexsort((ids, dist))[:10]].tolist()) & got[int(ids[i])]) / 10)
-        assert np.mean(recall) >= (0.9 if plan[0] == 1 else 0.85), (sf, plan, np.mean(recall))
+        assert np.mean(recall) >= 0.9, (sf, plan, np.mean(recall))
     assert [ann.search_plan(n, 64)[0] for n in (500, 8_192, 8_193, 10**6, 10**7, 10**9)] == [1, 1, 2, 2, 3, 4]
 
 
@@ -286,6 +314,18 @@ def test_decontamination_matches_brute_force_in_any_blocks(spark, block):
     assert kept == {2, 3, 4}
 
 
+def test_decontamination_of_a_large_benchmark_on_the_table(spark, documents):
+    """Beyond one broadcast windows are joined: the same rows, also with repeated items and texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.unionByName(docs.limit(20)).withColumn("digest", F.lit("keep"))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench = bench.unionByName(bench.withColumn("item_id", F.col("item_id") + 1000)).unionByName(bench.limit(3))
+    small, large = (sorted(decontam.contamination_report(docs, bench, block_bytes=b).collect()) for b in (1 << 30, 10))
+    assert small == large and any(r.contaminated for r in small)
+    cut = [sorted(decontam.decontaminate(docs, bench, action="cut", block_bytes=b).select("doc_id", "text", "digest").collect()) for b in (1 << 30, 10)]
+    assert cut[0] == cut[1] and cut[0][0].digest == "keep"
+
+
 def test_toxicity_separates_held_out_texts(spark):
     rng = np.random.default_rng(0)
     vocab = ["lorem", "ipsum", "dolor", "amet", "tempor", "magna", "aliqua"]
@@ -334,7 +374,6 @@ def test_toxicity_weights_equal_a_dense_regression(monkeypatch):
         v, b = v - step[:-1], b - step[-1]
         if np.abs(step).max() < 1e-10:
             break
-    monkeypatch.setattr(toxicity, "STEPS", 500)
     monkeypatch.setattr(toxicity, "CHUNK", 300)
     weights, intercept = toxicity._fit_weights(bags, y)
     got = np.array([weights[bag].sum() + intercept for bag in bags])
@@ -433,9 +472,9 @@ def test_later_rounds_accept_patterns_that_no_seed_supports(spark):
     texts += [None, "", texts[0]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     edges = pii.occurrences(df, "text").persist()
-    for rounds in (1, 2, 20):
+    for rounds in (1, 2, 20, None):
         found = pii.score_patterns(edges, rounds=rounds).where("accepted and candidates > 0").collect()
-        assert {tuple(r[c] for c in pii.PATTERN) for r in found} == brute_graph([t or "" for t in texts], rounds), rounds
+        assert {tuple(r[c] for c in pii.PATTERN) for r in found} == brute_graph([t or "" for t in texts], rounds or 300), rounds
     late = ("phone", "dial", "", "")
     assert late not in brute_graph([t or "" for t in texts], 0) and late in brute_graph([t or "" for t in texts], 20)
     spans = {r.doc_id: r.spans for r in pii.span_report(df).collect()}
