@@ -20,7 +20,7 @@ from tessera.functions import dense
 from tessera.operators.interpolate import evaluate_weights
 from tessera.operators.reference import LOOK
 from tessera.operators.spatial import adaptive_support
-from tessera.runtime import cut_lineage
+from tessera.runtime import bucket, cut_lineage
 
 #: Targets that one task solves with one factorisation.
 TARGETS = 4096
@@ -44,8 +44,9 @@ def held_out_weights(targets: DataFrame, stations: DataFrame, support: DataFrame
     sets = sets.groupBy("__set").agg(F.array_sort(F.collect_list(F.struct("id", "x", "y", "sigma"))).alias("__stations"))
     whole = t.select("__set", "t_id", "t_x", "t_y", "held").join(sets, "__set")
     share = F.pmod(F.xxhash64("t_id"), F.ceil(F.count(F.lit(1)).over(Window.partitionBy("__set")) / TARGETS))
+    whole = whole.withColumn("__group", F.concat_ws("|", "__set", share.cast("string")))
 
-    def solve(g: pd.DataFrame) -> pd.DataFrame:
+    def solve_one(g: pd.DataFrame) -> pd.DataFrame:
         members = g["__stations"].iloc[0]
         ids = np.array([m["id"] for m in members])
         xy, sigma = np.array([(m["x"], m["y"]) for m in members], dtype=float), np.array([m["sigma"] for m in members], dtype=float)
@@ -58,8 +59,12 @@ def held_out_weights(targets: DataFrame, stations: DataFrame, support: DataFrame
         row, column = np.nonzero(used)
         return pd.DataFrame({"t_id": g["t_id"].to_numpy()[row], "s_id": ids[column], "w": w[row, column], "variance": variance[row], "n": used.sum(1)[row]})
 
+    def solve(g: pd.DataFrame) -> pd.DataFrame:
+        """Many small groups in one Arrow transfer."""
+        return pd.concat([solve_one(one) for _, one in g.groupby("__group", sort=True)])
+
     schema = f"t_id {kinds['id']}, s_id {kinds['s_id']}, w double, variance double, n int"
-    return whole.withColumn("__g", share).groupBy("__set", "__g").applyInPandas(solve, schema)
+    return whole.groupBy(bucket(whole, "__group", per=64).alias("__g")).applyInPandas(solve, schema)
 
 
 def station_validation(

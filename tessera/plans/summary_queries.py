@@ -157,12 +157,12 @@ def product_comparison(spark, sf_dir):
 
 
 @register(
-    f"""WITH d AS (SELECT event_type AS k, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, median(value) / 10 AS v FROM events WHERE user_id % 3 = 0 GROUP BY 1, 2), w AS (SELECT k, v - lag(v) OVER (PARTITION BY k ORDER BY day) AS s FROM d WHERE day >= TIMESTAMP '2024-01-25' - INTERVAL 45 DAYS AND day < TIMESTAMP '2024-01-25'),
+    f"""WITH d AS (SELECT event_type AS k, CAST(CAST(ts AS DATE) AS TIMESTAMP) AS day, median(value) / 10 AS v FROM events GROUP BY 1, 2), w AS (SELECT k, v - lag(v) OVER (PARTITION BY k ORDER BY day) AS s FROM d WHERE day >= TIMESTAMP '2024-01-25' - INTERVAL 45 DAYS AND day < TIMESTAMP '2024-01-25'),
 c AS (SELECT k, count(*) AS n, median(s) AS c FROM w GROUP BY 1), m AS (SELECT k, n, median(abs(s - c)) AS mad FROM w JOIN c USING (k) GROUP BY 1, 2)
 SELECT k, n, {rd('CASE WHEN n >= 6 THEN greatest(0.001, 1.4826 * mad / sqrt(2.0)) ELSE 0.001 END')} AS noise FROM m"""
 )
 def daily_noise(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("user_id % 3 = 0")
+    e = table(spark, sf_dir, "events")
     d = e.groupBy(F.col("event_type").alias("k"), F.to_date("ts").cast("timestamp").alias("day")).agg((F.median("value") / 10).alias("v"))
     return rounded(summaries.daily_noise(d, ["k"], "day", "v", end="2024-01-25", floor=0.001), "noise")
 
@@ -191,12 +191,12 @@ def event_against_control(spark, sf_dir):
 
 
 @register(
-    f"""WITH t AS (SELECT event_type, CAST(user_id % 12 AS INT) AS row, CAST(user_id // 12 % 9 AS INT) AS col, avg(value) AS v FROM events WHERE user_id % 5 = 1 GROUP BY 1, 2, 3)
+    f"""WITH t AS (SELECT event_type, CAST(user_id % 12 AS INT) AS row, CAST(user_id // 12 % 9 AS INT) AS col, avg(value) AS v FROM events GROUP BY 1, 2, 3)
 SELECT k.event_type, CAST(r AS INT) AS row, CAST(c AS INT) AS col, {rd('v')} AS v FROM (SELECT DISTINCT event_type FROM t) k, range(0, 12) a(r), range(0, 9) b(c) LEFT JOIN t ON t.event_type = k.event_type AND t.row = r AND t.col = c"""
 )
 def targets_on_grid(spark, sf_dir):
     u = F.col("user_id")
-    t = table(spark, sf_dir, "events").where("user_id % 5 = 1").groupBy("event_type", (u % 12).cast("int").alias("row"), (F.floor(u / 12) % 9).cast("int").alias("col")).agg(F.avg("value").alias("v"))
+    t = table(spark, sf_dir, "events").groupBy("event_type", (u % 12).cast("int").alias("row"), (F.floor(u / 12) % 9).cast("int").alias("col")).agg(F.avg("value").alias("v"))
     return rounded(summaries.scatter_to_grid(t, 12, 9, ["v"], ["event_type"]), "v")
 
 
