@@ -483,7 +483,7 @@ def test_later_rounds_accept_patterns_that_no_seed_supports(spark):
 
 def test_personal_data_query_equals_brute_force_on_the_table(spark, documents):
     texts = {d: r.text or "" for d, r in documents.items()}
-    accepted = brute_graph(texts.values(), pii.ROUNDS)
+    accepted = brute_graph(texts.values(), 300)
     n = 0
     for r in queries.op5_pii(spark, SF).collect():
         t = texts[r.doc_id]
