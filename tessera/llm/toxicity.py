@@ -236,9 +236,12 @@ def fit(
 
     def bag(batches):
         grams = GramSet()
-        for batch in batches:
+
+        def work(batch: pa.RecordBatch) -> pa.RecordBatch:
             sets = [grams(t).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sets, pa.binary())], names=["label", "grams"])
+            return pa.RecordBatch.from_arrays([batch.column("label"), pa.array(sets, pa.binary())], names=["label", "grams"])
+
+        yield from map_slices("text", work)(batches)
 
     bags, marks_of = [], []
     for r in chosen.select("text", "label").mapInArrow(bag, "label int, grams binary").toLocalIterator():
