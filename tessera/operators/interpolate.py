@@ -23,7 +23,7 @@ from tessera.runtime import bucket, cut_lineage
 
 def local_pairs(targets: DataFrame, stations: DataFrame, radius: float, *, least: int = 1) -> DataFrame:
     """(t_id, t_x, t_y, s_id, s_x, s_y, s_sigma, distance) of targets with enough stations."""
-    j = radius_join(targets.select("id", "x", "y"), stations.select("id", "x", "y", "sigma"), radius)
+    j = radius_join(targets.select("id", "x", "y"), stations.select("id", "x", "y", "sigma"), radius, repeat="samples")
     n = F.count(F.lit(1)).over(Window.partitionBy("t_id"))
     return j.withColumn("__n", n).where(F.col("__n") >= least).drop("__n")
 

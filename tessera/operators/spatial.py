@@ -29,22 +29,30 @@ def _around(x: Column, size: float) -> Column:
     return F.explode(F.sequence(_cell(x, size) - 1, _cell(x, size) + 1))
 
 
-def radius_join(targets: DataFrame, samples: DataFrame, radius: float, *, xy: tuple[str, str] = ("x", "y"), keys: Sequence[str] = ()) -> DataFrame:
+def radius_join(
+    targets: DataFrame, samples: DataFrame, radius: float, *, xy: tuple[str, str] = ("x", "y"), keys: Sequence[str] = (), repeat: str = "targets"
+) -> DataFrame:
     """All samples within ``radius`` (inclusive) of each target.
 
     Target columns get the prefix ``t_``, sample columns ``s_``; ``distance`` is
-    added.  ``keys`` are columns both sides must share (e.g. an epoch).
+    added.  ``keys`` are columns both sides must share (e.g. an epoch).  The rows of
+    ``repeat`` (``targets`` or ``samples``, best the fewer) go to the nine cells around
+    them.  Both sides are shuffled by cell: the planner's size of a side knows neither
+    that it is repeated nor how far its files are compressed, so it would broadcast
+    sides of any size.
     """
     t = targets.select([F.col(c).alias(f"t_{c}") for c in targets.columns])
     s = samples.select([F.col(c).alias(f"s_{c}") for c in samples.columns])
     x, y = xy
-    t = t.withColumn("__bx", _around(F.col(f"t_{x}"), radius)).withColumn("__by", _around(F.col(f"t_{y}"), radius))
-    s = s.withColumns({"__bx": _cell(F.col(f"s_{x}"), radius), "__by": _cell(F.col(f"s_{y}"), radius)})
+    size = radius * (1 + 1e-9)  # so that rounding puts no neighbour two cells away
+    around = lambda df, side: df.withColumn("__bx", _around(F.col(f"{side}_{x}"), size)).withColumn("__by", _around(F.col(f"{side}_{y}"), size))
+    inside = lambda df, side: df.withColumns({"__bx": _cell(F.col(f"{side}_{x}"), size), "__by": _cell(F.col(f"{side}_{y}"), size)})
+    t, s = (around(t, "t"), inside(s, "s")) if repeat == "targets" else (inside(t, "t"), around(s, "s"))
     on = (t["__bx"] == s["__bx"]) & (t["__by"] == s["__by"])
     for k in keys:
         on = on & (F.col(f"t_{k}") == F.col(f"s_{k}"))
     distance = F.hypot(F.col(f"t_{x}") - F.col(f"s_{x}"), F.col(f"t_{y}") - F.col(f"s_{y}"))
-    return t.join(s, on).drop("__bx", "__by").withColumn("distance", distance).where(F.col("distance") <= radius)
+    return t.join(s.hint("merge"), on).drop("__bx", "__by").withColumn("distance", distance).where(F.col("distance") <= radius)
 
 
 def nearest_join(
