@@ -17,10 +17,6 @@ from tessera.functions.geo import link_blocked_by_segment, link_crosses_segment,
 from tessera.runtime import cut_lineage
 
 
-#: Cells along the radius of a nearest search.
-DISK = 4
-
-
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
@@ -65,46 +61,39 @@ def nearest_join(
     ``digits`` distances that agree to so many decimals are ties.
 
     The points are counted in cells of size ``cell``; the first search radius is the
-    one that holds somewhat more than ``k`` points at their mean density.  A search
-    asks the cells, a quarter of the radius wide, that its disk can touch.  A target
-    with ``k`` points in the disk is settled, the others go on with twice the radius,
-    until none is left or the disk covers everything.  A round's results (``k`` rows
-    a target) and the targets left are checkpointed, so no round repeats an earlier
-    one.
+    one that holds somewhat more than ``k`` points at their mean density.  A target with ``k`` points
+    within the radius is settled, the others go on with twice the radius, until none
+    is left or it covers everything.  A round is a ``radius_join`` that repeats the
+    fewer of targets and points; its results (``k`` rows a target) and the targets
+    left are checkpointed, so no round repeats an earlier one.
     """
     x, y = xy
-    p = points.select(F.col(point_id).alias("p_id"), F.col(x).alias("s_x"), F.col(y).alias("s_y"))
-    box = p.select(F.col("s_x").alias("x"), F.col("s_y").alias("y")).unionByName(targets.select(F.col(x).alias("x"), F.col(y).alias("y"))).agg(
-        F.max("x") - F.min("x"), F.max("y") - F.min("y")
-    ).first()
-    extent = math.hypot(*[v or 0.0 for v in box])
-    total, cells = p.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(_cell(F.col("s_x"), cell), _cell(F.col("s_y"), cell)))).first()
+    p = points.select(F.col(point_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    left = targets.select(F.col(target_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
+    near_first = lambda d: d if digits is None else F.round(d, digits)
+    total, cells = p.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(_cell(F.col("x"), cell), _cell(F.col("y"), cell)))).first()
+    box = p.select("x", "y").unionByName(left.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
+    extent = math.hypot(*[v or 0.0 for v in box[:2]])
+    waiting = box[2] - total
     density = max(total, 1) / (max(cells, 1) * cell * cell)
     radius = max(math.sqrt(1.4 * k / (math.pi * density)), 1e-9)
-    left = targets.select(F.col(target_id).alias("t_id"), F.col(x).alias("t_x"), F.col(y).alias("t_y"))
     out = None
-    near_first = F.col("distance") if digits is None else F.round("distance", digits)
-    rank = F.row_number().over(Window.partitionBy("t_id").orderBy(near_first, "p_id"))
+    rank = F.row_number().over(Window.partitionBy("t_id").orderBy(near_first(F.col("distance")), "p_id"))
     margin = 0.0 if digits is None else 10.0**-digits
-    offsets = [(i, j) for i in range(-DISK - 1, DISK + 2) for j in range(-DISK - 1, DISK + 2) if math.hypot(max(abs(i) - 1, 0), max(abs(j) - 1, 0)) <= DISK]
-    disk = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets]))
     while True:
         radius = radius if within is None else min(radius, within)
         last = radius > extent or radius == within
-        size = (radius + margin) / DISK
-        t = left.withColumn("__d", disk).select("t_id", "t_x", "t_y", (_cell(F.col("t_x"), size) + F.col("__d.i")).alias("__bx"), (_cell(F.col("t_y"), size) + F.col("__d.j")).alias("__by"))
-        s = p.withColumns({"__bx": _cell(F.col("s_x"), size), "__by": _cell(F.col("s_y"), size)})
-        apart = F.hypot(F.col("t_x") - F.col("s_x"), F.col("t_y") - F.col("s_y"))
-        near = t.join(s, ["__bx", "__by"]).withColumn("distance", apart).where(F.col("distance") <= radius)
+        near = radius_join(left, p, radius, repeat="targets" if waiting <= total else "samples").withColumnRenamed("s_id", "p_id")
         ranked = cut_lineage(near.select("t_id", "p_id", "distance", rank.alias("rank")).where(F.col("rank") <= k))
         done = ranked if last else ranked.join(
-            ranked.where((F.col("rank") == k) & (F.col("distance") <= radius - margin)).select("t_id"), "t_id", "left_semi"
+            ranked.where((F.col("rank") == k) & (F.col("distance") <= radius - margin)).select("t_id").hint("merge"), "t_id", "left_semi"
         )
         out = done if out is None else out.unionByName(done)
         if last:
             return out
-        left = cut_lineage(left.join(done.select("t_id").distinct(), "t_id", "left_anti"))
-        if left.isEmpty():
+        left = cut_lineage(left.join(done.select(F.col("t_id").alias("id")).distinct().hint("merge"), "id", "left_anti"))
+        waiting = left.count()
+        if not waiting:
             return out
         radius *= 2
 

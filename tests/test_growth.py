@@ -25,3 +25,19 @@ def test_radius_join_broadcasts_neither_side_and_repeats_either(spark):
         assert "Broadcast" not in plan_of(found)
         rows = [(r.t_id, r.s_id) for r in found.collect()]
         assert len(rows) == len(wanted) and set(rows) == wanted
+
+
+def nearest(a, b, k):
+    return {(i, j, n + 1) for i, p in a.items() for n, (_, j) in enumerate(sorted((math.hypot(p.x - q.x, p.y - q.y), j) for j, q in b.items())[:k])}
+
+
+def test_rounds_of_the_nearest_search_broadcast_nothing_that_grows(spark, monkeypatch):
+    plans = []
+    cut = spatial.cut_lineage
+    monkeypatch.setattr(spatial, "cut_lineage", lambda df: plans.append(plan_of(df)) or cut(df))
+    few, many = scattered(spark, 80), scattered(spark, 200, 3)
+    a, b = ({r.id: r for r in df.collect()} for df in (few, many))
+    for t, p, left, right in ((few, many, a, b), (many, few, b, a)):
+        found = spatial.nearest_join(t, p, target_id="id", point_id="id", k=3, cell=0.4)
+        assert {(r.t_id, r.p_id, r.rank) for r in found.collect()} == nearest(left, right, 3)
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
