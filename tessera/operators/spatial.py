@@ -17,6 +17,10 @@ from tessera.functions.geo import link_blocked_by_segment, link_crosses_segment,
 from tessera.runtime import cut_lineage
 
 
+#: Points that every target meets directly in a nearest search.
+FEW = 64
+
+
 def _cell(x: Column, size: float) -> Column:
     return F.floor(x / size).cast("long")
 
@@ -60,8 +64,9 @@ def nearest_join(
     ``within`` leaves out points farther away (and ends the search there), with
     ``digits`` distances that agree to so many decimals are ties.
 
-    The points are counted in cells of size ``cell``; the first search radius is the
-    one that holds somewhat more than ``k`` points at their mean density.  A target with ``k`` points
+    Up to ``FEW`` points go to every target, and each picks from them.  More are
+    counted in cells of size ``cell``; the first search radius is the one that holds
+    somewhat more than ``k`` points at their mean density.  A target with ``k`` points
     within the radius is settled, the others go on with twice the radius, until none
     is left or it covers everything.  A round is a ``radius_join`` that repeats the
     fewer of targets and points; its results (``k`` rows a target) and the targets
@@ -72,10 +77,17 @@ def nearest_join(
     left = targets.select(F.col(target_id).alias("id"), F.col(x).alias("x"), F.col(y).alias("y"))
     near_first = lambda d: d if digits is None else F.round(d, digits)
     total, cells = p.agg(F.count(F.lit(1)), F.approx_count_distinct(F.struct(_cell(F.col("x"), cell), _cell(F.col("y"), cell)))).first()
+    if total <= FEW:
+        every = p.agg(F.collect_list(F.struct(F.col("id").alias("p_id"), F.col("x").alias("p_x"), F.col("y").alias("p_y"))).alias("__p"))
+        apart = lambda q: F.hypot(F.col("x") - q["p_x"], F.col("y") - q["p_y"])
+        ordered = F.transform("__p", lambda q: F.struct(near_first(apart(q)).alias("near"), q["p_id"].alias("p_id"), apart(q).alias("distance")))
+        reached = F.filter(ordered, lambda q: q["distance"].isNotNull() & (q["distance"] <= (float("inf") if within is None else within)))
+        best = left.join(F.broadcast(every), F.lit(True)).select("id", F.posexplode(F.slice(F.array_sort(reached), 1, k)).alias("at", "q"))
+        return best.select(F.col("id").alias("t_id"), "q.p_id", "q.distance", (F.col("at") + 1).alias("rank"))
     box = p.select("x", "y").unionByName(left.select("x", "y")).agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
     extent = math.hypot(*[v or 0.0 for v in box[:2]])
     waiting = box[2] - total
-    density = max(total, 1) / (max(cells, 1) * cell * cell)
+    density = total / (max(cells, 1) * cell * cell)
     radius = max(math.sqrt(1.4 * k / (math.pi * density)), 1e-9)
     out = None
     rank = F.row_number().over(Window.partitionBy("t_id").orderBy(near_first(F.col("distance")), "p_id"))

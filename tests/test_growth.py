@@ -41,3 +41,17 @@ def test_rounds_of_the_nearest_search_broadcast_nothing_that_grows(spark, monkey
         found = spatial.nearest_join(t, p, target_id="id", point_id="id", k=3, cell=0.4)
         assert {(r.t_id, r.p_id, r.rank) for r in found.collect()} == nearest(left, right, 3)
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans)
+
+
+def test_few_points_meet_all_targets_without_a_round(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "cut_lineage", lambda df: 1 / 0)
+    targets = scattered(spark, 300).withColumn("y", F.col("y") + F.col("id") * 50)
+    walls = spark.createDataFrame([(0.0, 0.0, 2.0, 0.0), (5.0, 9.0, 5.0, 15.0)], "x1 double, y1 double, x2 double, y2 double")
+    got = {r.t_id: r.bound for r in spatial.segment_distance_lower_bound(targets, walls, cell=1.0).collect()}
+    want = {r.id: max(min(math.hypot(r.x - 1, r.y), math.hypot(r.x - 5, r.y - 12)) - 3, 0) for r in targets.collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-9) for i in want)
+    a, b = {r.id: r for r in targets.collect()}, {r.id: r for r in scattered(spark, 5).collect()}
+    found = spatial.nearest_join(targets, scattered(spark, 5), target_id="id", point_id="id", k=9, digits=9)
+    assert {(r.t_id, r.p_id, r.rank) for r in found.collect()} == nearest(a, b, 9)
+    near = spatial.nearest_join(targets, scattered(spark, 5), target_id="id", point_id="id", k=9, within=4.0).collect()
+    assert {(r.t_id, r.p_id) for r in near} == {(i, j) for i, p in a.items() for j, q in b.items() if math.hypot(p.x - q.x, p.y - q.y) <= 4.0}
