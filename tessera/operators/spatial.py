@@ -17,8 +17,8 @@ from tessera.functions.geo import link_blocked_by_segment, link_crosses_segment,
 from tessera.runtime import cut_lineage
 
 
-#: Points that every target meets directly in a nearest search.
-FEW = 64
+#: Points that every target meets directly in a nearest search; walls' cells that are broadcast.
+FEW, BROADCAST_CELLS = 64, 100_000
 
 
 def _cell(x: Column, size: float) -> Column:
@@ -131,19 +131,21 @@ def blocked_links(links: DataFrame, segments: DataFrame, link_id: Sequence[str],
     """Distinct ids of links (x0, y0, x1, y1) that a segment (x1, y1, x2, y2) blocks.
 
     ``rule`` is ``closed`` (touching and overlap block) or ``open_ends`` (open at
-    the link's ends, parallel lines never block).
+    the link's ends, parallel lines never block).  The cells of the segments are
+    counted: up to ``BROADCAST_CELLS`` go to the links' tasks, more are shuffled.
     """
     seg = segments.select(*[F.col(c).alias(f"f{c}") for c in ("x1", "y1", "x2", "y2")])
     l = _cells_of_segment(links, ("x0", "y0"), ("x1", "y1"), cell)  # noqa: E741
     s = _cells_of_segment(seg, ("fx1", "fy1"), ("fx2", "fy2"), cell)
     test = link_blocked_by_segment if rule == "closed" else link_crosses_segment
     hit = test(((F.col("x0"), F.col("y0")), (F.col("x1"), F.col("y1"))), ((F.col("fx1"), F.col("fy1")), (F.col("fx2"), F.col("fy2"))))
+    s = F.broadcast(s) if s.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else s.hint("merge")
     # One opaque predicate: split into its conjuncts it would multiply inferred constraints.
     return l.join(s, ["__bx", "__by"]).where(F.coalesce(hit, F.lit(False))).select(*link_id).distinct()
 
 
 def visible_links(links: DataFrame, segments: DataFrame, link_id: Sequence[str], **options) -> DataFrame:
-    return links.join(blocked_links(links, segments, link_id, **options), list(link_id), "left_anti")
+    return links.join(blocked_links(links, segments, link_id, **options).hint("merge"), list(link_id), "left_anti")
 
 
 def segment_distance_lower_bound(targets: DataFrame, segments: DataFrame, *, target_id: str = "id", cell: float = 4.0) -> DataFrame:

@@ -55,3 +55,16 @@ def test_few_points_meet_all_targets_without_a_round(spark, monkeypatch):
     assert {(r.t_id, r.p_id, r.rank) for r in found.collect()} == nearest(a, b, 9)
     near = spatial.nearest_join(targets, scattered(spark, 5), target_id="id", point_id="id", k=9, within=4.0).collect()
     assert {(r.t_id, r.p_id) for r in near} == {(i, j) for i, p in a.items() for j, q in b.items() if math.hypot(p.x - q.x, p.y - q.y) <= 4.0}
+
+
+def test_only_counted_cells_of_walls_are_broadcast(spark, monkeypatch):
+    p = scattered(spark, 60)
+    links = spatial.radius_join(p, p, 3.0).select("t_id", "s_id", F.col("t_x").alias("x0"), F.col("t_y").alias("y0"), F.col("s_x").alias("x1"), F.col("s_y").alias("y1"))
+    walls = spark.createDataFrame([(1.05, 1.0, 6.13, 7.2), (3.02, 9.1, 8.0, 2.3)], "x1 double, y1 double, x2 double, y2 double")
+    few = spatial.visible_links(links, walls, ["t_id", "s_id"], cell=2.0)
+    assert plan_of(few).count("BroadcastExchange") == 1
+    monkeypatch.setattr(spatial, "BROADCAST_CELLS", 0)
+    many = spatial.visible_links(links, walls, ["t_id", "s_id"], cell=2.0)
+    assert "Broadcast" not in plan_of(many)
+    seen = [{(r.t_id, r.s_id) for r in df.collect()} for df in (few, many)]
+    assert seen[0] == seen[1] and 60 < len(seen[0]) < links.count()
