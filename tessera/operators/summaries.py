@@ -119,11 +119,16 @@ def unit_score(df: DataFrame, value: str, *, eligible: Column | None = None, inv
 
 
 def common_values(frames: Sequence[DataFrame], column: str) -> DataFrame:
-    """Sorted values that all frames have, e.g. dates of several stacks."""
-    out = frames[0].select(column).where(F.col(column).isNotNull())
-    for f in frames[1:]:
-        out = out.intersect(f.select(column))
-    return out.distinct().orderBy(column)
+    """Sorted values that all frames have, e.g. dates of several stacks.
+
+    Each frame is reduced to its distinct values in its tasks, so what is shuffled
+    grows with the values, not with the rows.
+    """
+    values = [f.select(column).where(F.col(column).isNotNull()).withColumn("__f", F.lit(i)).distinct() for i, f in enumerate(frames)]
+    every = values[0]
+    for v in values[1:]:
+        every = every.union(v)
+    return every.groupBy(column).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") == len(frames)).select(column).orderBy(column)
 
 
 def masked_median_series(df: DataFrame, keys: Sequence[str], value: str, mask: Column) -> DataFrame:
