@@ -363,7 +363,7 @@ def evaluate_cokriging(weights: DataFrame, observations: DataFrame, target_obser
     if target_observations is not None:
         long = long.unionByName(target_observations.select(F.col("id").alias("o_id"), "epoch", F.lit("target_first").alias("kind"), F.col("first").alias("v")))
     w = weights.withColumn("o_id", F.when(F.col("kind") == "target_first", F.col("t_id")).otherwise(F.col("s_id")))
-    j = w.join(long, ["o_id", "kind"])
+    j = w.join(long.hint("merge"), ["o_id", "kind"])  # repeated rows, which the planner takes for few
     g = j.groupBy("t_id", "epoch").agg(
         *[F.sum(F.when(F.col("output") == i, F.col("w") * F.col("v"))).alias(n) for i, n in enumerate(("east", "north", "second"))],
         F.count(F.when(F.col("output") == 0, F.col("v"))).alias("__n"),
