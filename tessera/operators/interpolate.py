@@ -21,6 +21,10 @@ from tessera.operators.spatial import radius_join, visible_links
 from tessera.runtime import bucket, cut_lineage
 
 
+#: Observations that go to the tasks of the weights; more are shuffled with them.
+BROADCAST_OBSERVATIONS = 200_000
+
+
 def local_pairs(targets: DataFrame, stations: DataFrame, radius: float, *, least: int = 1) -> DataFrame:
     """(t_id, t_x, t_y, s_id, s_x, s_y, s_sigma, distance) of targets with enough stations."""
     j = radius_join(targets.select("id", "x", "y"), stations.select("id", "x", "y", "sigma"), radius, repeat="samples")
@@ -45,16 +49,18 @@ def kriging_weight_relation(pairs: DataFrame, family: str, *, length: float, sil
     kinds = dict(pairs.dtypes)
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for t, one in g.groupby("t_id", sort=True):
-            one = one.sort_values("s_id")
-            found = dense.kriging_weights(
-                family, one[["s_x", "s_y"]].to_numpy(float), one["s_sigma"].to_numpy(float), one[["t_x", "t_y"]].iloc[0].to_numpy(float), length=length, sill=sill, nugget=nugget
-            )
-            if found is not None:
-                w, v = found
-                out.append(pd.DataFrame({"t_id": t, "s_id": one["s_id"].to_numpy(), "w": w, "variance": v, "n": len(one)}))
-        return pd.concat(out) if out else pd.DataFrame({"t_id": [], "s_id": [], "w": [], "variance": [], "n": []})
+        """Targets with equally many stations are solved together."""
+        g = g[g["t_id"].notna()].sort_values(["t_id", "s_id"])
+        t, xy, sigma, at = g["t_id"].to_numpy(), g[["s_x", "s_y"]].to_numpy(float), g["s_sigma"].to_numpy(float), g[["t_x", "t_y"]].to_numpy(float)
+        first = np.flatnonzero(np.append(True, t[1:] != t[:-1])[: len(t)])
+        count = np.diff(np.append(first, len(t)))
+        w, variance, kept = np.zeros(len(t)), np.zeros(len(t)), np.zeros(len(t), dtype=bool)
+        for n in np.unique(count):
+            rows = first[count == n][:, None] + np.arange(n)
+            found, error, known = dense.stacked_kriging_weights(family, xy[rows], sigma[rows], at[rows[:, 0]], length=length, sill=sill, nugget=nugget)
+            w[rows], variance[rows], kept[rows] = found, error[:, None], known[:, None]
+        out = pd.DataFrame({"t_id": t, "s_id": g["s_id"].to_numpy(), "w": w, "variance": variance, "n": np.repeat(count, count)})
+        return out[kept]
 
     schema = f"t_id {kinds['t_id']}, s_id {kinds['s_id']}, w double, variance double, n int"
     return pairs.groupBy(bucket(pairs, "t_id", tasks_of=tasks_of).alias("__g")).applyInPandas(solve, schema)
@@ -63,7 +69,8 @@ def kriging_weight_relation(pairs: DataFrame, family: str, *, length: float, sil
 def evaluate_weights(weights: DataFrame, observations: DataFrame, *, epoch: str = "epoch", value: str = "value") -> DataFrame:
     """(t_id, epoch, predicted, sigma, n): sum(w * value), NULL unless all are present."""
     obs = observations.select(F.col("id").alias("s_id"), F.col(epoch), F.col(value).alias("__v"))
-    j = weights.join(obs, "s_id")
+    few = obs.limit(BROADCAST_OBSERVATIONS + 1).count() <= BROADCAST_OBSERVATIONS
+    j = weights.join(F.broadcast(obs) if few else obs.hint("merge"), "s_id")
     return j.groupBy("t_id", epoch).agg(
         F.when(F.count("__v") == F.max("n"), F.sum(F.col("w") * F.col("__v"))).alias("predicted"), F.sqrt(F.max("variance")).alias("sigma"), F.max("n").alias("n")
     )
