@@ -97,22 +97,16 @@ def leave_one_out_predictions(
     def run(g: pd.DataFrame) -> pd.DataFrame:
         f, le, nu, r = (g[c].iloc[0] for c in ("family", "length", "nugget", "radius"))
         xy, v, s = g[["x", "y"]].to_numpy(float), g["value"].to_numpy(float), g["sigma"].to_numpy(float)
-        rows = []
-        for i in range(len(g)):
-            keep = np.arange(len(g)) != i
-            keep &= np.linalg.norm(xy - xy[i], axis=1) <= r
-            p, e = np.nan, np.nan
-            if keep.sum() >= least:
-                power = dense.interval_sill(v[keep], s[keep]) if sill == "interval" else max(float(np.var(v[keep] if sill == "kept" else v, ddof=1)), 1.0)
-                p, e = dense.kriging_predict(f, xy[keep], v[keep], s[keep], xy[i], length=le, sill=power, nugget=nu)
-            elif not missing:
-                continue
-            rows.append((*[g[k].iloc[0] for k in keys], f, le, nu, r, g["id"].iloc[i], v[i], p, float(np.hypot(e, s[i])), int(keep.sum())))
-        return pd.DataFrame(rows, columns=[*keys, "family", "length", "nugget", "radius", "id", "observed", "predicted", "sigma", "n"])
+        p, e, n = dense.left_out_predictions(f, xy, v, s, length=le, radius=r, nugget=nu, least=least, sill=sill)
+        rows = pd.DataFrame({**{k: g[k] for k in keys}, "family": f, "length": le, "nugget": nu, "radius": r, "id": g["id"], "observed": v, "predicted": p, "sigma": np.hypot(e, s), "n": n})
+        return rows if missing else rows[n >= least]
 
     schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "family string, length double, nugget double, radius double", f"id {kinds['id']}, observed double, predicted double, sigma double, n int"])
     crossed = stations.select(*keys, "id", "x", "y", "value", "sigma").crossJoin(F.broadcast(candidates))
-    return crossed.groupBy(*keys, "family", "length", "nugget", "radius").applyInPandas(run, schema)
+    groups = len(grid) * (stations.agg(F.approx_count_distinct(F.struct(*keys))).first()[0] if keys else 1)
+    by = [*keys, "family", "length", "nugget", "radius"]
+    # Rows are few and their work is large, so tasks are counted by groups; left to their size they would be a handful.
+    return crossed.repartition(max(64, -(-groups // 32)), *by).groupBy(*by).applyInPandas(run, schema)
 
 
 def score_candidates(predictions: DataFrame, *, by: Sequence[str] = ("family", "length", "nugget", "radius"), baseline: str = "local_constant", relative_tolerance: float = 0.02, coverage: tuple[float, float] = (0.65, 1.0), gains: DataFrame | None = None) -> DataFrame:
