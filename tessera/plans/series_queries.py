@@ -152,11 +152,8 @@ def calibrate_uncertainty(spark, sf_dir):
 {rd('0.7413 * (quantile_cont(v, 0.75) - quantile_cont(v, 0.25))')} AS scale FROM (SELECT l_linestatus AS l_shipmode, l_extendedprice AS v FROM lineitem) GROUP BY 1"""
 )
 def quantile_band(spark, sf_dir):
-    x = F.col("l_extendedprice")
-    out = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("g")).agg(
-        *[v.alias(k) for k, v in stats.quantile_band(x).items()], stats.robust_scale(x).alias("scale")
-    )
-    return rounded(out, "low", "mid", "high", "scale")
+    prices = table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("g"), F.col("l_extendedprice").alias("v"))
+    return rounded(quantiles.quantile_bands(prices, ["g"], "v"), "low", "mid", "high", "scale")
 
 
 @register(

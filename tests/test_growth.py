@@ -2,9 +2,13 @@
 
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import spatial
+from tessera.functions import dense
+from tessera.operators import interpolate, quantiles, spatial, summaries
+from tessera.runtime import cut_lineage
 
 
 def plan_of(df):
@@ -68,3 +72,70 @@ def test_only_counted_cells_of_walls_are_broadcast(spark, monkeypatch):
     assert "Broadcast" not in plan_of(many)
     seen = [{(r.t_id, r.s_id) for r in df.collect()} for df in (few, many)]
     assert seen[0] == seen[1] and 60 < len(seen[0]) < links.count()
+
+
+@pytest.mark.parametrize("family", list(dense.FAMILIES))
+def test_stacked_kriging_is_kriging_of_each_target(family):
+    rng = np.random.default_rng(5)
+    xy, sigma, at, sill = rng.uniform(0, 30, (9, 12, 2)), rng.uniform(0.5, 2, (9, 12)), rng.uniform(0, 30, (9, 2)), rng.uniform(2, 20, 9)
+    xy[3] = xy[3, :1] + np.arange(12)[:, None]  # on a line: no plane
+    if family != "gp_matern32":
+        xy[5, 1], sigma[5, :2] = xy[5, 0], 0.0  # a station twice, without noise
+    w, variance, known = dense.stacked_kriging_weights(family, xy, sigma, at, length=9.0, sill=sill, nugget=0.0)
+    for i in range(9):
+        found = dense.kriging_weights(family, xy[i], sigma[i], at[i], length=9.0, sill=sill[i], nugget=0.0)
+        assert known[i] == (found is not None)
+        if found is not None:
+            assert np.allclose(w[i], found[0], atol=1e-9) and np.isclose(variance[i], found[1], atol=1e-9)
+
+
+@pytest.mark.parametrize("sill", ["interval", "kept", "all"])
+@pytest.mark.parametrize("family", ["local_constant", "ok_matern32", "uk_rbf", "gp_matern32"])
+def test_all_stations_left_out_at_once_as_one_by_one(family, sill):
+    rng = np.random.default_rng(8)
+    xy, v, s = rng.uniform(0, 30, (25, 2)), rng.normal(0, 5, 25), rng.uniform(0.5, 2, 25)
+    p, e, n = dense.left_out_predictions(family, xy, v, s, length=12.0, radius=14.0, nugget=1.0, least=3, sill=sill)
+    for i in range(25):
+        keep = (np.arange(25) != i) & (np.linalg.norm(xy - xy[i], axis=1) <= 14.0)
+        want = math.nan, math.nan
+        if keep.sum() >= 3:
+            power = dense.interval_sill(v[keep], s[keep]) if sill == "interval" else max(float(np.var(v[keep] if sill == "kept" else v, ddof=1)), 1.0)
+            want = dense.kriging_predict(family, xy[keep], v[keep], s[keep], xy[i], length=12.0, sill=power, nugget=1.0)
+        assert n[i] == keep.sum() and np.allclose((p[i], e[i]), want, atol=1e-9, equal_nan=True)
+
+
+def test_values_common_to_frames_are_reduced_before_the_shuffle(spark):
+    a = spark.range(4000).select(F.when(F.col("id") > 9, F.col("id") % 7).alias("d"))
+    b = spark.range(3000).select((F.col("id") % 5 + 3).alias("d"))
+    found = summaries.common_values([a, b], "d")
+    assert [r.d for r in found.collect()] == [3, 4, 5, 6] and "Join" not in plan_of(found)
+
+
+def test_quantile_bands_of_large_groups_and_of_groups_without_values(spark):
+    k = F.col("id")
+    df = spark.range(3000).select(F.when(k % 3 > 0, k % 3).alias("g"), F.when(k % 3 < 2, k * 7919 % 3001 / F.lit(8.0)).alias("v"))
+    got = {r.g: r for r in quantiles.quantile_bands(df, ["g"], "v", most=100).collect()}
+    rows = df.collect()
+    assert got.keys() == {None, 1, 2} and got[2].mid is None and got[2].scale is None
+    for g in (None, 1):
+        q = np.quantile([r.v for r in rows if r.g == g], [0.025, 0.5, 0.975, 0.25, 0.75])
+        assert np.allclose([got[g].low, got[g].mid, got[g].high, got[g].scale], [*q[:3], 0.7413 * (q[4] - q[3])])
+
+
+def test_left_out_groups_are_dealt_over_tasks_by_their_number(spark):
+    st = scattered(spark, 40).select((F.col("id") % 4).alias("interval"), "id", "x", "y", F.col("x").alias("value"), F.lit(1.0).alias("sigma"))
+    p = interpolate.leave_one_out_predictions(st, keys=["interval"], families=["ok_matern32"], lengths=[5.0, 9.0], nuggets=[1.0])
+    assert "REPARTITION_BY_NUM" in plan_of(p) and p.count() == 80
+
+
+def test_observations_are_broadcast_only_when_counted(spark, monkeypatch):
+    w = spark.createDataFrame([(1, 5, 0.25, 1.0, 2), (1, 6, 0.75, 1.0, 2), (2, 6, 1.0, 4.0, 1)], "t_id long, s_id long, w double, variance double, n int")
+    obs = spark.createDataFrame([(5, 0, 4.0), (6, 0, 8.0), (6, 1, 2.0)], "id long, epoch int, value double")
+    for most in (200_000, 2):
+        monkeypatch.setattr(interpolate, "BROADCAST_OBSERVATIONS", most)
+        out = interpolate.evaluate_weights(w, obs)
+        assert ("Broadcast" in plan_of(out)) == (most > 2)
+        assert sorted((r.t_id, r.epoch, r.predicted) for r in out.collect()) == [(1, 0, 7.0), (1, 1, None), (2, 0, 8.0), (2, 1, 2.0)]
+    looks = scattered(spark, 12).select("id", F.lit(0).alias("epoch"), F.col("x").alias("first"), F.col("y").alias("second"))
+    long = spark.range(3).select(F.lit(0).cast("long").alias("t_id"), F.col("id").alias("s_id"), F.lit("first").alias("kind"), F.col("id").cast("int").alias("output"), F.lit(1.0).alias("w"), F.lit(1).alias("n_obs"))
+    assert "Broadcast" not in plan_of(interpolate.evaluate_cokriging(long, looks))
