@@ -122,6 +122,19 @@ def test_quantile_bands_of_large_groups_and_of_groups_without_values(spark):
         assert np.allclose([got[g].low, got[g].mid, got[g].high, got[g].scale], [*q[:3], 0.7413 * (q[4] - q[3])])
 
 
+def test_groups_are_matched_on_one_long(spark):
+    """Other keys cost a page of 16 MB for each table, whatever its size."""
+    rows = spark.range(60).select((F.col("id") % 3).cast("int").alias("k"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).alias("j"), "id")
+    state = cut_lineage(rows.groupBy("k", "j").agg(F.sum("id").alias("t")))
+    for keys in (["k"], ["k", "j"]):
+        own = state.groupBy(*keys).agg(F.sum("t").alias("t"))
+        found = quantiles.match_groups(rows, own, keys)
+        assert "HashedRelationBroadcastMode(List(xxhash64(" in plan_of(found) and "isnull" not in plan_of(found).split("HashedRelationBroadcastMode")[1].split("\n")[0]
+        want = {tuple(r[k] for k in keys): r.t for r in own.collect()}
+        got = found.collect()
+        assert len(got) == 60 and all(want[tuple(r[k] for k in keys)] == r.t for r in got)
+
+
 def test_left_out_groups_are_dealt_over_tasks_by_their_number(spark):
     st = scattered(spark, 40).select((F.col("id") % 4).alias("interval"), "id", "x", "y", F.col("x").alias("value"), F.lit(1.0).alias("sigma"))
     p = interpolate.leave_one_out_predictions(st, keys=["interval"], families=["ok_matern32"], lengths=[5.0, 9.0], nuggets=[1.0])
