@@ -238,7 +238,7 @@ def adaptive_support(
     """
     radii = sorted(radii)
     own = [] if without is None else [F.col(without).alias("without")]
-    pairs = radius_join(targets.select(F.col(target_id).alias("id"), "x", "y", *own), stations.select(F.col(station_id).alias("id"), "x", "y"), radii[-1])
+    pairs = radius_join(targets.select(F.col(target_id).alias("id"), "x", "y", *own), stations.select(F.col(station_id).alias("id"), "x", "y"), radii[-1], repeat="samples")
     if without is not None:
         pairs = pairs.where(~F.col("s_id").eqNullSafe(F.col("t_without")))
     pairs = pairs.withColumns({"dx": F.col("s_x") - F.col("t_x"), "dy": F.col("s_y") - F.col("t_y")})
@@ -246,7 +246,7 @@ def adaptive_support(
     tried = tried.withColumn("key", F.struct(F.col("t_id"), F.col("radius")))
     counts = tried.groupBy("key").agg(
         F.array_sort(F.collect_list("s_id")).alias("station_ids"),
-        F.count_distinct(sector_of(F.col("dx"), F.col("dy"), sectors)).alias("sectors"),
+        F.size(F.collect_set(sector_of(F.col("dx"), F.col("dy"), sectors))).cast("long").alias("sectors"),
     )
     good = counts.where((F.size("station_ids") >= min_stations) & (F.col("sectors") >= min_sectors))
     if require_hull:

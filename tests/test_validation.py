@@ -96,6 +96,63 @@ def test_station_validation_equals_leaving_each_station_out(spark, monkeypatch):
     assert why["s00"] == "reference station" and why["s09"] == "too few pixels" and why["s10"] == "no support without it" and all(why[s] == "too few epochs" for s in few)
 
 
+def test_stations_far_from_the_reference_area_share_its_level(spark, monkeypatch):
+    """Two clusters of stations: reference pixels are solved anew only for stations within reach, and the rows are those of plain loops."""
+    rng = np.random.default_rng(12)
+    xy = np.concatenate([rng.uniform(0, 24, (14, 2)), rng.uniform(0, 24, (22, 2)) + (500, 300)])
+    sigma, radius, n = rng.uniform(0.5, 2, 36), 12.0, 36
+    area = xy[0] + rng.uniform(-6, 6, (7, 2))
+    pixels = {i: xy[i] + rng.normal(0, 0.5, (4, 2)) for i in range(1, n)}
+    up, seen = rng.normal(1000, 10, (n, 2)), rng.normal(0, 5, (n, 4, 2))
+    up[20, 1] = np.nan  # missing below
+    f = lambda v: [float(x) for x in v]
+    look = ["0.6D AS look_e", "-0.1D AS look_n", "0.8D AS look_u"]
+    held, whole = [], validate.adaptive_support
+
+    def counted(targets, *rest, **options):
+        held.append(targets.count())
+        return whole(targets, *rest, **options)
+
+    monkeypatch.setattr(validate, "adaptive_support", counted)
+    monkeypatch.setattr(validate, "TARGETS", 11)  # cells are dealt out in shares
+    rows, excluded = validate.station_validation(
+        spark.createDataFrame([(i, 10 * i + k, *f(p[k])) for i, p in pixels.items() for k in range(4)], "station long, id long, x double, y double").selectExpr("*", *look),
+        spark.createDataFrame([(k, *f(p)) for k, p in enumerate(area)], "id long, x double, y double").selectExpr("*", *look),
+        spark.createDataFrame([(10 * i + k, e, float(seen[i, k, e])) for i in pixels for k in range(4) for e in range(2)], "id long, epoch int, value double"),
+        spark.createDataFrame([(i, *f(xy[i]), float(sigma[i])) for i in range(n)], "id long, x double, y double, sigma double"),
+        spark.createDataFrame([(i, e, 0.0, 0.0, None if np.isnan(up[i, e]) else float(up[i, e]), 1.0, 1.0) for i in range(n) for e in range(2)], "id long, epoch int, east double, north double, up double, sigma_e double, sigma_n double"),
+        reference_station=0, radii=[radius], family="ok_matern32", length=20.0, sill=40.0, nugget=1.0, look_sigma=3.0, least_pixels=2, least_reference=3, min_stations=4, min_sectors=1, require_hull=False,
+    )
+    got = {(r.id, r.epoch): r for r in rows.collect()}
+    why = {r.id: r.reason for r in excluded.collect()}
+    close = sum(np.hypot(*(p - xy[i])) <= radius for p in area for i in range(1, n))
+    assert held == [4 * (n - 1) + len(area) + close] and 0 < close < 13 * len(area)
+
+    def field(p, left, e):
+        use = [k for k in range(n) if k != left and np.hypot(*(xy[k] - p)) <= radius]
+        if len(use) < 4:
+            return None
+        w, v = dense.kriging_weights("ok_matern32", xy[use], sigma[use], p, length=20, sill=40, nugget=1.0)
+        return w @ up[use, e], v, len(use)
+
+    want, there = {}, {}
+    for i in range(1, n):
+        there[i] = sum(field(p, i, 0) is not None for p in area)
+        for e in range(2):
+            at = [a for p in area if (a := field(p, i, e)) is not None and not np.isnan(a[0])]
+            here = [(k, a) for k, p in enumerate(pixels[i]) if (a := field(p, i, e)) is not None and not np.isnan(a[0])]
+            if len(at) >= 3 and len(here) >= 2:
+                level, error = np.median([0.8 * a[0] for a in at]), np.median([0.8 * math.sqrt(a[1]) for a in at])
+                rest = [seen[i, k, e] - 0.8 * a[0] + level for k, a in here]
+                want[i, e] = (len(here), len(at), min(a[2] for _, a in here), np.median(rest), np.median([0.8 * a[0] - level for _, a in here]), math.sqrt(9 + np.median([0.8 * math.sqrt(a[1]) for _, a in here]) ** 2 + error**2))
+    want = {k: v for k, v in want.items() if k[0] not in why}
+    assert got.keys() == want.keys() and {i < 14 for i, _ in want} == {True, False} and {v[1] for v in want.values()} != {len(area)}
+    for k, v in want.items():
+        r = got[k]
+        assert (r.n_pixels, r.n_reference, r.n_support, r.horizontal, r.vertical, r.horizontal_sigma) == pytest.approx(v, abs=1e-8)
+    assert {i for i, x in why.items() if x == "no reference support without it"} <= {i for i in there if there[i] < 3}
+
+
 def test_robust_planes_rest_where_reweighting_does():
     rng, same = np.random.default_rng(3), 0
     for median in (True, False):
